@@ -16,6 +16,7 @@ class Entry:
 
 
 REGISTRY: dict[str, Entry] = {}
+CATALOGS = ["catalog_aggregates", "catalog_cleaning", "catalog_rows"]
 
 
 def register(name: str, sql: str | None = None):
@@ -30,7 +31,9 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict[str, Entry]:
     # importing the catalog modules fills REGISTRY
-    from tarmac.plans import catalog_aggregates  # noqa: F401
-    from tarmac.plans import catalog_rows  # noqa: F401
+    import importlib
+
+    for mod in CATALOGS:
+        importlib.import_module(f"tarmac.plans.{mod}")
 
     return REGISTRY
