@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions import dims
+from tarmac.functions.scalars import with_scalars
 
 def _d() -> Column:
     return F.col("delay_minutes")
@@ -304,9 +305,11 @@ def weekly_risk_grid(fl: DataFrame, start_date: str = "2024-02-01") -> DataFrame
     """
     spark = fl.sparkSession
     h = fl.groupBy("hour").agg(F.avg(_d()).alias("expected_avg_delay"), F.count(F.lit(1)).alias("expected_flights"))
-    days = spark.range(7).select(F.date_add(F.to_date(F.lit(start_date)), F.col("id").cast("int")).alias("date"))
-    hours = spark.range(6, 23).select(F.col("id").cast("int").alias("hour"))
-    grid = days.crossJoin(hours)  # fixed 7 x 17 = 119 rows
+    # fixed 7 x 17 grid generated directly (day = id // 17, hour = 6 + id % 17)
+    grid = spark.range(7 * 17).select(
+        F.date_add(F.to_date(F.lit(start_date)), (F.col("id") / 17).cast("int")).alias("date"),
+        (F.col("id") % 17 + 6).cast("int").alias("hour"),
+    )
     g = grid.join(F.broadcast(h), "hour", "inner")  # hours without flights produce no row
     dow = F.weekday("date")
     base = F.least(F.col("expected_avg_delay") * 0.8 + F.col("expected_flights") * 0.3, F.lit(100.0))
@@ -323,7 +326,7 @@ def schedule_tuning(fl: DataFrame) -> DataFrame:
     h = fl.groupBy("hour").agg(F.count("flight_id").alias("current_flights"), F.avg(_d()).alias("current_delay"))
     target = h.filter(F.col("current_delay") < 15).agg(F.min("hour").alias("recommended_hour"))
     bad = h.filter(F.col("current_delay") > 20)
-    j = bad.crossJoin(target).filter(F.col("recommended_hour").isNotNull())  # 1-row right side
+    j = with_scalars(bad, target).filter(F.col("recommended_hour").isNotNull())  # 1-row right side
     moved = F.least(F.floor(F.col("current_flights") / 3), F.lit(10)).cast("long")
     proj = F.col("current_delay") * 0.7
     return j.select(
@@ -369,7 +372,7 @@ def system_overview(fl: DataFrame) -> DataFrame:
         F.countDistinct("runway").alias("total_runways"),
         (F.count_if(_d() > 0) * 100.0 / F.count(F.lit(1))).alias("delay_rate"),
     )
-    return overall.crossJoin(busiest_sorted("runway")).crossJoin(busiest_sorted("airline")).crossJoin(busiest_sorted("hour"))
+    return with_scalars(with_scalars(with_scalars(overall, busiest_sorted("runway")), busiest_sorted("airline")), busiest_sorted("hour"))
 
 
 # A27
@@ -397,7 +400,7 @@ def delay_breakdown(fl: DataFrame) -> DataFrame:
         ),
     )
     rows = rows.withColumn("percentage", F.col("flight_count") * 100.0 / F.col("_n")).drop("_n")
-    return rows.crossJoin(ext)
+    return with_scalars(rows, ext)
 
 
 # A28
@@ -478,7 +481,7 @@ def on_time_metrics(fl: DataFrame) -> DataFrame:
         (F.count_if(_d() > 60) * 100.0 / n).alias("severe_delay_rate"),
         (n / F.countDistinct("runway")).alias("ops_per_runway"),
     )
-    return o.crossJoin(hourly_max)
+    return with_scalars(o, hourly_max)
 
 
 # A34
@@ -494,7 +497,7 @@ def delay_patterns(fl: DataFrame) -> DataFrame:
     daily = fl.groupBy("date").agg(F.avg(_d()).alias("m"))
     w = Window.orderBy(F.col("date").desc())
     recent = daily.withColumn("_r", F.row_number().over(w)).filter("_r <= 3").agg(F.avg("m").alias("recent_avg_delay"))
-    return hourly.crossJoin(airline).crossJoin(recent)
+    return with_scalars(with_scalars(hourly, airline), recent)
 
 
 # A35
@@ -504,7 +507,7 @@ def operational_issues(fl: DataFrame) -> DataFrame:
     runway = fl.groupBy("runway").agg(F.count(F.lit(1)).alias("c")).agg(
         F.max("c").alias("rw_max"), F.avg("c").alias("rw_mean")
     )
-    one = fl.agg((F.count_if(_d() > 15) / n).alias("late_rate"), F.count_if(_d() > 120).alias("extreme")).crossJoin(runway)
+    one = with_scalars(fl.agg((F.count_if(_d() > 15) / n).alias("late_rate"), F.count_if(_d() > 120).alias("extreme")), runway)
     issues = F.array(
         F.when(F.col("late_rate") > 0.3, F.struct(F.lit("high_delay_rate").alias("issue"), F.col("late_rate").cast("double").alias("value"))),
         F.when(F.col("rw_max") > F.col("rw_mean") * 2,
@@ -526,7 +529,7 @@ def rule_recommendations(fl: DataFrame) -> DataFrame:
     )
     util = runway_utilization(fl).agg(F.count_if(F.col("utilization_score") > 80).alias("overutilized"))
     one = fl.agg(F.avg(_d()).alias("avg_delay"), (F.count_if(_d() > 0) * 100.0 / n).alias("delay_rate"))
-    one = one.crossJoin(runway).crossJoin(hourly).crossJoin(util)
+    one = with_scalars(with_scalars(with_scalars(one, runway), hourly), util)
     level = (
         F.when(F.col("avg_delay") > 20, "HIGH_PRIORITY").when(F.col("avg_delay") > 10, "MEDIUM_PRIORITY").otherwise("MAINTENANCE")
     )
@@ -634,7 +637,7 @@ def histogram(df: DataFrame, col: str = "delay_minutes", bins: int = 20) -> Data
         F.floor((F.col(col) - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / bins)), F.lit(bins - 1)
     ).cast("int")
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(b)
-    j = df.select(col).filter(F.col(col).isNotNull()).crossJoin(F.broadcast(rng))
+    j = with_scalars(df.select(col).filter(F.col(col).isNotNull()), rng)
     out = j.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     return out.select("bin", (F.col("_lo") + F.col("bin") * width).alias("bin_start"),
@@ -681,7 +684,7 @@ def reschedule_hour(fl: DataFrame, hour: int = 21) -> DataFrame:
         F.col("flight_count").alias("source_flights"), F.col("avg_delay").alias("source_avg_delay")
     )
     tgt = h.filter(F.col("hour") != hour).orderBy("avg_delay", "hour").limit(3)
-    return tgt.crossJoin(src).withColumn("flights_to_receive", F.floor(F.col("source_flights") / 3).cast("long"))
+    return with_scalars(tgt, src).withColumn("flights_to_receive", F.floor(F.col("source_flights") / 3).cast("long"))
 
 
 # ops cube: the three dashboard summaries in one pass

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.functions.scalars import with_scalars
 from tarmac.functions.windows import with_neighbors
 from tarmac.session import cut_lineage
 
@@ -187,7 +188,7 @@ def cascade_impact(final: DataFrame, initial: DataFrame, nodes: DataFrame) -> Da
         F.count_if(d > 30).alias("severe"),
         (F.sum(F.when(d > 0, F.col("capacity") * d)) / 60).alias("estimated_passenger_delay_hours"),
     )
-    out = agg.crossJoin(init)
+    out = with_scalars(agg, init)
     return out.withColumn(
         "amplification_factor",
         F.when(F.col("initial_delay_minutes") > 0, F.col("total_propagated_delay") / F.col("initial_delay_minutes")).otherwise(0.0),
@@ -235,7 +236,7 @@ def network_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.agg(F.count(F.lit(1)).alias("total_nodes"))
     m = edges.agg(F.count(F.lit(1)).alias("total_edges"))
     csum = cc.agg(F.sum("c").alias("_cs"))
-    out = n.crossJoin(m).crossJoin(csum)
+    out = with_scalars(with_scalars(n, m), csum)
     return out.select(
         "total_nodes", "total_edges",
         (F.col("total_edges") / (F.col("total_nodes") * (F.col("total_nodes") - 1))).alias("density"),
@@ -323,4 +324,4 @@ def impact_summary(scored: DataFrame, top: int = 10) -> DataFrame:
         F.sum(s).alias("total_cascade_risk"),
     )
     topk = scored.orderBy(s.desc(), "flight_id").limit(top)
-    return topk.crossJoin(summary)
+    return with_scalars(topk, summary)

@@ -90,7 +90,7 @@ weather AS (
 """
 
 
-def with_flights(body: str, *ctes: str) -> str:
+def with_flights(body: str, *ctes: str, recursive: bool = False) -> str:
     """Prefix ``body`` (a SELECT, optionally starting with more CTEs after a comma) with the flight view."""
     parts = [FLIGHTS.strip()] + [c.strip() for c in ctes]
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + body.strip()
