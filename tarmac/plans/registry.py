@@ -16,7 +16,7 @@ class Entry:
 
 
 REGISTRY: dict[str, Entry] = {}
-CATALOGS = ["catalog_aggregates", "catalog_cleaning", "catalog_graph", "catalog_rows", "catalog_revenue_weather", "catalog_scheduling", "catalog_ml", "catalog_intents"]
+CATALOGS = ["catalog_aggregates", "catalog_cleaning", "catalog_graph", "catalog_rows", "catalog_revenue_weather", "catalog_scheduling", "catalog_ml", "catalog_intents", "catalog_streaming"]
 
 
 def register(name: str, sql: str | None = None):
