@@ -2,7 +2,7 @@
 
 The hour -> (demand, revenue multiplier, business ratio) table has 24 entries, so it is a
 ``create_map`` literal inside the projection (no join at all). The "try the super-peak hours in
-order, keep a running best" search of R2 is a SQL ``aggregate`` over a fixed 4-element array.
+order, keep a running best" search of R2 is unrolled over the fixed 4-hour list on precomputed columns.
 """
 
 from __future__ import annotations
@@ -33,6 +33,17 @@ def revenue_expr(hour: Column, capacity: Column, priority: Column, peak: Column)
     return econ * final + bus * final * 2.8
 
 
+def _fixed_hour_revenue(hour: int, peak: str) -> Column:
+    """``revenue_expr`` for a literal hour and category: the hour terms are folded to constants
+    (same operation order), leaving one 3-entry price lookup per row."""
+    demand, mult, _, ratio = dims.REVENUE_SLOTS.get(hour, dims.REVENUE_SLOTS[12])
+    finals = {p: b * mult * (1 + dims.PEAK_PREMIUMS[peak]) for p, b in dims.BASE_PRICES.items()}
+    final = dims.lit_map(finals)[F.col("destination_priority")]
+    load = min(0.95, demand * 0.75)
+    cap = F.col("capacity")
+    return cap * load * (1 - ratio * 0.15) * final + cap * load * (ratio * 0.15) * final * 2.8
+
+
 # R1
 def flight_revenue(fl: DataFrame) -> DataFrame:
     return fl.withColumn(
@@ -45,16 +56,14 @@ def revenue_moves(fl: DataFrame) -> DataFrame:
     """Per flight: try hours 7, 8, 19, 20 (skipping its own) as super-peak; a candidate is kept when it
     beats the running best by 5%. Flights with a recommendation only."""
     df = flight_revenue(fl)
-    init = F.struct(F.col("current_revenue").alias("best"), F.lit(None).cast("int").alias("hour"))
-
-    def step(acc, h):
-        alt = revenue_expr(h, F.col("capacity"), F.col("destination_priority"), F.lit("super_peak"))
-        take = (h != F.col("hour")) & (alt > acc["best"] * 1.05)
-        return F.struct(F.when(take, alt).otherwise(acc["best"]).alias("best"),
-                        F.when(take, h).otherwise(acc["hour"]).alias("hour"))
-
-    res = F.aggregate(F.array(*[F.lit(h) for h in SUPER_PEAK_TRY]), init, step)
-    df = df.withColumn("_r", res).filter(F.col("_r.hour").isNotNull())
+    # candidate revenues are plain columns (each computed once); the running-best fold over the
+    # fixed list is unrolled on those columns, so every step only compares attributes
+    df = df.withColumns({f"_alt{h}": _fixed_hour_revenue(h, "super_peak") for h in SUPER_PEAK_TRY})
+    best, hour = F.col("current_revenue"), F.lit(None).cast("int")
+    for h in SUPER_PEAK_TRY:
+        take = (F.col("hour") != h) & (F.col(f"_alt{h}") > best * 1.05)
+        best, hour = F.when(take, F.col(f"_alt{h}")).otherwise(best), F.when(take, F.lit(h)).otherwise(hour)
+    df = df.withColumn("_r", F.struct(best.alias("best"), hour.alias("hour"))).filter(F.col("_r.hour").isNotNull())
     inc = F.col("_r.best") - F.col("current_revenue")
     return df.select(
         "flight_id", F.col("hour").alias("current_hour"), F.col("_r.hour").alias("recommended_hour"), "current_revenue",

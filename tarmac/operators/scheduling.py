@@ -11,8 +11,6 @@ on partitioning. Everything else is Column expressions and aggregates.
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -87,39 +85,39 @@ def _greedy_group(pdf: pd.DataFrame) -> pd.DataFrame:
     cap = {r: int(c * 0.85) for r, c in dims.GREEDY_RUNWAY_CAPACITY.items()}
     runways = list(dims.GREEDY_RUNWAY_CAPACITY)
     pdf = pdf.sort_values(["optimization_priority", "scheduled_time", "flight_id"], ascending=[False, True, True], kind="mergesort")
-    usage: dict[tuple[str, pd.Timestamp], int] = {}
-    out_t, out_r, out_c = [], [], []
-    for t, pref, d in zip(pdf["scheduled_time"], pdf["runway"], pdf["delay_minutes"]):
-        t = pd.Timestamp(t)
-        tries = [pref] + [r for r in runways if r != pref]
+    # minutes since epoch as plain ints: the loop does integer arithmetic only
+    mins = (pd.to_datetime(pdf["scheduled_time"]).astype("int64") // 60_000_000_000).to_numpy()
+    usage: dict[tuple[str, int], int] = {}
+    out_m, out_r, out_c = [], [], []
+    for t, pref, d in zip(mins.tolist(), pdf["runway"].tolist(), pdf["delay_minutes"].tolist()):
         steps = (6 if d > 60 else 3) * 4
         can_improve = True
         chosen = None
-        for r in tries:
-            cur = t
+        for r in [pref] + [x for x in runways if x != pref]:
             eff = cap.get(r, 0)
+            cur = t
             for i in range(steps):
-                hk = cur.floor("h")
-                if usage.get((r, hk), 0) < eff:
+                if usage.get((r, cur // 60), 0) < eff:
                     chosen = (cur, r)
                     break
-                cur = cur + timedelta(minutes=SLOT_MINUTES)
+                cur += SLOT_MINUTES
                 if i > 8:
                     can_improve = False
             if chosen:
                 break
         if chosen is None:
-            chosen = (t + timedelta(minutes=30), pref)
+            chosen = (t + 30, pref)
             can_improve = False
-        hk = chosen[0].floor("h")
-        usage[(chosen[1], hk)] = usage.get((chosen[1], hk), 0) + 1
-        out_t.append(chosen[0])
+        key = (chosen[1], chosen[0] // 60)
+        usage[key] = usage.get(key, 0) + 1
+        out_m.append(chosen[0])
         out_r.append(chosen[1])
         out_c.append(can_improve)
     return pd.DataFrame({
         "flight_id": pdf["flight_id"].values, "base_airport": pdf["base_airport"].values,
         "service_date": pdf["service_date"].values, "optimization_priority": pdf["optimization_priority"].astype(float).values,
-        "optimized_time": out_t, "optimized_runway": out_r, "can_improve": out_c,
+        "optimized_time": pd.to_datetime(np.asarray(out_m, dtype="int64"), unit="m"), "optimized_runway": out_r,
+        "can_improve": out_c,
     })
 
 
@@ -179,49 +177,49 @@ ALLOC_SCHEMA = (
 def _alloc_group(pdf: pd.DataFrame) -> pd.DataFrame:
     runways = list(dims.SUITABILITY_RUNWAYS)
     pdf = pdf.sort_values(["priority", "scheduled_time", "flight_id"], kind="mergesort")
-    times = pd.to_datetime(pdf["scheduled_time"])
-    start = times.min().floor("h")
-    end = times.max() + timedelta(hours=2)
-    n_slots = int(np.ceil((end - start) / timedelta(minutes=SLOT_MINUTES)))
-    slot_times = [start + timedelta(minutes=SLOT_MINUTES * i) for i in range(n_slots)]
-    occupied = {r: np.zeros(n_slots, dtype=bool) for r in runways}
+    secs = (pd.to_datetime(pdf["scheduled_time"]).astype("int64") // 1_000_000_000).to_numpy()
+    step = SLOT_MINUTES * 60
+    start = int(secs.min()) // 3600 * 3600
+    end = int(secs.max()) + 2 * 3600
+    n_slots = -(-(end - start) // step)  # slots start..end (last one starts before end)
+    occupied = {r: [False] * n_slots for r in runways}
+    suits = pdf[[f"s_{i}" for i in range(len(runways))]].to_numpy()
     res_r, res_t, res_c, res_s = [], [], [], []
-    suit_cols = [f"s_{i}" for i in range(len(runways))]
-    for rec in pdf.itertuples(index=False):
-        t = pd.Timestamp(rec.scheduled_time)
-        best = (-1.0, None, None)
-        lo = max(0, int(np.floor((t - start - timedelta(hours=1)) / timedelta(minutes=SLOT_MINUTES))))
-        hi = min(n_slots - 1, int(np.ceil((t - start + timedelta(hours=1)) / timedelta(minutes=SLOT_MINUTES))))
+    for j, (t, own_rw) in enumerate(zip(secs.tolist(), pdf["runway"].tolist())):
+        best_score, best_rw, best_k = -1.0, None, None
+        lo = max(0, (t - 3600 - start) // step)
+        hi = min(n_slots - 1, -(-(t + 3600 - start) // step))
         for ri, r in enumerate(runways):
-            suit = getattr(rec, suit_cols[ri])
+            occ = occupied[r]
             closest, cdiff = None, None
-            for k in range(lo, hi + 1):
-                if occupied[r][k]:
+            for k in range(lo, hi + 1):  # ascending: ties keep the earlier slot
+                if occ[k]:
                     continue
-                diff = abs((slot_times[k] - t).total_seconds())
+                diff = abs(start + k * step - t)
                 if diff <= 3600 and (cdiff is None or diff < cdiff):
                     closest, cdiff = k, diff
             if closest is None:
                 continue
-            score = suit * (1 - min(0.5, (cdiff / 60) / 60))
-            if score > best[0]:
-                best = (score, r, closest)
-        if best[1] is not None:
-            occupied[best[1]][best[2]] = True
-            st = slot_times[best[2]]
-            res_r.append(best[1])
+            score = float(suits[j, ri]) * (1 - min(0.5, cdiff / 3600))
+            if score > best_score:
+                best_score, best_rw, best_k = score, r, closest
+        if best_rw is not None:
+            occupied[best_rw][best_k] = True
+            st = start + best_k * step
+            res_r.append(best_rw)
             res_t.append(st)
-            res_c.append((st - t).total_seconds() / 60)
-            res_s.append(best[0])
+            res_c.append((st - t) / 60)
+            res_s.append(best_score)
         else:
-            res_r.append(rec.runway)
+            res_r.append(own_rw)
             res_t.append(t)
             res_c.append(0.0)
             res_s.append(0.5)
     return pd.DataFrame({
         "flight_id": pdf["flight_id"].values, "base_airport": pdf["base_airport"].values,
         "service_date": pdf["service_date"].values, "priority": pdf["priority"].astype("int32").values,
-        "aircraft_category": pdf["aircraft_category"].values, "optimized_runway": res_r, "optimized_time": res_t,
+        "aircraft_category": pdf["aircraft_category"].values, "optimized_runway": res_r,
+        "optimized_time": pd.to_datetime(np.asarray(res_t, dtype="int64"), unit="s"),
         "schedule_change_minutes": res_c, "suitability_score": res_s,
     })
 

@@ -7,6 +7,8 @@ is introduced here.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,8 +77,27 @@ def flights_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flights_from_events(read_events(spark, sf_dir))
+_MATERIALIZED: dict[tuple[str, str], str] = {}
+
+
+def flights(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """The flight table. By default it is derived once per session and stored as parquet in the
+    shared checkpoint folder (clustered by airport and time), the way a production flight table
+    is stored: later queries scan real columns (pruning, pushdown, min/max skipping) instead of
+    re-deriving every column from the event rows inside their own generated code."""
+    if not materialize:
+        return flights_from_events(read_events(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _MATERIALIZED.get(key)
+    if path is None:
+        from tarmac.session import checkpoint_dir
+
+        path = f"{checkpoint_dir(spark).rstrip('/')}/tables/flights-{uuid.uuid4().hex}"
+        view = flights_from_events(read_events(spark, sf_dir))
+        view.repartitionByRange("base_airport", "scheduled_time").sortWithinPartitions("base_airport", "scheduled_time") \
+            .write.mode("overwrite").parquet(path)
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(path)
 
 
 def weather_from_flights(fl: DataFrame) -> DataFrame:
