@@ -209,3 +209,44 @@ def _sd(spark, d):
         F.col("ata").alias("ATA"), F.col("date").alias("Date"), "line",
     )
     return C.standardize_defaults(r)
+
+
+@register("csv_sheets_roundtrip", with_flights("""
+SELECT s_no, flight_number, date, "from", "to", aircraft, flight_time, std, atd, sta, ata_status, ata, line, file, time_slot
+FROM raw_sheet
+""", RAW))
+def _csv_rt(spark, d):
+    """The sheet view written as one CSV directory per sheet, read back as a union."""
+    import uuid
+
+    from tarmac.session import checkpoint_dir
+    from tarmac.sources import files
+
+    base = f"{checkpoint_dir(spark).rstrip('/')}/sheets-{uuid.uuid4().hex}"
+    sheet = raw.raw_sheet(spark, d)
+    dirs = []
+    for name in raw.SHEETS:
+        p = f"{base}/{name}"
+        cols = ["s_no", "flight_number", "date", "from", "to", "aircraft", "flight_time", "std", "atd", "sta", "ata_status",
+                "ata", "line"]
+        sheet.filter(F.col("file") == name).select(*[F.col(f"`{c}`") for c in cols]).write.option("header", True) \
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(p)
+        dirs.append(p)
+    return files.union_sheets(spark, dirs)
+
+
+@register("parquet_schedule_roundtrip", with_flights("""
+SELECT flight_id, airline, runway, delay_minutes, date FROM flights WHERE date = DATE '2024-01-15'
+"""))
+def _pq_rt(spark, d):
+    """Results written partitioned by date, read back from the first existing candidate
+    path; the date filter prunes to one partition directory."""
+    import uuid
+
+    from tarmac.session import checkpoint_dir
+    from tarmac.sources import files
+
+    base = f"{checkpoint_dir(spark).rstrip('/')}/schedule-{uuid.uuid4().hex}"
+    files.write_schedule(fixture.flights(spark, d).select("flight_id", "airline", "runway", "delay_minutes", "date"), base)
+    df = files.read_schedule(spark, [f"{base}-missing", base], fmt="parquet")
+    return df.filter(F.col("date") == F.lit("2024-01-15").cast("date")).select("flight_id", "airline", "runway", "delay_minutes", "date")

@@ -43,3 +43,22 @@ def test_allocators_independent_of_partitioning(spark, flights):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert a == sorted(map(tuple, K.allocate_runway_slots(flights).collect()))
     assert g == sorted(map(tuple, K.greedy_slot_allocation(flights).select("flight_id", "optimized_time", "optimized_runway").collect()))
+
+
+def test_model_save_load_roundtrip(spark, flights, tmp_path):
+    from tarmac.operators import predict as PR
+
+    feats = PR.features_frame(flights)
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import RandomForestRegressor
+
+    cols = [c for c in feats.columns if c not in ("flight_id", "scheduled_time", "delay_minutes")]
+    model = Pipeline(stages=[PR._assembler(cols), RandomForestRegressor(labelCol="delay_minutes", numTrees=5, maxDepth=3,
+                                                                       predictionCol="pred_rf", seed=1)]).fit(feats)
+    path = str(tmp_path / "model")
+    PR.save_model(model, path)
+    again = PR.load_model(path)
+    a = PR.predict(model, feats).select("flight_id", "predicted_delay").orderBy("flight_id").collect()
+    b = PR.predict(again, feats).select("flight_id", "predicted_delay").orderBy("flight_id").collect()
+    assert a == b
+    assert PR.tree_importance(again, 5).count() == 5
