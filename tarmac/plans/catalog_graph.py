@@ -190,3 +190,42 @@ def _isb(spark, d):
 def _pr(spark, d):
     fl = _fl(spark, d)
     return G.pagerank(fl.select("flight_id"), G.build_edges(fl))
+
+
+def _centrality_inputs(spark, d):
+    from tarmac.operators.centrality import betweenness
+
+    fl = _fl(spark, d)
+    e = G.build_edges(fl)
+    from tarmac.session import cut_lineage
+
+    e = cut_lineage(e)
+    nodes = fl.select("flight_id", "airline", "aircraft_id", "scheduled_time", "origin", "destination")
+    deg = G.degrees(fl, e)
+    btw = cut_lineage(betweenness(fl.select("flight_id"), e))
+    return fl, e, nodes, deg, btw
+
+
+@register("betweenness")
+def _btw(spark, d):
+    return _centrality_inputs(spark, d)[4]
+
+
+@register("criticality_top20")
+def _crit(spark, d):
+    fl, e, nodes, deg, btw = _centrality_inputs(spark, d)
+    pr = G.pagerank(fl.select("flight_id"), e).withColumnRenamed("pr", "pr")
+    return G.top_critical(G.criticality(nodes, deg, btw, pr), 20)
+
+
+@register("airport_vulnerability")
+def _av(spark, d):
+    fl, e, nodes, deg, btw = _centrality_inputs(spark, d)
+    pr = G.pagerank(fl.select("flight_id"), e)
+    return G.airport_vulnerability(G.criticality(nodes, deg, btw, pr))
+
+
+@register("impact_ranking")
+def _ir(spark, d):
+    fl, e, nodes, deg, btw = _centrality_inputs(spark, d)
+    return G.impact_ranking(nodes, deg, btw, 20)

@@ -90,3 +90,57 @@ def test_clustering_matches_brute_force(spark):
     assert row["avg_clustering"] == pytest.approx(sum(cs) / len(nodes))
     assert row["total_edges"] == len(erows)
     assert row["density"] == pytest.approx(len(erows) / (len(nodes) * (len(nodes) - 1)))
+
+
+def _brute_betweenness(nodes, edges):
+    from collections import deque
+
+    adj = {x: [] for x in nodes}
+    for a, b in edges:
+        adj[a].append(b)
+    bc = {x: 0.0 for x in nodes}
+    for s in nodes:
+        dist, sigma = {s: 0}, {s: 1}
+        q = deque([s])
+        while q:
+            u = q.popleft()
+            for v in adj[u]:
+                if v not in dist:
+                    dist[v] = dist[u] + 1
+                    sigma[v] = 0
+                    q.append(v)
+                if dist[v] == dist[u] + 1:
+                    sigma[v] += sigma[u]
+        for t in nodes:
+            if t == s or t not in dist:
+                continue
+            # pairs (s, t): fraction of shortest paths through w
+            for w in nodes:
+                if w in (s, t) or w not in dist:
+                    continue
+                # paths s->w->t shortest iff dist[s,w] + dist[w,t] == dist[s,t]
+                dq, dw = {w: 0}, deque([w])
+                sg = {w: 1}
+                while dw:
+                    u = dw.popleft()
+                    for v in adj[u]:
+                        if v not in dq:
+                            dq[v] = dq[u] + 1
+                            sg[v] = 0
+                            dw.append(v)
+                        if dq[v] == dq[u] + 1:
+                            sg[v] += sg[u]
+                if t in dq and dist[w] + dq[t] == dist[t]:
+                    bc[w] += sigma[w] * sg[t] / sigma[t]
+    n = len(nodes)
+    return {x: v / ((n - 1) * (n - 2)) for x, v in bc.items()}
+
+
+def test_betweenness_matches_brute_force(spark):
+    from tarmac.operators.centrality import betweenness
+
+    nodes, erows, v, e = _graph(spark, n=18, m=45, seed=21)
+    got = {r[0]: r[1] for r in betweenness(v, e).collect()}
+    exp = _brute_betweenness(nodes, [(a, b) for a, b, *_ in erows])
+    for x in nodes:
+        assert got[x] == pytest.approx(exp[x], abs=1e-12)
