@@ -86,6 +86,14 @@ def coerce_number(c: Column, default: float | None = 0.0) -> Column:
     return F.coalesce(x, F.lit(default)) if default is not None else x
 
 
+def derive_scheduled_time(df: DataFrame, candidates: list[Column], base_time: str = "2025-07-25 06:00:00",
+                          file_col: str = "file", order: str = "line") -> DataFrame:
+    """C4: first candidate that parses; otherwise base + 30 min x the row's position in its file."""
+    df = row_index(df, [file_col], [order], _bucket(order), "_pos")
+    grid = F.timestamp_add("MINUTE", F.col("_pos") * 30, F.lit(base_time).cast("timestamp_ntz"))
+    return df.withColumn("scheduled_time", F.coalesce(*[parse_timestamp(c) for c in candidates], grid)).drop("_pos")
+
+
 # C5
 def derive_time_columns(df: DataFrame, ts: str = "scheduled_time") -> DataFrame:
     t = F.col(ts)

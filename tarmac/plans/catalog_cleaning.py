@@ -250,3 +250,25 @@ def _pq_rt(spark, d):
     files.write_schedule(fixture.flights(spark, d).select("flight_id", "airline", "runway", "delay_minutes", "date"), base)
     df = files.read_schedule(spark, [f"{base}-missing", base], fmt="parquet")
     return df.filter(F.col("date") == F.lit("2024-01-15").cast("date")).select("flight_id", "airline", "runway", "delay_minutes", "date")
+
+
+@register("derive_scheduled_time", with_flights("""
+SELECT line, coalesce(try_strptime(date || ' ' || replace(std, '.000', ''), '%Y-%m-%d %H:%M:%S'),
+                      try_strptime(date || ' ' || replace(std, '.000', ''), '%Y-%m-%d %H:%M'),
+                      TIMESTAMP '2025-07-25 06:00:00' + to_minutes(CAST(30 * (row_number() OVER (PARTITION BY file ORDER BY line) - 1) AS BIGINT)))
+  AS scheduled_time
+FROM raw_sheet
+""", RAW))
+def _dst(spark, d):
+    cand = F.concat_ws(" ", F.col("date"), F.replace(F.col("std"), F.lit(".000"), F.lit("")))
+    cand = F.when(F.col("date").isNotNull() & F.col("std").isNotNull(), cand)
+    return C.derive_scheduled_time(raw.raw_sheet(spark, d), [cand]).select("line", "scheduled_time")
+
+
+@register("sanitize_strings", with_flights(r"""
+SELECT flight_id, regexp_replace(runway, '\W+', '_', 'g') AS runway, regexp_replace(aircraft_type, '\W+', '_', 'g') AS aircraft_type,
+  regexp_replace(airline, '\W+', '_', 'g') AS airline, CAST(capacity AS DOUBLE) AS capacity FROM flights
+"""))
+def _ss(spark, d):
+    out = C.sanitize_strings(fixture.flights(spark, d), ["runway", "aircraft_type", "airline"])
+    return out.select("flight_id", "runway", "aircraft_type", "airline", "capacity")

@@ -230,3 +230,38 @@ SELECT weather_condition, count(flight_id) AS flights_affected, avg(expected_del
 """, WEATHER))
 def _rbw(spark, d):
     return K.reschedule_by_weather(_recs(spark, d))
+
+
+@register("assignment_join", with_flights(GIVEN_ASG + """
+SELECT f.flight_id, coalesce(a.optimized_runway, f.runway) AS runway, coalesce(a.optimized_time, f.scheduled_time) AS scheduled_time
+FROM flights f LEFT JOIN (SELECT * FROM asg2 WHERE priority <= 2) a USING (flight_id)
+"""))
+def _aj(spark, d):
+    from tarmac.operators.joins import assignment_join
+
+    fl = _fl(spark, d)
+    asg = K.given_assignment(fl).filter(F.col("priority") <= 2).select(
+        "flight_id", F.col("optimized_runway").alias("runway"), F.col("optimized_time").alias("scheduled_time"))
+    return assignment_join(fl, asg, ["runway", "scheduled_time"]).select("flight_id", "runway", "scheduled_time")
+
+
+@register("before_after", with_flights(RESCHED + """
+, opt AS (SELECT CASE WHEN r.recommended_hour IS NOT NULL THEN r.recommended_hour ELSE f.hour END AS hour,
+    CASE WHEN r.recommended_hour IS NOT NULL THEN f.delay_minutes - r.expected_delay_reduction ELSE f.delay_minutes * 0.9 END
+      AS delay_minutes FROM flights f LEFT JOIN recs r USING (flight_id)),
+o AS (SELECT hour, avg(delay_minutes) AS original_avg, max(delay_minutes) AS original_max,
+    count(*) FILTER (WHERE delay_minutes > 0) AS original_delayed FROM flights GROUP BY hour),
+n AS (SELECT hour, avg(delay_minutes) AS optimized_avg, max(delay_minutes) AS optimized_max,
+    count(*) FILTER (WHERE delay_minutes > 0) AS optimized_delayed FROM opt GROUP BY hour)
+SELECT g.hour, original_avg, original_max, original_delayed, optimized_avg, optimized_max, optimized_delayed,
+  original_avg - optimized_avg AS avg_reduction, original_max - optimized_max AS max_reduction,
+  original_delayed - optimized_delayed AS delayed_reduction
+FROM (SELECT CAST(range AS INTEGER) AS hour FROM range(24)) g LEFT JOIN o USING (hour) LEFT JOIN n USING (hour)
+""", WEATHER))
+def _ba(spark, d):
+    from tarmac.operators.aggregates import before_after
+
+    fl = _fl(spark, d)
+    opt = K.apply_recommendations(fl, _recs(spark, d)).select(
+        F.col("optimized_hour").alias("hour"), F.col("optimized_delay").alias("delay_minutes"))
+    return before_after(fl, opt)
