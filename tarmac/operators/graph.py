@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions.scalars import with_scalars
-from tarmac.functions.windows import with_neighbors
+from tarmac.functions.windows import row_index, with_neighbors
 from tarmac.session import cut_lineage
 
 EPOCH = "1970-01-01 00:00:00"
@@ -166,15 +166,12 @@ def simulate_cascade(nodes: DataFrame, edges: DataFrame, initial: DataFrame, max
         p = F.when(F.col("time_buffer") > p, F.greatest(F.lit(0.0), p - F.col("time_buffer") * 0.1)).otherwise(p)
         prop = act.join(e, "src").select(F.col("dst").alias("flight_id"), p.alias("p")).filter(F.col("p") > 0)
         best = prop.groupBy("flight_id").agg(F.max("p").alias("p"))
+        step = cur.join(best, "flight_id", "left")
         if checkpoint:
-            best = cut_lineage(best)
-            if best.isEmpty():
+            step = cut_lineage(step)
+            if step.filter(F.col("p").isNotNull()).isEmpty():  # no propagation: later rounds change nothing
                 break
-        cur = cur.join(best, "flight_id", "left").select(
-            "flight_id", (F.col("delay") + F.coalesce(F.col("p"), F.lit(0.0))).alias("delay")
-        )
-        if checkpoint:
-            cur = cut_lineage(cur)
+        cur = step.select("flight_id", (F.col("delay") + F.coalesce(F.col("p"), F.lit(0.0))).alias("delay"))
     return cur
 
 
@@ -212,10 +209,17 @@ def network_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes, edges, density m/(n(n-1)) and average clustering of the undirected graph.
 
     Triangles: undirected edges oriented from lower to higher (degree, id); every triangle is
-    found once as a -> b, a -> c, b -> c. Orienting by degree bounds each node's out-list by
-    sqrt(2m), so the wedge join stays O(m^1.5) with no hub blow-up.
+    found once as a -> b, a -> c, b -> c, i.e. as c in N+(a) & N+(b) for the edge (a, b).
+    Orienting by degree bounds each out-list by sqrt(2m) (no hub blow-up, O(m^1.5) work).
     """
-    und = cut_lineage(edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct())
+    edges = cut_lineage(edges.select("src", "dst"))  # read three times below: materialise once
+    # dense integer vertex ids: the triangle search shuffles adjacency lists, and longs are a
+    # fraction of the size of string ids
+    ends = edges.select(F.col("src").alias("x")).union(edges.select(F.col("dst").alias("x"))).distinct()
+    vid = cut_lineage(row_index(ends, [], ["x"], F.abs(F.xxhash64("x")) % 64, "vid"))
+    e_int = (edges.select("src", "dst").join(vid.select(F.col("x").alias("src"), F.col("vid").alias("s")), "src")
+             .join(vid.select(F.col("x").alias("dst"), F.col("vid").alias("t")), "dst"))
+    und = cut_lineage(e_int.select(F.least("s", "t").alias("u"), F.greatest("s", "t").alias("v")).distinct())
     deg = und.select(F.col("u").alias("x")).union(und.select(F.col("v").alias("x"))).groupBy("x").agg(F.count(F.lit(1)).alias("k"))
     du = deg.select(F.col("x").alias("u"), F.col("k").alias("ku"))
     dv = deg.select(F.col("x").alias("v"), F.col("k").alias("kv"))
@@ -225,13 +229,13 @@ def network_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.when(lower_first, F.col("u")).otherwise(F.col("v")).alias("a"),
         F.when(lower_first, F.col("v")).otherwise(F.col("u")).alias("b"),
     )
-    ab = ori.alias("ab")
-    ac = ori.alias("ac")
-    bc = ori.alias("bc")
-    wedges = ab.join(ac, F.col("ab.a") == F.col("ac.a")).filter(F.col("ab.b") != F.col("ac.b"))
-    tri = wedges.join(bc, (F.col("bc.a") == F.col("ab.b")) & (F.col("bc.b") == F.col("ac.b"))).select(
-        F.col("ab.a").alias("a"), F.col("ab.b").alias("b"), F.col("ac.b").alias("c")
-    )
+    ori = cut_lineage(ori)
+    # compact-forward: per oriented edge (a, b) the triangles are N+(a) & N+(b); out-lists are
+    # bounded by sqrt(2m) thanks to the degree ordering, and the output is one row per triangle
+    outn = ori.groupBy("a").agg(F.collect_list("b").alias("nb"))
+    na = outn.select(F.col("a"), F.col("nb").alias("na"))
+    nbb = outn.select(F.col("a").alias("b"), F.col("nb").alias("nbb"))
+    tri = ori.join(na, "a").join(nbb, "b").select("a", "b", F.explode(F.array_intersect("na", "nbb")).alias("c"))
     per_node = tri.select(F.explode(F.array("a", "b", "c")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("t"))
     cc = deg.join(per_node, "x", "left").select(
         F.when(F.col("k") >= 2, 2.0 * F.coalesce(F.col("t"), F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("c")
