@@ -35,7 +35,7 @@ def _rank_flags(df: DataFrame, score: str, key: str, top: int, bottom: int) -> D
     """Top-k / bottom-k markers with a total order (score, key) instead of a truncated result."""
     desc = Window.orderBy(F.col(score).desc(), F.col(key))
     asc = Window.orderBy(F.col(score).asc(), F.col(key))
-    return df.withColumn("top_rank", F.row_number().over(desc)).withColumn(
+    return df.withColumn("top_rank", F.row_number().over(desc).cast("long")).withColumn(
         "is_top", F.col("top_rank") <= top
     ).withColumn("is_bottom", F.row_number().over(asc) <= bottom)
 
@@ -602,7 +602,7 @@ def hour_performance(fl: DataFrame) -> DataFrame:
     best = Window.orderBy(F.col("performance_score").desc(), "hour")
     worst = Window.orderBy(F.col("performance_score").asc(), "hour")
     return (
-        h.withColumn("rank", F.row_number().over(best))
+        h.withColumn("rank", F.row_number().over(best).cast("long"))
         .withColumn("is_best", F.col("rank") <= 3)
         .withColumn("is_worst", F.row_number().over(worst) <= 2)
         .withColumn("flights_to_move", F.when(F.col("is_worst"), F.floor(F.col("flight_count") * 0.2)).otherwise(F.lit(0)).cast("long"))

@@ -32,7 +32,7 @@ FROM (SELECT *, flight_count / active_runways AS flights_per_runway FROM ({HOUR_
 """))
 
 _q("hourly_dow_basic", A.hourly_dow_basic, with_flights(f"""
-SELECT *, flight_count * 0.1 AS congestion_score FROM ({HOUR_DOW_BASE})
+SELECT *, flight_count * 0.1::DOUBLE AS congestion_score FROM ({HOUR_DOW_BASE})
 """))
 
 _q("peak_hours", A.peak_hours, with_flights("""
@@ -219,7 +219,7 @@ FROM h, t WHERE current_delay > 20 AND recommended_hour IS NOT NULL
 
 _q("redistribution_potential", A.redistribution_potential, with_flights(f"""
 SELECT *, CASE WHEN overused_runways > 0 AND underused_runways > 0
-  THEN least(overused_flights * 0.2, underused_flights * 0.5) END AS potential_redistribution FROM (
+  THEN least(overused_flights * 0.2::DOUBLE, underused_flights * 0.5::DOUBLE) END AS potential_redistribution FROM (
   SELECT CAST(sum(CASE WHEN utilization_score > 80 THEN flight_count END) AS BIGINT) AS overused_flights,
     CAST(sum(CASE WHEN utilization_score < 50 THEN flight_count END) AS BIGINT) AS underused_flights,
     count(*) FILTER (WHERE utilization_score > 80) AS overused_runways,

@@ -178,7 +178,7 @@ SELECT flight_id,
     WHEN 'B737' THEN 'Medium' WHEN 'B777' THEN 'Heavy' WHEN 'B787' THEN 'Heavy' WHEN 'ATR72' THEN 'Light' WHEN 'Q400' THEN 'Light'
     ELSE 'Medium' END AS aircraft_category,
   CASE WHEN is_emergency THEN 1 WHEN is_international THEN 2 WHEN capacity >= 150 THEN 3 WHEN capacity >= 50 THEN 4 ELSE 5 END AS priority,
-  len(list_filter(string_split(aircraft_id || ',' || runway || ', ,', ','), lambda x: trim(x) <> '')) AS list_items,
+  CAST(len(list_filter(string_split(aircraft_id || ',' || runway || ', ,', ','), lambda x: trim(x) <> '')) AS INTEGER) AS list_items,
   regexp_replace(runway, '\W+', '_', 'g') AS runway_safe
 FROM flights
 """))
@@ -199,7 +199,7 @@ def _fa(spark, d):
 @register("standardize_defaults", with_flights("""
 SELECT flight_number AS flight_id, std AS scheduled_time, "from" AS origin, "to" AS destination, aircraft AS aircraft_type,
   atd AS actual_departure, sta AS scheduled_arrival, ata AS actual_arrival, date, line,
-  0.0 AS delay_minutes, 'R1' AS runway, 180 AS capacity
+  0.0::DOUBLE AS delay_minutes, 'R1' AS runway, 180 AS capacity
 FROM raw_sheet
 """, RAW))
 def _sd(spark, d):

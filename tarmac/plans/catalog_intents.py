@@ -62,7 +62,7 @@ parsed AS (SELECT query_id, text, action, entity, {TIMEF} AS time_filter,
   CASE WHEN len({ACFT}) > 0 THEN {ACFT} END AS aircraft_types,
   CAST(nullif(regexp_extract(q, '(\\d+)\\s*(minute|min|hour|hr)', 1), '') AS INTEGER) AS delay_threshold,
   {QTY} AS quantity, {MODS} AS modifiers,
-  least(1.0, 0.5
+  least(1.0::DOUBLE, 0.5::DOUBLE
     + CASE WHEN {" OR ".join(f"(action = '{n}' AND regexp_matches(q, '{_w(p)}'))" for n, p in Q.INTENT_PATTERNS.items())} THEN 0.2 ELSE 0.0 END
     + CASE WHEN {" OR ".join(f"(entity = '{n}' AND regexp_matches(q, '{_w(p)}'))" for n, p in Q.ENTITY_PATTERNS.items())} THEN 0.2 ELSE 0.0 END
     + CASE WHEN contains(q, '?') THEN 0.1 ELSE 0.0 END) AS confidence

@@ -260,7 +260,7 @@ FROM (SELECT *, redistribution_feasible / current_throughput * 100 AS throughput
     potential_delay_reduction / current_avg_delay * 100 AS delay_improvement_pct FROM (
   SELECT avg(avg_delay) AS current_avg_delay,
     avg(CASE WHEN peak_category = 'Super Peak' THEN avg_delay END) * 0.25 AS potential_delay_reduction,
-    sum(flight_count) AS current_throughput,
+    CAST(sum(flight_count) AS BIGINT) AS current_throughput,
     count(DISTINCT CASE WHEN peak_category = 'Super Peak' THEN hour END) AS peak_hours_count,
     least(coalesce(sum(CASE WHEN peak_category = 'Super Peak' THEN flight_count END) * 0.2, 0.0),
           CAST(coalesce(sum(CASE WHEN peak_category = 'Low Traffic' THEN 20 - flight_count END), 0) AS DOUBLE)) AS redistribution_feasible

@@ -63,7 +63,7 @@ def _rm(spark, d):
 
 
 @register("revenue_multipliers", with_flights(REV + """
-SELECT flight_id, rm AS revenue_per_hour_multiplier, dm AS demand_multiplier FROM rev
+SELECT flight_id, CAST(rm AS DOUBLE) AS revenue_per_hour_multiplier, CAST(dm AS DOUBLE) AS demand_multiplier FROM rev
 """))
 def _rmu(spark, d):
     return R.revenue_multipliers(_fl(spark, d)).select("flight_id", "revenue_per_hour_multiplier", "demand_multiplier")
@@ -134,7 +134,7 @@ r1 AS (SELECT wj.*, CASE WHEN contains(weather_condition, 'Rain') THEN capacity_
     ELSE capacity_reduction_factor END AS red0, coalesce(la, 1.0) AS la1 FROM wj LEFT JOIN sens USING (runway)),
 wx AS (SELECT *, greatest(CAST(floor(runway_capacity * CASE WHEN red0 < 0.7 THEN red0 * la1 ELSE red0 END) AS INTEGER), 5)
       AS weather_adjusted_runway_capacity,
-    coalesce(CASE weather_condition {_DELAYS} END, 0.0) * 1.0
+    CAST(coalesce(CASE weather_condition {_DELAYS} END, 0.0) AS DOUBLE) * 1.0
       * CASE WHEN landing_restrictions OR takeoff_restrictions THEN 1.5 ELSE 1.0 END AS weather_delay_minutes,
     runway = '14/32' AND crosswind_runway_closure AS needs_runway_reassignment FROM r1)
 """

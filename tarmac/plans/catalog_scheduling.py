@@ -90,7 +90,7 @@ SUIT = """
 rw(runway_id, len, cats, ord) AS (VALUES ('09R/27L', 4430, ['Heavy', 'Medium'], 1), ('09L/27R', 4430, ['Heavy', 'Medium'], 2),
   ('14/32', 2925, ['Medium', 'Light'], 3), ('27/09', 3445, ['Medium', 'Light'], 4)),
 suit AS (
-  SELECT f.flight_id, f.aircraft_type, rw.runway_id, rw.ord, least(1.0, 0.5
+  SELECT f.flight_id, f.aircraft_type, rw.runway_id, rw.ord, least(1.0::DOUBLE, 0.5::DOUBLE
     + CASE WHEN ac.ml IS NOT NULL AND rw.len >= ac.ml THEN 0.2 ELSE 0.0 END
     + CASE WHEN ac.prefs IS NOT NULL AND list_contains(ac.prefs, rw.runway_id) THEN 0.2 ELSE 0.0 END
     + CASE WHEN list_contains(rw.cats, coalesce(ac.cat, 'Medium')) THEN 0.1 ELSE 0.0 END) AS suitability
@@ -172,7 +172,7 @@ RESCHED = """
   FROM (SELECT *, date_trunc('hour', scheduled_time) AS weather_hour FROM flights) f LEFT JOIN weather w USING (weather_hour)),
 c0 AS (SELECT wj.*, hour AS current_hour,
     CASE weather_condition WHEN 'Clear' THEN 1.0 WHEN 'Light Rain' THEN 1.2 WHEN 'Heavy Rain' THEN 1.8 WHEN 'Fog' THEN 2.0
-      WHEN 'Storm' THEN 3.0 WHEN 'Snow' THEN 2.5 END AS weather_impact_factor,
+      WHEN 'Storm' THEN 3.0 WHEN 'Snow' THEN 2.5 END::DOUBLE AS weather_impact_factor,
     coalesce(CASE runway WHEN 'R1' THEN 35 WHEN 'R2' THEN 30 WHEN 'R3' THEN 25 WHEN 'R4' THEN 20 WHEN '09R/27L' THEN 35
       WHEN '09L/27R' THEN 30 WHEN '14/32' THEN 25 END, 30) AS runway_capacity_r,
     count(*) OVER (PARTITION BY base_airport, runway, hour) AS current_usage FROM wj),

@@ -16,6 +16,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import duckdb  # noqa: E402
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP",
+                 "date": "DATE", "boolean": "BOOLEAN", "smallint": "SMALLINT", "tinyint": "TINYINT", "float": "FLOAT",
+                 "array<string>": "VARCHAR[]", "timestamp": "TIMESTAMP WITH TIME ZONE"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -58,6 +61,7 @@ def close(a, b) -> bool:
 def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--types", action="store_true", help="also report column type differences")
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
 
@@ -111,6 +115,12 @@ def main() -> int:
             print(f"FAIL {name}: {len(mism)} rows differ; cols={sc}\n  spark={mism[0][0]}\n  duck ={mism[0][1]}")
             bad += 1
             continue
+        if args.types:
+            st = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString().upper()) for f in sdf.schema.fields}
+            dt = {d[0]: str(d[1]).upper() for d in cur.description}
+            diff = {c: (st[c], dt[c]) for c in st if not dt[c].startswith(st[c])}
+            if diff:
+                print(f"types {name}: {diff}")
         print(f"ok   {name}: {len(srows)} rows ({ts:.1f}s)")
     print(f"{len(names) - bad}/{len(names)} passed")
     return 1 if bad else 0
