@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.functions.quantiles import exact_percentile
 from tarmac.functions.scalars import with_scalars
 from tarmac.session import cut_lineage
 
@@ -146,8 +147,9 @@ def isolation_forest(df: DataFrame, features: list[str], n_trees: int = 100, max
 
     scored = z.select(id_col, "_x").mapInPandas(score, f"{id_col} string, raw_score double")
     scored = cut_lineage(scored)
-    off = scored.agg(F.percentile("raw_score", contamination).alias("_off"))
-    s = with_scalars(scored, off).select(id_col, (F.col("raw_score") - F.col("_off")).alias("isolation_score"))
+    # the offset is an exact quantile of a continuous score: order statistics, not a value map
+    off = exact_percentile(scored, "raw_score", contamination)
+    s = scored.select(id_col, (F.col("raw_score") - F.lit(off)).alias("isolation_score"))
     out = df.join(s, id_col)
     return out.withColumns({
         "isolation_anomaly": (F.col("isolation_score") < 0).cast("int"),

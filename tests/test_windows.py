@@ -54,3 +54,13 @@ def test_row_index_matches_row_number(data, bucket_size):
     expected = data.select("k", "id", (F.row_number().over(w) - 1).alias("r"))
     got = row_index(data, ["k"], ["t", "id"], F.floor(F.col("t") / bucket_size), "r").select("k", "id", "r")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_exact_percentile_matches_percentile(spark):
+    from tarmac.functions.quantiles import exact_percentile
+
+    rnd = random.Random(11)
+    df = spark.createDataFrame([(rnd.random() ** 3,) for _ in range(5000)] + [(None,)], "s double")
+    for q in (0.0, 0.1, 0.5, 0.8, 0.95, 1.0):
+        exp = df.agg(F.percentile("s", q)).first()[0]
+        assert exact_percentile(df, "s", q, accuracy=200) == pytest.approx(exp, rel=1e-12, abs=1e-15)
