@@ -22,6 +22,7 @@ from tarmac.functions.windows import row_index
 from tarmac.session import checkpoint_dir
 
 MAX_EDGES = 50_000_000
+ID_BUCKETS = 1 << 14  # hash buckets for dense ids: parallelism of the id assignment
 
 
 def _csr(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +70,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True, max
     """Unweighted directed betweenness, normalised by 1 / ((n - 1)(n - 2)) like the reference."""
     spark = nodes.sparkSession
     ids = nodes.select(id_col).distinct()
-    ids = row_index(ids, [], [id_col], F.abs(F.xxhash64(id_col)) % 64, "vid")
+    ids = row_index(ids, [], [id_col], F.abs(F.xxhash64(id_col)) % ID_BUCKETS, "vid")
     # bucket by hash keeps buckets balanced; vid is dense 0..n-1 in (bucket, id) order
     e = edges.select("src", "dst").distinct()
     e = (e.join(ids.select(F.col(id_col).alias("src"), F.col("vid").alias("s")), "src")

@@ -216,7 +216,7 @@ def network_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     # dense integer vertex ids: the triangle search shuffles adjacency lists, and longs are a
     # fraction of the size of string ids
     ends = edges.select(F.col("src").alias("x")).union(edges.select(F.col("dst").alias("x"))).distinct()
-    vid = cut_lineage(row_index(ends, [], ["x"], F.abs(F.xxhash64("x")) % 64, "vid"))
+    vid = cut_lineage(row_index(ends, [], ["x"], F.abs(F.xxhash64("x")) % (1 << 14), "vid"))
     e_int = (edges.select("src", "dst").join(vid.select(F.col("x").alias("src"), F.col("vid").alias("s")), "src")
              .join(vid.select(F.col("x").alias("dst"), F.col("vid").alias("t")), "dst"))
     und = cut_lineage(e_int.select(F.least("s", "t").alias("u"), F.greatest("s", "t").alias("v")).distinct())
