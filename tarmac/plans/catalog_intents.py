@@ -40,9 +40,6 @@ def _case(pairs, default):
     return "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, v in pairs) + (f" ELSE '{default}'" if default else "") + " END"
 
 
-ACTION = _case([(f"regexp_matches(q, '{_w(p)}')", n) for n, p in Q.INTENT_PATTERNS.items()]
-               + [(f"regexp_matches(q, '{_w(['how to', 'can you', 'should i'])}')", "optimize")], "show")
-SCORES = [(n, " + ".join(f"CAST(regexp_matches(q, '{_w([p])}') AS INTEGER)" for p in pats)) for n, pats in Q.ENTITY_PATTERNS.items()]
 TIMEF = ("CASE " + " ".join(f"WHEN regexp_matches(q, '{_w([ph])}') THEN '{c}'" for ph, c in Q.TIME_PATTERNS.items())
          + r" WHEN regexp_matches(q, '(\d{1,2})(:|\s)?(am|pm|:\d{2})') THEN 'specific_time'"
          + r" WHEN regexp_matches(q, '\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{4}-\d{2}-\d{2}') THEN 'specific_date' END")
@@ -53,23 +50,32 @@ AIRL = "list_filter([" + ", ".join(f"'{a}'" for a in Q.AIRLINE_NAMES) + "], lamb
 ACFT = "list_filter([" + ", ".join(f"'{a}'" for a in Q.AIRCRAFT_NAMES) + "], lambda a: contains(q, a))"
 APTS = rf"list_filter(regexp_extract_all(upper(q), '\b([A-Z]{{3}})\b', 1), lambda c: c IN ({_AP}))"
 
-PARSED = LOG + f"""
-, p1 AS (SELECT *, {ACTION} AS action, {", ".join(f"{s} AS s_{n}" for n, s in SCORES)} FROM qn),
-p2 AS (SELECT *, CASE WHEN greatest({", ".join(f"s_{n}" for n, _ in SCORES)}) = 0 THEN 'flights' ELSE
-  {_case([(f"s_{n} = greatest({', '.join(f's_{m}' for m, _ in SCORES)})", n) for n, _ in SCORES], None)} END AS entity FROM p1),
+def _parsed_sql(intents: dict, entities: dict) -> str:
+    action = _case([(f"regexp_matches(q, '{_w(p)}')", n) for n, p in intents.items()]
+                   + [(f"regexp_matches(q, '{_w(['how to', 'can you', 'should i'])}')", "optimize")], "show")
+    scores = [(n, " + ".join(f"CAST(regexp_matches(q, '{_w([p])}') AS INTEGER)" for p in pats)) for n, pats in entities.items()]
+    greatest = ", ".join(f"s_{n}" for n, _ in scores)
+    entity = _case([(f"s_{n} = greatest({greatest})", n) for n, _ in scores], None)
+    return LOG + f"""
+, p1 AS (SELECT *, {action} AS action, {", ".join(f"{sc} AS s_{n}" for n, sc in scores)} FROM qn),
+p2 AS (SELECT *, CASE WHEN greatest({greatest}) = 0 THEN 'flights' ELSE {entity} END AS entity FROM p1),
 parsed AS (SELECT query_id, text, action, entity, {TIMEF} AS time_filter,
   CASE WHEN len({APTS}) > 0 THEN {APTS} END AS airports, CASE WHEN len({AIRL}) > 0 THEN {AIRL} END AS airlines,
   CASE WHEN len({ACFT}) > 0 THEN {ACFT} END AS aircraft_types,
   CAST(nullif(regexp_extract(q, '(\\d+)\\s*(minute|min|hour|hr)', 1), '') AS INTEGER) AS delay_threshold,
   {QTY} AS quantity, {MODS} AS modifiers,
   least(1.0::DOUBLE, 0.5::DOUBLE
-    + CASE WHEN {" OR ".join(f"(action = '{n}' AND regexp_matches(q, '{_w(p)}'))" for n, p in Q.INTENT_PATTERNS.items())} THEN 0.2 ELSE 0.0 END
-    + CASE WHEN {" OR ".join(f"(entity = '{n}' AND regexp_matches(q, '{_w(p)}'))" for n, p in Q.ENTITY_PATTERNS.items())} THEN 0.2 ELSE 0.0 END
+    + CASE WHEN {" OR ".join(f"(action = '{n}' AND regexp_matches(q, '{_w(p)}'))" for n, p in intents.items())} THEN 0.2 ELSE 0.0 END
+    + CASE WHEN {" OR ".join(f"(entity = '{n}' AND regexp_matches(q, '{_w(p)}'))" for n, p in entities.items())} THEN 0.2 ELSE 0.0 END
     + CASE WHEN contains(q, '?') THEN 0.1 ELSE 0.0 END) AS confidence
   FROM p2)
 """
 
 
+PARSED = _parsed_sql(Q.INTENT_PATTERNS, Q.ENTITY_PATTERNS)
+PARSED_FULL = _parsed_sql(Q.INTENT_PATTERNS_FULL, Q.ENTITY_PATTERNS_FULL)
+
+
 def _log(spark, d):
     return Q.query_log_from_events(fixture.read_events(spark, d))
 
@@ -79,6 +85,11 @@ def _pq(spark, d):
     return Q.parse_queries(_log(spark, d))
 
 
+@register("parse_queries_full", with_flights(PARSED_FULL + "SELECT * FROM parsed"))
+def _pqf(spark, d):
+    return Q.parse_queries(_log(spark, d), profile="full")
+
+
 @register("intent_counts", with_flights(PARSED + """
 SELECT action, entity, coalesce(time_filter, '-') AS time_filter, count(*) AS queries, avg(confidence) AS avg_confidence
 FROM parsed GROUP BY 1, 2, 3
@@ -111,3 +122,15 @@ WHERE hour BETWEEN 6 AND 11 AND (list_contains(it.airports, substr(origin, 1, 3)
 def _ri(spark, d):
     row = Q.parse_queries(_log(spark, d)).filter(F.col("query_id") == INTENT_QUERY_ID).first()  # one parsed intent
     return Q.run_intent(fixture.flights(spark, d), row.asDict())
+
+
+AIRLINE_QUERY_ID = N + 2  # "airline ranking": entity 'airlines' under the full keyword profile
+
+
+@register("run_intent_airlines", with_flights("""
+SELECT airline, count(flight_id) AS flight_count, avg(delay_minutes) AS avg_delay, CAST(sum(capacity) AS BIGINT) AS total_passengers
+FROM flights GROUP BY airline
+"""))
+def _ria(spark, d):
+    row = Q.parse_queries(_log(spark, d), profile="full").filter(F.col("query_id") == AIRLINE_QUERY_ID).first()
+    return Q.run_intent(fixture.flights(spark, d), row.asDict())
