@@ -61,10 +61,17 @@ def _halo(
 ) -> DataFrame:
     """Rows copied into neighbouring buckets: the last ``n`` rows before a bucket (side='before')
     or the first ``n`` rows after it (side='after')."""
-    in_bucket = Window.partitionBy(*keys, BK).orderBy(
-        *[F.col(c).desc() if side == "before" else F.col(c).asc() for c in order_cols]
-    )
-    edge = df.withColumn("_e", F.row_number().over(in_bucket)).filter(F.col("_e") <= n).drop("_e")
+    if n == 1:
+        # one row per bucket: an aggregate (partial per map task, so only one row per bucket and
+        # task is shuffled) instead of a window over all rows
+        pick = F.max_by if side == "before" else F.min_by
+        row = F.struct(*[F.col(c) for c in df.columns])
+        edge = df.groupBy(*keys, BK).agg(pick(row, F.struct(*order_cols)).alias("_row")).select("_row.*")
+    else:
+        in_bucket = Window.partitionBy(*keys, BK).orderBy(
+            *[F.col(c).desc() if side == "before" else F.col(c).asc() for c in order_cols]
+        )
+        edge = df.withColumn("_e", F.row_number().over(in_bucket)).filter(F.col("_e") <= n).drop("_e")
     # global position of edge rows per key (edge table is tiny: <= n rows per bucket)
     pos_w = Window.partitionBy(*keys).orderBy(*order_cols)
     edge = edge.withColumn("_p", F.row_number().over(pos_w))

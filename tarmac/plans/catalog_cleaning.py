@@ -74,7 +74,7 @@ def _etc(spark, d):
     return C.ensure_time_column(raw.raw_sheet(spark, d)).select("line", "scheduled_time")
 
 
-@register("notebook_delays", with_flights(r"""
+@register("sheet_clock_delays", with_flights(r"""
 , nb AS (
   SELECT *,
     regexp_extract(ata, '(\d{1,2}):(\d{2})\s*(AM|PM|am|pm|Am|Pm|aM|pM)', 1) AS h,

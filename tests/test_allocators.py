@@ -62,3 +62,18 @@ def test_model_save_load_roundtrip(spark, flights, tmp_path):
     b = PR.predict(again, feats).select("flight_id", "predicted_delay").orderBy("flight_id").collect()
     assert a == b
     assert PR.tree_importance(again, 5).count() == 5
+
+
+def test_graph_results_independent_of_partitioning(spark, flights):
+    from tarmac.operators import graph as G
+
+    def run():
+        e = G.build_edges(flights)
+        init = flights.filter("delay_minutes > 100").selectExpr("flight_id", "delay_minutes AS delay")
+        return (sorted(map(tuple, e.collect())),
+                sorted(map(tuple, G.simulate_cascade(flights.select("flight_id"), e, init).collect())))
+
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    a = run()
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert a == run()
