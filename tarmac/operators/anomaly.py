@@ -223,7 +223,7 @@ def classify_anomaly_types(flagged: DataFrame) -> DataFrame:
     return df.withColumn("anomaly_type", t).drop("_qr", "_qc")
 
 
-def anomaly_summary(typed: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
+def anomaly_summary(typed: DataFrame) -> DataFrame:
     one = typed.agg(
         F.count(F.lit(1)).alias("total_samples"),
         F.sum("isolation_anomaly").alias("isolation_anomalies"),
@@ -231,7 +231,6 @@ def anomaly_summary(typed: DataFrame, clusters: DataFrame | None = None) -> Data
         F.sum("combined_anomaly").alias("combined_anomalies"),
         (F.avg("combined_anomaly") * 100).alias("anomaly_rate"),
     )
-    _ = clusters
     return one
 
 

@@ -255,7 +255,6 @@ def network_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_iter: int = 100) -> DataFrame:
     """Power iteration with uniform edge weights; dangling mass spread uniformly.
     Stops when the L1 change < n * tol. Only two scalars (n, dangling mass, error) reach the driver."""
-    spark = nodes.sparkSession
     ids = nodes.select("flight_id").distinct()
     n = ids.count()
     e = edges.select("src", "dst").distinct()
@@ -278,7 +277,6 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float
         pr = new
         if err < n * tol:
             break
-    _ = spark
     return pr
 
 

@@ -39,7 +39,7 @@ def optimization_priority(fl: DataFrame) -> DataFrame:
 
 
 # K3
-def improvement_factor(fl: DataFrame) -> Column:
+def improvement_factor() -> Column:
     b = F.lit(0.25)
     b = b + F.when(F.coalesce(F.col("is_high_impact"), F.lit(False)), 0.10).otherwise(0.0)
     cf = F.coalesce(F.col("congestion_factor"), F.lit(1.0))
@@ -47,7 +47,6 @@ def improvement_factor(fl: DataFrame) -> Column:
     pc = F.coalesce(F.col("peak_category"), F.lit("moderate"))
     b = b + F.when(pc == "low", 0.08).when(pc == "super_peak", -0.10).otherwise(0.0)
     b = b + F.when(F.coalesce(F.col("runway_efficiency"), F.lit(1.0)) > 0.85, 0.03).otherwise(0.0)
-    _ = fl
     return F.least(F.lit(0.40), F.greatest(F.lit(0.10), b))
 
 
@@ -56,7 +55,7 @@ def optimized_delay(assigned: DataFrame) -> DataFrame:
     """Given optimized_time and can_improve per flight: optimized delay and per-flight score."""
     shift = F.greatest(F.lit(0.0), F.timestamp_diff("SECOND", F.col("scheduled_time"), F.col("optimized_time")) / 60.0)
     orig = F.col("delay_minutes")
-    improved = F.greatest(F.lit(0.0), orig - orig * improvement_factor(assigned) + shift)
+    improved = F.greatest(F.lit(0.0), orig - orig * improvement_factor() + shift)
     opt = F.when(F.col("can_improve") & (orig > 0), improved).otherwise(orig + shift)
     df = assigned.withColumn("time_shift_delay", shift).withColumn("optimized_delay", opt)
     score = F.when(orig > 0, F.greatest(F.lit(0.0), (orig - F.col("optimized_delay")) / orig)).otherwise(
@@ -336,13 +335,11 @@ def reschedule_candidates(fl: DataFrame, weather: DataFrame) -> DataFrame:
 def recommend_hour(fl: DataFrame) -> DataFrame:
     """K12 per (base, runway): among hours 6-22 outside 7, 8, 19, 20, 21 the least-used hour
     (first wins ties); its utilisation is reported only when it is under 70%."""
-    spark = fl.sparkSession
     usage = fl.groupBy("base_airport", "runway", "hour").agg(F.count(F.lit(1)).alias("u"))
     keys = fl.select("base_airport", "runway").distinct()
     cands = keys.select("base_airport", "runway", F.explode(F.array(*[F.lit(h) for h in CANDIDATE_HOURS])).alias("hour"))
     grid = cands.join(usage, ["base_airport", "runway", "hour"], "left").withColumn("u", F.coalesce("u", F.lit(0)))
     best = grid.groupBy("base_airport", "runway").agg(F.min_by(F.struct("u", "hour"), F.struct("u", "hour")).alias("b"))
-    _ = spark
     return best.select("base_airport", "runway", F.col("b.hour").alias("best_hour"), F.col("b.u").alias("best_hour_usage"))
 
 

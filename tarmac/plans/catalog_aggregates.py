@@ -425,3 +425,11 @@ SELECT hour, runway, airline, count(*) AS flights, avg(delay_minutes) AS avg_del
   CAST(grouping(hour, runway, airline) AS BIGINT) AS gid
 FROM flights GROUP BY CUBE (hour, runway, airline)
 """))
+
+_q("optimal_hours_quantile_min10", lambda fl: A.optimal_hours_quantile(fl, 0.3, 10), with_flights("""
+SELECT hour, avg_delay, delay_std, flight_count FROM (
+  SELECT *, quantile_cont(avg_delay, 0.3) OVER () AS q FROM (
+    SELECT hour, avg(delay_minutes) AS avg_delay, stddev_samp(delay_minutes) AS delay_std, count(flight_id) AS flight_count
+    FROM flights GROUP BY hour))
+WHERE avg_delay < q AND flight_count >= 10
+"""))
