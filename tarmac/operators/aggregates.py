@@ -116,7 +116,8 @@ def runway_efficiency(fl: DataFrame) -> DataFrame:
 # A7
 def runway_delay_table(fl: DataFrame) -> DataFrame:
     return fl.groupBy("runway").agg(
-        F.avg(_d()).alias("avg_delay"), F.sum(_d()).alias("total_delay"), F.count(_d()).alias("flight_count")
+        F.avg(_d()).alias("avg_delay"), F.sum(_d()).alias("total_delay"), F.count(_d()).alias("delayed_flights"),
+        F.count("flight_id").alias("total_flights"),
     )
 
 
@@ -160,7 +161,9 @@ def airline_compare(fl: DataFrame) -> DataFrame:
 
 # A10
 def airline_delay_rate(fl: DataFrame) -> DataFrame:
-    return fl.groupBy("airline").agg((F.count(_d()) / F.count(F.lit(1))).alias("delay_rate"))
+    a = fl.groupBy("airline").agg(F.avg(_d()).alias("avg_delay"), F.count(_d()).alias("delayed_flights"),
+                                  F.count("flight_id").alias("total_flights"))
+    return a.withColumn("delay_rate", F.col("delayed_flights") / F.col("total_flights") * 100)
 
 
 # A11
@@ -485,9 +488,12 @@ def on_time_metrics(fl: DataFrame) -> DataFrame:
         n.alias("total_ops"),
         (F.count_if(_d() <= 15) * 100.0 / n).alias("on_time_rate"),
         (F.count_if(_d() > 60) * 100.0 / n).alias("severe_delay_rate"),
+        F.avg(_d()).alias("avg_turnaround_delay"),
         (n / F.countDistinct("runway")).alias("ops_per_runway"),
     )
-    return with_scalars(o, hourly_max)
+    per_runway = fl.groupBy("runway").agg(F.count("aircraft_type").alias("c")).agg(
+        F.avg("c").alias("mean_flights_per_runway"), F.max("c").alias("max_flights_per_runway"))
+    return with_scalars(with_scalars(o, hourly_max), per_runway)
 
 
 # A34
@@ -498,7 +504,7 @@ def delay_patterns(fl: DataFrame) -> DataFrame:
     )
     airline = fl.groupBy("airline").agg(F.avg(_d()).alias("m")).agg(
         F.min_by("airline", F.struct("m", "airline")).alias("best_airline"),
-        F.max_by("airline", F.struct("m", F.lit(0))).alias("worst_airline"),
+        F.min_by("airline", F.struct(-F.col("m"), F.col("airline"))).alias("worst_airline"),
     )
     daily = fl.groupBy("date").agg(F.avg(_d()).alias("m"))
     w = Window.orderBy(F.col("date").desc())
@@ -592,21 +598,18 @@ def hourly_congestion(fl: DataFrame) -> DataFrame:
 
 # A40
 def hour_performance(fl: DataFrame) -> DataFrame:
+    """50/(avg+1) + 30/(std+1) + 20/(score+1); an hour with one flight has no std and no score
+    (null, ranked last). Best 3 / worst 2 hours; 20% of the worst hours' flights to redistribute."""
     h = hourly_congestion(fl)
-    perf = (
-        50 / (F.col("avg_delay") + 1)
-        + 30 / (F.coalesce(F.col("delay_std"), F.lit(0.0)) + 1)
-        + 20 / (F.col("congestion_score") + 1)
-    )
+    perf = 50 / (F.col("avg_delay") + 1) + 30 / (F.col("delay_std") + 1) + 20 / (F.col("congestion_score") + 1)
     h = h.withColumn("performance_score", perf)
-    best = Window.orderBy(F.col("performance_score").desc(), "hour")
-    worst = Window.orderBy(F.col("performance_score").asc(), "hour")
-    return (
-        h.withColumn("rank", F.row_number().over(best).cast("long"))
-        .withColumn("is_best", F.col("rank") <= 3)
-        .withColumn("is_worst", F.row_number().over(worst) <= 2)
-        .withColumn("flights_to_move", F.when(F.col("is_worst"), F.floor(F.col("flight_count") * 0.2)).otherwise(F.lit(0)).cast("long"))
-    )
+    best = Window.orderBy(F.col("performance_score").desc_nulls_last(), "hour")
+    worst = Window.orderBy(F.col("performance_score").asc_nulls_first(), F.col("hour").desc())
+    h = (h.withColumn("rank", F.row_number().over(best).cast("long"))
+         .withColumn("is_best", F.col("rank") <= 3)
+         .withColumn("is_worst", F.row_number().over(worst) <= 2))
+    moved = F.floor(F.sum(F.when(F.col("is_worst"), F.col("flight_count"))).over(_wall()) * 0.2).cast("long")
+    return h.withColumn("redistribute_count", moved)
 
 
 # A41

@@ -68,7 +68,8 @@ SELECT *, flight_count / hours_used AS flights_per_hour, flight_count / (avg_del
 """))
 
 _q("runway_delay_table", A.runway_delay_table, with_flights("""
-SELECT runway, avg(delay_minutes) AS avg_delay, sum(delay_minutes) AS total_delay, count(delay_minutes) AS flight_count
+SELECT runway, avg(delay_minutes) AS avg_delay, sum(delay_minutes) AS total_delay, count(delay_minutes) AS delayed_flights,
+  count(flight_id) AS total_flights
 FROM flights GROUP BY runway
 """))
 
@@ -92,7 +93,8 @@ FROM s, b, w
 """))
 
 _q("airline_delay_rate", A.airline_delay_rate, with_flights("""
-SELECT airline, count(delay_minutes) / count(*) AS delay_rate FROM flights GROUP BY airline
+SELECT airline, avg(delay_minutes) AS avg_delay, count(delay_minutes) AS delayed_flights, count(flight_id) AS total_flights,
+  count(delay_minutes) / count(flight_id) * 100 AS delay_rate FROM flights GROUP BY airline
 """))
 
 _q("congestion_metrics", A.congestion_metrics, with_flights("""
@@ -290,8 +292,10 @@ _q("on_time_metrics", A.on_time_metrics, with_flights("""
 SELECT * FROM (
   SELECT count(*) AS total_ops, count(*) FILTER (WHERE delay_minutes <= 15) * 100.0 / count(*) AS on_time_rate,
     count(*) FILTER (WHERE delay_minutes > 60) * 100.0 / count(*) AS severe_delay_rate,
-    count(*) / count(DISTINCT runway) AS ops_per_runway FROM flights),
-  (SELECT max(m) AS worst_hourly_avg_delay FROM (SELECT avg(delay_minutes) AS m FROM flights GROUP BY hour))
+    avg(delay_minutes) AS avg_turnaround_delay, count(*) / count(DISTINCT runway) AS ops_per_runway FROM flights),
+  (SELECT max(m) AS worst_hourly_avg_delay FROM (SELECT avg(delay_minutes) AS m FROM flights GROUP BY hour)),
+  (SELECT avg(c) AS mean_flights_per_runway, max(c) AS max_flights_per_runway FROM (
+     SELECT count(aircraft_type) AS c FROM flights GROUP BY runway))
 """))
 
 _q("delay_patterns", A.delay_patterns, with_flights("""
@@ -355,10 +359,11 @@ SELECT *, flight_count * avg_delay AS congestion_score FROM (
 _q("hourly_congestion", A.hourly_congestion, with_flights(HOURLY_CONG))
 
 _q("hour_performance", A.hour_performance, with_flights(f"""
-SELECT *, CAST(CASE WHEN is_worst THEN floor(flight_count * 0.2) ELSE 0 END AS BIGINT) AS flights_to_move FROM (
-  SELECT *, rank <= 3 AS is_best, row_number() OVER (ORDER BY performance_score ASC, hour) <= 2 AS is_worst FROM (
-    SELECT *, row_number() OVER (ORDER BY performance_score DESC, hour) AS rank FROM (
-      SELECT *, 50 / (avg_delay + 1) + 30 / (coalesce(delay_std, 0.0) + 1) + 20 / (congestion_score + 1) AS performance_score
+SELECT *, CAST(floor(sum(CASE WHEN is_worst THEN flight_count END) OVER () * 0.2) AS BIGINT) AS redistribute_count FROM (
+  SELECT *, rank <= 3 AS is_best,
+    row_number() OVER (ORDER BY performance_score ASC NULLS FIRST, hour DESC) <= 2 AS is_worst FROM (
+    SELECT *, row_number() OVER (ORDER BY performance_score DESC NULLS LAST, hour) AS rank FROM (
+      SELECT *, 50 / (avg_delay + 1) + 30 / (delay_std + 1) + 20 / (congestion_score + 1) AS performance_score
       FROM ({HOURLY_CONG}))))
 """))
 
