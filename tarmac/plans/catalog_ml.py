@@ -268,3 +268,4 @@ FROM (SELECT *, redistribution_feasible / current_throughput * 100 AS throughput
 """))
 def _oo(spark, d):
     return P.optimization_opportunities(P.given_peak_labels(_fl(spark, d)))
+

@@ -77,3 +77,14 @@ def test_graph_results_independent_of_partitioning(spark, flights):
     a = run()
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert a == run()
+
+
+def test_cross_validate_mechanism(flights):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from tarmac.operators import predict as PR
+
+    small = [RandomForestRegressor(labelCol="delay_minutes", numTrees=5, maxDepth=3, seed=1, predictionCol="pred_rf")]
+    out = {r["metric"]: r for r in PR.cross_validate(PR.features_frame(flights), k=3, estimators=small).collect()}
+    assert set(out) == {"mae", "r2"}
+    assert out["mae"]["mean"] > 0 and out["mae"]["std"] is not None
