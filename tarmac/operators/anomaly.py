@@ -26,6 +26,7 @@ from tarmac.functions.quantiles import exact_percentile
 from tarmac.functions.scalars import with_scalars
 from tarmac.session import cut_lineage
 
+# FIXED VALUES: anomaly type -> recommended action
 ACTIONS = {
     "Severe Delay": "Immediate intervention required - Consider flight rebooking or gate reassignment",
     "Congestion Anomaly": "Activate congestion management protocols",
@@ -35,6 +36,7 @@ ACTIONS = {
     "General Anomaly": "Monitor closely and investigate root cause",
 }
 
+# FIXED VALUES: detector feature list
 ANOMALY_FEATURES = [
     "hour", "day_of_week", "month", "day_of_year", "delay_minutes", "is_delayed", "capacity_utilization",
     "is_peak_hour_int", "is_weekend", "congestion_factor", "high_congestion", "rolling_delay_mean",

@@ -15,6 +15,7 @@ from tarmac.functions import dims
 from tarmac.functions.scalars import with_scalars
 from tarmac.functions.windows import with_neighbors
 
+# FIXED VALUES: peak category rank, family lists and weather scores below
 PEAK_RANK = {"super_peak": 4, "peak": 3, "moderate": 2, "low": 1}
 # FIXED VALUES: weather condition -> model score
 WEATHER_SCORE = {

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tarmac.operators.aggregates import hourly_dow_stats
 from tarmac.operators.anomaly import dbscan, standardize
 
+# FIXED VALUES: clustering features and the labels given to clusters by falling congestion
 CLUSTER_FEATURES = ["flight_count", "avg_delay", "flights_per_runway", "total_passengers"]
 LABELS = ["Super Peak", "Peak", "Moderate", "Low Traffic"]
 

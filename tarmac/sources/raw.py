@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tarmac.functions import dims
 from tarmac.sources.fixture import TYPE_ORDER, _pick, read_events
 
+# FIXED VALUES: sheet names (time slots)
 NBSP = "\u00a0"
 SHEETS = ["6AM - 9AM", "9AM - 12PM"]
 
