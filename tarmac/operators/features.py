@@ -15,7 +15,7 @@ from tarmac.functions import dims
 from tarmac.functions.scalars import with_scalars
 from tarmac.functions.windows import with_neighbors
 
-# FIXED VALUES: peak category rank, family lists and weather scores below
+# FIXED VALUES: peak category rank
 PEAK_RANK = {"super_peak": 4, "peak": 3, "moderate": 2, "low": 1}
 # FIXED VALUES: weather condition -> model score
 WEATHER_SCORE = {
@@ -140,7 +140,7 @@ def select_features(df: DataFrame, extra_prefixes: tuple[str, ...] = ()) -> list
     return cols
 
 
-# F4 (numeric part)
+# F4 (numeric part) -- FIXED VALUES: aircraft family lists
 COMMON_FAMILIES = ["A320", "A330", "A350", "B737", "B747", "B777", "B787"]
 WIDE_BODY = ["A330", "A350", "A380", "B747", "B767", "B777", "B787"]
 
