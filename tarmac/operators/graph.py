@@ -155,24 +155,27 @@ def simulate_cascade(nodes: DataFrame, edges: DataFrame, initial: DataFrame, max
     if checkpoint:
         # the edge table is reused every round: materialise it once, hash-partitioned by src
         e = cut_lineage(e.repartition("src"))
-    cur = nodes.select("flight_id").join(initial.select("flight_id", "delay"), "flight_id", "left").select(
-        "flight_id", F.coalesce(F.col("delay").cast("double"), F.lit(0.0)).alias("delay")
-    )
+    # sparse state: only delayed flights (delays never decrease, so a flight never leaves it)
+    state = initial.select("flight_id", F.col("delay").cast("double").alias("delay")).filter(F.col("delay") > 0)
+    state = state.join(nodes.select("flight_id"), "flight_id", "left_semi")
     if checkpoint:
-        cur = cut_lineage(cur)
+        state = cut_lineage(state)
     for _ in range(max_iterations):
-        act = cur.filter(F.col("delay") > 0).withColumnRenamed("flight_id", "src").withColumnRenamed("delay", "d_src")
+        act = state.withColumnRenamed("flight_id", "src").withColumnRenamed("delay", "d_src")
         p = F.col("d_src") * F.col("propagation_factor")
         p = F.when(F.col("time_buffer") > p, F.greatest(F.lit(0.0), p - F.col("time_buffer") * 0.1)).otherwise(p)
         prop = act.join(e, "src").select(F.col("dst").alias("flight_id"), p.alias("p")).filter(F.col("p") > 0)
         best = prop.groupBy("flight_id").agg(F.max("p").alias("p"))
-        step = cur.join(best, "flight_id", "left")
         if checkpoint:
-            step = cut_lineage(step)
-            if step.filter(F.col("p").isNotNull()).isEmpty():  # no propagation: later rounds change nothing
+            best = cut_lineage(best)
+            if best.isEmpty():  # no propagation: later rounds change nothing
                 break
-        cur = step.select("flight_id", (F.col("delay") + F.coalesce(F.col("p"), F.lit(0.0))).alias("delay"))
-    return cur
+        state = state.join(best, "flight_id", "full_outer").select(
+            "flight_id", (F.coalesce(F.col("delay"), F.lit(0.0)) + F.coalesce(F.col("p"), F.lit(0.0))).alias("delay"))
+        if checkpoint:
+            state = cut_lineage(state)
+    return nodes.select("flight_id").join(state, "flight_id", "left").select(
+        "flight_id", F.coalesce(F.col("delay"), F.lit(0.0)).alias("delay"))
 
 
 # G6
