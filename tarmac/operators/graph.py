@@ -257,30 +257,33 @@ def network_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # G8
 def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float = 1e-6, max_iter: int = 100) -> DataFrame:
     """Power iteration with uniform edge weights; dangling mass spread uniformly.
-    Stops when the L1 change < n * tol. Only two scalars (n, dangling mass, error) reach the driver."""
+    Stops when the L1 change < n * tol. Per iteration one job computes the new ranks (checkpointed)
+    and one aggregate returns the two scalars the driver needs (change, next dangling mass)."""
     ids = nodes.select("flight_id").distinct()
-    n = ids.count()
     e = edges.select("src", "dst").distinct()
     outdeg = e.groupBy("src").agg(F.count(F.lit(1)).alias("od"))
-    e = cut_lineage(e.join(outdeg, "src").select("src", "dst", (1.0 / F.col("od")).alias("w")))
-    dangling_ids = ids.join(outdeg.withColumnRenamed("src", "flight_id"), "flight_id", "left_anti")
-    dangling_ids = cut_lineage(dangling_ids)
-    pr = cut_lineage(ids.select("flight_id", F.lit(1.0 / n).alias("pr")))
+    e = cut_lineage(e.join(outdeg, "src").select("src", "dst", (1.0 / F.col("od")).alias("w")).repartition("src"))
+    flags = ids.join(outdeg.select(F.col("src").alias("flight_id"), F.lit(False).alias("_has_out")), "flight_id", "left")
+    n = ids.count()
+    pr = cut_lineage(flags.select("flight_id", F.col("_has_out").isNull().alias("dangling"), F.lit(1.0 / n).alias("pr")))
+    dmass = pr.agg(F.sum(F.when(F.col("dangling"), F.col("pr")))).first()[0] or 0.0
     for _ in range(max_iter):
-        dmass = pr.join(dangling_ids, "flight_id").agg(F.sum("pr")).first()[0] or 0.0
         contrib = pr.join(e, pr.flight_id == e.src).groupBy(F.col("dst").alias("flight_id")).agg(
-            F.sum(F.col("pr") * F.col("w")).alias("s")
-        )
-        new = ids.join(contrib, "flight_id", "left").select(
-            "flight_id",
+            F.sum(F.col("pr") * F.col("w")).alias("s"))
+        new = pr.select("flight_id", "dangling").join(contrib, "flight_id", "left").select(
+            "flight_id", "dangling",
             (F.lit(alpha) * (F.coalesce(F.col("s"), F.lit(0.0)) + F.lit(dmass / n)) + F.lit((1 - alpha) / n)).alias("pr"),
         )
         new = cut_lineage(new)
-        err = new.alias("a").join(pr.alias("b"), "flight_id").agg(F.sum(F.abs(F.col("a.pr") - F.col("b.pr")))).first()[0]
+        stats = new.alias("a").join(pr.alias("b"), "flight_id").agg(
+            F.sum(F.abs(F.col("a.pr") - F.col("b.pr"))).alias("err"),
+            F.sum(F.when(F.col("a.dangling"), F.col("a.pr"))).alias("dm"),
+        ).first()
         pr = new
-        if err < n * tol:
+        dmass = stats["dm"] or 0.0
+        if stats["err"] < n * tol:
             break
-    return pr
+    return pr.select("flight_id", "pr")
 
 
 # G10 / G11 / G13
