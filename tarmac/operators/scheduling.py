@@ -131,14 +131,25 @@ def greedy_slot_allocation(fl: DataFrame) -> DataFrame:
 
 
 # K5
-def slot_penalty(fl: DataFrame, window_slots: int = 8) -> DataFrame:
-    """Penalty of moving each flight k slots away from its preferred (nearest) 15-minute slot,
-    for k in [-window, window]; the candidate list is a per-row array, not a join."""
-    pref = nearest_slot(F.col("scheduled_time"), SLOT_MINUTES)
-    mult = (F.coalesce(F.col("congestion_factor"), F.lit(1.0))
+def slot_penalty_multiplier() -> Column:
+    """congestion x peak multiplier x (2.5 if high impact) / runway efficiency."""
+    return (F.coalesce(F.col("congestion_factor"), F.lit(1.0))
             * F.coalesce(dims.lit_map(PEAK_MULT)[F.col("peak_category")], F.lit(1.0))
             * F.when(F.coalesce(F.col("is_high_impact"), F.lit(False)), 2.5).otherwise(1.0)
             / F.coalesce(F.col("runway_efficiency"), F.lit(1.0)))
+
+
+def slot_penalty_at(offset: Column) -> Column:
+    """Closed form of the penalty for any slot offset from the preferred slot: every slot of the
+    horizon is covered exactly without materialising flights x slots."""
+    return F.floor(F.abs(offset) * slot_penalty_multiplier()).cast("long")
+
+
+def slot_penalty(fl: DataFrame, window_slots: int = 8) -> DataFrame:
+    """Tabulated penalties for offsets in [-window, window] around the preferred (nearest) 15-minute
+    slot (a per-row array, not a join); ``slot_penalty_at`` gives the same value for any other offset."""
+    pref = nearest_slot(F.col("scheduled_time"), SLOT_MINUTES)
+    mult = slot_penalty_multiplier()
     df = fl.select("flight_id", pref.alias("preferred_slot"), mult.alias("_m"),
                    F.explode(F.sequence(F.lit(-window_slots), F.lit(window_slots))).alias("slot_offset"))
     return df.select(
