@@ -366,6 +366,16 @@ def redistribution_potential(fl: DataFrame) -> DataFrame:
     )
 
 
+def hour_redistribution(fl: DataFrame) -> DataFrame:
+    """A25 (hours): flights to move = 15% of (mean of the 3 busiest hours - mean of the 3 quietest)."""
+    h = fl.groupBy("hour").agg(F.count("flight_id").alias("c"), F.avg(_d()).alias("m"))
+    h = h.withColumn("_hi", F.row_number().over(Window.orderBy(F.col("c").desc(), "hour"))).withColumn(
+        "_lo", F.row_number().over(Window.orderBy(F.col("c").asc(), "hour")))
+    one = h.agg(F.avg(F.when(F.col("_hi") <= 3, F.col("c"))).alias("peak_mean_flights"),
+                F.avg(F.when(F.col("_lo") <= 3, F.col("c"))).alias("off_peak_mean_flights"))
+    return one.withColumn("flights_to_move", (F.col("peak_mean_flights") - F.col("off_peak_mean_flights")) * 0.15)
+
+
 # A26
 def system_overview(fl: DataFrame) -> DataFrame:
     """One row; busiest key = highest count, ties to the smallest key."""

@@ -438,3 +438,10 @@ SELECT hour, avg_delay, delay_std, flight_count FROM (
     FROM flights GROUP BY hour))
 WHERE avg_delay < q AND flight_count >= 10
 """))
+
+_q("hour_redistribution", A.hour_redistribution, with_flights("""
+SELECT *, (peak_mean_flights - off_peak_mean_flights) * 0.15 AS flights_to_move FROM (
+  SELECT avg(CASE WHEN hi <= 3 THEN c END) AS peak_mean_flights, avg(CASE WHEN lo <= 3 THEN c END) AS off_peak_mean_flights FROM (
+    SELECT *, row_number() OVER (ORDER BY c DESC, hour) AS hi, row_number() OVER (ORDER BY c ASC, hour) AS lo FROM (
+      SELECT hour, count(flight_id) AS c FROM flights GROUP BY hour)))
+"""))

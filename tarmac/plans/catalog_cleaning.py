@@ -272,3 +272,16 @@ SELECT flight_id, regexp_replace(runway, '\W+', '_', 'g') AS runway, regexp_repl
 def _ss(spark, d):
     out = C.sanitize_strings(fixture.flights(spark, d), ["runway", "aircraft_type", "airline"])
     return out.select("flight_id", "runway", "aircraft_type", "airline", "capacity")
+
+
+@register("coerce_types", with_flights("""
+SELECT line, coalesce(TRY_CAST(s_no AS DOUBLE), 0.0) AS s_no_num, TRY_CAST(flight_time AS DOUBLE) AS flight_time_num,
+  coalesce(try_strptime(date, '%Y-%m-%d %H:%M:%S'), try_strptime(date, '%Y-%m-%d %H:%M'), try_strptime(date, '%Y-%m-%d')) AS date_ts
+FROM raw_sheet
+""", RAW))
+def _coerce(spark, d):
+    """to_numeric / to_datetime with coercion (unparsable -> null, numeric null -> default)."""
+    r = raw.raw_sheet(spark, d)
+    return r.select("line", C.coerce_number(F.col("s_no"), 0.0).alias("s_no_num"),
+                    C.coerce_number(F.col("flight_time"), None).alias("flight_time_num"),
+                    C.parse_timestamp(F.col("date")).alias("date_ts"))
