@@ -19,25 +19,27 @@ from tarmac.functions.windows import row_index
 
 
 def exact_percentile(df: DataFrame, col: str, q: float, accuracy: int = 100_000) -> float | None:
+    """Linear-interpolated q-quantile (same value as ``percentile``) in three small jobs."""
     x = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n = x.count()
+    eps = 2.0 / accuracy
+    lo_q, hi_q = max(0.0, q - eps), min(1.0, q + eps)
+    # job 1: size and an approximate bracket around the target rank
+    n, (lo, hi) = x.agg(F.count(F.lit(1)), F.percentile_approx("v", [lo_q, hi_q], accuracy)).first()
     if n == 0:
         return None
     pos = q * (n - 1)
     k0, k1 = math.floor(pos), math.ceil(pos)
-    eps = 2.0 / accuracy
-    lo_q, hi_q = max(0.0, q - eps), min(1.0, q + eps)
-    lo, hi = x.agg(F.percentile_approx("v", [lo_q, hi_q], accuracy)).first()[0]
-    below = x.filter(F.col("v") < lo).count() if lo_q > 0 else 0
-    band = x.filter((F.col("v") >= lo) & (F.col("v") <= hi)) if hi_q < 1 else x.filter(F.col("v") >= lo)
-    if lo_q == 0:
-        band = x.filter(F.col("v") <= hi) if hi_q < 1 else x
-        below = 0
-    m = band.count()
-    if not (below <= k0 and k1 < below + m):  # bracket missed (ties at the edges): take everything
+    lo_v = F.lit(lo) if lo_q > 0 else F.lit(float("-inf"))
+    hi_v = F.lit(hi) if hi_q < 1 else F.lit(float("inf"))
+    in_band = (F.col("v") >= lo_v) & (F.col("v") <= hi_v)
+    # job 2: confirm the bracket and get value-range cut points inside it
+    below, m, cuts = x.agg(F.count_if(F.col("v") < lo_v), F.count_if(in_band),
+                           F.percentile_approx(F.when(in_band, F.col("v")), [i / 64 for i in range(1, 64)], accuracy)).first()
+    band = x.filter(in_band)
+    if not (below <= k0 and k1 < below + m):  # bracket missed (ties at the edges): rank everything
         band, below = x, 0
-    # rank inside the band with value-range buckets (monotone in v), never one global partition
-    cuts = band.agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], accuracy)).first()[0]
+        cuts = x.agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], accuracy)).first()[0]
+    # job 3: rank inside the band with value-range buckets (monotone in v), never one global partition
     bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("v")))
     ranked = row_index(band, [], ["v"], bucket, "r")
     vals = {r["r"]: r["v"] for r in ranked.filter(F.col("r").isin(k0 - below, k1 - below)).collect()}
