@@ -15,7 +15,8 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = [
-    "flight_view",  # first: derives the flight table from events once (materialised for the session)
+    # first: derive the input tables from events once (stored for the session, as production tables are)
+    "flight_view", "raw_sheet_view",
     "hourly_dow_stats", "delay_summary", "airline_performance", "best_times", "ops_cube",
     "clean_messy", "rolling_delay", "propagate_turnaround", "propagate_runway_congestion",
     "build_edges", "simulate_cascade", "network_metrics", "apply_weather", "revenue_moves",

@@ -77,29 +77,32 @@ def flights_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-_MATERIALIZED: dict[tuple[str, str], str] = {}
+_MATERIALIZED: dict[tuple[str, str, str], str] = {}
 
 
-def flights(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
-    """The flight table. By default it is derived once per session and stored as parquet in the
-    shared checkpoint folder (clustered by airport and time), the way a production flight table
-    is stored: later queries scan real columns (pruning, pushdown, min/max skipping) instead of
-    re-deriving every column from the event rows inside their own generated code."""
-    if not materialize:
-        return flights_from_events(read_events(spark, sf_dir))
-    key = (spark.sparkContext.applicationId, sf_dir)
+def materialize(spark: SparkSession, name: str, sf_dir: str, build, cluster_by: list[str]) -> DataFrame:
+    """Derive an input table once per session and store it as parquet in the shared checkpoint
+    folder, clustered by ``cluster_by`` - the way the production table is stored - so later queries
+    scan real columns (pruning, pushdown, min/max skipping) instead of re-deriving every column."""
+    key = (spark.sparkContext.applicationId, name, sf_dir)
     path = _MATERIALIZED.get(key)
     if path is None:
         from tarmac.session import checkpoint_dir
 
-        path = f"{checkpoint_dir(spark).rstrip('/')}/tables/flights-{uuid.uuid4().hex}"
-        view = flights_from_events(read_events(spark, sf_dir))
-        view.repartitionByRange("base_airport", "scheduled_time").sortWithinPartitions("base_airport", "scheduled_time") \
-            .write.mode("overwrite").parquet(path)
+        path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+        build().repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by).write.mode("overwrite").parquet(path)
         _MATERIALIZED[key] = path
     return spark.read.parquet(path)
 
 
+def flights(spark: SparkSession, sf_dir: str, materialize_table: bool = True) -> DataFrame:
+    """The flight table (derived from the events, stored once per session unless disabled)."""
+    if not materialize_table:
+        return flights_from_events(read_events(spark, sf_dir))
+    return materialize(spark, "flights", sf_dir, lambda: flights_from_events(read_events(spark, sf_dir)),
+                       ["base_airport", "scheduled_time"])
+
+
 def weather_from_flights(fl: DataFrame) -> DataFrame:
     """Hourly weather view: one row per distinct flight hour, some hours missing on purpose."""
     hours = fl.select(F.date_trunc("hour", "scheduled_time").cast("timestamp_ntz").alias("weather_hour")).distinct()

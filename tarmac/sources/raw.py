@@ -59,8 +59,13 @@ def raw_sheet_from_events(ev: DataFrame) -> DataFrame:
     )
 
 
-def raw_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_sheet_from_events(read_events(spark, sf_dir))
+def raw_sheet(spark: SparkSession, sf_dir: str, materialize_table: bool = True) -> DataFrame:
+    """The sheet rows as they would arrive in files: derived once per session and stored."""
+    if not materialize_table:
+        return raw_sheet_from_events(read_events(spark, sf_dir))
+    from tarmac.sources.fixture import materialize
+
+    return materialize(spark, "raw_sheet", sf_dir, lambda: raw_sheet_from_events(read_events(spark, sf_dir)), ["file", "line"])
 
 
 RAW_SHEET_SQL = """
