@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions.scalars import with_scalars
-from tarmac.functions.windows import row_index, with_neighbors
+from tarmac.functions.windows import with_neighbors
 from tarmac.session import cut_lineage
 
 EPOCH = "1970-01-01 00:00:00"
@@ -216,10 +216,10 @@ def network_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Orienting by degree bounds each out-list by sqrt(2m) (no hub blow-up, O(m^1.5) work).
     """
     edges = cut_lineage(edges.select("src", "dst"))  # read three times below: materialise once
-    # dense integer vertex ids: the triangle search shuffles adjacency lists, and longs are a
-    # fraction of the size of string ids
+    # integer vertex ids: the triangle search shuffles adjacency lists, and longs are a fraction of
+    # the size of string ids. Ids only need to be unique (not dense); they are fixed by the checkpoint.
     ends = edges.select(F.col("src").alias("x")).union(edges.select(F.col("dst").alias("x"))).distinct()
-    vid = cut_lineage(row_index(ends, [], ["x"], F.abs(F.xxhash64("x")) % (1 << 14), "vid"))
+    vid = cut_lineage(ends.withColumn("vid", F.monotonically_increasing_id()))
     e_int = (edges.select("src", "dst").join(vid.select(F.col("x").alias("src"), F.col("vid").alias("s")), "src")
              .join(vid.select(F.col("x").alias("dst"), F.col("vid").alias("t")), "dst"))
     und = cut_lineage(e_int.select(F.least("s", "t").alias("u"), F.greatest("s", "t").alias("v")).distinct())
