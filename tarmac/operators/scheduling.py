@@ -301,11 +301,13 @@ def allocation_summary(asg: DataFrame) -> DataFrame:
 
 
 # K10
-def allocation_rollups(asg: DataFrame) -> DataFrame:
-    """Category x runway: flights, mean suitability, mean schedule change."""
-    return asg.groupBy("aircraft_category", "optimized_runway").agg(
+def allocation_rollups(asg: DataFrame, by: tuple[str, ...] = ("aircraft_category", "optimized_runway")) -> DataFrame:
+    """Rollup of an assignment (category x runway by default; also hour x runway, priority x runway):
+    flights, mean suitability, mean schedule change, passengers."""
+    keys = [F.hour("optimized_time").alias("hour") if k == "hour" else F.col(k) for k in by]
+    return asg.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("flights"), F.avg("suitability_score").alias("avg_suitability"),
-        F.avg("schedule_change_minutes").alias("avg_schedule_change"))
+        F.avg("schedule_change_minutes").alias("avg_schedule_change"), F.sum("capacity").alias("passengers"))
 
 
 # K6

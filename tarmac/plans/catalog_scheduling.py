@@ -147,7 +147,7 @@ def _pcm(spark, d):
 
 @register("allocation_rollups", with_flights(GIVEN_ASG + """
 SELECT aircraft_category, optimized_runway, count(*) AS flights, avg(suitability_score) AS avg_suitability,
-  avg(schedule_change_minutes) AS avg_schedule_change FROM asg2 GROUP BY 1, 2
+  avg(schedule_change_minutes) AS avg_schedule_change, CAST(sum(capacity) AS BIGINT) AS passengers FROM asg2 GROUP BY 1, 2
 """))
 def _ar(spark, d):
     return K.allocation_rollups(_asg(spark, d))
@@ -265,3 +265,33 @@ def _ba(spark, d):
     opt = K.apply_recommendations(fl, _recs(spark, d)).select(
         F.col("optimized_hour").alias("hour"), F.col("optimized_delay").alias("delay_minutes"))
     return before_after(fl, opt)
+
+
+@register("allocation_rollup_hour_runway", with_flights(GIVEN_ASG + """
+SELECT CAST(hour(optimized_time) AS INTEGER) AS hour, optimized_runway, count(*) AS flights, avg(suitability_score) AS avg_suitability,
+  avg(schedule_change_minutes) AS avg_schedule_change, CAST(sum(capacity) AS BIGINT) AS passengers FROM asg2 GROUP BY 1, 2
+"""))
+def _arh(spark, d):
+    return K.allocation_rollups(_asg(spark, d), ("hour", "optimized_runway"))
+
+
+@register("allocation_rollup_priority_runway", with_flights(GIVEN_ASG + """
+SELECT priority, optimized_runway, count(*) AS flights, avg(suitability_score) AS avg_suitability,
+  avg(schedule_change_minutes) AS avg_schedule_change, CAST(sum(capacity) AS BIGINT) AS passengers FROM asg2 GROUP BY 1, 2
+"""))
+def _arp(spark, d):
+    return K.allocation_rollups(_asg(spark, d), ("priority", "optimized_runway"))
+
+
+@register("allocation_summary", with_flights(GIVEN_ASG + """
+, util AS (SELECT avg(coalesce(a.m / o.max_ops * 100, 0.0)) AS average_utilization
+  FROM (VALUES ('09R/27L', 35), ('09L/27R', 35), ('14/32', 25), ('27/09', 28)) o(rid, max_ops)
+  LEFT JOIN (SELECT optimized_runway, avg(n) AS m FROM (SELECT optimized_runway, hour(optimized_time) AS h, count(*) AS n
+             FROM asg2 GROUP BY 1, 2) GROUP BY 1) a ON a.optimized_runway = o.rid)
+SELECT avg(schedule_change_minutes) AS average_schedule_change, count(*) AS total_flights_optimized,
+  (SELECT average_utilization FROM util) AS average_utilization,
+  greatest(0.0, 15 - abs(avg(schedule_change_minutes))) / 15 * 100 AS throughput_improvement_estimate
+FROM asg2
+"""))
+def _asum(spark, d):
+    return K.allocation_summary(_asg(spark, d))
