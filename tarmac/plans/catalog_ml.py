@@ -35,7 +35,7 @@ def _typed(spark, d):
 
 FLAGGED = """
 , af AS (
-  SELECT *, CAST(is_peak_hour AS INTEGER) AS is_peak_hour_int, CAST(congestion_factor > 1.5 AS INTEGER) AS high_congestion,
+  SELECT *, CAST(month(scheduled_time) AS INTEGER) AS month, CAST(is_peak_hour AS INTEGER) AS is_peak_hour_int, CAST(congestion_factor > 1.5 AS INTEGER) AS high_congestion,
     count(*) OVER (PARTITION BY runway, hour) AS runway_utilization,
     CAST(delay_minutes > 100 AS INTEGER) AS isolation_anomaly, CAST(delay_minutes > 150 AS INTEGER) AS dbscan_anomaly,
     CAST(delay_minutes > 100 AS INTEGER) AS combined_anomaly, delay_minutes / 100 AS anomaly_confidence
@@ -76,7 +76,7 @@ def _ap(spark, d):
     return M.anomaly_patterns(_typed(spark, d))
 
 
-for _col in ["anomaly_type", "hour", "airline", "runway", "aircraft_type", "day_of_week"]:
+for _col in ["anomaly_type", "hour", "airline", "runway", "aircraft_type", "day_of_week", "month"]:
     register(f"anomaly_distribution_{_col}", with_flights(FLAGGED + f"""
 SELECT {_col}, count(*) AS count FROM typed WHERE combined_anomaly = 1 GROUP BY {_col}
 """))((lambda c: lambda spark, d: M.anomaly_distribution(_typed(spark, d), c))(_col))
