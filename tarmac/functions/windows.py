@@ -63,10 +63,14 @@ def _halo(
     or the first ``n`` rows after it (side='after')."""
     if n == 1:
         # one row per bucket: an aggregate (partial per map task, so only one row per bucket and
-        # task is shuffled) instead of a window over all rows
+        # task is shuffled); the neighbouring non-empty bucket's row is then a lag/lead over the
+        # one-row-per-bucket summary, which needs no positions, anchors or joins
         pick = F.max_by if side == "before" else F.min_by
-        row = F.struct(*[F.col(c) for c in df.columns])
-        edge = df.groupBy(*keys, BK).agg(pick(row, F.struct(*order_cols)).alias("_row")).select("_row.*")
+        row = F.struct(*[F.col(c) for c in df.columns if c != BK])
+        summary = df.groupBy(*keys, BK).agg(pick(row, F.struct(*order_cols)).alias("_row"))
+        w = Window.partitionBy(*keys).orderBy(BK)
+        nb = (F.lag if side == "before" else F.lead)("_row").over(w)
+        return summary.select(F.col(BK), nb.alias("_nb")).filter(F.col("_nb").isNotNull()).select("_nb.*", BK)
     else:
         in_bucket = Window.partitionBy(*keys, BK).orderBy(
             *[F.col(c).desc() if side == "before" else F.col(c).asc() for c in order_cols]

@@ -64,3 +64,15 @@ def test_exact_percentile_matches_percentile(spark):
     for q in (0.0, 0.1, 0.5, 0.8, 0.95, 1.0):
         exp = df.agg(F.percentile("s", q)).first()[0]
         assert exact_percentile(df, "s", q, accuracy=200) == pytest.approx(exp, rel=1e-12, abs=1e-15)
+
+
+@pytest.mark.parametrize("bucket_size", [1, 3, 1000])
+def test_with_neighbors_single_row_halo(data, bucket_size):
+    w = Window.partitionBy("k").orderBy("t", "id")
+    expected = data.select("k", "id", F.lag("id").over(w).alias("p"), F.lead("x").over(w).alias("n"))
+
+    def compute(frame, wb):
+        return frame.withColumns({"p": F.lag("id").over(wb), "n": F.lead("x").over(wb)})
+
+    got = with_neighbors(data, ["k"], ["t", "id"], F.floor(F.col("t") / bucket_size), 1, 1, compute).select("k", "id", "p", "n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
