@@ -166,14 +166,14 @@ def simulate_cascade(nodes: DataFrame, edges: DataFrame, initial: DataFrame, max
         p = F.when(F.col("time_buffer") > p, F.greatest(F.lit(0.0), p - F.col("time_buffer") * 0.1)).otherwise(p)
         prop = act.join(e, "src").select(F.col("dst").alias("flight_id"), p.alias("p")).filter(F.col("p") > 0)
         best = prop.groupBy("flight_id").agg(F.max("p").alias("p"))
+        step = state.join(best, "flight_id", "full_outer").select(
+            "flight_id", (F.coalesce(F.col("delay"), F.lit(0.0)) + F.coalesce(F.col("p"), F.lit(0.0))).alias("delay"),
+            F.col("p").isNotNull().alias("_moved"))
         if checkpoint:
-            best = cut_lineage(best)
-            if best.isEmpty():  # no propagation: later rounds change nothing
+            step = cut_lineage(step)
+            if step.filter("_moved").isEmpty():  # no propagation: later rounds change nothing
                 break
-        state = state.join(best, "flight_id", "full_outer").select(
-            "flight_id", (F.coalesce(F.col("delay"), F.lit(0.0)) + F.coalesce(F.col("p"), F.lit(0.0))).alias("delay"))
-        if checkpoint:
-            state = cut_lineage(state)
+        state = step.drop("_moved")
     return nodes.select("flight_id").join(state, "flight_id", "left").select(
         "flight_id", F.coalesce(F.col("delay"), F.lit(0.0)).alias("delay"))
 
