@@ -28,10 +28,10 @@ EPOCH = "1970-01-01 00:00:00"
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def read_schedule_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    """The flight view over a stream of event files."""
+def read_schedule_stream(spark: SparkSession, sf_dir: str, max_files: int = 1, glob: str = "events*.parquet") -> DataFrame:
+    """The flight view over a stream of event files (``max_files`` new files per micro-batch)."""
     ev = (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", max_files)
-          .option("pathGlobFilter", "events*.parquet").parquet(sf_dir))
+          .option("pathGlobFilter", glob).parquet(sf_dir))
     return flights_from_events(ev).withColumn("event_time", event_time(F.col("scheduled_time")))
 
 
