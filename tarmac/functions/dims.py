@@ -175,10 +175,3 @@ def weather_dim(spark: SparkSession) -> DataFrame:
         "capacity_reduction_factor double, landing_restrictions boolean, takeoff_restrictions boolean, "
         "crosswind_runway_closure boolean, condition_delay int",
     )
-
-
-def revenue_dim(spark: SparkSession) -> DataFrame:
-    rows = [(h, *v) for h, v in sorted(REVENUE_SLOTS.items())]
-    return spark.createDataFrame(
-        rows, "hour int, demand_multiplier double, revenue_multiplier double, willingness double, business_ratio double"
-    )

@@ -66,10 +66,6 @@ def hourly_dow_basic(fl: DataFrame) -> DataFrame:
     return _hour_dow_base(fl).withColumn("congestion_score", F.col("flight_count") * 0.1)
 
 
-def hourly_counts(fl: DataFrame) -> DataFrame:
-    return fl.groupBy("hour").agg(F.count(F.lit(1)).alias("flight_count"), F.avg(_d()).alias("avg_delay"))
-
-
 # A3
 def peak_hours(fl: DataFrame, factor: float = 1.2) -> DataFrame:
     h = fl.groupBy("hour").agg(F.count(F.lit(1)).alias("flight_count"))

@@ -5,9 +5,10 @@ time-sorted flights of one *bounded* group:
 
 * W4 is defined per (runway, day) by the reference, so one group is one runway-day.
 * W3 runs per aircraft over its whole history. We fold per (aircraft, day) and stitch the days
-  together: the actual time leaving one day is the carry into the next non-empty day. Rounds
-  repeat only for days whose carry changed, so the number of rounds is the longest chain of
-  days linked by an overnight turnaround, not the history length. ``mode='max'`` (actual =
+  together: the actual time leaving one day is the carry into the next non-empty day. Each
+  round refolds the days with the carries of the previous round and stops once no carry
+  changes, so the number of rounds is the longest chain of days linked by an overnight
+  turnaround, not the history length. ``mode='max'`` (actual =
   max(own, prev + turnaround)) is a max-plus recurrence with a closed form: a running maximum,
   computed with the bucketed prefix tools instead of a fold.
 """
@@ -19,8 +20,6 @@ from pyspark.sql import functions as F
 
 from tarmac.session import cut_lineage
 
-FOLD_SCHEMA_FIELDS = ("s", "flight_id", "delay", "actual")
-
 
 def _minutes(a: Column, b: Column) -> Column:
     return F.timestamp_diff("SECOND", a, b) / 60.0

@@ -9,8 +9,6 @@ from tarmac.plans.oracle import with_flights
 from tarmac.plans.registry import register
 from tarmac.sources import fixture
 
-MIN = "epoch({b} - {a}) / 60.0"
-
 EDGE_CTES = """
 , seq_ac AS (
   SELECT flight_id, scheduled_time, origin, destination,
