@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from tarmac.plans.registry import load_all
-from tools_oracle import TABLES, close, rows_of
+from tools_oracle import SPARK_TO_DUCK, TABLES, close, rows_of
 
 from conftest import SF_SMALL
 
@@ -31,6 +31,9 @@ def test_matches_sql(spark, duck, name):
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(sdf.columns) == sorted(dcols)
+    st = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString().upper()) for f in sdf.schema.fields}
+    dt = {d[0]: str(d[1]).upper() for d in cur.description}
+    assert {c: (st[c], dt[c]) for c in st if not dt[c].startswith(st[c])} == {}
     assert len(srows) == len(drows)
     a, b = rows_of(list(sdf.columns), srows), rows_of(dcols, drows)
     bad = [(x, y) for x, y in zip(a, b) if not all(close(p, q) for p, q in zip(x, y))]

@@ -7,4 +7,4 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
-from oracle_check import TABLES, close, rows_of  # noqa: E402,F401
+from oracle_check import SPARK_TO_DUCK, TABLES, close, rows_of  # noqa: E402,F401
