@@ -14,8 +14,6 @@ order: the rarest one, by occurrences counted over all documents.
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +44,8 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, id_col: str = "ite
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
+    """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_key``
+    (the last a hash of the text, telling rows with one id apart).
 
     Null and empty texts have no words and no hits. Rows repeating an id are judged each by their own
     text; null ids are allowed. Items with equal windows all count. An empty benchmark hits nothing.
@@ -99,11 +98,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     items_of = per_item.groupBy(F.col("doc_id").alias("i_id"), F.col("text_key").alias("i_key")).agg(F.sort_array(F.collect_list("item")).alias("items"))
     out = judged.join(items_of, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("text_key") == F.col("i_key")), "left")
     return out.select("doc_id", "n_words", "n_hit", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-                      F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+                      F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "text_key")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without any benchmark window, with all their columns."""
+    bad = contamination(docs, items, window, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
+    same = docs[id_col].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(text_or_empty(docs, text_col)) == F.col("_bad_key"))
+    return docs.join(bad, same, "left_anti")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_key")
 
 
 SQL = r"""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tarmac.llm import bpe, decontaminate, exact_dedup, quality
+from tarmac.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2,
     "op3_bpe": bpe.op3,
     "op5_decontamination": decontaminate.op5,
+    "op7_jaccard_join": jaccard_join.op7,
     "op10_quality": quality.op10,
 }
 SQL = {
