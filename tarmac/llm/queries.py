@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from tarmac.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality
+from tarmac.llm import bpe, decontaminate, exact_dedup, hmm, jaccard_join, license_scan, pii, quality, sharding, token_files
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1,
     "op2_exact_dedup": exact_dedup.op2,
     "op3_bpe": bpe.op3,
+    "op4_pii": pii.op4,
     "op5_decontamination": decontaminate.op5,
+    "op6_token_files": token_files.op6,
     "op7_jaccard_join": jaccard_join.op7,
+    "op8_sharding": sharding.op8,
+    "op9_hmm": hmm.op9,
     "op10_quality": quality.op10,
 }
 SQL = {
