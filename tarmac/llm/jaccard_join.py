@@ -11,11 +11,12 @@ size, so the first ``a - need(a) + k`` elements of both, in any common order, sh
   boundary are entered in the lists too, so pairs across the boundary meet there.
 * Boundary by cost: enumerated subsets against entries and expected list lengths, summed per size.
 
-Equal sets are one node from the start. Within a bucket pairs are never all emitted: each node is
-checked against one leader first; links merge nodes into components, and a bucket whose members are in
-one component is done. Buckets that stay open are checked against their first 16, 64, 256, ... members,
-only across components, until every pair of an open bucket is decided. Candidates are verified on whole
-sets; before that a fingerprint of the prefixes gives a safe upper bound of the overlap.
+Equal sets are one node from the start, and within a bucket pairs are not emitted: first each node is
+checked against one leader, the bucket member whose prefix is the most common (the middle of a family
+of near copies); links merge nodes into components, and a bucket whose members are in one component is
+done. In the others, tasks hold blocks of about ``BLOCK`` rows, compare members of different
+components by a bit pattern of their prefixes that gives a safe upper bound of the overlap, and emit
+only what the bound leaves. Candidates are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tarmac.llm.common import documents, staged, text_or_empty
 from tarmac.llm.components import components
@@ -40,6 +40,9 @@ SIMILARITY = 80
 SKETCH = 1 << 20  # counters a row, two rows: 8 MB whatever the corpus
 MAX_BOUNDARY = 64
 BROADCAST_IDS = 1_000_000
+BLOCK = 100_000
+BITS = 1024
+GROUP_ROWS = 20_000
 _RNG = np.random.RandomState(20240229)
 _BYTE = _RNG.randint(1, 2**62, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
@@ -116,11 +119,22 @@ def count_sketch(rows: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((2, SKETCH), np.uint32)
+        held, n = [], 0
+
+        def add_held():
+            for r, slots in enumerate(_slots(np.concatenate(held))):
+                table[r] += np.bincount(slots, minlength=SKETCH).astype(np.uint32)
+            held.clear()
+
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                s = shingle_set(t)
-                for r, slots in enumerate(_slots(s)):
-                    np.add.at(table[r], slots, 1)
+                held.append(shingle_set(t))
+                n += len(held[-1])
+                if n >= SKETCH:
+                    add_held()
+                    n = 0
+        if held:
+            add_held()
         parts = table.reshape(blocks, -1)
         data = [zlib.compress(p.tobytes(), 1) if p.any() else None for p in parts]
         keep = [i for i, x in enumerate(data) if x]
@@ -146,19 +160,23 @@ def count_sketch(rows: DataFrame) -> np.ndarray:
 
 
 def _sets(rows: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """Per row: ``row`` (unique), doc_id, signature, size, ordered prefix, prefix fingerprint, list cost."""
+    """Per row: ``row``, doc_id, signature, size, ordered prefix, prefix fingerprint, bit pattern, list cost.
+
+    ``row`` is unique and smaller for sets whose prefix elements are more common (16 bits of mean rank,
+    then task and position), so the least row of a bucket is a good leader.
+    """
     sc = rows.sparkSession.sparkContext
     noise = float(sketch[0].sum()) / SKETCH
     rank = np.minimum(255, np.floor(2 * np.log2(np.maximum(1, sketch)))).astype(np.uint8)  # half octaves
     shared = sc.broadcast((rank, noise))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    names = ["row", "doc_id", "sig", "size", "prefix", "finger", "scan"]
+    names = ["row", "doc_id", "sig", "size", "prefix", "finger", "bits", "scan"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, noise = shared.value
-        serial = TaskContext.get().partitionId() << 36
+        serial = TaskContext.get().partitionId() << 24
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
             for t in batch.column(1).to_pylist():
                 s = shingle_set(t)
                 a, b = _slots(s)
@@ -167,17 +185,21 @@ def _sets(rows: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
                 order = np.lexsort((s, est))[:keep]
                 prefix = s[order]
                 lists = float(np.maximum(0.0, 2.0 ** (est[order].astype(float) / 2) - noise).sum())
-                cols[0].append(serial)
+                common = min(65535, int(1000 * est[order].mean())) if len(order) else 0
+                cols[0].append((65535 - common) << 44 | serial)
                 cols[1].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 cols[2].append(len(s))
                 cols[3].append(prefix.tobytes())
                 cols[4].append(np.sort((prefix >> np.uint64(48)).astype("<u2")).tobytes())
-                cols[5].append(lists)
+                pattern = np.zeros(BITS, bool)
+                pattern[(prefix >> np.uint64(40)) % np.uint64(BITS)] = True
+                cols[5].append(np.packbits(pattern).tobytes())
+                cols[6].append(lists)
                 serial += 1
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), batch.column(0), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()),
-                                              pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.float64())], names=names)
+                                              pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary()), pa.array(cols[6], pa.float64())], names=names)
 
-    return rows.select("doc_id", "text").mapInArrow(run, f"row long, doc_id {id_type}, sig binary, size long, prefix binary, finger binary, scan double")
+    return rows.select("doc_id", "text").mapInArrow(run, f"row long, doc_id {id_type}, sig binary, size long, prefix binary, finger binary, bits binary, scan double")
 
 
 def cost_boundary(nodes: DataFrame) -> int:
@@ -193,13 +215,13 @@ def cost_boundary(nodes: DataFrame) -> int:
 
 
 def _postings(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """``key, node, size``: 2-subsets of small sets, elements of large and bordering ones."""
+    """``key, node``: 2-subsets of small sets, elements of large and bordering ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for at in range(0, len(ids), 256):
-                keys, owner, size = [], [], []
+                keys, owner = [], []
                 for n, a, raw in zip(ids[at:at + 256], sizes[at:at + 256], batch.column(2).slice(at, 256).to_pylist()):
                     tokens = np.frombuffer(raw, np.uint64)
                     found = []
@@ -212,10 +234,9 @@ def _postings(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
                     k = np.concatenate(found)
                     keys.append(k.view(np.int64))
                     owner.append(np.full(len(k), n))
-                    size.append(np.full(len(k), a))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(size))], names=["key", "node", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owner))], names=["key", "node"])
 
-    return nodes.select("node", "size", "prefix").mapInArrow(run, "key long, node long, size long")
+    return nodes.select("node", "size", "prefix").mapInArrow(run, "key long, node long")
 
 
 def _possible(percent: int):
@@ -246,21 +267,20 @@ def _linked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int) -
     likely = staged(sized.filter(_possible(percent)("x_finger", "y_finger", "x_size", "y_size")).select("x", "y"), "pairs")
 
     # whole sets of the nodes concerned only, rebuilt from their texts
-    asked = staged(likely.select(F.col("x").alias("node")).unionByName(likely.select(F.col("y").alias("node"))).distinct()
-                   .join(nodes.select("node", F.col("doc_id").alias("d_id"), F.col("sig").alias("d_sig")), "node"), "asked")
-    ids = asked.select(F.col("d_id").alias("f_id")).distinct()
-    ids = F.broadcast(ids) if asked.count() <= BROADCAST_IDS else ids
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+    asked = likely.select(F.col("x").alias("node"), F.lit(1).alias("as_x")).unionByName(likely.select(F.col("y").alias("node"), F.lit(0).alias("as_x"))) \
+        .groupBy("node").agg(F.max("as_x").alias("as_x"), F.min("as_x").alias("only_x"))
+    asked = staged(asked.join(nodes.select("node", F.col("doc_id").alias("d_id"), F.col("sig").alias("d_sig")), "node"), "asked")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                                              pa.array([s.tobytes() for s in sets], pa.binary())], names=["t_id", "t_sig", "elements"])
+            sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
+            same = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() == sig for x, sig in zip(sets, batch.column(1).to_pylist())], pa.bool_())
+            out = pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "as_x", "only_x", "elements"])
+            yield out.filter(same)
 
-    texts = rows.join(ids, rows["doc_id"].eqNullSafe(F.col("f_id")), "left_semi").select("doc_id", "text")
-    full = texts.mapInArrow(run, f"t_id {id_type}, t_sig binary, elements binary")
-    full = staged(full.join(asked, (F.col("t_sig") == F.col("d_sig")) & F.col("t_id").eqNullSafe(F.col("d_id"))).select("node", "elements"), "elements")
+    texts = rows.join(asked, rows["doc_id"].eqNullSafe(F.col("d_id"))).select("text", "d_sig", "node", "as_x", "only_x")
+    full = staged(texts.mapInArrow(run, "node long, as_x int, only_x int, elements binary"), "elements")
 
     @F.pandas_udf("boolean")
     def similar(xs: pd.Series, ys: pd.Series) -> pd.Series:
@@ -271,16 +291,64 @@ def _linked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int) -
             out[i] = 100 * common >= percent * (len(x) + len(y) - common)
         return pd.Series(out)
 
-    whole = likely.join(full.select(F.col("node").alias("x"), F.col("elements").alias("x_el")), "x") \
-        .join(full.select(F.col("node").alias("y"), F.col("elements").alias("y_el")), "y")
+    whole = likely.join(full.filter("as_x = 1").select(F.col("node").alias("x"), F.col("elements").alias("x_el")), "x") \
+        .join(full.filter("only_x = 0").select(F.col("node").alias("y"), F.col("elements").alias("y_el")), "y")
     return staged(whole.filter(similar("x_el", "y_el")).select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), "links")
 
 
-def _leaders(multi: DataFrame, most: int, salts: int = 16) -> DataFrame:
-    """The first ``most`` members of each bucket by node, found per salt first, so no task sorts a hot bucket."""
-    salted = multi.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)))
-    part = salted.withColumn("r", F.row_number().over(W.partitionBy("key", "salt").orderBy("node"))).filter(F.col("r") <= most)
-    return part.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("node"))).filter(F.col("rank") <= most).select("key", F.col("node").alias("lead"), "rank", F.col("size").alias("lead_size"))
+def _across(opened: DataFrame, percent: int) -> DataFrame:
+    """``x, y`` (x < y): pairs of a bucket in different components that the bound leaves.
+
+    Buckets with one leader are dealt together, so a pair that shares many of them is emitted once.
+    A leader with up to BLOCK rows is one block; a larger one is cut into blocks of nodes whose pairs
+    go to different tasks, so a task's memory does not grow with the bucket.
+    """
+    families = opened.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    groups = max(1, -(-opened.count() // GROUP_ROWS))
+    dealt = opened.join(families, "lead").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "lead", "node", "size", "c", "bits", "prefix_size")
+    dealt = dealt.withColumn("gid", F.pmod(F.xxhash64("lead", "lo", "hi"), F.lit(groups))).drop("lead")
+
+    def pairs(table):
+        col = {n: table.column(n).to_numpy() for n in ("key", "lo", "hi", "own", "node", "size", "c", "prefix_size")}
+        order = np.lexsort((col["hi"], col["lo"], col["key"]))
+        col = {n: v[order] for n, v in col.items()}
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)[order]
+        hidden = col["prefix_size"] - np.bitwise_count(bits).sum(axis=1)  # prefix elements that share a bit
+        rest = col["size"] - col["prefix_size"]
+        n = len(order)
+        new = np.concatenate(([True], (np.diff(col["key"]) != 0) | (np.diff(col["lo"]) != 0) | (np.diff(col["hi"]) != 0)))
+        start = np.flatnonzero(new)
+        stop = np.append(start[1:], n)
+        run = np.cumsum(new) - 1
+        found = []
+
+        def test(i, j):
+            a, b = col["size"][i], col["size"][j]
+            ok = (col["c"][i] != col["c"][j]) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent)
+            ok &= (col["lo"][i] == col["hi"][i]) | (col["own"][i] != col["own"][j])
+            i, j, a, b = i[ok], j[ok], a[ok], b[ok]
+            common = np.bitwise_count(bits[i] & bits[j]).sum(axis=1) + np.minimum(hidden[i], hidden[j])
+            good = common + np.maximum(rest[i], rest[j]) >= -(-percent * (a + b) // (100 + percent))
+            i, j = i[good], j[good]
+            if len(i):
+                found.append(np.stack((np.minimum(col["node"][i], col["node"][j]), np.maximum(col["node"][i], col["node"][j])), 1))
+
+        small = (stop - start)[run] <= 64
+        for d in range(1, min(64, n)):  # neighbours at distance d of all small buckets at once
+            i = np.flatnonzero((run[:-d] == run[d:]) & small[:-d])
+            if not len(i):
+                break
+            test(i, i + d)
+        for s, e in zip(start, stop):
+            if e - s > 64:
+                for i in range(s, e - 1):
+                    test(np.full(e - i - 1, i), np.arange(i + 1, e))
+        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"x": pa.array(out[:, 0], pa.int64()), "y": pa.array(out[:, 1], pa.int64())})
+
+    return dealt.groupBy("gid").applyInArrow(pairs, "x long, y long").distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY) -> DataFrame:
@@ -308,24 +376,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = _linked(pairs, nodes, rows, percent)
     comp = components(links)
 
-    # then buckets across components, against their first 16, 64, ... members
-    done, most = 0, 16
-    while True:
-        label = comp.select(F.col("node").alias("n_"), "component")
-        tagged = multi.filter(F.col("n") > done).drop("lead").join(label, F.col("node") == F.col("n_"), "left") \
-            .select("key", "node", "size", "n", F.coalesce("component", "node").alias("c"))
-        open_keys = tagged.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter(F.col("lo") != F.col("hi")).select("key")
-        opened = staged(tagged.join(open_keys.hint("shuffle_hash"), "key"), "open")
-        if opened.isEmpty():
-            break
-        lead = _leaders(opened, most).filter(F.col("rank") > done)
-        lead = lead.join(label, F.col("lead") == F.col("n_"), "left").select("key", "lead", "lead_size", F.coalesce("component", "lead").alias("lead_c"))
-        near = opened.join(lead, "key").filter((F.col("c") != F.col("lead_c")) & (F.least("size", "lead_size") * 100 >= F.greatest("size", "lead_size") * percent))
-        pairs = near.select(F.least("node", "lead").alias("x"), F.greatest("node", "lead").alias("y")).distinct()
-        new = _linked(pairs, nodes, rows, percent)
-        links = links.unionByName(new)
-        comp = components(links)
-        done, most = most, most * 4
+    # then the buckets that still hold several components
+    label = comp.select(F.col("node").alias("n_"), "component")
+    tagged = multi.join(label, F.col("node") == F.col("n_"), "left").select("key", "node", "lead", F.coalesce("component", "node").alias("c"))
+    open_keys = tagged.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter(F.col("lo") != F.col("hi")).select("key")
+    opened = tagged.join(open_keys.hint("shuffle_hash"), "key")
+    opened = staged(opened.join(nodes.select("node", "size", "bits", (F.octet_length("prefix") / 8).cast("long").alias("prefix_size")), "node"), "open")
+    links = links.unionByName(_linked(_across(opened, percent), nodes, rows, percent))
+    comp = components(links)
 
     best = reps.join(comp.select(F.col("node").alias("n_"), "component"), F.col("node") == F.col("n_"), "left") \
         .select("sig", "least_id", F.coalesce("component", "node").alias("component"))
