@@ -69,20 +69,43 @@ def word_counts(rows: DataFrame, flush: int = 300_000) -> DataFrame:
     return rows.select("text").mapInArrow(run, "word binary, cls int, c long").groupBy("word", "cls").agg(F.sum("c").alias("c"))
 
 
+class _Index(dict):
+    """Word -> its place in the head, or HEAD + class. Filled from the head; other words are remembered
+    up to a bound, so that most tokens cost one look-up."""
+
+    def __init__(self, head: list[bytes], limit: int = 500_000):
+        super().__init__((w, i) for i, w in enumerate(head))
+        self.first, self.limit = len(head), len(head) + limit
+
+    def __missing__(self, word: bytes) -> int:
+        i = self.first + _class_of(word)
+        if len(self) < self.limit:
+            self[word] = i
+        return i
+
+
 class Model:
     """Arrays of a fixed size: symbols of the head words, class totals, and the HMM's parameters."""
 
-    def __init__(self, head: list[tuple[bytes, int]], classes: dict[int, tuple[int, int]], n: int, v: int, states: int = STATES, seed: int = 11):
+    def __init__(self, head: list[tuple[bytes, int]], classes: dict[int, tuple[int, int]], n: int, v: int, states: int = STATES, seed: int = 11, frequent: int = FREQUENT):
         self.n, self.v = n, v
-        own = [w for w, _ in head[:FREQUENT]]
-        self.own = len(own)
+        self.own = min(frequent, len(head))
         self.symbols = self.own + CLASSES
-        self.head = {w: (i if i < self.own else self.own + _class_of(w), c) for i, (w, c) in enumerate(head)}
+        self.head = [w for w, _ in head]
+        self.least = head[-1][1] if head else 0
+        counts = np.array([c for _, c in head], float)
         self.class_total = np.zeros(CLASSES, np.int64)
         self.class_words = np.zeros(CLASSES, np.int64)
         for k, (total, words) in classes.items():
             self.class_total[k], self.class_words[k] = total, words
-        unigram = np.concatenate([[c for _, c in head[:FREQUENT]], self.class_total]).astype(float) + 1.0
+        self.inside = np.log10((self.class_total + self.class_words + 1).astype(float))
+        # by index (see _Index): symbol, log10 of the base probability, log10 of the share in the class
+        cls = np.array([_class_of(w) for w in self.head], np.int64)
+        own = np.arange(len(head)) < self.own
+        self.symbol_of = np.concatenate([np.where(own, np.arange(len(head)), self.own + cls), self.own + np.arange(CLASSES)]).astype("<u2")
+        self.base_of = np.concatenate([np.log10((counts + 1) / (n + v + 1)), np.zeros(CLASSES)])
+        self.share_of = np.concatenate([np.where(own, 0.0, np.log10(counts + 1) - self.inside[cls]), np.zeros(CLASSES)])
+        unigram = np.concatenate([counts[: self.own], self.class_total]) + 1.0
         self.unigram = unigram / unigram.sum()
         rng = np.random.RandomState(seed)
         self.start = np.full(states, 1.0 / states)
@@ -92,10 +115,6 @@ class Model:
         emit = self.unigram * np.exp(rng.normal(0, 1.0, (states, self.symbols)))
         self.emit = emit / emit.sum(axis=1, keepdims=True)
 
-    def symbol(self, word: bytes) -> int:
-        known = self.head.get(word)
-        return known[0] if known else self.own + _class_of(word)
-
     def update(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
         """New parameters from expected counts; a little of the unigram keeps every symbol possible."""
         self.occupied = (emit.sum(axis=1) + 1.0) / (emit.sum() + len(emit))
@@ -138,7 +157,7 @@ class Model:
         """Exact log10 likelihood of whole symbol sequences, vectorised over documents, longest first."""
         order = np.argsort([-len(s) for s in seqs], kind="stable")
         lens = np.array([len(seqs[i]) for i in order])
-        flat = np.concatenate([seqs[i] for i in order])
+        flat = np.concatenate([seqs[i] for i in order]).astype(np.int64)
         at = np.concatenate([[0], np.cumsum(lens)[:-1]])
         table, total = self.emit.T, np.zeros(len(seqs))
         a = None
@@ -153,8 +172,36 @@ class Model:
         return out
 
 
+def indexed(rows: DataFrame, model: Model) -> DataFrame:
+    """Per row: ``row, doc_id, held_out, n_tokens, known, base, share``, the symbols, and the words outside
+    the head with their counts. Written once; training rounds and scoring read it instead of the texts."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "share", "symbols", "words", "kinds", "times"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = shared.value
+        row = TaskContext.get().partitionId() << 33
+        index = _Index(m.head)
+        for batch in batches:
+            cols: list[list] = [[] for _ in range(8)]
+            for t in batch.column(2).to_pylist():
+                tokens = _tokens(t)
+                at = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
+                out = np.flatnonzero(at >= index.first).tolist()
+                rare = Counter([tokens[i] for i in out])
+                for c, x in zip(cols, (len(tokens), len(tokens) - len(out), float(m.base_of[at].sum()), float(m.share_of[at].sum()), m.symbol_of[at].tobytes(), list(rare), [index[w] - index.first for w in rare], list(rare.values()))):
+                    c.append(x)
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + batch.num_rows)), *batch.columns[:2], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=names)
+            row += batch.num_rows
+
+    schema = f"row long, doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, share double, symbols binary, words array<binary>, kinds array<int>, times array<int>"
+    return staged(rows.select("doc_id", "held_out", "text").mapInArrow(run, schema), "hmm-indexed")
+
+
 def _one_round(train: DataFrame, model: Model) -> None:
-    """Expected counts of all training rows, added up by Spark, then new parameters."""
+    """Expected counts of all training rows (``symbols``), added up by Spark, then new parameters."""
     shared = train.sparkSession.sparkContext.broadcast(model)
     k, s = len(model.start), model.symbols
 
@@ -176,8 +223,8 @@ def _one_round(train: DataFrame, model: Model) -> None:
                 pieces.clear()
                 firsts.clear()
 
-            for t in batch.column(0).to_pylist():
-                syms = list(map(m.symbol, _tokens(t)))
+            for raw in batch.column(0).to_pylist():
+                syms = np.frombuffer(raw, "<u2")
                 for i in range(0, len(syms), SEGMENT):
                     pieces.append(syms[i:i + SEGMENT])
                     firsts.append(i == 0)
@@ -199,98 +246,59 @@ def _one_round(train: DataFrame, model: Model) -> None:
     # Spark reads the streaming form of a grouped function from its type hints
     add.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     schema = "state int, salt int, counts binary"
-    sums = train.select("text").mapInArrow(run, schema).groupBy("state", "salt").applyInArrow(add, schema).groupBy("state").applyInArrow(add, schema)
+    sums = train.select("symbols").mapInArrow(run, schema).groupBy("state", "salt").applyInArrow(add, schema).groupBy("state").applyInArrow(add, schema)
     found = {r.state: np.frombuffer(r.counts) for r in sums.collect()}  # one vector per state
     if found:
         rows = np.stack([found[i] for i in range(k)])
         model.update(rows[:, 0], rows[:, 1:1 + k], rows[:, 1 + k:])
 
 
-def train_model(train: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model and the table of exact counts (word, cls, c) of all training rows (``text``)."""
-    counts = staged(word_counts(train), "hmm-counts")
+def train_model(rows: DataFrame, states: int = STATES, rounds: int = ROUNDS, head_words: int = HEAD, frequent: int = FREQUENT) -> tuple[Model, DataFrame, DataFrame]:
+    """``rows``: doc_id, held_out, text. The model, the exact counts (word, cls, c) of all rows that are
+    not held out, and the indexed rows."""
+    counts = staged(word_counts(rows.filter("not held_out")), "hmm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = [(bytes(r.word), r.c) for r in counts.orderBy(F.col("c").desc(), "word").limit(HEAD).collect()]  # HEAD rows at most
-    own = {w for w, _ in head[:FREQUENT]}
+    head = [(bytes(r.word), r.c) for r in counts.orderBy(F.col("c").desc(), "word").limit(head_words).collect()]  # head_words rows at most
     classes: dict[int, list[int]] = {r.cls: [r.c, r.v] for r in counts.groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()}
-    for w, c in head[:FREQUENT]:  # frequent words have symbols of their own
+    for w, c in head[:frequent]:  # frequent words have symbols of their own
         classes[_class_of(w)][0] -= c
         classes[_class_of(w)][1] -= 1
-    model = Model(head, {k: (a, b) for k, (a, b) in classes.items()}, int(n), int(v), states)
-    assert len(own) == model.own
+    model = Model(head, {k: (a, b) for k, (a, b) in classes.items()}, int(n), int(v), states, frequent=frequent)
+    table = indexed(rows, model)
     for _ in range(rounds):
-        _one_round(train, model)
-    return model, counts
+        _one_round(table.filter("not held_out"), model)
+    return model, counts, table
 
 
-def score(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row (doc_id, text)."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    names = ["row", "doc_id", "n_tokens", "known", "base", "model", "words", "times"]
+def score(table: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every indexed row."""
+    shared = table.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
-        row = TaskContext.get().partitionId() << 33
-        unit = m.n + m.v + 1
-        inside = np.log10((m.class_total + m.class_words + 1).astype(float))
+    def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seqs, cols = [], [[] for _ in range(6)]
-            for t in batch.column(1).to_pylist():
-                tokens = _tokens(t)
-                known, base, within, rare, times = 0, 0.0, 0.0, [], []
-                for w, k in Counter(tokens).items():
-                    hit = m.head.get(w)
-                    if hit:
-                        known += k
-                        base += k * np.log10((hit[1] + 1) / unit)
-                        if hit[0] >= m.own:
-                            within += k * (np.log10(hit[1] + 1) - inside[hit[0] - m.own])
-                    else:
-                        rare.append(w)
-                        times.append(k)
-                seqs.append(np.array(list(map(m.symbol, tokens)), np.int64))
-                for c, x in zip(cols, (len(tokens), known, base, within, rare, times)):
-                    c.append(x)
-            ll = m.log10_forward(seqs) + np.array(cols[3])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(seqs))), batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(ll),
-                                              pa.array(cols[4], pa.list_(pa.binary())), pa.array(cols[5], pa.list_(pa.int32()))], names=names)
-            row += len(seqs)
-
-    told = staged(rows.select("doc_id", "text").mapInArrow(run, f"row long, doc_id {id_type}, n_tokens long, known long, base double, model double, words array<binary>, times array<int>"), "hmm-scored")
-    rare = told.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("k"))
-    totals = rows.sparkSession.createDataFrame([(i, float(np.log10(a + b + 1))) for i, (a, b) in enumerate(zip(model.class_total.tolist(), model.class_words.tolist()))], "t_cls int, inside double")
-    known = counts.join(F.broadcast(totals), F.col("cls") == F.col("t_cls")).select("word", "c", "inside")
-    # the head was resolved in the tasks; only other words are shuffled
-    least = min((c for _, c in model.head.values()), default=0) if len(model.head) >= HEAD else -1
-    known = known.filter(F.col("c") <= least) if least >= 0 else known.limit(0)
-    met = rare.join(known, "word", "left")
-    base = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.n + model.v + 1)))
-    # an unseen word takes the class's one spare share; its class is known from the word alone
-    sums = met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * base).alias("more_base"),
-                                  F.sum(F.when(F.col("c") > 0, F.col("k") * (F.log10(F.col("c") + 1) - F.col("inside")))).alias("more_model"))
-    unseen = met.filter("c is null").select("row", "word", "k")
-    unseen = unseen.groupBy("row").agg(F.collect_list("word").alias("u_words"), F.collect_list("k").alias("u_times"))  # within one text
-
-    @F.pandas_udf("double")
-    def spare(words, times):
-        import pandas as pd
-
-        inside = np.log10((shared.value.class_total + shared.value.class_words + 1).astype(float))
-        return pd.Series([-sum(k * inside[_class_of(bytes(w))] for w, k in zip(ws, ks)) for ws, ks in zip(words, times)])
-
-    spares = unseen.select("row", spare("u_words", "u_times").alias("spare"))
-    zero = F.lit(0.0)
-    return told.drop("words", "times").join(sums, "row", "left").join(spares, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("model") + F.coalesce("more_model", zero) + F.coalesce("spare", zero)).alias("score"))
+            ll = shared.value.log10_forward([np.frombuffer(x, "<u2") for x in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ll)], names=["f_row", "model"])
+
+    paths = table.select("row", "symbols").mapInArrow(forward, "f_row long, model double")
+
+    # the head was resolved in the tasks; only other words are shuffled, to counts that are not in the head
+    rare = table.select("row", F.explode(F.arrays_zip("words", "kinds", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.kinds").alias("kind"), F.col("w.times").alias("k"))
+    met = rare.join(counts.filter(F.col("c") <= model.least).select("word", "c"), "word", "left")
+    inside = F.element_at(F.array(*[F.lit(float(x)) for x in model.inside]), F.col("kind") + 1)
+    log_count = F.log10(F.coalesce("c", F.lit(0)) + 1)  # an unseen word takes the one spare share of its class
+    unit = float(np.log10(model.n + model.v + 1))
+    sums = met.groupBy(F.col("row").alias("s_row")).agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * (log_count - unit)).alias("more_base"),
+                                                        F.sum(F.col("k") * (log_count - inside)).alias("more_share"))
+    joined = table.drop("symbols", "words", "kinds", "times").join(paths, F.col("row") == F.col("f_row")).join(sums, F.col("row") == F.col("s_row"), "left")
+    return joined.select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("model") + F.col("share") + F.coalesce("more_share", F.lit(0.0))).alias("score"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null text counts as empty (one end token); repeated rows and null ids (which train) are scored each
     by their text; without training rows every word takes its class's spare share."""
     docs = documents(spark, sf_dir)
-    rows = docs.select("doc_id", text_or_empty(docs).alias("text"))
-    model, counts = train_model(rows.filter(~_held_out(F.col("doc_id"))))
-    out = score(rows, model, counts)
-    return out.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    rows = docs.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), text_or_empty(docs).alias("text"))
+    model, counts, table = train_model(rows)
+    return score(table, model, counts)
