@@ -126,6 +126,16 @@ class _Memo(dict):
         return out
 
 
+_MEMOS: dict[int, _Memo] = {}  # of this worker process, by the ranks' checksum; tasks that follow reuse it
+
+
+def _memo(mark: int, table: PerfectHash, ranks: dict[bytes, int]) -> _Memo:
+    if mark not in _MEMOS:
+        _MEMOS.clear()
+        _MEMOS[mark] = _Memo(table, ranks)
+    return _MEMOS[mark]
+
+
 def _list_array(parts: list[np.ndarray], kind) -> pa.ListArray:
     offsets = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) for p in parts], out=offsets[1:])
@@ -140,11 +150,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     null, other columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((PerfectHash(ranks), ranks))
+    shared = sc.broadcast((xxhash.xxh3_64_intdigest(repr(sorted(ranks.items())).encode()), PerfectHash(ranks), ranks))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, split = _Memo(*shared.value), regex.compile(pattern).findall
+        memo, split = _memo(*shared.value), regex.compile(pattern).findall
         for batch in batches:
             for at in range(0, batch.num_rows, 512):  # small output batches bound memory
                 part = batch.slice(at, 512)

@@ -33,7 +33,7 @@ SCALE = 20  # frequencies add up to 2 ** SCALE
 LANES = 64
 BLOCK = 1 << 16
 FRAME = 1 << 22
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 1_200_000
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sIIIQQII")
 
@@ -135,9 +135,20 @@ class _Ids(dict):
     def learn(self, words: list[str]) -> None:
         if len(self) > MEMO_ENTRIES:
             self.clear()
-        new = list({w for w in words if w not in self})
+        new = list(set(words).difference(self))
         for w, e in zip(new, self.model.encode_batch(new, add_special_tokens=False)):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+            self[w] = struct.pack(f"<{len(e)}I", *e.ids)
+
+
+_MEMOS: dict[int, _Ids] = {}  # of this worker process, by the model's checksum; tasks that follow reuse it
+
+
+def _ids(model: str) -> _Ids:
+    mark = zlib.crc32(model.encode())
+    if mark not in _MEMOS:
+        _MEMOS.clear()
+        _MEMOS[mark] = _Ids(model)
+    return _MEMOS[mark]
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
@@ -156,7 +167,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, id_col
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        memo, split = _Ids(shared.value), regex.compile(pattern).findall
+        memo, split = _ids(shared.value), regex.compile(pattern).findall
         part, frame, held, ids, docs_in = TaskContext.get().partitionId(), 0, 0, [], []
 
         def close():
