@@ -55,10 +55,11 @@ def normalize_columns(df: DataFrame, aliases: dict[str, str] = COLUMN_ALIASES) -
 
 # C2
 def derive_flight_id(df: DataFrame, candidates: list[str], order: str = "line", file_col: str = "file") -> DataFrame:
-    """First candidate column, else 'FL' + 0-padded position within the file (by ``order``)."""
+    """First candidate column, else 'FL' + position within the file, padded to at least 4 digits, (by ``order``)."""
     existing = [c for c in candidates if c in df.columns]
     df = row_index(df, [file_col], [order], _bucket(order), "_pos")
-    synthetic = F.concat(F.lit("FL"), F.lpad(F.col("_pos").cast("string"), 4, "0"))
+    digits = F.col("_pos").cast("string")
+    synthetic = F.concat(F.lit("FL"), F.lpad(digits, F.greatest(F.lit(4), F.length(digits)), "0"))
     value = F.coalesce(*[F.col(f"`{c}`").cast("string") for c in existing], synthetic) if existing else synthetic
     return df.withColumn("flight_id", value).drop("_pos")
 

@@ -291,9 +291,9 @@ def criticality(nodes: DataFrame, deg: DataFrame, betweenness: DataFrame, pr: Da
     j = nodes.select("flight_id", "airline", "origin", "destination").join(deg, "flight_id").join(
         betweenness, "flight_id", "left").join(pr, "flight_id", "left")
     j = j.withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0))).withColumn("pagerank", F.coalesce("pr", F.lit(0.0)))
-    max_out = F.max("out_degree").over(Window.partitionBy())
-    score = F.col("betweenness") * 0.4 + F.col("out_degree") / max_out * 0.3 + F.col("pagerank") * 0.3
-    return j.withColumn("criticality_score", score).drop("pr")
+    j = with_scalars(j, deg.agg(F.max("out_degree").alias("_max_out")))
+    score = F.col("betweenness") * 0.4 + F.col("out_degree") / F.col("_max_out") * 0.3 + F.col("pagerank") * 0.3
+    return j.withColumn("criticality_score", score).drop("pr", "_max_out")
 
 
 def top_critical(crit: DataFrame, top: int = 20) -> DataFrame:

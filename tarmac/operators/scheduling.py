@@ -11,6 +11,8 @@ on partitioning. Everything else is Column expressions and aggregates.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,7 +30,9 @@ NO_GO_HOURS = [7, 8, 19, 20, 21]
 CANDIDATE_HOURS = [h for h in range(6, 23) if h not in NO_GO_HOURS]
 # FIXED VALUES: rescheduling tables
 RESCHEDULE_RUNWAY_CAPACITY = {"R1": 35, "R2": 30, "R3": 25, "R4": 20, "09R/27L": 35, "09L/27R": 30, "14/32": 25}
-WEATHER_DELAY_IMPACT = {"Clear": 1.0, "Light Rain": 1.2, "Heavy Rain": 1.8, "Fog": 2.0, "Storm": 3.0, "Snow": 2.5}
+WEATHER_DELAY_IMPACT = {"Clear": 1.0, "Light Rain": 1.2, "Heavy Rain": 1.8, "Fog": 2.0, "Storm": 3.0, "Snow": 2.5,
+                        # not in the rescheduling table but in the weather table: rain between light and heavy, storms alike
+                        "Moderate Rain": 1.5, "Thunderstorm": 3.0, "Strong Winds": 1.5}
 
 
 # K1
@@ -81,43 +85,39 @@ GREEDY_SCHEMA = (
 )
 
 
+LATE_STEP = 10  # a place found this many quarter hours late, or on another runway, is no improvement
+
+
+def _first_with_room(minute: int, steps: int, booked: Counter, room: int) -> int | None:
+    """Quarter hours from ``minute`` to the first one whose hour has room. Capacity is per hour, so one
+    look per hour is enough: its first quarter hour on the flight's own 15-minute raster."""
+    for hour in range(minute // 60, (minute + SLOT_MINUTES * (steps - 1)) // 60 + 1):
+        step = max(0, -(-(hour * 60 - minute) // SLOT_MINUTES))
+        if (minute + SLOT_MINUTES * step) // 60 == hour and booked[hour] < room:
+            return step
+    return None
+
+
 def _greedy_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    cap = {r: int(c * 0.85) for r, c in dims.GREEDY_RUNWAY_CAPACITY.items()}
-    runways = list(dims.GREEDY_RUNWAY_CAPACITY)
+    """One airport-day in priority order; ``booked`` counts flights per runway and hour."""
+    rooms = {name: int(c * 0.85) for name, c in dims.GREEDY_RUNWAY_CAPACITY.items()}
+    booked = {name: Counter() for name in rooms}
     pdf = pdf.sort_values(["optimization_priority", "scheduled_time", "flight_id"], ascending=[False, True, True], kind="mergesort")
-    # minutes since epoch as plain ints: the loop does integer arithmetic only
-    mins = (pd.to_datetime(pdf["scheduled_time"]).astype("int64") // 60_000_000_000).to_numpy()
-    usage: dict[tuple[str, int], int] = {}
-    out_m, out_r, out_c = [], [], []
-    for t, pref, d in zip(mins.tolist(), pdf["runway"].tolist(), pdf["delay_minutes"].tolist()):
-        steps = (6 if d > 60 else 3) * 4
-        can_improve = True
-        chosen = None
-        for r in [pref] + [x for x in runways if x != pref]:
-            eff = cap.get(r, 0)
-            cur = t
-            for i in range(steps):
-                if usage.get((r, cur // 60), 0) < eff:
-                    chosen = (cur, r)
-                    break
-                cur += SLOT_MINUTES
-                if i > 8:
-                    can_improve = False
-            if chosen:
-                break
-        if chosen is None:
-            chosen = (t + 30, pref)
-            can_improve = False
-        key = (chosen[1], chosen[0] // 60)
-        usage[key] = usage.get(key, 0) + 1
-        out_m.append(chosen[0])
-        out_r.append(chosen[1])
-        out_c.append(can_improve)
+    wanted = (pd.to_datetime(pdf["scheduled_time"]).astype("int64") // 60_000_000_000).to_numpy()
+    span = np.where(pdf["delay_minutes"].to_numpy() > 60, 24, 12)
+    placed = []
+    for minute, own, steps in zip(wanted.tolist(), pdf["runway"].tolist(), span.tolist()):
+        order = [own, *(name for name in rooms if name != own)]
+        tries = ((name, _first_with_room(minute, steps, booked[name], rooms[name])) for name in order if name in rooms)
+        name, step = next(((n, k) for n, k in tries if k is not None), (own, None))
+        at = minute + 30 if step is None else minute + SLOT_MINUTES * step
+        booked.setdefault(name, Counter())[at // 60] += 1
+        placed.append((at, name, step is not None and name == own and step < LATE_STEP))
+    times, names, early = zip(*placed)
     return pd.DataFrame({
-        "flight_id": pdf["flight_id"].values, "base_airport": pdf["base_airport"].values,
-        "service_date": pdf["service_date"].values, "optimization_priority": pdf["optimization_priority"].astype(float).values,
-        "optimized_time": pd.to_datetime(np.asarray(out_m, dtype="int64"), unit="m"), "optimized_runway": out_r,
-        "can_improve": out_c,
+        "flight_id": pdf["flight_id"].values, "base_airport": pdf["base_airport"].values, "service_date": pdf["service_date"].values,
+        "optimization_priority": pdf["optimization_priority"].astype(float).values,
+        "optimized_time": pd.to_datetime(np.array(times, dtype="int64"), unit="m"), "optimized_runway": names, "can_improve": early,
     })
 
 

@@ -130,9 +130,8 @@ def _norm(spark, d):
 
 
 @register("derive_flight_id", with_flights("""
-SELECT line, coalesce(flight_number, 'FL' || lpad(CAST(row_number() OVER (PARTITION BY file ORDER BY line) - 1 AS VARCHAR), 4, '0'))
-  AS flight_id
-FROM raw_sheet
+SELECT line, coalesce(flight_number, 'FL' || lpad(pos, CAST(greatest(4, length(pos)) AS INTEGER), '0')) AS flight_id
+FROM (SELECT line, flight_number, CAST(row_number() OVER (PARTITION BY file ORDER BY line) - 1 AS VARCHAR) AS pos FROM raw_sheet)
 """, RAW))
 def _dfi(spark, d):
     return C.derive_flight_id(raw.raw_sheet(spark, d), ["flight_number"], "line").select("line", "flight_id")

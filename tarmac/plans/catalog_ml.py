@@ -210,7 +210,7 @@ def _rh(spark, d):
 
 @register("train_test_split", with_flights("""
 SELECT flight_id, CAST(delay_minutes > 0 AS INTEGER) AS stratum,
-  ((CAST(regexp_extract(flight_id, '(\\d+)$', 1) AS BIGINT) * 2654435761) % 1000003) % 100 < 20 AS is_test FROM flights
+  (((CAST(regexp_extract(flight_id, '(\\d+)$', 1) AS BIGINT) % 1000003) * 2654435761) % 1000003) % 100 < 20 AS is_test FROM flights
 """))
 def _tts(spark, d):
     return PR.train_test_split(_fl(spark, d)).select("flight_id", "stratum", "is_test")

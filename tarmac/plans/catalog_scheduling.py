@@ -172,7 +172,7 @@ RESCHED = """
   FROM (SELECT *, date_trunc('hour', scheduled_time) AS weather_hour FROM flights) f LEFT JOIN weather w USING (weather_hour)),
 c0 AS (SELECT wj.*, hour AS current_hour,
     CASE weather_condition WHEN 'Clear' THEN 1.0 WHEN 'Light Rain' THEN 1.2 WHEN 'Heavy Rain' THEN 1.8 WHEN 'Fog' THEN 2.0
-      WHEN 'Storm' THEN 3.0 WHEN 'Snow' THEN 2.5 END::DOUBLE AS weather_impact_factor,
+      WHEN 'Storm' THEN 3.0 WHEN 'Snow' THEN 2.5 WHEN 'Moderate Rain' THEN 1.5 WHEN 'Thunderstorm' THEN 3.0 WHEN 'Strong Winds' THEN 1.5 END::DOUBLE AS weather_impact_factor,
     coalesce(CASE runway WHEN 'R1' THEN 35 WHEN 'R2' THEN 30 WHEN 'R3' THEN 25 WHEN 'R4' THEN 20 WHEN '09R/27L' THEN 35
       WHEN '09L/27R' THEN 30 WHEN '14/32' THEN 25 END, 30) AS runway_capacity_r,
     count(*) OVER (PARTITION BY base_airport, runway, hour) AS current_usage FROM wj),

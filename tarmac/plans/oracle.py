@@ -25,7 +25,7 @@ ev2 AS (
 ),
 flights AS (
   SELECT
-    'FL' || lpad(CAST(event_id AS VARCHAR), 7, '0') AS flight_id,
+    'FL' || lpad(CAST(event_id AS VARCHAR), CAST(greatest(7, length(CAST(event_id AS VARCHAR))) AS INTEGER), '0') AS flight_id,
     (['AI','6E','UK','SG','G8','QP','I5','9W','VT','IX'])[user_id % 10 + 1] AS airline,
     'T' || CAST(user_id AS VARCHAR) AS aircraft_id,
     (['A320','B737','A321','B777','A350','B787'])[ti] AS aircraft_type,

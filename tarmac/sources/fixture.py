@@ -46,7 +46,7 @@ def flights_from_events(events: DataFrame) -> DataFrame:
     hour = F.hour(sched)
 
     df = events.select(
-        F.concat(F.lit("FL"), F.lpad(F.col("event_id").cast("string"), 7, "0")).alias("flight_id"),
+        F.concat(F.lit("FL"), F.lpad(F.col("event_id").cast("string"), F.greatest(F.lit(7), F.length(F.col("event_id").cast("string"))), "0")).alias("flight_id"),
         _pick(dims.AIRLINES, F.col("user_id") % 10).alias("airline"),
         F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("aircraft_id"),
         _pick(TYPE_ORDER, type_ix).alias("aircraft_type"),

@@ -56,19 +56,20 @@ def run_to_table(stream: DataFrame, name: str, keys: list[str], mode: str = "upd
     out = f"{base}/data"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+        # one folder a batch, overwritten: a retried batch replaces its rows
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     q = (stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        res = spark.read.parquet(out)
-    except Exception:  # no batch produced any row
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # no batch ran
         return spark.createDataFrame([], stream.schema)
+    res = spark.read.parquet(out)
     if not keys:
-        return res.drop("_batch")
-    latest = res.groupBy(*keys).agg(F.max("_batch").alias("_batch"))
-    return res.join(latest, [*keys, "_batch"]).drop("_batch")
+        return res.drop("batch_id")
+    latest = res.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
+    return res.join(latest, [*keys, "batch_id"]).drop("batch_id")
 
 
 # Z1
