@@ -48,6 +48,10 @@ def _held_out(col):
     return F.coalesce(F.crc32(col.cast("string")) % 7 == 2, F.lit(False))
 
 
+def _octave():
+    return F.floor(F.log2("c") * 16).cast("int")
+
+
 def word_counts(rows: DataFrame, flush: int = 300_000) -> DataFrame:
     """``word, cls, c`` over all rows: counted per task, then added up."""
 
@@ -92,7 +96,7 @@ class Model:
         self.own = min(frequent, len(head))
         self.symbols = self.own + CLASSES
         self.head = [w for w, _ in head]
-        self.least = head[-1][1] if head else 0
+        self.cut = 1 << 20  # words outside the head lie below this sixteenth-octave
         counts = np.array([c for _, c in head], float)
         self.class_total = np.zeros(CLASSES, np.int64)
         self.class_words = np.zeros(CLASSES, np.int64)
@@ -258,12 +262,20 @@ def train_model(rows: DataFrame, states: int = STATES, rounds: int = ROUNDS, hea
     not held out, and the indexed rows."""
     counts = staged(word_counts(rows.filter("not held_out")), "hmm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = [(bytes(r.word), r.c) for r in counts.orderBy(F.col("c").desc(), "word").limit(head_words).collect()]  # head_words rows at most
+    # the head: every word whose count is in the top sixteenth-octaves that hold head_words words at most
+    room, cut = head_words, 1 << 20
+    for r in sorted(counts.groupBy(_octave().alias("o")).agg(F.count(F.lit(1)).alias("w")).collect(), key=lambda r: -r.o):  # about 1,000 rows at most
+        room -= r.w
+        if room < 0:
+            break
+        cut = r.o
+    head = sorted(((bytes(r.word), r.c) for r in counts.filter(_octave() >= cut).collect()), key=lambda x: (-x[1], x[0]))
     classes: dict[int, list[int]] = {r.cls: [r.c, r.v] for r in counts.groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()}
     for w, c in head[:frequent]:  # frequent words have symbols of their own
         classes[_class_of(w)][0] -= c
         classes[_class_of(w)][1] -= 1
     model = Model(head, {k: (a, b) for k, (a, b) in classes.items()}, int(n), int(v), states, frequent=frequent)
+    model.cut = cut
     table = indexed(rows, model)
     for _ in range(rounds):
         _one_round(table.filter("not held_out"), model)
@@ -283,7 +295,7 @@ def score(table: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     # the head was resolved in the tasks; only other words are shuffled, to counts that are not in the head
     rare = table.select("row", F.explode(F.arrays_zip("words", "kinds", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.kinds").alias("kind"), F.col("w.times").alias("k"))
-    met = rare.join(counts.filter(F.col("c") <= model.least).select("word", "c"), "word", "left")
+    met = rare.join(counts.filter(_octave() < model.cut).select("word", "c"), "word", "left")
     inside = F.element_at(F.array(*[F.lit(float(x)) for x in model.inside]), F.col("kind") + 1)
     log_count = F.log10(F.coalesce("c", F.lit(0)) + 1)  # an unseen word takes the one spare share of its class
     unit = float(np.log10(model.n + model.v + 1))
