@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tarmac.llm.common import documents, text_or_empty
 
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -23,6 +23,11 @@ def _normalised(text: Column) -> Column:
     return F.regexp_replace(text, SPACE_RUN, "")
 
 
+def _id_keys(col: Column) -> list[Column]:
+    """An id as plain equality keys, null included."""
+    return [F.coalesce(col.cast("string"), F.lit("")).alias("__i"), col.isNull().alias("__n")]
+
+
 def _with_digest(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_or_empty(docs, text_col)
     return docs.select(docs[id_col].alias("doc_id"), F.length(text).alias("_points"), _normalised(text).alias("_content")) \
@@ -60,14 +65,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The documents that stay, with all their columns as given."""
     best = winners(docs, id_col, text_col, salts).select(
-        F.col("_digest").alias("_kd"), F.col("_check").alias("_kc"), F.col("keep_id").alias("_ki"), F.col("_keep_points").alias("_kp"))
+        F.col("_digest").alias("__d"), F.col("_check").alias("__c"), F.col("_keep_points").alias("__p"), *_id_keys(F.col("keep_id")))
     text = text_or_empty(docs, text_col)
-    content = _normalised(text)
-    match = F.sha2(content, 256).eqNullSafe(F.col("_kd")) & F.xxhash64(content).eqNullSafe(F.col("_kc")) \
-        & docs[id_col].eqNullSafe(F.col("_ki")) & (F.length(text) == F.col("_kp"))
-    stay = docs.join(best, match, "left_semi")
-    # repeated (id, text) rows share every key: one of them stays
-    return stay.dropDuplicates([id_col, text_col])
+    keys = ["__d", "__c", "__p", "__i", "__n"]
+    keyed = docs.select("*", F.sha2(_normalised(text), 256).alias("__d"), F.xxhash64(_normalised(text)).alias("__c"), F.length(text).alias("__p"), *_id_keys(docs[id_col]))
+    # repeated (id, text) rows share every key and so a task: one of them stays, without another shuffle
+    return keyed.join(best, keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

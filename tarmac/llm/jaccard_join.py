@@ -400,8 +400,10 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows with a null id stay where their group has no other id; repeated rows of the staying id are one.
     """
     groups = similar_groups(docs, id_col, text_col, percent)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates([id_col, text_col])
+    key = lambda c: [F.coalesce(c.cast("string"), F.lit("")).alias("__i"), c.isNull().alias("__n")]
+    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key(F.col("doc_id"))).distinct()
+    kept = docs.select("*", *key(docs[id_col])).join(stay, ["__i", "__n"], "left_semi")
+    return kept.dropDuplicates(["__i", "__n", text_col]).drop("__i", "__n")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
