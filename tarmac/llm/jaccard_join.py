@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import documents, staged, text_or_empty
+from tarmac.llm.common import documents, small_batches, staged, text_or_empty
 from tarmac.llm.components import components
 
 SHINGLE = 5
@@ -359,6 +359,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeat an id are judged by their own text; a component of null ids only has a null id. An empty
     table gives no rows; other columns are ignored.
     """
+    with small_batches(docs.sparkSession):  # every Python stage runs, and is written, inside
+        return _similar_groups(docs, id_col, text_col, percent)
+
+
+def _similar_groups(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     rows = docs.select(docs[id_col].alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
     sets = staged(_sets(rows, count_sketch(rows), percent), "sets")
     held = sets.filter(F.col("size") > 0)
