@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarmac.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality
-from tarmac.llm.common import documents, staged
+from tarmac.llm.common import documents, lean_session, staged
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble accepts (score of at least 0.3)."""
+    lean_session(spark)
     return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -25,6 +26,7 @@ def no_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar shingle sets."""
+    lean_session(spark)
     return jaccard_join.keep_one_per_group(docs)
 
 
@@ -35,6 +37,7 @@ def no_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE of each kept document, decoded back for proof."""
+    lean_session(spark)
     return bpe.encode_and_decode(docs)
 
 

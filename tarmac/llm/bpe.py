@@ -3,7 +3,7 @@
 Tier 1: a minimal perfect hash (hash and displace) over the vocabulary resolves a pre-token that is
 itself a token: one hash, one slot, one comparison. Tier 2: other pre-tokens are merged with a heap of
 (rank, position) over linked bytes, O(n log n) for any length. A bounded memo in front of both keeps
-the ids of recent pre-tokens. The vocabulary (its size is the only thing that is broadcast) comes from
+the ids of recent pre-tokens; it goes when the worker turns to another job. The vocabulary (its size is the only thing that is broadcast) comes from
 a rank file whose path is a parameter.
 """
 
@@ -12,18 +12,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tarmac.llm.common import documents, text_or_empty
+from tarmac.llm.common import documents, lean, splitter, text_or_empty
 
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 600_000
+PART = 512  # rows per output batch: bounds a worker's memory
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -126,14 +126,54 @@ class _Memo(dict):
         return out
 
 
-_MEMOS: dict[int, _Memo] = {}  # of this worker process, by the ranks' checksum; tasks that follow reuse it
+class _Encoder:
+    """What an encoding task needs, broadcast once. The memo belongs to a worker's copy of the broadcast:
+    tasks of the same job find it filled, and Spark drops it with the copy when the worker moves on."""
 
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks, self.pattern, self.table, self.ready = ranks, pattern, PerfectHash(ranks), None
 
-def _memo(mark: int, table: PerfectHash, ranks: dict[bytes, int]) -> _Memo:
-    if mark not in _MEMOS:
-        _MEMOS.clear()
-        _MEMOS[mark] = _Memo(table, ranks)
-    return _MEMOS[mark]
+    def tools(self) -> tuple[_Memo, Callable[[str], list[str]]]:
+        if self.ready is None:
+            self.ready = _Memo(self.table, self.ranks), splitter(self.pattern)
+        return self.ready
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, text) to (doc_id, token_ids, ids_sha256)."""
+        memo, split = self.tools()
+        for batch in batches:
+            for at in range(0, batch.num_rows, PART):
+                part = batch.slice(at, PART)
+                ids = [np.frombuffer(b"".join(map(memo.__getitem__, split(t))), "<i4") for t in part.column(1).to_pylist()]
+                sha = [hashlib.sha256(" ".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), _list_array(ids, pa.int32()), pa.array(sha)], names=["doc_id", "token_ids", "ids_sha256"])
+
+
+class _Decoder:
+    """The bytes of every id, end to end, and where each begins."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pieces = [b""] * (max(ranks.values(), default=-1) + 1)
+        for piece, r in ranks.items():
+            pieces[r] = piece
+        self.lengths = np.array([len(p) for p in pieces], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
+        self.flat = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def text_of(self, ids: np.ndarray) -> bytes:
+        n = self.lengths[ids]
+        to = np.cumsum(n)
+        return self.flat[np.repeat(self.first[ids] - to + n, n) + np.arange(to[-1] if len(to) else 0)].tobytes()
+
+    def run(self, batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+        """Adds ``decoded`` to batches whose column ``at`` holds the ids."""
+        for batch in batches:
+            for k in range(0, batch.num_rows, PART):
+                part = batch.slice(k, PART)
+                col = part.column(at)
+                offs, vals = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
+                texts = [self.text_of(vals[offs[i]:offs[i + 1]]) for i in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"])
 
 
 def _list_array(parts: list[np.ndarray], kind) -> pa.ListArray:
@@ -149,60 +189,39 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     Null and empty texts have no ids. Each row is encoded by itself: repeated rows repeat, ids may be
     null, other columns are ignored.
     """
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((xxhash.xxh3_64_intdigest(repr(sorted(ranks.items())).encode()), PerfectHash(ranks), ranks))
-    id_type = docs.schema[id_col].dataType.simpleString()
+    rows, id_type, shared = _texts(docs, ranks, pattern, id_col, text_col)
+    return rows.mapInArrow(lean(lambda batches: shared.value.run(batches)), f"doc_id {id_type}, token_ids array<int>, ids_sha256 string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, split = _memo(*shared.value), regex.compile(pattern).findall
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):  # small output batches bound memory
-                part = batch.slice(at, 512)
-                ids = [np.frombuffer(b"".join(map(memo.__getitem__, split(t))), "<i4") for t in part.column(1).to_pylist()]
-                sha = [hashlib.sha256(" ".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), _list_array(ids, pa.int32()), pa.array(sha)], names=["doc_id", "token_ids", "ids_sha256"])
 
+def _texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str, text_col: str):
+    """(doc_id, text) rows, the id's type and the encoder for the tasks."""
     rows = docs.select(docs[id_col].alias("doc_id"), text_or_empty(docs, text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, token_ids array<int>, ids_sha256 string")
+    return rows, docs.schema[id_col].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast(_Encoder(ranks, pattern))
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Adds ``decoded binary`` to a frame with ``token_ids``: the bytes of each id, looked up by rank."""
-    size = max(ranks.values(), default=-1) + 1
-    pieces = [b""] * size
-    for piece, r in ranks.items():
-        pieces[r] = piece
-    lengths = np.array([len(p) for p in pieces], np.int64)
-    first = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    shared = tokens.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(pieces), np.uint8), first, lengths))
-    at, names = tokens.columns.index("token_ids"), [*tokens.columns, "decoded"]
-
-    def text_of(ids: np.ndarray) -> bytes:
-        flat, first, lengths = shared.value
-        n = lengths[ids]
-        to = np.cumsum(n)
-        return flat[np.repeat(first[ids] - to + n, n) + np.arange(to[-1] if len(to) else 0)].tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                col = part.column(at)
-                offs, vals = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
-                texts = [text_of(vals[offs[i]:offs[i + 1]]) for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=names)
-
+    shared, at = tokens.sparkSession.sparkContext.broadcast(_Decoder(ranks)), tokens.columns.index("token_ids")
     schema = ", ".join(f"`{n}` {t}" for n, t in tokens.dtypes)
-    return tokens.mapInArrow(run, f"{schema}, decoded binary")
+    return tokens.mapInArrow(lean(lambda batches: shared.value.run(batches, at)), f"{schema}, decoded binary")
 
 
-def encode_and_decode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per document, decoded from the ids."""
+def encode_and_decode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per document: ``encode`` and ``decode`` in one
+    pass of one worker, so that ids and texts never travel back; only digests leave it."""
     import public_tokenizers
 
     ranks = load_ranks(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    back = decode(encode(docs, ranks, pattern or public_tokenizers.PATTERN), ranks)
-    return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    rows, id_type, encoder = _texts(docs, ranks, pattern or public_tokenizers.PATTERN, id_col, text_col)
+    decoder = docs.sparkSession.sparkContext.broadcast(_Decoder(ranks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in decoder.value.run(encoder.value.run(batches), 1):
+            sha = [hashlib.sha256(x.as_buffer()).hexdigest() for x in b.column(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.list_value_length(b.column(1)).cast(pa.int64()), b.column(2), pa.array(sha, pa.string())],
+                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return rows.mapInArrow(lean(run), f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

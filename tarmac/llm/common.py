@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import string
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +60,48 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def lean_session(spark: SparkSession, rows: int = 500) -> None:
+    """The same for the rest of the session, for jobs whose frames are written by someone else."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, giving free memory back to the system at the end of each task: a worker
+    that Spark reuses would otherwise hold the largest task's memory through all later stages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return task
+
+
+def _class_ranges(cls: str) -> str:
+    """The characters up to U+FFFF that ``regex`` puts into a class, as ranges of a bracket expression."""
+    plane = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x10000))))
+    return "".join(f"{re.escape(run[0])}-{re.escape(run[-1])}" for run in regex.findall(f"{cls}+", plane))
+
+
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """``regex.compile(pattern).findall``, about three times as fast for texts without characters above
+    U+FFFF: there ``\\p{..}``, ``\\s`` and ``\\S`` are spelled out as ranges for the standard library's engine.
+    Patterns with flags, other classes or groups that findall would return are left to ``regex``."""
+    plain = regex.compile(pattern)
+    if plain.groups or regex.search(r"\(\?[a-zA-Z]|\\[^pPsS\W]|\\P|\\p(?!\{\w+\})|\[[^\]]*\\S", pattern):
+        return plain.findall
+    out, inside = [], False
+    for part in regex.findall(r"\\p\{\w+\}|\\.|.", pattern, regex.S):
+        if part in "[]":
+            inside = part == "["
+        elif part == r"\S":
+            part = f"[^{_class_ranges(chr(92) + 's')}]"
+        elif part == r"\s" or part.startswith(r"\p"):
+            part = _class_ranges(part) if inside else f"[{_class_ranges(part)}]"
+        out.append(part)
+    quick, above = re.compile("".join(out)).findall, re.compile("[\U00010000-\U0010ffff]").search
+    return lambda text: quick(text) if text.isascii() or not above(text) else plain.findall(text)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import documents, small_batches, staged, text_or_empty
+from tarmac.llm.common import documents, lean, small_batches, staged, text_or_empty
 from tarmac.llm.components import components
 
 SHINGLE = 5
@@ -151,7 +151,7 @@ def count_sketch(rows: DataFrame) -> np.ndarray:
     # Spark reads the streaming form of a grouped function from its type hints
     add.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     schema = "block int, salt int, part binary"
-    salted = rows.select("text").mapInArrow(count, schema).groupBy("block", "salt").applyInArrow(add, schema)
+    salted = rows.select("text").mapInArrow(lean(count), schema).groupBy("block", "salt").applyInArrow(add, schema)
     summed = salted.groupBy("block").applyInArrow(add, schema)
     table = np.zeros((blocks, 2 * SKETCH // blocks), np.uint32)
     for r in summed.collect():  # 16 rows, 8 MB before compression
@@ -199,7 +199,7 @@ def _sets(rows: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), batch.column(0), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()),
                                               pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary()), pa.array(cols[6], pa.float64())], names=names)
 
-    return rows.select("doc_id", "text").mapInArrow(run, f"row long, doc_id {id_type}, sig binary, size long, prefix binary, finger binary, bits binary, scan double")
+    return rows.select("doc_id", "text").mapInArrow(lean(run), f"row long, doc_id {id_type}, sig binary, size long, prefix binary, finger binary, bits binary, scan double")
 
 
 def cost_boundary(nodes: DataFrame) -> int:
@@ -236,7 +236,7 @@ def _postings(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
                     owner.append(np.full(len(k), n))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owner))], names=["key", "node"])
 
-    return nodes.select("node", "size", "prefix").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "size", "prefix").mapInArrow(lean(run), "key long, node long")
 
 
 def _possible(percent: int):
@@ -280,7 +280,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int) -
             yield out.filter(same)
 
     texts = rows.join(asked, rows["doc_id"].eqNullSafe(F.col("d_id"))).select("text", "d_sig", "node", "as_x", "only_x")
-    full = staged(texts.mapInArrow(run, "node long, as_x int, only_x int, elements binary"), "elements")
+    full = staged(texts.mapInArrow(lean(run), "node long, as_x int, only_x int, elements binary"), "elements")
 
     @F.pandas_udf("boolean")
     def similar(xs: pd.Series, ys: pd.Series) -> pd.Series:

@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import documents, staged, text_or_empty
+from tarmac.llm.common import documents, lean, staged, text_or_empty
 
 MAX_ROWS = 20_000
 STATS = ["n_chars", "n_words", "word_len", "upper_share", "symbol_share", "digit_share", "bang_rate", "pipe_rate",
@@ -52,16 +52,20 @@ def _stats(text: str) -> list[float]:
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: the id) and one double per name in STATS; null text counts as empty."""
     keep = [id_col] if keep is None else keep
-    rows = docs.select(*[docs[c] for c in keep], text_or_empty(docs, text_col).alias("__text"))
+    rows = docs.select(*[docs[c] for c in keep])
+    if text_col in keep and docs.schema[text_col].dataType.simpleString() == "string":
+        at = keep.index(text_col)  # kept texts travel once
+    else:
+        at, rows = len(keep), docs.select(*[docs[c] for c in keep], text_or_empty(docs, text_col).alias("__text"))
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + [f"__{s} double" for s in STATS])
     names = [*keep, *[f"__{s}" for s in STATS]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = np.array([_stats(t) for t in batch.column(len(keep)).to_pylist()], float).reshape(-1, len(STATS))
+            table = np.array([_stats(t or "") for t in batch.column(at).to_pylist()], float).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(table[:, i]) for i in range(len(STATS))]], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _paths(node, so_far: tuple, out: set) -> None:

@@ -18,16 +18,16 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tarmac.llm.common import documents, staged, text_or_empty
+from tarmac.llm.common import documents, lean, splitter, staged, text_or_empty
 
 SCALE = 20  # frequencies add up to 2 ** SCALE
 LANES = 64
@@ -122,33 +122,54 @@ def decode_frame(data: bytes, only: range | None = None) -> np.ndarray:
     return np.concatenate(parts)
 
 
-class _Ids(dict):
-    """Pre-token -> ids as u32 bytes, from the tokenizers library; a byte-level BPE never merges across
-    pre-tokens, so each distinct one is encoded once."""
+#: Byte -> character of byte-level vocabularies: printable Latin-1 stands for itself, the other bytes
+#: for U+0100 onwards in ascending order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHERS = iter(range(256, 512))
+_BYTE_CHARS = "".join(chr(b if b in _PRINTABLE else next(_OTHERS)) for b in range(256))
+_ID = attrgetter("id")
 
-    def __init__(self, tokenizer_json: str):
-        from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_str(tokenizer_json)
-        self.model.encode_special_tokens = True
+class _Memo(dict):
+    """Pre-token -> ids as u32 bytes, from the library's model; emptied when full."""
 
-    def learn(self, words: list[str]) -> None:
-        if len(self) > MEMO_ENTRIES:
+    def __init__(self, model):
+        self.tokenize = model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii() and word.isprintable():
+            tokens = self.tokenize(word.replace(" ", _BYTE_CHARS[32]))
+        else:
+            tokens = self.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))
+        if len(self) >= MEMO_ENTRIES:
             self.clear()
-        new = list(set(words).difference(self))
-        for w, e in zip(new, self.model.encode_batch(new, add_special_tokens=False)):
-            self[w] = struct.pack(f"<{len(e)}I", *e.ids)
+        self[word] = out = struct.pack(f"<{len(tokens)}I", *map(_ID, tokens))
+        return out
+
+
+class _Encoder:
+    """A byte-level BPE of the tokenizers library (no normalizer, no prefix space). Such a model never
+    merges across pre-tokens, so each distinct one goes through the model once per memo; a text that
+    spells out an added token goes through the library whole, which cuts it there. The memo belongs to a
+    worker's copy of the broadcast and goes with it."""
 
+    def __init__(self, tokenizer_json: str, pattern: str):
+        self.json, self.pattern, self.ready = tokenizer_json, pattern, None
 
-_MEMOS: dict[int, _Ids] = {}  # of this worker process, by the model's checksum; tasks that follow reuse it
+    def tools(self):
+        if self.ready is None:
+            from tokenizers import Tokenizer
 
+            whole = Tokenizer.from_str(self.json)
+            added = [t.content for t in whole.get_added_tokens_decoder().values()]
+            self.ready = whole, added, _Memo(whole.model), splitter(self.pattern)
+        return self.ready
 
-def _ids(model: str) -> _Ids:
-    mark = zlib.crc32(model.encode())
-    if mark not in _MEMOS:
-        _MEMOS.clear()
-        _MEMOS[mark] = _Ids(model)
-    return _MEMOS[mark]
+    def encode(self, text: str) -> bytes:
+        whole, added, memo, split = self.tools()
+        if any(a in text for a in added):
+            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(memo.__getitem__, split(text)))
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
@@ -156,7 +177,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, id_col
     ``part, frame, payload, doc_ids, lengths``. Null ids come first; equal ids are ordered by text."""
     with open(tokenizer_path, encoding="utf-8") as f:
         model = f.read()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(_Encoder(model, pattern))
     id_type = docs.schema[id_col].dataType.simpleString()
     text = text_or_empty(docs, text_col)
     rows = docs.select(docs[id_col].alias("doc_id"), text.alias("text"))
@@ -167,7 +188,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, id_col
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        memo, split = _ids(shared.value), regex.compile(pattern).findall
+        encode = shared.value.encode
         part, frame, held, ids, docs_in = TaskContext.get().partitionId(), 0, 0, [], []
 
         def close():
@@ -180,10 +201,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, id_col
             kind = batch.schema.field(0).type
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                cut = [split(t) for t in piece.column(1).to_pylist()]
-                memo.learn([w for words in cut for w in words])
-                for doc_id, words in zip(piece.column(0).to_pylist(), cut):
-                    ids.append(b"".join(map(memo.__getitem__, words)) + end)
+                for doc_id, t in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+                    ids.append(encode(t) + end)
                     docs_in.append(doc_id)
                     held += len(ids[-1]) // 4
                     if held >= FRAME:
@@ -192,7 +211,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, pattern: str, id_col
         if ids:
             yield close()
 
-    return staged(ordered.mapInArrow(run, f"part int, frame int, payload binary, doc_ids array<{id_type}>, lengths array<long>"), "token-files")
+    return staged(ordered.mapInArrow(lean(run), f"part int, frame int, payload binary, doc_ids array<{id_type}>, lengths array<long>"), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -220,7 +239,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids[j], batch.schema.field(1).type.value_type), pa.array(starts[j] + first), pa.array(np.array(lengths[j], np.int64)), pa.array(crc[j], pa.int64())],
                                                      names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.select("payload", "doc_ids", "lengths", "first").mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
+    return placed.select("payload", "doc_ids", "lengths", "first").mapInArrow(lean(run), f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

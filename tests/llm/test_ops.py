@@ -337,3 +337,35 @@ def test_pipeline_against_brute_force(spark):
     clean = [r.doc_id for r in before if not any(tuple(w[i:i + n]) in wins for w in [split(r.text)] for n in {len(x) for x in wins} for i in range(len(w) - n + 1))]
     assert sorted(r.doc_id for r in now.collect()) == sorted(clean) and now.columns == docs.columns
     assert sorted(r.doc_id for r in stages["bpe"](spark, now, SF).collect()) == sorted(clean)
+
+
+def test_splitter_equals_regex():
+    import random
+
+    import public_tokenizers as P
+    import regex
+
+    from tarmac.llm.common import splitter
+
+    quick, plain, rng = splitter(P.PATTERN), regex.compile(P.PATTERN).findall, random.Random(1)
+    for c in map(chr, (*range(0xD800), *range(0xE000, 0x11000))):
+        assert quick(f"{c}a {c}1{c} ") == plain(f"{c}a {c}1{c} ")
+    pool = [chr(c) for c in (*range(0x180), 0x2028, 0x3000, 0x200B, 0x4E2D, 0x663, 0x2160, 0x1F600, 0x10400)]
+    for _ in range(5000):
+        text = "".join(rng.choices(pool, k=rng.randint(0, 40)))
+        assert quick(text) == plain(text)
+    assert splitter(r"(?i:ab)|\d+")("aB 12") == ["aB", "12"]  # left to regex
+
+
+def test_token_files_cut_added_tokens_like_the_library():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from tarmac.llm import token_files as T
+
+    path = P.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        enc = T._Encoder(f.read(), P.PATTERN)
+    lib = Tokenizer.from_file(path)
+    for text in ["a<|endoftext|> b", "", " \n\x00\x7f\xa0é😀中 x's", "plain words"]:
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
