@@ -259,7 +259,7 @@ def given_assignment(fl: DataFrame) -> DataFrame:
     suit = F.element_at(F.array(*[suitability(r, F.col("aircraft_type")) for r in rws]), (idx + 1).cast("int"))
     ot = nearest_slot(F.col("scheduled_time"), SLOT_MINUTES)
     return fl.select(
-        "flight_id", "aircraft_id", "capacity", "delay_minutes", "scheduled_time",
+        "flight_id", "base_airport", "aircraft_id", "capacity", "delay_minutes", "scheduled_time",
         flight_priority(F.col("is_emergency"), F.col("is_international"), F.col("capacity")).alias("priority"),
         aircraft_category(F.col("aircraft_type")).alias("aircraft_category"),
         opt_rw.alias("optimized_runway"), ot.alias("optimized_time"),
@@ -312,13 +312,13 @@ def allocation_rollups(asg: DataFrame, by: tuple[str, ...] = ("aircraft_category
 
 # K6
 def schedule_audit(asg: DataFrame) -> DataFrame:
-    """Runway-hours above max ops, duplicate flight assignments and turnaround gaps below 45 minutes."""
+    """Runway-hours (of one airport) above max ops, duplicate flight assignments and turnaround gaps below 45 minutes."""
     from tarmac.operators.joins import turnaround_violations
 
     spark = asg.sparkSession
     rw = F.broadcast(spark.createDataFrame([(r, v[1]) for r, v in dims.SUITABILITY_RUNWAYS.items()],
                                            "optimized_runway string, max_ops int"))
-    over = asg.groupBy("optimized_runway", F.date_trunc("hour", "optimized_time").alias("h")).agg(F.count(F.lit(1)).alias("n")).join(
+    over = asg.groupBy("base_airport", "optimized_runway", F.date_trunc("hour", "optimized_time").alias("h")).agg(F.count(F.lit(1)).alias("n")).join(
         rw, "optimized_runway", "left").filter(F.col("n") > F.coalesce(F.col("max_ops"), F.lit(0))).agg(
         F.count(F.lit(1)).alias("over_capacity_runway_hours"))
     dup = asg.groupBy("flight_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).agg(

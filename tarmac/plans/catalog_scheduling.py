@@ -110,7 +110,7 @@ def _alloc(spark, d):
 
 GIVEN_ASG = SUIT + """
 , asg AS (
-  SELECT f.flight_id, f.aircraft_id, f.capacity, f.delay_minutes, f.scheduled_time,
+  SELECT f.flight_id, f.base_airport, f.aircraft_id, f.capacity, f.delay_minutes, f.scheduled_time,
     CASE WHEN f.is_emergency THEN 1 WHEN f.is_international THEN 2 WHEN f.capacity >= 150 THEN 3 WHEN f.capacity >= 50 THEN 4 ELSE 5 END AS priority,
     coalesce(ac.cat, 'Medium') AS aircraft_category, s.runway_id AS optimized_runway,
     TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST(CASE WHEN e - (e // 900) * 900 > 450 THEN (e // 900) * 900 + 900
@@ -155,7 +155,7 @@ def _ar(spark, d):
 
 @register("schedule_audit", with_flights(GIVEN_ASG + """
 SELECT
-  (SELECT count(*) FROM (SELECT optimized_runway, date_trunc('hour', optimized_time) AS h, count(*) AS n FROM asg2 GROUP BY 1, 2) x
+  (SELECT count(*) FROM (SELECT base_airport, optimized_runway, date_trunc('hour', optimized_time) AS h, count(*) AS n FROM asg2 GROUP BY 1, 2, 3) x
    LEFT JOIN (VALUES ('09R/27L', 35), ('09L/27R', 35), ('14/32', 25), ('27/09', 28)) o(rid, max_ops) ON o.rid = x.optimized_runway
    WHERE n > coalesce(max_ops, 0)) AS over_capacity_runway_hours,
   (SELECT count(*) FROM (SELECT flight_id FROM asg2 GROUP BY flight_id HAVING count(*) > 1)) AS duplicate_assignments,

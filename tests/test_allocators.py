@@ -88,3 +88,17 @@ def test_cross_validate_mechanism(flights):
     out = {r["metric"]: r for r in PR.cross_validate(PR.features_frame(flights), k=3, estimators=small).collect()}
     assert set(out) == {"mae", "r2"}
     assert out["mae"]["mean"] > 0 and out["mae"]["std"] is not None
+
+
+def test_schedule_audit_counts_each_airport_alone(spark):
+    """20 flights an hour at each of two airports are below the runway's 35; 40 at one are not."""
+    from datetime import datetime
+
+    from tarmac.operators import scheduling as K
+
+    def over(bases):
+        rows = [(f"F{i}", bases[i % 2], f"A{i}", "09R/27L", datetime(2024, 1, 1, 8, i)) for i in range(40)]
+        asg = spark.createDataFrame(rows, "flight_id string, base_airport string, aircraft_id string, optimized_runway string, optimized_time timestamp_ntz")
+        return K.schedule_audit(asg).first()["over_capacity_runway_hours"]
+
+    assert over(["ONE", "TWO"]) == 0 and over(["ONE", "ONE"]) == 1
