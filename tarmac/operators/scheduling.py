@@ -2,8 +2,8 @@
 
 The two allocators (K2 greedy capacity search, K8 runway-slot assignment) are sequential,
 state-carrying loops in the reference: each flight's choice depends on all earlier choices.
-Their state is scoped to one (base airport, service day) (decision D5), which makes every
-group independent: Spark shuffles flights by that key and runs the loop per group with
+Their state is scoped to one (base airport, service day) (decision D5; K8 adds a second pass at
+midnight), which makes every group independent: Spark shuffles flights by that key and runs the loop per group with
 ``applyInPandas``. A group is one airport-day of traffic, bounded by the airport's capacity.
 Inside a group the order is total (priority, time, flight id), so the result does not depend
 on partitioning. Everything else is Column expressions and aggregates.
@@ -22,6 +22,7 @@ from tarmac.functions import dims
 from tarmac.functions.scalars import with_scalars
 from tarmac.operators.cleaning import AIRCRAFT, aircraft_category, flight_priority
 from tarmac.operators.joins import nearest_slot
+from tarmac.session import cut_lineage
 
 SLOT_MINUTES = 15
 # FIXED VALUES: slot-penalty multipliers by peak category; hours the rescheduler avoids
@@ -185,69 +186,87 @@ ALLOC_SCHEMA = (
 )
 
 
-def _alloc_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    runways = list(dims.SUITABILITY_RUNWAYS)
-    pdf = pdf.sort_values(["priority", "scheduled_time", "flight_id"], kind="mergesort")
-    secs = (pd.to_datetime(pdf["scheduled_time"]).astype("int64") // 1_000_000_000).to_numpy()
+SUITS = [f"s_{i}" for i in range(len(dims.SUITABILITY_RUNWAYS))]
+#: What a second pass needs besides the result.
+CARRIED = ["scheduled_time", "runway", *SUITS]
+PLACED_SCHEMA = (ALLOC_SCHEMA + ", scheduled_time timestamp_ntz, runway string, placed boolean, "
+                 + ", ".join(f"{c} double" for c in SUITS))
+#: How far a flight may move, in seconds.
+MAX_SHIFT = 3600
+
+
+def _place(pdf: pd.DataFrame, day: pd.Timestamp, taken: set) -> pd.DataFrame:
+    """Places flights in priority order on the free slots of one calendar day; the rest keep their own runway and time.
+    ``taken`` holds (runway, slot of the day) pairs and receives the new ones."""
     step = SLOT_MINUTES * 60
-    start = int(secs.min()) // 3600 * 3600
-    end = int(secs.max()) + 2 * 3600
-    n_slots = -(-(end - start) // step)  # slots start..end (last one starts before end)
-    occupied = {r: [False] * n_slots for r in runways}
-    suits = pdf[[f"s_{i}" for i in range(len(runways))]].to_numpy()
-    res_r, res_t, res_c, res_s = [], [], [], []
-    for j, (t, own_rw) in enumerate(zip(secs.tolist(), pdf["runway"].tolist())):
-        best_score, best_rw, best_k = -1.0, None, None
-        lo = max(0, (t - 3600 - start) // step)
-        hi = min(n_slots - 1, -(-(t + 3600 - start) // step))
-        for ri, r in enumerate(runways):
-            occ = occupied[r]
-            closest, cdiff = None, None
-            for k in range(lo, hi + 1):  # ascending: ties keep the earlier slot
-                if occ[k]:
-                    continue
-                diff = abs(start + k * step - t)
-                if diff <= 3600 and (cdiff is None or diff < cdiff):
-                    closest, cdiff = k, diff
-            if closest is None:
+    last = 24 * 3600 // step - 1
+    pdf = pdf.sort_values(["priority", "scheduled_time", "flight_id"], kind="mergesort")
+    offsets = (pdf["scheduled_time"] - day).dt.total_seconds().astype("int64")
+    suits = pdf[SUITS].to_numpy()
+    slots, runways, scores = [], [], []
+    for t, own, suit in zip(offsets, pdf["runway"], suits):
+        first, final = max(0, -((MAX_SHIFT - t) // step)), min(last, (t + MAX_SHIFT) // step)
+        # nearest slot first, the earlier one of two equally near
+        near = sorted(range(first, final + 1), key=lambda k: (abs(k * step - t), k))
+        best = None
+        for r, s in zip(dims.SUITABILITY_RUNWAYS, suit):
+            k = next((k for k in near if (r, k) not in taken), None)
+            if k is None:
                 continue
-            score = float(suits[j, ri]) * (1 - min(0.5, cdiff / 3600))
-            if score > best_score:
-                best_score, best_rw, best_k = score, r, closest
-        if best_rw is not None:
-            occupied[best_rw][best_k] = True
-            st = start + best_k * step
-            res_r.append(best_rw)
-            res_t.append(st)
-            res_c.append((st - t) / 60)
-            res_s.append(best_score)
+            score = s * (1 - min(0.5, abs(k * step - t) / MAX_SHIFT))
+            if best is None or score > best[0]:
+                best = (score, r, k)
+        if best is None:
+            slots.append(None), runways.append(own), scores.append(0.5)
         else:
-            res_r.append(own_rw)
-            res_t.append(t)
-            res_c.append(0.0)
-            res_s.append(0.5)
-    return pd.DataFrame({
-        "flight_id": pdf["flight_id"].values, "base_airport": pdf["base_airport"].values,
-        "service_date": pdf["service_date"].values, "priority": pdf["priority"].astype("int32").values,
-        "aircraft_category": pdf["aircraft_category"].values, "optimized_runway": res_r,
-        "optimized_time": pd.to_datetime(np.asarray(res_t, dtype="int64"), unit="s"),
-        "schedule_change_minutes": res_c, "suitability_score": res_s,
-    })
+            taken.add(best[1:])
+            slots.append(best[2] * step), runways.append(best[1]), scores.append(best[0])
+    placed = [k is not None for k in slots]
+    moved = np.array([t if k is None else k for t, k in zip(offsets, slots)], dtype="int64")
+    return pdf[["flight_id", "base_airport", "service_date", "priority", "aircraft_category", *CARRIED]].assign(
+        optimized_runway=runways, optimized_time=day + pd.to_timedelta(moved, unit="s"),
+        schedule_change_minutes=(moved - offsets.to_numpy()) / 60.0, suitability_score=scores, placed=placed)
+
+
+def _place_own_day(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _place(pdf, pd.Timestamp(pdf["service_date"].iloc[0]), set())
+
+
+def _place_other_day(left: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """Flights without a slot on their own day, on the slots that the neighbouring day's flights left free."""
+    if left.empty:
+        return pd.DataFrame()
+    day = pd.Timestamp(left["slot_day"].iloc[0])
+    taken = set(zip(held["held_runway"], held["held_slot"])) if len(held) else set()
+    return _place(left, day, taken)
 
 
 def allocate_runway_slots(fl: DataFrame) -> DataFrame:
-    """K8 per (base airport, service day): priority order, each (runway, 15-minute slot) used once,
-    within +/-60 min, best suitability x (1 - min(0.5, shift/60)); unplaced flights keep their slot."""
+    """K8: priority order, each (airport, runway, 15-minute slot) used once, within +/-60 min, best suitability x
+    (1 - min(0.5, shift/60)); unplaced flights keep their slot.
+
+    A slot belongs to the calendar day it lies in. First every (base airport, day) places its own flights on the whole
+    day's slots; then flights left over within an hour of midnight try what the neighbouring day left free. So no two
+    groups hand out the same slot."""
     df = fl.withColumns({
         "service_date": F.to_date("scheduled_time"),
         "priority": flight_priority(F.col("is_emergency"), F.col("is_international"), F.col("capacity")),
         "aircraft_category": aircraft_category(F.col("aircraft_type")),
     })
-    for i, r in enumerate(dims.SUITABILITY_RUNWAYS):
-        df = df.withColumn(f"s_{i}", suitability(r, F.col("aircraft_type")))
-    cols = ["flight_id", "base_airport", "service_date", "priority", "aircraft_category", "scheduled_time", "runway"] + [
-        f"s_{i}" for i in range(len(dims.SUITABILITY_RUNWAYS))]
-    return df.select(*cols).groupBy("base_airport", "service_date").applyInPandas(_alloc_group, ALLOC_SCHEMA)
+    df = df.withColumns({c: suitability(r, F.col("aircraft_type")) for c, r in zip(SUITS, dims.SUITABILITY_RUNWAYS)}).select(
+        "flight_id", "base_airport", "service_date", "priority", "aircraft_category", *CARRIED)
+    own = cut_lineage(df.groupBy("base_airport", "service_date").applyInPandas(_place_own_day, PLACED_SCHEMA))
+
+    hour = F.hour("scheduled_time")
+    slot_day = F.when(hour == 0, F.date_sub("service_date", 1)).when(hour == 23, F.date_add("service_date", 1))
+    edge = ~F.col("placed") & hour.isin(0, 23)
+    left = own.filter(edge).withColumn("slot_day", slot_day)
+    held = own.filter(F.col("placed") & F.hour("optimized_time").isin(0, 23)).select(
+        "base_airport", F.to_date("optimized_time").alias("slot_day"), F.col("optimized_runway").alias("held_runway"),
+        ((F.hour("optimized_time") * 60 + F.minute("optimized_time")) / SLOT_MINUTES).cast("int").alias("held_slot"))
+    other = left.groupBy("base_airport", "slot_day").cogroup(held.groupBy("base_airport", "slot_day")).applyInPandas(
+        _place_other_day, PLACED_SCHEMA)
+    return own.filter(~edge).unionByName(other).drop("placed", *CARRIED)
 
 
 def given_assignment(fl: DataFrame) -> DataFrame:

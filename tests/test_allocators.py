@@ -28,14 +28,33 @@ def test_runway_slot_invariants(flights):
     n = flights.count()
     assert out.count() == n and out.select("flight_id").distinct().count() == n
     moved = joined.filter(F.col("suitability_score") != 0.5)
-    # each (airport-day, runway, slot) used at most once
-    dup = moved.groupBy("base_airport", "service_date", "optimized_runway", "optimized_time").count().filter("count > 1")
+    # each (airport, runway, slot) used at most once, also across midnight
+    dup = moved.groupBy("base_airport", "optimized_runway", "optimized_time").count().filter("count > 1")
     assert dup.count() == 0
     # within one hour of the schedule, on a 15-minute grid
     assert moved.filter(F.abs(F.col("schedule_change_minutes")) > 60).count() == 0
     assert moved.filter(F.minute("optimized_time") % 15 != 0).count() == 0
 
 
+def test_runway_slots_across_midnight(spark):
+    """Flights at 23:50 fill their own day's last hour first, then free slots after midnight, never one twice."""
+    from datetime import datetime
+
+    rows = [(f"L{i:03d}", "BOM", datetime(2024, 1, 1, 23, 50)) for i in range(30)]
+    rows += [(f"E{i:03d}", "BOM", datetime(2024, 1, 2, 0, 5)) for i in range(8)]
+    fl = spark.createDataFrame(rows, "flight_id string, base_airport string, scheduled_time timestamp_ntz").selectExpr(
+        "*", "'09R/27L' AS runway", "'A320' AS aircraft_type", "180 AS capacity", "false AS is_emergency", "false AS is_international")
+    out = K.allocate_runway_slots(fl).collect()
+    assert len(out) == len({r["flight_id"] for r in out}) == 38
+    slots = [(r["optimized_runway"], r["optimized_time"]) for r in out if r["optimized_time"].minute % 15 == 0]
+    assert len(slots) == len(set(slots))
+    # 23:00 to 23:45 hold four slots on each of four runways; 00:00 to 00:45 the other sixteen, eight of them for E
+    late = [r for r in out if r["flight_id"].startswith("L") and r["optimized_time"].minute % 15 == 0]
+    assert sum(r["optimized_time"].day == 1 for r in late) == 16
+    assert sum(r["optimized_time"].day == 2 for r in late) == 8
+    assert all(abs(r["schedule_change_minutes"]) <= 60 for r in out)
+
+
 def test_allocators_independent_of_partitioning(spark, flights):
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     a = sorted(map(tuple, K.allocate_runway_slots(flights).collect()))
