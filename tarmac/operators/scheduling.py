@@ -15,7 +15,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions import dims
@@ -349,7 +349,8 @@ def schedule_audit(asg: DataFrame) -> DataFrame:
 # K11 - K15
 def reschedule_candidates(fl: DataFrame, weather: DataFrame) -> DataFrame:
     """Flights with weather-adjusted delay > 30, runway-hour usage > 85% of capacity, or delay > 45.
-    Weather is an input table (the reference draws it at random). Usage is per (base, runway, hour of day)."""
+    Weather is an input table (the reference draws it at random). Usage is per (base, runway, day, hour), so it
+    compares with an hourly capacity however many days the table holds."""
     from tarmac.operators.joins import weather_join
 
     df = weather_join(fl, weather).withColumnRenamed("hour", "current_hour")
@@ -358,8 +359,9 @@ def reschedule_candidates(fl: DataFrame, weather: DataFrame) -> DataFrame:
         "runway_capacity_r": F.coalesce(dims.lit_map(RESCHEDULE_RUNWAY_CAPACITY)[F.col("runway")], F.lit(30)),
     })
     df = df.withColumn("weather_adjusted_delay", F.col("delay_minutes") * F.col("weather_impact_factor"))
-    usage = fl.groupBy("base_airport", "runway", F.col("hour").alias("current_hour")).agg(F.count(F.lit(1)).alias("current_usage"))
-    df = df.join(usage, ["base_airport", "runway", "current_hour"], "left")
+    # bounded by what one runway handles in an hour
+    one_hour = Window.partitionBy("base_airport", "runway", F.to_date("scheduled_time"), "current_hour")
+    df = df.withColumn("current_usage", F.count(F.lit(1)).over(one_hour))
     df = df.withColumn("runway_utilization_pct", F.col("current_usage") / F.col("runway_capacity_r") * 100)
     crit = (F.col("weather_adjusted_delay") > 30) | (F.col("runway_utilization_pct") > 85) | (F.col("delay_minutes") > 45)
     return df.withColumn("needs_reschedule", F.coalesce(crit, F.lit(False)))
@@ -367,11 +369,12 @@ def reschedule_candidates(fl: DataFrame, weather: DataFrame) -> DataFrame:
 
 def recommend_hour(fl: DataFrame) -> DataFrame:
     """K12 per (base, runway): among hours 6-22 outside 7, 8, 19, 20, 21 the least-used hour
-    (first wins ties); its utilisation is reported only when it is under 70%."""
+    (first wins ties); usage is the mean per service day of the airport, reported only when it is under 70% of capacity."""
     usage = fl.groupBy("base_airport", "runway", "hour").agg(F.count(F.lit(1)).alias("u"))
-    keys = fl.select("base_airport", "runway").distinct()
-    cands = keys.select("base_airport", "runway", F.explode(F.array(*[F.lit(h) for h in CANDIDATE_HOURS])).alias("hour"))
-    grid = cands.join(usage, ["base_airport", "runway", "hour"], "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    days = fl.groupBy("base_airport").agg(F.count_distinct(F.to_date("scheduled_time")).alias("days"))
+    keys = fl.select("base_airport", "runway").distinct().join(days, "base_airport")
+    cands = keys.select("base_airport", "runway", "days", F.explode(F.array(*[F.lit(h) for h in CANDIDATE_HOURS])).alias("hour"))
+    grid = cands.join(usage, ["base_airport", "runway", "hour"], "left").withColumn("u", F.coalesce("u", F.lit(0)) / F.col("days"))
     best = grid.groupBy("base_airport", "runway").agg(F.min_by(F.struct("u", "hour"), F.struct("u", "hour")).alias("b"))
     return best.select("base_airport", "runway", F.col("b.hour").alias("best_hour"), F.col("b.u").alias("best_hour_usage"))
 

@@ -175,12 +175,13 @@ c0 AS (SELECT wj.*, hour AS current_hour,
       WHEN 'Storm' THEN 3.0 WHEN 'Snow' THEN 2.5 WHEN 'Moderate Rain' THEN 1.5 WHEN 'Thunderstorm' THEN 3.0 WHEN 'Strong Winds' THEN 1.5 END::DOUBLE AS weather_impact_factor,
     coalesce(CASE runway WHEN 'R1' THEN 35 WHEN 'R2' THEN 30 WHEN 'R3' THEN 25 WHEN 'R4' THEN 20 WHEN '09R/27L' THEN 35
       WHEN '09L/27R' THEN 30 WHEN '14/32' THEN 25 END, 30) AS runway_capacity_r,
-    count(*) OVER (PARTITION BY base_airport, runway, hour) AS current_usage FROM wj),
+    count(*) OVER (PARTITION BY base_airport, runway, CAST(scheduled_time AS DATE), hour) AS current_usage FROM wj),
 c1 AS (SELECT *, delay_minutes * weather_impact_factor AS weather_adjusted_delay,
     current_usage / runway_capacity_r * 100 AS runway_utilization_pct FROM c0),
 cand AS (SELECT * FROM c1 WHERE coalesce(weather_adjusted_delay > 30 OR runway_utilization_pct > 85 OR delay_minutes > 45, false)),
 keys AS (SELECT DISTINCT base_airport, runway FROM flights),
-grid AS (SELECT k.base_airport, k.runway, h.hour, coalesce(u.u, 0) AS u FROM keys k
+days AS (SELECT base_airport, count(DISTINCT CAST(scheduled_time AS DATE)) AS days FROM flights GROUP BY 1),
+grid AS (SELECT k.base_airport, k.runway, h.hour, coalesce(u.u, 0) / d.days AS u FROM keys k JOIN days d USING (base_airport)
   CROSS JOIN (SELECT * FROM (VALUES (6), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (22)) t(hour)) h
   LEFT JOIN (SELECT base_airport, runway, hour, count(*) AS u FROM flights GROUP BY 1, 2, 3) u USING (base_airport, runway, hour)),
 best AS (SELECT base_airport, runway, hour AS best_hour, u AS best_hour_usage FROM (

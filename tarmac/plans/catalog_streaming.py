@@ -22,12 +22,12 @@ def _z1(spark, d):
 
 
 @register("stream_runway_sliding", with_flights("""
-SELECT runway, ws AS window_start, count(*) AS flights FROM (
-  SELECT runway, time_bucket(INTERVAL 15 MINUTE, scheduled_time) - to_minutes(CAST(15 * k AS BIGINT)) AS ws
-  FROM flights, (SELECT range AS k FROM range(4))) GROUP BY 1, 2
+SELECT base_airport, runway, ws AS window_start, count(*) AS flights FROM (
+  SELECT base_airport, runway, time_bucket(INTERVAL 15 MINUTE, scheduled_time) - to_minutes(CAST(15 * k AS BIGINT)) AS ws
+  FROM flights, (SELECT range AS k FROM range(4))) GROUP BY 1, 2, 3
 """))
 def _z2(spark, d):
-    return Z.run_to_table(Z.stream_runway_sliding(_stream(spark, d)), "runway_sliding", ["runway", "window_start"])
+    return Z.run_to_table(Z.stream_runway_sliding(_stream(spark, d)), "runway_sliding", ["base_airport", "runway", "window_start"])
 
 
 @register("stream_aircraft_sessions", with_flights("""

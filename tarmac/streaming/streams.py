@@ -84,8 +84,8 @@ def stream_hourly_load(fl_stream: DataFrame, watermark: str = "1 hour") -> DataF
 def stream_runway_sliding(fl_stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
     w = F.window("event_time", "1 hour", "15 minutes")
     return (fl_stream.withWatermark("event_time", watermark)
-            .groupBy("runway", w.alias("w")).agg(F.count(F.lit(1)).alias("flights"))
-            .select("runway", wall_clock(F.col("w.start")).alias("window_start"), "flights"))
+            .groupBy("base_airport", "runway", w.alias("w")).agg(F.count(F.lit(1)).alias("flights"))
+            .select("base_airport", "runway", wall_clock(F.col("w.start")).alias("window_start"), "flights"))
 
 
 # Z3
