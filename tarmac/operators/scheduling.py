@@ -289,8 +289,9 @@ def given_assignment(fl: DataFrame) -> DataFrame:
 
 # K9
 def runway_efficiency_metrics(asg: DataFrame) -> DataFrame:
-    """Per runway of the table: utilisation = mean hourly flights / max ops (0 if unused)."""
-    hourly = asg.groupBy("optimized_runway", F.hour("optimized_time").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    """Per runway of the table: utilisation = mean flights in an hour of use (one airport, one day) / max ops
+    (0 if unused)."""
+    hourly = asg.groupBy("base_airport", "optimized_runway", F.date_trunc("hour", "optimized_time").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
     per_rw = hourly.groupBy("optimized_runway").agg(F.avg("n").alias("avg_flights_per_hour"))
     spark = asg.sparkSession
     rw = spark.createDataFrame([(r, v[1]) for r, v in dims.SUITABILITY_RUNWAYS.items()], "optimized_runway string, max_ops int")

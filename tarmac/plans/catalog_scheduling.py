@@ -129,8 +129,8 @@ def _asg(spark, d):
 @register("runway_efficiency_metrics", with_flights(GIVEN_ASG + """
 SELECT rw.runway_id AS optimized_runway, coalesce(a.m / rw_ops.max_ops * 100, 0.0) AS utilization_rate
 FROM rw JOIN (VALUES ('09R/27L', 35), ('09L/27R', 35), ('14/32', 25), ('27/09', 28)) rw_ops(rid, max_ops) ON rw_ops.rid = rw.runway_id
-LEFT JOIN (SELECT optimized_runway, avg(n) AS m FROM (SELECT optimized_runway, hour(optimized_time) AS h, count(*) AS n
-           FROM asg2 GROUP BY 1, 2) GROUP BY 1) a ON a.optimized_runway = rw.runway_id
+LEFT JOIN (SELECT optimized_runway, avg(n) AS m FROM (SELECT optimized_runway, count(*) AS n
+           FROM asg2 GROUP BY optimized_runway, base_airport, date_trunc('hour', optimized_time)) GROUP BY 1) a ON a.optimized_runway = rw.runway_id
 """))
 def _rem(spark, d):
     return K.runway_efficiency_metrics(_asg(spark, d))
@@ -287,8 +287,8 @@ def _arp(spark, d):
 @register("allocation_summary", with_flights(GIVEN_ASG + """
 , util AS (SELECT avg(coalesce(a.m / o.max_ops * 100, 0.0)) AS average_utilization
   FROM (VALUES ('09R/27L', 35), ('09L/27R', 35), ('14/32', 25), ('27/09', 28)) o(rid, max_ops)
-  LEFT JOIN (SELECT optimized_runway, avg(n) AS m FROM (SELECT optimized_runway, hour(optimized_time) AS h, count(*) AS n
-             FROM asg2 GROUP BY 1, 2) GROUP BY 1) a ON a.optimized_runway = o.rid)
+  LEFT JOIN (SELECT optimized_runway, avg(n) AS m FROM (SELECT optimized_runway, count(*) AS n
+             FROM asg2 GROUP BY optimized_runway, base_airport, date_trunc('hour', optimized_time)) GROUP BY 1) a ON a.optimized_runway = o.rid)
 SELECT avg(schedule_change_minutes) AS average_schedule_change, count(*) AS total_flights_optimized,
   (SELECT average_utilization FROM util) AS average_utilization,
   greatest(0.0, 15 - abs(avg(schedule_change_minutes))) / 15 * 100 AS throughput_improvement_estimate
@@ -296,3 +296,9 @@ FROM asg2
 """))
 def _asum(spark, d):
     return K.allocation_summary(_asg(spark, d))
+
+
+@register("allocated_slots_summary")
+def _allocated(spark, d):
+    """K9 over the slots that K8 really hands out."""
+    return K.allocation_summary(K.allocate_runway_slots(_fl(spark, d)))

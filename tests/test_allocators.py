@@ -121,3 +121,27 @@ def test_schedule_audit_counts_each_airport_alone(spark):
         return K.schedule_audit(asg).first()["over_capacity_runway_hours"]
 
     assert over(["ONE", "TWO"]) == 0 and over(["ONE", "ONE"]) == 1
+
+
+def test_runway_efficiency_is_per_airport_and_day(spark):
+    """Seven flights in one hour at each of two airports on two days use a fifth of 35 a runway-hour, not four fifths."""
+    from datetime import datetime
+
+    rows = [(b, "09R/27L", datetime(2024, 1, day, 8, i)) for b in ("ONE", "TWO") for day in (1, 2) for i in range(7)]
+    asg = spark.createDataFrame(rows, "base_airport string, optimized_runway string, optimized_time timestamp_ntz")
+    got = {r["optimized_runway"]: r["utilization_rate"] for r in K.runway_efficiency_metrics(asg).collect()}
+    assert got.pop("09R/27L") == 20.0 and set(got.values()) == {0.0}
+
+
+def test_reschedule_usage_is_per_day(spark):
+    """Five flights an hour on each of ten days stay far below a runway's hourly capacity."""
+    from datetime import datetime
+
+    rows = [(f"F{d}-{i}", "ONE", "09R/27L", datetime(2024, 1, d, 8, i)) for d in range(1, 11) for i in range(5)]
+    fl = spark.createDataFrame(rows, "flight_id string, base_airport string, runway string, scheduled_time timestamp_ntz").selectExpr(
+        "*", "hour(scheduled_time) AS hour", "0.0D AS delay_minutes")
+    wx = spark.createDataFrame([], (
+        "weather_hour timestamp_ntz, weather_condition string, visibility_km double, wind_speed_kts int, precipitation_mm double, "
+        "capacity_reduction_factor double, landing_restrictions boolean, takeoff_restrictions boolean, crosswind_runway_closure boolean"))
+    got = K.reschedule_candidates(fl, wx).selectExpr("current_usage", "needs_reschedule").distinct().collect()
+    assert [tuple(r) for r in got] == [(5, False)]
