@@ -1,23 +1,29 @@
 """License scan: sparse TF-IDF cosine of notices to templates, then inheritance along directories.
 
-1. Units: the lines of every text that hold a licence word (whole texts are read); long lines are cut
-   into overlapping windows of words.
-2. TF-IDF: inverse document frequencies are counted over all units of the corpus; a unit's vector is a
-   row per term, met with the template terms by an equi-join, so only shared terms cost anything.
-3. A file's own licence is its best unit at or above ``THRESHOLD``.
+1. Units: around each licence word of a text the words that a template's window may cover, across line
+   ends (whole texts are read), so that wrapped, embedded and short notices are met at their own length.
+2. TF-IDF: inverse document frequencies are counted over the texts' units and the templates together and
+   joined to the units by term. Every window that covers a licence word and is as long as a template (or
+   the whole text, if shorter) is compared with that template.
+3. A file's own licence is its best window at or above ``THRESHOLD``; a bare reservation of rights counts
+   only where no window names a licence.
 4. A licence file (LICENSE, COPYING, NOTICE) speaks for its directory. Directories, not files, are
    joined to their ancestors; the nearest one with a licence is inherited by files without their own.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import documents, staged, text_or_empty
 
 THRESHOLD = 0.6
-WINDOW = 32
 #: Names and usual notices of public licences.
 TEMPLATES = {
     "Apache-2.0": ["licensed under the apache license version 2.0", "spdx license identifier apache 2.0",
@@ -34,47 +40,92 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ["licensed under a creative commons attribution sharealike 4.0 international license", "licensed under cc by sa 4.0"],
     "CC-BY-NC-4.0": ["licensed under a creative commons attribution noncommercial 4.0 international license", "licensed under cc by nc 4.0"],
     "Unlicense": ["this is free and unencumbered software released into the public domain", "dedicated to the public domain"],
-    "Proprietary": ["all rights reserved no part may be reproduced or distributed without written permission", "proprietary and confidential"],
+    "Proprietary": ["all rights reserved no part may be reproduced or distributed without written permission", "proprietary and confidential", "all rights reserved"],
 }
-_SIGNAL = r"(?i)licen[sc]e|copyright|spdx|permission|redistribut|public domain|rights reserved|\bCC[ -]BY|proprietary"
+#: Stands in most notices of named licences too, so it is heard last.
+RESERVATION = "all rights reserved"
+_SIGNAL = r"(?i)licen[sc]e|copyright|spdx|permission|redistribut|public\W+domain|rights\W+reserved|\bCC[\W_]+BY|proprietary"
+#: Every template has such a word.
+_ANCHOR = r"licen[sc]e|copyright|spdx|permission|redistribut|^domain$|^reserved$|^cc$|proprietary"
+_TERM = r"([a-z]+|[0-9]+(?:\.[0-9]+)*)"
+_FORMS = [(licence, body == RESERVATION, re.findall(_TERM, body)) for licence, bodies in TEMPLATES.items() for body in bodies]
+LONGEST = max(len(terms) for *_, terms in _FORMS)
 _LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice)(\.[a-z]+)?$"
 
 
 def _terms(text: Column) -> Column:
     """Words and version numbers; marks glued to a word's end do not count."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]+|[0-9]+(?:\.[0-9]+)*)"), 1)
+    return F.regexp_extract_all(F.lower(text), F.lit(_TERM), 1)
 
 
 def units(files: DataFrame) -> DataFrame:
-    """``row, unit, terms`` of each window of a line with a licence word."""
-    lines = files.filter(F.col("text").rlike(_SIGNAL)).select("row", F.posexplode(F.split("text", "[\n\r]+")).alias("line", "body")).filter(F.col("body").rlike(_SIGNAL))
-    words = lines.select("row", "line", _terms("body").alias("w")).filter(F.size("w") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - F.lit(WINDOW // 2), F.lit(1)), F.lit(WINDOW // 2))
-    return words.select("row", "line", "w", F.explode(starts).alias("s")).select("row", F.struct("line", "s").alias("unit"), F.slice("w", F.col("s"), F.lit(WINDOW)).alias("terms"))
+    """``row, n, prev, at, base, terms`` of each licence word: its place, that of the licence word before it (or 0),
+    and the words from place ``base`` on that windows around it may cover. A window belongs to its first licence word."""
+    words = files.filter(F.col("text").rlike(_SIGNAL)).select("row", _terms("text").alias("w"))
+    places = words.select("row", "w", F.expr(f"filter(transform(w, (x, i) -> if(x rlike '{_ANCHOR}', i + 1, 0)), x -> x > 0)").alias("p"))
+    around = f"""transform(p, (x, i) -> struct(size(w) as n, if(i = 0, 0, p[i - 1]) as prev, x as at, greatest(1, x - {LONGEST - 1}) as base,
+        slice(w, greatest(1, x - {LONGEST - 1}), x + {LONGEST} - greatest(1, x - {LONGEST - 1})) as terms))"""
+    return places.select("row", F.inline(F.expr(around)))
+
+
+def _windows(found: list[tuple[int, str, float]], n: int, prev: int, at: int, base: int, forms: list[tuple], weights: dict[str, np.ndarray], threshold: float) -> Iterator[tuple]:
+    """(start, end, licence, reservation, cosine) of the windows at or above the threshold, the best form of each."""
+    terms = [t for _, t, _ in found]
+    idf = np.array([x for *_, x in found])
+    none = np.zeros(len(forms))
+    dots = np.vstack([none, np.cumsum([weights.get(t, none) * x for t, x in zip(terms, idf)], axis=0)])
+    code = np.unique(terms, return_inverse=True)[1]
+    # a term that stands k times in a window adds (k idf)^2: all pairs of its places
+    pairs = np.zeros((len(terms) + 1,) * 2)
+    pairs[1:, 1:] = np.cumsum(np.cumsum((code[:, None] == code) * idf**2, axis=0), axis=1)
+    best: dict[tuple[int, int], tuple] = {}
+    for f, (licence, reserved, size, norm) in enumerate(forms):
+        lo, hi = max(prev + 1, at - size + 1, 1), min(at, max(n - size + 1, 1))
+        if lo > hi:
+            continue
+        i = np.arange(lo, hi + 1) - base
+        j = np.minimum(i + size, len(terms))
+        cos = (dots[j, f] - dots[i, f]) / (norm * np.sqrt(pairs[j, j] - pairs[i, j] - pairs[j, i] + pairs[i, i]))
+        for k in np.flatnonzero(cos.round(9) >= threshold):
+            place, hit = (int(i[k]) + base, int(j[k]) + base), (reserved, -round(float(cos[k]), 9), licence)
+            best[place] = min(best.get(place, hit), hit)
+    return ((start, end, licence, reserved, -c) for (start, end), (reserved, c, licence) in best.items())
 
 
 def own_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``row, own_license, own_score, n_notices`` of the files with a notice at or above the threshold."""
     spark = files.sparkSession
     every = staged(units(files), "license-units")
-    n = every.count()
-    weights = every.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")) \
-        .select("term", (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
-    unseen = F.log(F.lit(n + 1.0)) + 1.0  # a term that no unit has
-    given = spark.createDataFrame([(k, i, t) for k, v in TEMPLATES.items() for i, t in enumerate(v)], "license string, form int, body string")
-    tf = given.select("license", "form", F.explode(_terms("body")).alias("term")).groupBy("license", "form", "term").agg(F.count(F.lit(1)).alias("tf"))
-    tw = tf.join(weights, "term", "left").select("license", "form", "term", (F.col("tf") * F.coalesce("idf", unseen)).alias("tw"))
-    tnorm = tw.groupBy("license", "form").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
-    templates = staged(tw.join(tnorm, ["license", "form"]), "license-templates")  # a few hundred rows, fixed
-
-    uf = every.select("row", "unit", F.explode("terms").alias("term")).groupBy("row", "unit", "term").agg(F.count(F.lit(1)).alias("tf"))
-    uw = staged(uf.join(weights, "term").select("row", "unit", "term", (F.col("tf") * F.col("idf")).alias("uw")), "license-vectors")
-    unorm = uw.groupBy("row", "unit").agg(F.sqrt(F.sum(F.col("uw") * F.col("uw"))).alias("un"))
-    dots = uw.join(F.broadcast(templates), "term").groupBy("row", "unit", "license", "form").agg(F.sum(F.col("uw") * F.col("tw")).alias("dot"), F.first("tn").alias("tn"))
-    cosine = dots.join(unorm, ["row", "unit"]).select("row", "unit", "license", (F.col("dot") / (F.col("un") * F.col("tn"))).alias("cos"))
-    best = cosine.groupBy("row", "unit").agg(F.min(F.struct((-F.col("cos")).alias("c"), F.col("license"))).alias("b")).filter(F.col("b.c") <= -threshold)
-    return best.groupBy("row").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("n_notices")) \
-        .select("row", F.col("b.license").alias("own_license"), (-F.col("b.c")).alias("own_score"), "n_notices")
+    texts = every.select("row", F.explode("terms").alias("term")).distinct()
+    n = every.select("row").distinct().count() + len(_FORMS)
+    given = spark.createDataFrame([(t,) for *_, terms in _FORMS for t in sorted(set(terms))], "term string")
+    idf = texts.select("term").unionAll(given).groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    idf = staged(idf, "license-idf")
+    known = dict(idf.join(F.broadcast(given.distinct()), "term").collect())  # the templates' terms only
+    forms, weights = [], {t: np.zeros(len(_FORMS)) for t in known}
+    for f, (licence, reserved, terms) in enumerate(_FORMS):
+        for t in terms:
+            weights[t][f] += known[t]
+        forms.append((licence, reserved, len(terms), float(np.sqrt(sum(weights[t][f] ** 2 for t in set(terms))))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [(r["row"], *h) for r in batch.to_pylist()
+                    for h in _windows([(x["pos"], x["term"], x["idf"]) for x in r["found"]], r["n"], r["prev"], r["at"], r["base"], forms, weights, threshold)]
+            cols = list(zip(*hits)) or [()] * 6
+            types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["row", "start", "end", "license", "reserved", "cos"])
+
+    weighed = every.select("row", "n", "prev", "at", "base", F.posexplode("terms").alias("pos", "term")).join(idf, "term") \
+        .groupBy("row", "n", "prev", "at", "base").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "idf"))).alias("found"))  # at most 2 LONGEST words
+    hits = weighed.mapInArrow(run, "row string, start int, end int, license string, reserved boolean, cos double")
+    best = hits.groupBy("row").agg(
+        F.min(F.struct("reserved", (-F.col("cos")).alias("c"), (F.col("start") - F.col("end")).alias("shorter"), "license")).alias("b"),
+        F.array_sort(F.collect_list(F.struct("start", (-F.col("cos")).alias("c"), "end"))).alias("hits"))  # within one text
+    # overlapping windows are one notice: the better one of two stands for it
+    count = F.expr("""aggregate(hits, struct(0L as n, 0 as end, 0D as c), (a, x) -> CASE WHEN x.start >= a.end THEN struct(a.n + 1 as n, x.end as end, x.c as c)
+        WHEN x.c < a.c THEN struct(a.n as n, x.end as end, x.c as c) ELSE a END, a -> a.n)""")
+    return best.select("row", F.col("b.license").alias("own_license"), (-F.col("b.c")).alias("own_score"), count.alias("n_notices"))
 
 
 def _parent(path: Column) -> Column:

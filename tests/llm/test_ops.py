@@ -255,6 +255,18 @@ def test_license_scan(spark, none):
     assert L.scan(none.withColumnRenamed("source", "path")).count() == 0
 
 
+def test_license_notices_wrapped_embedded_short(spark):
+    from tarmac.llm import license_scan as L
+
+    lines = ["All rights reserved.", "Copyright (c) 2020 J. Smith. All rights reserved. This project is licensed under the MIT License - see the file for the details of it",
+             "# This work is licensed\n# under the GNU General\n# Public License,\n# version 3.", "It is free and\ndedicated to the public\n * domain since the year 1990", "Released under the MIT License.\nLicensed under CC BY-NC 4.0.",
+             "The driver showed a license at the gate.", "prose " * 500 + "Copyright 2021 A. All rights\nreserved. " + "more " * 500]
+    files = [(str(i), t) for i, t in enumerate(lines)] + [(f"f{i}", f"word{i} license to park in street{i}") for i in range(200)]
+    got = {r.path: (r.own_license, r.n_notices) for r in L.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert [got[str(i)] for i in range(len(lines))] == [("Proprietary", 1), ("MIT", 2), ("GPL-3.0", 1), ("Unlicense", 1), ("CC-BY-NC-4.0", 2), (None, 0), ("Proprietary", 1)]
+    assert all(got[f"f{i}"] == (None, 0) for i in range(200))
+
+
 def test_hmm(docs, none, spark):
     from pyspark.sql import functions as F
 
