@@ -167,9 +167,20 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", keep:
                       F.when(F.col("own_license").isNotNull(), F.lit("own")).when(F.col("license").isNotNull(), F.col("from_dir")).alias("license_from"))
 
 
+def paths(docs: DataFrame) -> DataFrame:
+    """``doc_id, path, text``: documents have no paths, so each gets a folder 0 to 3 parts below its source, deeper ones
+    more often; the parts are the id in thousands, five hundreds and hundreds. A hash of the id draws the depth, and which half of
+    the documents with a licence word are their folder's licence file. So licence files stand at every level of every source."""
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(64))
+    half = F.col("h") % 2 == 0
+    deep = F.floor(F.col("h") / 2)  # 0 to 31
+    depth = F.when(deep < 2, 0).when(deep < 8, 1).when(deep < 16, 2).otherwise(3)
+    folder = F.array_join(F.slice(F.array(*[F.floor(F.col("doc_id") / k).cast("string") for k in (1000, 500, 100)]), F.lit(1), depth), "/")
+    name = F.when(half & F.col("text").rlike(_SIGNAL), F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.when(folder != "", folder), name)
+    return docs.withColumn("h", h).select("doc_id", path.alias("path"), "text")
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as files: source / thousand / hundred / name; every hundredth is its directory's licence file."""
-    d = documents(spark, sf_dir)
-    name = F.when(F.col("doc_id") % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 100).cast("string"), name)
-    return scan(d.select("doc_id", path.alias("path"), "text"), keep=["doc_id"])
+    """All documents as files of a tree of folders, some of them licence files."""
+    return scan(paths(documents(spark, sf_dir)), keep=["doc_id"])

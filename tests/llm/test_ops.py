@@ -267,6 +267,29 @@ def test_license_notices_wrapped_embedded_short(spark):
     assert all(got[f"f{i}"] == (None, 0) for i in range(200))
 
 
+def test_license_query_against_brute_force(spark):
+    from tarmac.llm import license_scan as L
+
+    sf = "/root/testdata/sf0.01"
+    shown = {"Apache License": "Apache-2.0", "MIT License": "MIT", "GNU General": "GPL-3.0", "CC BY-NC": "CC-BY-NC-4.0", "All rights reserved": "Proprietary"}
+    files = {r.doc_id: (r.path, next((v for k, v in shown.items() if k in (r.text or "")), None)) for r in L.paths(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    spoken = {}
+    got = L.op1(spark, sf).collect()
+    score = {r.doc_id: r.own_score for r in got}
+    for i, (path, own) in files.items():
+        folder, name = path.rsplit("/", 1)
+        if own and name == "LICENSE":
+            spoken[folder] = min(spoken.get(folder, (1, "", "")), (-score[i], path, own))
+    want = {}
+    for i, (path, own) in files.items():
+        ups = path.split("/")[:-1]
+        near = next((u for k in range(len(ups), 0, -1) if (u := "/".join(ups[:k])) in spoken), None)
+        want[i] = (path, own, own or (near and spoken[near][2]), "own" if own else near)
+    assert len(got) == len(want) and {r.doc_id: (r.path, r.own_license, r.license, r.license_from) for r in got} == want
+    climbed = [(p, f) for p, own, _, f in want.values() if f and not own and p.rsplit("/", 1)[0] != f]
+    assert len(climbed) > 20 and len({p.split("/")[0] for p, _ in climbed}) > 3 and len({f.count("/") for _, f in climbed}) > 1
+
+
 def test_hmm(docs, none, spark):
     from pyspark.sql import functions as F
 
