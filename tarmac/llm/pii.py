@@ -56,7 +56,7 @@ def _emails(t: str) -> list[tuple[int, int]]:
 def base_spans(t: str) -> list[tuple[int, int, int]]:
     """(start, kind index, end) in code points, ordered by start, then kind."""
     found = [(s, 0, e) for s, e in _emails(t)] if "@" in t else []
-    found += [(m.start(), 1, m.end()) for m in _IP.finditer(t) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [(m.start(), 1, m.end()) for m in _IP.finditer(t) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(t):
         d = m[0].replace(" ", "").replace("-", "")
         if 14 <= len(d) <= 19 and _luhn(d):

@@ -244,6 +244,13 @@ def test_personal_data(spark, docs, none):
     assert found[9] == "phone:15:26" and found[10] == "" and found[0] == "phone:15:32"
 
 
+def test_personal_data_long_zeros():
+    from tarmac.llm import pii
+
+    t = "0" * 5000 + ".1.1.1"
+    assert pii.base_spans(t) == [(0, 1, len(t))]
+
+
 def test_license_scan(spark, none):
     from tarmac.llm import license_scan as L
 
