@@ -3,8 +3,9 @@
 1. Base spans (email, ip, card, phone) by fixed rules over whole texts.
 2. The two words to the left of a span, with its kind, are a lexical pattern; other identifier-like
    strings (they hold four digits, or an at sign) with the same left words are candidates.
-3. Spark scores the pattern-instance graph in rounds: a pattern's confidence is the mean score of its
-   distinct instances, an unseen instance's score is the noisy-or of its patterns.
+3. Spark scores the pattern-instance graph to convergence: a pattern's confidence is the smoothed share of
+   its distinct seeds that are of its kind; unseen instances say nothing against it, and those that a better
+   pattern vouches for raise it. An instance's score is that of its best pattern.
 4. Candidates with confident, well supported patterns become spans of the pattern's kind.
 """
 
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import documents, staged, text_or_empty
@@ -23,7 +24,8 @@ from tarmac.llm.common import documents, staged, text_or_empty
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3  # distinct seeds that a pattern needs
 CONFIDENT = 0.8
-ROUNDS = 3
+PRIOR = 0.5  # smoothing: so many instances for and against a pattern before any is seen
+SETTLED = 1e-6
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -110,22 +112,32 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(docs[id_col].alias("doc_id"), text_or_empty(docs, text_col).alias("text")).mapInArrow(run, schema)
 
 
-def score_graph(facts: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """``facts``: kind (null for candidates), left, thing. Returns patterns (left, p_kind, confidence) and
-    instance scores (thing, p_kind, score). Only patterns with enough distinct seeds enter the graph."""
-    seeds = facts.filter("kind is not null").select("left", F.col("kind").alias("p_kind"), "thing").distinct()
-    patterns = seeds.groupBy("left", "p_kind").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= support).select("left", "p_kind")
-    links = facts.select("left", "kind", "thing").distinct().join(patterns, "left")
-    # a seed of the pattern's kind scores one, a seed of another kind nothing, a candidate what its patterns say
-    edges = staged(links.groupBy("left", "p_kind", "thing").agg(F.max(F.when(F.col("kind").eqNullSafe(F.col("p_kind")), 1.0).when(F.col("kind").isNotNull(), 0.0)).alias("fixed")), "pii-edges")
-    score = edges.groupBy("thing", "p_kind").agg(F.coalesce(F.max("fixed"), F.lit(0.0)).alias("score"))
-    conf = None
-    for _ in range(rounds):
-        conf = edges.join(score, ["thing", "p_kind"]).groupBy("left", "p_kind").agg(F.avg("score").alias("confidence")).checkpoint()
-        heard = edges.join(conf, ["left", "p_kind"]).groupBy("thing", "p_kind").agg(
-            F.max("fixed").alias("fixed"), (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-12)))))).alias("heard"))
-        score = heard.select("thing", "p_kind", F.coalesce("fixed", "heard").alias("score")).checkpoint()
-    return conf, score
+def score_graph(facts: DataFrame, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """``facts``: kind (null for candidates), left, thing. Returns patterns (left, p_kind, confidence) and the scores of
+    candidates (thing, p_kind, score). Only patterns with enough distinct seeds enter the graph.
+
+    Confidences only rise, by candidates that another pattern holds surer than this one does, and never above the
+    surest pattern. A pattern is no witness for itself, so its number of candidates changes nothing."""
+    seeds = facts.filter("kind is not null").select("left", F.col("kind").alias("p_kind"), "thing").distinct().groupBy("left", "p_kind").agg(F.count(F.lit(1)).alias("pro"))
+    every = seeds.groupBy("left").agg(F.sum("pro").alias("all"))
+    base = staged(seeds.filter(F.col("pro") >= support).join(every, "left").select("left", "p_kind", "pro", (F.col("all") - F.col("pro")).alias("con")), "pii-patterns")
+    edges = staged(facts.filter("kind is null").select("left", "thing").distinct().join(base.select("left", "p_kind"), "left"), "pii-edges")
+
+    def ratio(pro: Column, con: Column) -> Column:
+        return (pro + PRIOR) / (pro + con + 2 * PRIOR)
+
+    conf = base.select("left", "p_kind", "pro", "con", ratio(F.col("pro"), F.col("con")).alias("confidence"))
+    while True:
+        links = edges.join(conf.select("left", "p_kind", "confidence"), ["left", "p_kind"])
+        score = links.groupBy("thing", "p_kind").agg(F.max("confidence").alias("score"))
+        heard = links.join(score, ["thing", "p_kind"]).filter(F.col("score") > F.col("confidence")).groupBy("left", "p_kind") \
+            .agg(F.sum("score").alias("more"), F.sum(1 - F.col("score")).alias("less"))
+        risen = conf.join(heard, ["left", "p_kind"], "left").select("left", "p_kind", "pro", "con", F.col("confidence").alias("before"), F.greatest(
+            "confidence", ratio(F.col("pro") + F.coalesce("more", F.lit(0.0)), F.col("con") + F.coalesce("less", F.lit(0.0)))).alias("confidence")).checkpoint()
+        rise = risen.agg(F.max(F.col("confidence") - F.col("before"))).first()[0]
+        conf = risen.drop("before")
+        if (rise or 0.0) < SETTLED:
+            return conf.select("left", "p_kind", "confidence"), score
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confident: float = CONFIDENT) -> DataFrame:

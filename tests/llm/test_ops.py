@@ -251,6 +251,24 @@ def test_personal_data_long_zeros():
     assert pii.base_spans(t) == [(0, 1, len(t))]
 
 
+def test_personal_data_more_candidates_than_seeds(spark):
+    from tarmac.llm import pii
+
+    rows = [(i, f"please call at +1 (980) 555-62{60 + i} now") for i in range(3)] + [(10 + i, f"please call at 555-0199-7{i} now") for i in range(5)]
+    rows += [(20 + i, f"ask again of +1 (980) 555-72{60 + i} now") for i in range(3)] + [(30 + i, f"ask again of u{i}@x.org now") for i in range(3)]
+    rows += [(40 + i, f"ask again of 555-0188-7{i} now") for i in range(50)]  # seeds of two kinds: no evidence for either
+    rows += [(90, "ask again of 555-0199-70 now")]
+    found = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[10 + i] == "phone:15:26" for i in range(5)) and not any(found[40 + i] for i in range(50))
+    # a weak pattern is raised by what a sure one vouches for, to the fixed point of its equation
+    facts = [("phone", "sure", f"s{i}") for i in range(9)] + [(None, "sure", f"c{i}") for i in range(6)] + [(None, "weak", f"c{i}") for i in range(6)] \
+        + [("phone", "weak", f"w{i}") for i in range(4)] + [("email", "weak", "e")] + [(None, "weak", f"d{i}") for i in range(99)]
+    conf, score = pii.score_graph(spark.createDataFrame(facts, "kind string, left string, thing string"))
+    got = {r.left: r.confidence for r in conf.collect()}
+    assert np.isclose(got["sure"], 9.5 / 10) and np.isclose(got["weak"], (4.5 + 6 * 0.95) / (6 + 6))
+    assert {r.thing: round(r.score, 6) for r in score.collect()} == {f"c{i}": 0.95 for i in range(6)} | {f"d{i}": 0.85 for i in range(99)}
+
+
 def test_license_scan(spark, none):
     from tarmac.llm import license_scan as L
 
