@@ -263,12 +263,25 @@ def test_personal_data_more_candidates_than_seeds(spark):
     # a weak pattern is raised by what a sure one vouches for, to the fixed point of its equation
     facts = [("phone", "sure", f"s{i}") for i in range(9)] + [(None, "sure", f"c{i}") for i in range(6)] + [(None, "weak", f"c{i}") for i in range(6)] \
         + [("phone", "weak", f"w{i}") for i in range(4)] + [("email", "weak", "e")] + [(None, "weak", f"d{i}") for i in range(99)]
-    conf, score = pii.score_graph(spark.createDataFrame(facts, "kind string, left string, thing string"))
+    conf, score = pii.score_graph(spark.createDataFrame([(k, None, p, p, x) for k, p, x in facts], "kind string, refuted string, context string, left string, thing string"))
     got = {r.left: r.confidence for r in conf.collect()}
     assert np.isclose(got["sure"], 9.5 / 10) and np.isclose(got["weak"], (4.5 + 6 * 0.95) / (6 + 6))
     assert {r.thing: round(r.score, 6) for r in score.collect()} == {f"c{i}": 0.95 for i in range(6)} | {f"d{i}": 0.85 for i in range(99)}
 
 
+def test_personal_data_contexts(spark):
+    from tarmac.llm import pii
+
+    rows = [(i, f"so\nTel: +49 (30) 1234{560 + i}\nend") for i in range(4)] + [(10, "Tel: 030-1234567"), (11, "Tel: (30) 1234999"), (12, "Tax: (30) 1234999"), (13, "Tel: 2020 was good")]
+    rows += [(20 + i, f"a{i} b{i} fax +49 (40) 7654{320 + i} x") for i in range(4)] + [(30, "see the fax (40) 7654888 here"), (31, "see the fax 2020 here")]
+    rows += [(40 + i, f"q{i} w{i} {c} ende") for i, c in enumerate(["10.20.30.40", "11.20.30.40", "12.20.30.40", "300.20.30.40", "301.20.30.40", "302.20.30.40"])]
+    word = "w" * 100
+    rows += [(50 + i, f"zz {word} {word} +49 (50) 1234{560 + i}") for i in range(3)] + [(60, f"yy {word} {word} 555-0199-77")]
+    found = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[10] == "phone:5:16" and found[11] == "phone:5:17" and found[12] == "" and found[30] == "phone:12:24" and found[31] == ""
+    assert all(not found[43 + i] for i in range(3)) and found[60] == f"phone:{205}:{216}"
+
+
 def test_license_scan(spark, none):
     from tarmac.llm import license_scan as L
 
