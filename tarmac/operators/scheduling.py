@@ -160,6 +160,20 @@ def slot_penalty(fl: DataFrame, window_slots: int = 8) -> DataFrame:
     )
 
 
+def slot_penalty_day(fl: DataFrame) -> DataFrame:
+    """Penalties of all 96 quarter-hour slots of the flight's service day, the whole horizon of one day, one row per
+    flight and slot (a fixed per-row array, not a join). A flight of the last minutes may prefer the next midnight's slot."""
+    day = F.date_trunc("DAY", F.col("scheduled_time")).cast("timestamp_ntz")
+    df = fl.select("flight_id", nearest_slot(F.col("scheduled_time"), SLOT_MINUTES).alias("preferred_slot"), slot_penalty_multiplier().alias("_m"),
+                   day.alias("_day"), F.explode(F.sequence(F.lit(0), F.lit(24 * 60 // SLOT_MINUTES - 1))).alias("_slot"))
+    offset = (F.col("_slot") - F.timestamp_diff("MINUTE", F.col("_day"), F.col("preferred_slot")) / SLOT_MINUTES).cast("int")
+    return df.withColumn("slot_offset", offset).select(
+        "flight_id", "slot_offset", "preferred_slot",
+        F.timestamp_add("MINUTE", F.col("_slot") * SLOT_MINUTES, F.col("_day")).alias("slot_time"),
+        F.floor(F.abs(F.col("slot_offset")) * F.col("_m")).cast("long").alias("penalty"),
+    )
+
+
 # K7
 def suitability(runway: str, aircraft_type: Column) -> Column:
     length, _, pref_cats = dims.SUITABILITY_RUNWAYS[runway]

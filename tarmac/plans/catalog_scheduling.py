@@ -81,6 +81,22 @@ def _sp(spark, d):
     return K.slot_penalty(_fl(spark, d))
 
 
+@register("slot_penalty_day", with_flights("""
+, p AS (SELECT flight_id, date_trunc('day', scheduled_time) AS d, s // 86400 * 96 AS first_slot,
+    CASE WHEN s % 900 > 450 THEN s // 900 + 1 ELSE s // 900 END AS pref,
+    coalesce(congestion_factor, 1.0)
+      * coalesce(CASE peak_category WHEN 'super_peak' THEN 3.0 WHEN 'peak' THEN 2.0 WHEN 'moderate' THEN 1.0 WHEN 'low' THEN 0.5 END, 1.0)
+      * CASE WHEN coalesce(is_high_impact, false) THEN 2.5 ELSE 1.0 END / coalesce(runway_efficiency, 1.0) AS m
+  FROM (SELECT *, CAST(epoch(scheduled_time) AS BIGINT) AS s FROM flights))
+SELECT flight_id, CAST(first_slot + k - pref AS INTEGER) AS slot_offset,
+  TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST(pref * 900 AS BIGINT)) AS preferred_slot,
+  CAST(d AS TIMESTAMP) + to_minutes(CAST(k * 15 AS BIGINT)) AS slot_time, CAST(floor(abs(first_slot + k - pref) * m) AS BIGINT) AS penalty
+FROM p, (SELECT range AS k FROM range(0, 96))
+"""))
+def _spd(spark, d):
+    return K.slot_penalty_day(_fl(spark, d))
+
+
 SUIT = """
 , ac(m, ml, cat, prefs) AS (VALUES ('A320', 2400, 'Medium', ['09R/27L', '09L/27R', '14/32']),
   ('A321', 2500, 'Medium', ['09R/27L', '09L/27R', '14/32']), ('A330', 2500, 'Heavy', ['09R/27L', '09L/27R']),

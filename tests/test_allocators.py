@@ -145,3 +145,13 @@ def test_reschedule_usage_is_per_day(spark):
         "capacity_reduction_factor double, landing_restrictions boolean, takeoff_restrictions boolean, crosswind_runway_closure boolean"))
     got = K.reschedule_candidates(fl, wx).selectExpr("current_usage", "needs_reschedule").distinct().collect()
     assert [tuple(r) for r in got] == [(5, False)]
+
+
+def test_slot_penalty_prices_the_whole_day(spark):
+    fl = spark.sql("""SELECT * FROM VALUES ('a', TIMESTAMP_NTZ '2024-01-02 00:03:00'), ('b', TIMESTAMP_NTZ '2024-01-02 12:00:00'), ('c', TIMESTAMP_NTZ '2024-01-02 23:59:00')
+        AS t(flight_id, scheduled_time)""").selectExpr("*", "1.5D AS congestion_factor", "'peak' AS peak_category", "true AS is_high_impact", "0.9D AS runway_efficiency")
+    got = K.slot_penalty_day(fl).collect()
+    preferred = {"a": 0, "b": 48, "c": 96}
+    m = 1.5 * 2.0 * 2.5 / 0.9
+    assert sorted((r.flight_id, r.slot_offset, r.slot_time.hour * 4 + r.slot_time.minute // 15, r.slot_time.day, r.penalty) for r in got) == sorted(
+        (f, k - p, k, 2, int(abs(k - p) * m)) for f, p in preferred.items() for k in range(96))
