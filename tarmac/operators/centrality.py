@@ -1,27 +1,31 @@
 """Exact betweenness centrality (G9) with Brandes' algorithm, distributed over source vertices.
 
 * Vertices get dense integer ids with the bucketed ``row_index`` (no single-partition window).
-* The integer edge list is written once to the shared checkpoint folder; each task reads it
-  from there (never through the driver) and builds a CSR adjacency in numpy. The edge count
-  is checked first: above ``max_edges`` the operator refuses instead of silently sampling.
-* ``spark.range(n)`` of source ids is split into partitions; every task runs a level-synchronous,
+* Up to ``max_edges`` the integer edge list is written once to the shared checkpoint folder; each task
+  reads it from there (never through the driver) and builds a CSR adjacency in numpy.
+  ``spark.range(n)`` of source ids is split into partitions; every task runs a level-synchronous,
   numpy-vectorised BFS + dependency accumulation per source and emits partial sums, which a
-  final ``groupBy`` adds up. Work is O(V * E) as for any exact betweenness.
+  final ``groupBy`` adds up.
+* Larger edge lists stay a DataFrame that no task holds: for blocks of sources, one join with the edges per
+  BFS level and one per level backwards, each level checkpointed.
+* Work is O(V * E) either way, as for any exact betweenness.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.functions.windows import row_index
 from tarmac.session import checkpoint_dir
 
-MAX_EDGES = 50_000_000
+MAX_EDGES = 50_000_000  # largest edge list that a task reads
+BLOCK_PAIRS = 100_000_000  # (source, node) pairs that a block of sources has at most, unless one source has more
 ID_BUCKETS = 1 << 14  # hash buckets for dense ids: parallelism of the id assignment
 
 
@@ -65,22 +69,40 @@ def _brandes_from(s: int, indptr: np.ndarray, indices: np.ndarray, n: int, bc: n
     bc += delta
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True, max_edges: int = MAX_EDGES,
-                id_col: str = "flight_id") -> DataFrame:
-    """Unweighted directed betweenness, normalised by 1 / ((n - 1)(n - 2)) like the reference."""
-    spark = nodes.sparkSession
-    ids = nodes.select(id_col).distinct()
-    ids = row_index(ids, [], [id_col], F.abs(F.xxhash64(id_col)) % ID_BUCKETS, "vid")
-    # bucket by hash keeps buckets balanced; vid is dense 0..n-1 in (bucket, id) order
-    e = edges.select("src", "dst").distinct()
-    e = (e.join(ids.select(F.col(id_col).alias("src"), F.col("vid").alias("s")), "src")
-         .join(ids.select(F.col(id_col).alias("dst"), F.col("vid").alias("t")), "dst").select("s", "t"))
-    m = e.count()
-    if m > max_edges:
-        raise ValueError(f"exact betweenness needs the edge list in every task; {m} edges exceed max_edges={max_edges}")
-    n = ids.count()
-    path = f"{checkpoint_dir(spark).rstrip('/')}/betweenness-edges-{uuid.uuid4().hex}"
-    e.write.parquet(path)
+def _block_by_levels(edges: DataFrame, first: int, last: int) -> DataFrame:
+    """``vid, b``: what the sources first..last-1 add, by joins alone."""
+    start = edges.sparkSession.range(first, last)
+    levels = [start.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("sigma"))]
+    while True:
+        reached = levels[-1].join(edges, F.col("node") == F.col("s")).groupBy("source", F.col("t").alias("node")).agg(F.sum("sigma").alias("sigma"))
+        seen = reduce(DataFrame.unionByName, levels).select("source", "node")
+        new = reached.join(seen, ["source", "node"], "left_anti").checkpoint()
+        if new.isEmpty():
+            break
+        levels.append(new)
+    deltas = []
+    below = levels[-1].select("source", F.col("node").alias("t"), (1 / F.col("sigma")).alias("w"))  # (1 + delta) / sigma, delta 0
+    for level in reversed(levels[1:-1]):
+        heard = level.join(edges, F.col("node") == F.col("s")).join(below, ["source", "t"]).groupBy("source", "node").agg(F.sum("w").alias("w"))
+        delta = level.join(heard, ["source", "node"], "left").select("source", "node", "sigma", (F.col("sigma") * F.coalesce("w", F.lit(0.0))).alias("delta")).checkpoint()
+        deltas.append(delta)
+        below = delta.select("source", F.col("node").alias("t"), ((1 + F.col("delta")) / F.col("sigma")).alias("w"))
+    if not deltas:
+        return start.limit(0).select(F.col("id").alias("vid"), F.lit(0.0).alias("b"))
+    return reduce(DataFrame.unionByName, deltas).groupBy(F.col("node").alias("vid")).agg(F.sum("delta").alias("b"))
+
+
+def _by_levels(edges: DataFrame, n: int, pairs: int) -> DataFrame:
+    size = max(1, pairs // max(n, 1))
+    total = None
+    for first in range(0, n, size):
+        part = _block_by_levels(edges, first, min(n, first + size))
+        total = (part if total is None else total.unionByName(part).groupBy("vid").agg(F.sum("b").alias("b"))).checkpoint()
+    return total
+
+
+def _in_tasks(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """``vid, b`` by numpy over the edge list that each task reads."""
     local_path = path[len("file:"):] if path.startswith("file:") else path
 
     def run(batches):
@@ -99,6 +121,26 @@ def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True, max
 
     parts = max(1, min(spark.sparkContext.defaultParallelism * 4, n))
     partial = spark.range(n).repartition(parts).mapInPandas(run, "vid long, b double")
-    total = partial.groupBy("vid").agg(F.sum("b").alias("b"))
+    return partial.groupBy("vid").agg(F.sum("b").alias("b"))
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True, max_edges: int = MAX_EDGES,
+                id_col: str = "flight_id", block_pairs: int = BLOCK_PAIRS) -> DataFrame:
+    """Unweighted directed betweenness, normalised by 1 / ((n - 1)(n - 2)) like the reference."""
+    spark = nodes.sparkSession
+    ids = nodes.select(id_col).distinct()
+    ids = row_index(ids, [], [id_col], F.abs(F.xxhash64(id_col)) % ID_BUCKETS, "vid")
+    # bucket by hash keeps buckets balanced; vid is dense 0..n-1 in (bucket, id) order
+    e = edges.select("src", "dst").distinct()
+    e = (e.join(ids.select(F.col(id_col).alias("src"), F.col("vid").alias("s")), "src")
+         .join(ids.select(F.col(id_col).alias("dst"), F.col("vid").alias("t")), "dst").select("s", "t"))
+    n = ids.count()
+    path = f"{checkpoint_dir(spark).rstrip('/')}/betweenness-edges-{uuid.uuid4().hex}"
+    e.write.parquet(path)
+    stored = spark.read.schema(e.schema).parquet(path)
+    if n and stored.count() > max_edges:
+        total = _by_levels(stored, n, block_pairs)
+    else:
+        total = _in_tasks(spark, path, n)
     scale = 1.0 / ((n - 1) * (n - 2)) if normalized and n > 2 else 1.0
     return ids.join(total, "vid", "left").select(id_col, (F.coalesce(F.col("b"), F.lit(0.0)) * scale).alias("betweenness"))

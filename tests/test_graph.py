@@ -144,3 +144,14 @@ def test_betweenness_matches_brute_force(spark):
     exp = _brute_betweenness(nodes, [(a, b) for a, b, *_ in erows])
     for x in nodes:
         assert got[x] == pytest.approx(exp[x], abs=1e-12)
+
+
+def test_betweenness_beyond_max_edges(spark):
+    from tarmac.operators.centrality import betweenness
+
+    nodes, erows, v, e = _graph(spark, n=10, m=20, seed=5)
+    got = {r[0]: r[1] for r in betweenness(v, e, max_edges=19, block_pairs=50).collect()}  # two blocks of sources
+    exp = _brute_betweenness(nodes, [(a, b) for a, b, *_ in erows])
+    assert set(got) == set(nodes) and any(exp.values())
+    for x in nodes:
+        assert got[x] == pytest.approx(exp[x], abs=1e-12)
