@@ -7,7 +7,8 @@ a join for words outside the broadcast head, grow with the corpus.
 
 Baum-Welch: each round every task runs a scaled forward-backward pass over its training documents
 (cut into segments of ``SEGMENT`` words, vectorised over segments) and sends expected counts, which
-Spark adds up; all training documents take part in every round. Scoring: the scaled forward recursion
+Spark adds up; all training documents take part in every round. A segment is run with ``BURN_IN`` more words of
+its document on either side, which are not counted, so every move between words counts once, in its context. Scoring: the scaled forward recursion
 over the whole word sequence gives the exact likelihood.
 """
 
@@ -30,7 +31,8 @@ ROUNDS = 3
 FREQUENT = 4096
 HEAD = 100_000  # words whose counts every task holds
 CLASSES = 256
-SEGMENT = 64
+SEGMENT = 224
+BURN_IN = 16
 END = b""
 
 
@@ -127,8 +129,9 @@ class Model:
         emit = emit + 50.0 * self.unigram
         self.emit = emit / emit.sum(axis=1, keepdims=True)
 
-    def expect(self, seq: np.ndarray, length: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of padded segments (rows of ``seq``, longest first)."""
+    def expect(self, seq: np.ndarray, length: np.ndarray, first: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts of padded segments (rows of ``seq``, longest first), of the words from ``core[:, 0]`` to
+        ``core[:, 1]`` of each and of the moves into them."""
         b, k, steps = len(seq), len(self.start), int(length.max())
         table = self.emit.T
         active = [int((length > t).sum()) for t in range(steps)]
@@ -148,10 +151,12 @@ class Model:
             gamma[t, :n] = alpha[t, :n] * beta[:n]
             if t:
                 back = table[seq[:n, t]] * beta[:n] / scale[t, :n, None]
-                move += self.move * (alpha[t - 1, :n].T @ back)
+                counted = (core[:n, 0] <= t) & (t < core[:n, 1])
+                move += self.move * (alpha[t - 1, :n].T @ (back * counted[:, None]))
                 beta[:n] = back @ self.move.T
         emit = np.zeros_like(self.emit)
-        mask = np.arange(steps)[:, None] < length[None, :]
+        place = np.arange(steps)[:, None]
+        mask = (core[:, 0] <= place) & (place < core[:, 1])
         flat, syms = gamma[mask], seq[:, :steps].T[mask]
         for s in range(k):
             emit[s] = np.bincount(syms, weights=flat[:, s], minlength=self.symbols)
@@ -213,26 +218,29 @@ def _one_round(train: DataFrame, model: Model) -> None:
         m: Model = shared.value
         start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, s))
         for batch in batches:
-            pieces, firsts = [], []
+            pieces, firsts, cores = [], [], []
 
             def flush():
                 nonlocal start, move, emit
                 order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
                 length = np.array([len(pieces[i]) for i in order])
-                seq = np.zeros((len(order), SEGMENT), np.int64)
+                seq = np.zeros((len(order), int(length[0])), np.int64)
                 for r, i in enumerate(order):
                     seq[r, : len(pieces[i])] = pieces[i]
-                e = m.expect(seq, length, np.array([firsts[i] for i in order]))
+                e = m.expect(seq, length, np.array([firsts[i] for i in order]), np.array([cores[i] for i in order]))
                 start, move, emit = start + e[0], move + e[1], emit + e[2]
                 pieces.clear()
                 firsts.clear()
+                cores.clear()
 
             for raw in batch.column(0).to_pylist():
                 syms = np.frombuffer(raw, "<u2")
                 for i in range(0, len(syms), SEGMENT):
-                    pieces.append(syms[i:i + SEGMENT])
+                    low = max(0, i - BURN_IN)
+                    pieces.append(syms[low:i + SEGMENT + BURN_IN])
                     firsts.append(i == 0)
-                    if len(pieces) >= 4096:
+                    cores.append((i - low, min(i + SEGMENT, len(syms)) - low))
+                    if len(pieces) >= 1024:
                         flush()
             if pieces:
                 flush()

@@ -369,6 +369,30 @@ def test_hmm(docs, none, spark):
     assert H.score(indexed, model, counts).count() == 0
 
 
+def test_hmm_counts_moves_across_segments(spark, monkeypatch):
+    from tarmac.llm import hmm as H
+
+    rng = random.Random(4)
+    words, texts, state = [[f"{g}{i}" for i in range(6)] for g in "abc"], [], 0
+    for n in (1, 2, 40, 700, 1500):
+        out = []
+        for _ in range(n):
+            state = (state + (rng.random() < 0.9)) % 3
+            out.append(rng.choice(words[state]))
+        texts.append(" ".join(out))
+    model, _, table = H.train_model(spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string"), rounds=1, head_words=50, frequent=30)
+    seqs = [np.frombuffer(r.symbols, "<u2").astype(np.int64) for r in table.collect()]
+    start, move, emit = np.zeros(len(model.start)), 0, 0
+    for x in seqs:  # whole documents
+        s, m, e = model.expect(x[None], np.array([len(x)]), np.array([True]), np.array([(0, len(x))]))
+        start, move, emit = start + s, move + m, emit + e
+    sums = []
+    monkeypatch.setattr(H.Model, "update", lambda _, *a: sums.extend(a))
+    H._one_round(table, model)
+    assert np.isclose(sums[1].sum(), sum(len(x) - 1 for x in seqs)) and np.isclose(sums[2].sum(), sum(map(len, seqs)))
+    assert np.allclose(sums[0], start, atol=1e-6) and np.allclose(sums[1], move, rtol=1e-3, atol=1e-2) and np.allclose(sums[2], emit, rtol=1e-3, atol=1e-2)
+
+
 def test_quality(spark, docs, none):
     from tarmac.llm import quality as Q
 
