@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarmac.llm import bpe, decontaminate, exact_dedup, hmm, jaccard_join, license_scan, pii, quality, sharding, token_files
+from tarmac.llm import bpe, decontaminate, exact_dedup, hmm, jaccard_join, license_scan, pii, prefix_trie, quality, sharding, token_files
 
 QUERIES = {
     "op1_license_scan": license_scan.op1,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_sharding": sharding.op8,
     "op9_hmm": hmm.op9,
     "op10_quality": quality.op10,
+    "op11_prefix_trie": prefix_trie.op11,
 }
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op5_decontamination": decontaminate.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
 }
