@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarmac.llm import bpe, decontaminate, exact_dedup, hmm, jaccard_join, license_scan, pii, prefix_trie, quality, sharding, token_files
+from tarmac.llm import bpe, decontaminate, exact_dedup, hmm, jaccard_join, license_scan, pii, prefix_trie, quality, sharding, simhash_join, token_files
 
 QUERIES = {
     "op1_license_scan": license_scan.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_hmm": hmm.op9,
     "op10_quality": quality.op10,
     "op11_prefix_trie": prefix_trie.op11,
+    "op12_simhash_join": simhash_join.op12,
 }
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
