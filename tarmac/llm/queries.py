@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarmac.llm import bpe, decontaminate, exact_dedup, hmm, jaccard_join, license_scan, pii, prefix_trie, quality, sharding, simhash_join, token_files
+from tarmac.llm import bpe, collocations, decontaminate, exact_dedup, hmm, jaccard_join, license_scan, pii, prefix_trie, quality, sharding, simhash_join, token_files
 
 QUERIES = {
     "op1_license_scan": license_scan.op1,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_quality": quality.op10,
     "op11_prefix_trie": prefix_trie.op11,
     "op12_simhash_join": simhash_join.op12,
+    "op13_collocations": collocations.op13,
 }
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op5_decontamination": decontaminate.SQL,
     "op11_prefix_trie": prefix_trie.SQL,
+    "op13_collocations": collocations.SQL,
 }
