@@ -112,14 +112,18 @@ def _choices(g: int, differ: int) -> np.ndarray:
 
 
 def groups_by_cost(nodes: DataFrame, differ: int) -> int:
-    """The number of groups with the least postings plus expected comparisons."""
+    """The number of groups with the least postings plus expected comparisons.
+
+    At least two groups name a cell: one alone is too coarse, and a step from one to two would triple
+    the postings at some size of the corpus (later steps double them at most, roughly).
+    """
     p = F.col("print")
     counts = [F.bit_count(F.shiftrightunsigned(p, 2 * s).bitwiseAND(F.lit(3))) for s in range(SEGMENTS)]
     row = nodes.agg(F.count(F.lit(1)), *(F.count(F.when(c == v, 1)) for c in counts for v in range(3))).first()
     n, tally = row[0], np.array(row[1:], float).reshape(SEGMENTS, 3)
     same = ((tally / max(1, n)) ** 2).sum(axis=1)  # chance of equal counts, per coordinate
     cost = {}
-    for g in range(differ + 1, MAX_GROUPS + 1):
+    for g in range(differ + 2, MAX_GROUPS + 1):
         chances = [float(np.prod(same[seg])) for seg in _groups(g)]
         meet = sum(np.prod(c) for c in itertools.combinations(chances, g - differ)) if comb(g, differ) <= 2000 else 0.0
         cost[g] = n * comb(g, differ) * POSTING_COST + n * n / 2 * meet * COMPARE_COST
