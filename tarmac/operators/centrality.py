@@ -1,146 +1,102 @@
-"""Exact betweenness centrality (G9) with Brandes' algorithm, distributed over source vertices.
-
-* Vertices get dense integer ids with the bucketed ``row_index`` (no single-partition window).
-* Up to ``max_edges`` the integer edge list is written once to the shared checkpoint folder; each task
-  reads it from there (never through the driver) and builds a CSR adjacency in numpy.
-  ``spark.range(n)`` of source ids is split into partitions; every task runs a level-synchronous,
-  numpy-vectorised BFS + dependency accumulation per source and emits partial sums, which a
-  final ``groupBy`` adds up.
-* Larger edge lists stay a DataFrame that no task holds: for blocks of sources, one join with the edges per
-  BFS level and one per level backwards, each level checkpointed.
-* Work is O(V * E) either way, as for any exact betweenness.
+"""Betweenness centrality (G9): Brandes' algorithm level by level over DataFrames.
+
+All sources of a block advance together: a row is a (source, node) pair. One join with the edges and one
+aggregate find the next level; levels are stored, and the way back sends (1 + dependency) / paths along
+the reversed edges, again one join and one aggregate a level. No task holds the graph or a source's
+search tree, so the same code serves any size:
+
+* what a source has reached is kept as bits, one row per node and 64 sources;
+* a block has at most ``block_pairs`` (source, node) pairs, more blocks follow one another;
+* pairs exist only inside a source's component, so separate airports cost nothing to each other.
+
+Exact betweenness is O(V x E) however it is run. ``sources=k`` draws k pivots by a hash of their ids and
+scales their sum by n / k: an unbiased estimate for one block of work on large graphs.
 """
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.functions.windows import row_index
-from tarmac.session import checkpoint_dir
+from tarmac.session import stored
 
-MAX_EDGES = 50_000_000  # largest edge list that a task reads
-BLOCK_PAIRS = 100_000_000  # (source, node) pairs that a block of sources has at most, unless one source has more
+BLOCK_PAIRS = 1_000_000_000  # (source, node) pairs that a block of sources may have
 ID_BUCKETS = 1 << 14  # hash buckets for dense ids: parallelism of the id assignment
+WORD = 64
+KEPT_APART = 8  # levels whose bits are merged when read, before they are stored with the rest
 
 
-def _csr(src: np.ndarray, dst: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(src, kind="stable")
-    s, d = src[order], dst[order]
-    indptr = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(indptr, s + 1, 1)
-    return np.cumsum(indptr), d.astype(np.int64)
-
-
-def _brandes_from(s: int, indptr: np.ndarray, indices: np.ndarray, n: int, bc: np.ndarray) -> None:
-    dist = np.full(n, -1, dtype=np.int64)
-    sigma = np.zeros(n, dtype=np.float64)
-    dist[s] = 0
-    sigma[s] = 1.0
-    frontier = np.array([s], dtype=np.int64)
-    levels = []  # per level: (u, v) edges on shortest paths
-    d = 0
-    while frontier.size:
-        starts = indptr[frontier]
-        lens = indptr[frontier + 1] - starts
-        tot = int(lens.sum())
-        if tot == 0:
-            break
-        offs = np.repeat(starts - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(tot)
-        v = indices[offs]
-        u = np.repeat(frontier, lens)
-        new = v[dist[v] == -1]
-        dist[new] = d + 1
-        on_path = dist[v] == d + 1
-        u, v = u[on_path], v[on_path]
-        np.add.at(sigma, v, sigma[u])
-        levels.append((u, v))
-        frontier = np.unique(new)
-        d += 1
-    delta = np.zeros(n, dtype=np.float64)
-    for u, v in reversed(levels):
-        np.add.at(delta, u, sigma[u] / sigma[v] * (1.0 + delta[v]))
-    delta[s] = 0.0
-    bc += delta
-
-
-def _block_by_levels(edges: DataFrame, first: int, last: int) -> DataFrame:
-    """``vid, b``: what the sources first..last-1 add, by joins alone."""
-    start = edges.sparkSession.range(first, last)
-    levels = [start.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("sigma"))]
-    while True:
-        reached = levels[-1].join(edges, F.col("node") == F.col("s")).groupBy("source", F.col("t").alias("node")).agg(F.sum("sigma").alias("sigma"))
-        seen = reduce(DataFrame.unionByName, levels).select("source", "node")
-        new = reached.join(seen, ["source", "node"], "left_anti").checkpoint()
-        if new.isEmpty():
-            break
-        levels.append(new)
-    deltas = []
-    below = levels[-1].select("source", F.col("node").alias("t"), (1 / F.col("sigma")).alias("w"))  # (1 + delta) / sigma, delta 0
-    for level in reversed(levels[1:-1]):
-        heard = level.join(edges, F.col("node") == F.col("s")).join(below, ["source", "t"]).groupBy("source", "node").agg(F.sum("w").alias("w"))
-        delta = level.join(heard, ["source", "node"], "left").select("source", "node", "sigma", (F.col("sigma") * F.coalesce("w", F.lit(0.0))).alias("delta")).checkpoint()
-        deltas.append(delta)
-        below = delta.select("source", F.col("node").alias("t"), ((1 + F.col("delta")) / F.col("sigma")).alias("w"))
-    if not deltas:
-        return start.limit(0).select(F.col("id").alias("vid"), F.lit(0.0).alias("b"))
-    return reduce(DataFrame.unionByName, deltas).groupBy(F.col("node").alias("vid")).agg(F.sum("delta").alias("b"))
+def _bits(frontier: DataFrame) -> DataFrame:
+    """``node, word, mask``: the sources of a level as bits."""
+    bit = F.expr(f"shiftleft(1L, cast(pmod(source, {WORD}) as int))")
+    return frontier.groupBy("node", F.floor(F.col("source") / WORD).alias("word")).agg(F.bit_or(bit).alias("mask"))
 
 
-def _by_levels(edges: DataFrame, n: int, pairs: int) -> DataFrame:
-    size = max(1, pairs // max(n, 1))
-    total = None
-    for first in range(0, n, size):
-        part = _block_by_levels(edges, first, min(n, first + size))
-        total = (part if total is None else total.unionByName(part).groupBy("vid").agg(F.sum("b").alias("b"))).checkpoint()
-    return total
+def _merged(masks: DataFrame) -> DataFrame:
+    return masks.groupBy("node", "word").agg(F.bit_or("mask").alias("mask"))
 
 
-def _in_tasks(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """``vid, b`` by numpy over the edge list that each task reads."""
-    local_path = path[len("file:"):] if path.startswith("file:") else path
-
-    def run(batches):
-        import pyarrow.dataset as ds
+def _levels(start: DataFrame, edges: DataFrame) -> list[DataFrame]:
+    """Stored levels of (source, node, sigma): sigma shortest paths lead from the source to the node."""
+    levels = [stored(start.select("source", "node", F.lit(1.0).alias("sigma")), "bfs")]
+    seen, fresh = None, [_bits(levels[0])]
+    held = F.expr(f"mask is not null and (shiftrightunsigned(mask, cast(pmod(source, {WORD}) as int)) & 1) = 1")
+    while True:
+        known = _merged(reduce(DataFrame.unionByName, fresh if seen is None else [seen, *fresh]))
+        if len(fresh) == KEPT_APART:
+            seen, fresh = stored(known, "seen"), []
+            known = seen
+        reached = levels[-1].join(edges, F.col("node") == F.col("s")).groupBy("source", F.col("t").alias("node")).agg(F.sum("sigma").alias("sigma"))
+        new = reached.withColumn("word", F.floor(F.col("source") / WORD)).join(known, ["node", "word"], "left").filter(~held)
+        new = stored(new.select("source", "node", "sigma"), "bfs")
+        if new.isEmpty():
+            return levels
+        levels.append(new)
+        fresh.append(_bits(new))
 
-        t = ds.dataset(local_path, format="parquet").to_table()
-        src = t.column("s").to_numpy().astype(np.int64)
-        dst = t.column("t").to_numpy().astype(np.int64)
-        indptr, indices = _csr(src, dst, n)
-        bc = np.zeros(n, dtype=np.float64)
-        for pdf in batches:
-            for s in pdf["id"].to_numpy():
-                _brandes_from(int(s), indptr, indices, n, bc)
-        nz = np.flatnonzero(bc)
-        yield pd.DataFrame({"vid": nz.astype(np.int64), "b": bc[nz]})
 
-    parts = max(1, min(spark.sparkContext.defaultParallelism * 4, n))
-    partial = spark.range(n).repartition(parts).mapInPandas(run, "vid long, b double")
-    return partial.groupBy("vid").agg(F.sum("b").alias("b"))
+def _dependencies(levels: list[DataFrame], edges: DataFrame) -> DataFrame:
+    """``vid, b``: summed dependencies of the block's sources on each node between them and others."""
+    deltas = [levels[0].limit(0).withColumn("delta", F.lit(0.0))]
+    below = levels[-1].select("source", F.col("node").alias("t"), (1 / F.col("sigma")).alias("w"))  # nothing lies behind the last level
+    for level in reversed(levels[1:-1]):
+        heard = below.join(edges, "t").groupBy("source", F.col("s").alias("node")).agg(F.sum("w").alias("w"))
+        delta = level.join(heard, ["source", "node"], "left").withColumn("delta", F.col("sigma") * F.coalesce("w", F.lit(0.0))).drop("w")
+        deltas.append(stored(delta, "delta"))
+        below = deltas[-1].select("source", F.col("node").alias("t"), ((1 + F.col("delta")) / F.col("sigma")).alias("w"))
+    return stored(reduce(DataFrame.unionByName, deltas).groupBy(F.col("node").alias("vid")).agg(F.sum("delta").alias("b")), "dependencies")
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True, max_edges: int = MAX_EDGES,
+def betweenness(nodes: DataFrame, edges: DataFrame, normalized: bool = True, sources: int | None = None,
                 id_col: str = "flight_id", block_pairs: int = BLOCK_PAIRS) -> DataFrame:
-    """Unweighted directed betweenness, normalised by 1 / ((n - 1)(n - 2)) like the reference."""
+    """``id_col, betweenness``: unweighted, directed, normalised by 1 / ((n - 1)(n - 2)) like the reference.
+
+    ``sources=None`` is exact; k estimates from k pivots. Repeated edges count once, loops and edges with
+    an end outside ``nodes`` not at all.
+    """
     spark = nodes.sparkSession
-    ids = nodes.select(id_col).distinct()
-    ids = row_index(ids, [], [id_col], F.abs(F.xxhash64(id_col)) % ID_BUCKETS, "vid")
-    # bucket by hash keeps buckets balanced; vid is dense 0..n-1 in (bucket, id) order
-    e = edges.select("src", "dst").distinct()
-    e = (e.join(ids.select(F.col(id_col).alias("src"), F.col("vid").alias("s")), "src")
-         .join(ids.select(F.col(id_col).alias("dst"), F.col("vid").alias("t")), "dst").select("s", "t"))
+    ids = nodes.select(id_col).filter(F.col(id_col).isNotNull()).distinct()
+    # hash buckets keep the numbering balanced; vid is dense 0..n-1 in (bucket, id) order
+    ids = stored(row_index(ids, [], [id_col], F.abs(F.xxhash64(id_col)) % ID_BUCKETS, "vid"), "ids")
     n = ids.count()
-    path = f"{checkpoint_dir(spark).rstrip('/')}/betweenness-edges-{uuid.uuid4().hex}"
-    e.write.parquet(path)
-    stored = spark.read.schema(e.schema).parquet(path)
-    if n and stored.count() > max_edges:
-        total = _by_levels(stored, n, block_pairs)
-    else:
-        total = _in_tasks(spark, path, n)
-    scale = 1.0 / ((n - 1) * (n - 2)) if normalized and n > 2 else 1.0
+    e = edges.select("src", "dst").filter("src <> dst").distinct()
+    e = stored(e.join(ids.select(F.col(id_col).alias("src"), F.col("vid").alias("s")), "src")
+               .join(ids.select(F.col(id_col).alias("dst"), F.col("vid").alias("t")), "dst").select("s", "t"), "graph")
+    picked = n if sources is None else min(sources, n)
+    # sources of neighbouring ids share a word of bits; pivots are numbered in the order drawn
+    pivots = spark.range(n).select(F.col("id").alias("node")) if picked == n else \
+        spark.range(n).select(F.col("id").alias("node")).orderBy(F.xxhash64("node"), "node").limit(picked)
+    pivots = stored(row_index(pivots, [], ["node"], F.floor(F.col("node") / (1 << 16)), "source"), "pivots")
+    size = max(1, block_pairs // max(n, 1))
+    total = None
+    for first in range(0, picked, size):
+        start = pivots.filter((F.col("source") >= first) & (F.col("source") < first + size)).withColumn("source", F.col("source") - first)
+        part = _dependencies(_levels(start, e), e)
+        total = part if total is None else stored(total.unionByName(part).groupBy("vid").agg(F.sum("b").alias("b")), "dependencies")
+    scale = (1.0 / ((n - 1) * (n - 2)) if normalized and n > 2 else 1.0) * (n / picked if picked else 1.0)
+    if total is None:
+        return ids.select(id_col, F.lit(0.0).alias("betweenness"))
     return ids.join(total, "vid", "left").select(id_col, (F.coalesce(F.col("b"), F.lit(0.0)) * scale).alias("betweenness"))

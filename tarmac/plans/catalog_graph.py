@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tarmac.operators import graph as G
 from tarmac.plans.oracle import with_flights
 from tarmac.plans.registry import register
+from tarmac.session import cut_lineage
 from tarmac.sources import fixture
 
 EDGE_CTES = """
@@ -190,40 +191,87 @@ def _pr(spark, d):
     return G.pagerank(fl.select("flight_id"), G.build_edges(fl))
 
 
-def _centrality_inputs(spark, d):
+@register("betweenness")
+def _btw(spark, d):
+    """Estimated from 64 pivots: exact betweenness of a graph with a giant component costs V x E."""
+    from tarmac.operators.centrality import betweenness
+
+    fl = _fl(spark, d)
+    return betweenness(fl.select("flight_id"), G.build_edges(fl), sources=64)
+
+
+@register("betweenness_rotations", with_flights(EDGE_CTES + """
+, step AS (SELECT f.aircraft_id, f.flight_id, f.scheduled_time, (e.src IS NULL)::INT AS starts FROM flights f LEFT JOIN e_aircraft e ON e.dst = f.flight_id),
+chain AS (SELECT flight_id, aircraft_id, sum(starts) OVER (PARTITION BY aircraft_id ORDER BY scheduled_time, flight_id) AS c, scheduled_time FROM step),
+place AS (SELECT flight_id, row_number() OVER (PARTITION BY aircraft_id, c ORDER BY scheduled_time, flight_id) - 1 AS before,
+  count(*) OVER (PARTITION BY aircraft_id, c) AS n FROM chain),
+t AS (SELECT count(*) AS v FROM flights)
+SELECT flight_id, (before * (n - 1 - before))::DOUBLE / ((v - 1.0) * (v - 2.0)) AS betweenness FROM place, t
+"""))
+def _btw_rotations(spark, d):
+    """Exact betweenness of the aircraft rotations, whose components are chains: a flight with i before and
+    j behind it lies between i * j pairs."""
     from tarmac.operators.centrality import betweenness
 
     fl = _fl(spark, d)
-    e = G.build_edges(fl)
-    from tarmac.session import cut_lineage
+    return betweenness(fl.select("flight_id"), G.aircraft_edges(fl))
+
 
-    e = cut_lineage(e)
+def _given_centrality(fl, deg):
+    """Given centralities in place of G9 and G8: fixed rules on the degrees."""
+    btw = deg.select("flight_id", (F.col("in_degree") * F.col("out_degree") / 1000.0).alias("betweenness"))
+    pr = deg.select("flight_id", ((F.col("in_degree") + 1) / 10000.0).alias("pr"))
     nodes = fl.select("flight_id", "airline", "aircraft_id", "scheduled_time", "origin", "destination")
-    deg = G.degrees(fl, e)
-    btw = cut_lineage(betweenness(fl.select("flight_id"), e))
-    return fl, e, nodes, deg, btw
+    return nodes, btw, pr
 
 
-@register("betweenness")
-def _btw(spark, d):
-    return _centrality_inputs(spark, d)[4]
+CRITICALITY = EDGE_CTES + DEGREES + """
+, crit AS (SELECT f.flight_id, f.airline, f.origin, f.destination, in_degree, out_degree,
+    in_degree * out_degree / 1000.0 AS betweenness, (in_degree + 1) / 10000.0 AS pagerank,
+    in_degree * out_degree / 1000.0 * 0.4 + out_degree / (SELECT max(out_degree) FROM deg) * 0.3 + (in_degree + 1) / 10000.0 * 0.3 AS criticality_score
+  FROM flights f JOIN deg USING (flight_id))
+"""
 
 
-@register("criticality_top20")
+@register("criticality_top20", with_flights(CRITICALITY + """
+SELECT flight_id, airline, origin, destination, in_degree, out_degree, betweenness::DOUBLE AS betweenness, pagerank::DOUBLE AS pagerank,
+  criticality_score::DOUBLE AS criticality_score FROM crit ORDER BY criticality_score DESC, flight_id LIMIT 20
+"""))
 def _crit(spark, d):
-    fl, e, nodes, deg, btw = _centrality_inputs(spark, d)
-    pr = G.pagerank(fl.select("flight_id"), e).withColumnRenamed("pr", "pr")
+    fl = _fl(spark, d)
+    deg = cut_lineage(G.degrees(fl, G.build_edges(fl)))
+    nodes, btw, pr = _given_centrality(fl, deg)
     return G.top_critical(G.criticality(nodes, deg, btw, pr), 20)
 
 
-@register("airport_vulnerability")
+@register("airport_vulnerability", with_flights(CRITICALITY + """
+SELECT origin AS airport, count(*) AS flights_count, sum(criticality_score)::DOUBLE AS total_criticality, avg(criticality_score)::DOUBLE AS avg_criticality FROM crit GROUP BY origin
+"""))
 def _av(spark, d):
-    fl, e, nodes, deg, btw = _centrality_inputs(spark, d)
-    pr = G.pagerank(fl.select("flight_id"), e)
+    fl = _fl(spark, d)
+    deg = cut_lineage(G.degrees(fl, G.build_edges(fl)))
+    nodes, btw, pr = _given_centrality(fl, deg)
     return G.airport_vulnerability(G.criticality(nodes, deg, btw, pr))
 
 
-@register("impact_ranking")
+@register("impact_ranking", with_flights(EDGE_CTES + DEGREES + """
+SELECT f.flight_id, airline, aircraft_id, scheduled_time, origin, destination, in_degree, out_degree, (in_degree * out_degree / 1000.0)::DOUBLE AS betweenness,
+  (in_degree * out_degree / 1000.0 * 10 + in_degree * 0.5 + out_degree * 2)::DOUBLE AS impact_score
+FROM flights f JOIN deg USING (flight_id) ORDER BY impact_score DESC, flight_id LIMIT 20
+"""))
 def _ir(spark, d):
-    fl, e, nodes, deg, btw = _centrality_inputs(spark, d)
+    fl = _fl(spark, d)
+    deg = cut_lineage(G.degrees(fl, G.build_edges(fl)))
+    nodes, btw, _ = _given_centrality(fl, deg)
     return G.impact_ranking(nodes, deg, btw, 20)
+
+
+@register("criticality_estimated")
+def _crit_estimated(spark, d):
+    """The whole chain: estimated betweenness, PageRank, degrees, criticality of the 20 first flights."""
+    from tarmac.operators.centrality import betweenness
+
+    fl = _fl(spark, d)
+    e = cut_lineage(G.build_edges(fl))
+    nodes = fl.select("flight_id", "airline", "aircraft_id", "scheduled_time", "origin", "destination")
+    return G.top_critical(G.criticality(nodes, G.degrees(fl, e), betweenness(fl.select("flight_id"), e, sources=64), G.pagerank(fl.select("flight_id"), e)), 20)

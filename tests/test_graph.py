@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarmac.operators import graph as G
 
@@ -137,21 +138,32 @@ def _brute_betweenness(nodes, edges):
 
 
 def test_betweenness_matches_brute_force(spark):
+    """Exact in one block and in several; as many pivots as nodes agree; a second component, loops and repeats change nothing."""
     from tarmac.operators.centrality import betweenness
 
-    nodes, erows, v, e = _graph(spark, n=18, m=45, seed=21)
-    got = {r[0]: r[1] for r in betweenness(v, e).collect()}
-    exp = _brute_betweenness(nodes, [(a, b) for a, b, *_ in erows])
-    for x in nodes:
-        assert got[x] == pytest.approx(exp[x], abs=1e-12)
+    nodes, erows, v, e = _graph(spark, n=14, m=34, seed=21)
+    pairs = [(a, b) for a, b, *_ in erows]
+    exp = _brute_betweenness(nodes, pairs)
+    assert any(exp.values())
+    again = e.unionByName(e.limit(5)).unionByName(e.limit(3).withColumn("dst", F.col("src")))
+    for got in (betweenness(v, again), betweenness(v, e, block_pairs=100), betweenness(v, e, sources=len(nodes))):
+        got = {r[0]: r[1] for r in got.collect()}
+        assert set(got) == set(nodes)
+        for x in nodes:
+            assert got[x] == pytest.approx(exp[x], abs=1e-12)
 
 
-def test_betweenness_beyond_max_edges(spark):
+def test_betweenness_from_pivots(spark):
+    """k pivots: the sum over those sources, scaled by n / k."""
     from tarmac.operators.centrality import betweenness
 
-    nodes, erows, v, e = _graph(spark, n=10, m=20, seed=5)
-    got = {r[0]: r[1] for r in betweenness(v, e, max_edges=19, block_pairs=50).collect()}  # two blocks of sources
-    exp = _brute_betweenness(nodes, [(a, b) for a, b, *_ in erows])
-    assert set(got) == set(nodes) and any(exp.values())
-    for x in nodes:
-        assert got[x] == pytest.approx(exp[x], abs=1e-12)
+    chain = [f"F{i}" for i in range(9)]
+    v = spark.createDataFrame([(x,) for x in chain], "flight_id string")
+    e = spark.createDataFrame(list(zip(chain, chain[1:])), "src string, dst string")
+    exact = {r[0]: r[1] for r in betweenness(v, e, normalized=False).collect()}
+    assert exact == {f"F{i}": pytest.approx(i * (8 - i)) for i in range(9)}
+    some = {r[0]: r[1] for r in betweenness(v, e, normalized=False, sources=4).collect()}
+    # from source s, node i > s lies before 8 - i targets
+    drawn = [i for i in range(9) if all(some[f"F{j}"] <= 9 / 4 * 4 * (8 - j) for j in range(9))]
+    assert drawn and all((x * 4 / 9) == pytest.approx(round(x * 4 / 9)) for x in some.values()) and some["F0"] == some["F8"] == 0
+    assert sum(betweenness(v, e.limit(0)).toPandas()["betweenness"]) == 0
