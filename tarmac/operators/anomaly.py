@@ -5,15 +5,15 @@
   rows in total, independent of the table size). Trees are grown per tree with
   ``applyInPandas`` (one group = one bounded subsample), the forest (at most 100 x 511 nodes)
   is broadcast and every row is scored by an Arrow-batched ``mapInPandas``.
-* M2 DBSCAN: cells of side eps on the (up to three) highest-variance scaled dimensions; points
-  meet only points of their own and adjacent cells (equi-join on cell keys), the exact distance
-  on all dimensions decides. Core points and connected components then follow with joins and a
-  min-label propagation loop (checkpointed every round).
+* M2 DBSCAN: a graph of cells of side eps / sqrt(d). Full cells hold core points only, points of thin
+  cells are compared with their neighbouring cells, and two cells are linked by boxes that are halved
+  until decided. Clusters are components of cells; neighbour pairs are never stored.
 * M3-M8 work on a flagged table and are plain aggregates.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -22,9 +22,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.functions.components import ranked, smallest_labels
 from tarmac.functions.quantiles import exact_percentile
 from tarmac.functions.scalars import with_scalars
-from tarmac.session import cut_lineage
+from tarmac.session import cut_lineage, stored
 
 # FIXED VALUES: anomaly type -> recommended action
 ACTIONS = {
@@ -160,51 +161,108 @@ def isolation_forest(df: DataFrame, features: list[str], n_trees: int = 100, max
 
 
 # ---------------------------------------------------------------- M2 DBSCAN
+def _gap(ga: Column, gb: Column) -> Column:
+    """Squared least distance of two grid cells in units of the cell's side."""
+    return F.aggregate(F.zip_with(ga, gb, lambda x, y: F.greatest(F.abs(x - y) - 1, F.lit(0)).cast("double")), F.lit(0.0), lambda acc, x: acc + x * x)
+
+
+def _distance2(v: Column, w: Column) -> Column:
+    return F.aggregate(F.zip_with(v, w, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _cell_neighbours(cells: DataFrame, side: float, eps: float, grid: list[int]) -> DataFrame:
+    """``a, b``: different cells that may hold points within eps. Cells, not points, meet: by coarse bins of
+    the ``grid`` dimensions, then by the least distance of the cells on all dimensions."""
+    wide = eps + side
+    bins = [F.floor(F.element_at("cell", i + 1) * side / wide).alias(f"g{k}") for k, i in enumerate(grid)]
+    keyed = cells.select("id", "cell", *bins)
+    names = [f"g{k}" for k in range(len(grid))]
+    offsets = F.array(*[F.array(*[F.lit(o) for o in off]) for off in itertools.product([-1, 0, 1], repeat=len(grid))])
+    other = keyed.select(F.col("id").alias("b"), F.col("cell").alias("b_cell"), F.explode(offsets).alias("_o"), *names) \
+        .select("b", "b_cell", *[(F.col(g) + F.col("_o")[k]).alias(g) for k, g in enumerate(names)])
+    near = _gap(F.col("cell"), F.col("b_cell")) * (side * side) <= eps * eps * (1 + 1e-9)  # a wider net; points decide
+    return keyed.join(other, names).filter((F.col("id") != F.col("b")) & near).select(F.col("id").alias("a"), "b")
+
+
+def _linked_cells(core: DataFrame, pairs: DataFrame, eps: float, dims: int) -> DataFrame:
+    """``a, b`` (a < b): cells with two core points within eps of each other, decided by boxes.
+
+    Bounding boxes of core points whose farthest corners are within eps link their cells; boxes farther
+    apart than eps are dropped; the others are halved along every dimension. A box of one distinct point
+    is always decided, so this ends, and no two cells' points are ever paired as a whole.
+    """
+    def boxes(level: int) -> DataFrame:
+        sub = F.transform("u", lambda x: F.floor(x * float(2 ** level)).cast("long"))
+        up = F.transform("u", lambda x: F.floor(x * float(2 ** max(0, level - 1))).cast("long"))
+        edges = [f(F.element_at("v", i + 1)).alias(f"{n}{i}") for i in range(dims) for n, f in (("l", F.min), ("h", F.max))]
+        box = core.groupBy("id", sub.alias("sub"), up.alias("up")).agg(*edges)
+        return box.select("id", "sub", "up", F.array(*[f"l{i}" for i in range(dims)]).alias("low"), F.array(*[f"h{i}" for i in range(dims)]).alias("high"))
+
+    def side(table: DataFrame, n: str) -> DataFrame:
+        return table.select(F.col("id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("sub", "up", "low", "high")])
+
+    open_pairs, links, level = pairs.filter("a < b"), [], 0
+    while True:
+        table = boxes(level)
+        both = open_pairs.join(side(table, "a"), ["a"] if level == 0 else ["a", "a_up"]).join(side(table, "b"), ["b"] if level == 0 else ["b", "b_up"])
+        span = lambda f: F.aggregate(F.zip_with(F.zip_with("a_low", "b_high", lambda x, y: x - y), F.zip_with("b_low", "a_high", lambda x, y: x - y), f), F.lit(0.0), lambda acc, x: acc + x * x)
+        far = span(lambda x, y: F.greatest(F.abs(x), F.abs(y)))  # farthest corners
+        near = span(lambda x, y: F.greatest(x, y, F.lit(0.0)))
+        judged = stored(both.withColumns({"far": far, "near": near}).filter(F.col("near") <= eps * eps).select("a", "b", F.col("a_sub").alias("a_up"), F.col("b_sub").alias("b_up"), "far"), "boxes")
+        linked = judged.filter(F.col("far") <= eps * eps).select("a", "b").distinct()
+        links.append(linked)
+        open_pairs = judged.filter(F.col("far") > eps * eps).drop("far").join(linked, ["a", "b"], "left_anti")
+        if open_pairs.isEmpty():
+            return functools.reduce(DataFrame.unionByName, links).distinct()
+        level += 1
+
+
 def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: int = 5, id_col: str = "flight_id",
            scaled: bool = True, grid_dims: int = 3) -> DataFrame:
-    """Exact DBSCAN (Euclidean) on standardised features. Returns id_col, dbscan_cluster (-1 = noise).
-    Border points join the smallest-labelled cluster among their core neighbours."""
+    """Exact DBSCAN (Euclidean) on standardised features by a graph of cells. Returns id_col, dbscan_cluster
+    (-1 = noise). Border points join the cluster with the smallest core id among their core neighbours.
+
+    Points of a cell of side eps / sqrt(d) are all within eps. A cell with ``min_samples`` points holds core
+    points only; a point of another cell is compared with the points of neighbouring cells, and as such a
+    cell has fewer than ``min_samples`` points, these comparisons grow with the number of points.
+    Clusters are components of cells; no table of neighbour pairs is made.
+    """
     z = standardize(df, features) if scaled else df.select(id_col, *[F.col(c).alias(f"z_{c}") for c in features])
     zc = [f"z_{c}" for c in features]
+    dims, side = len(zc), eps / math.sqrt(len(zc))
     var = z.agg(*[F.variance(c).alias(c) for c in zc]).first().asDict()
-    gdims = sorted(zc, key=lambda c: -(var[c] or 0.0))[:grid_dims]
-    pts = z.select(id_col, F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in zc]).alias("v"),
-                   *[F.floor(F.col(c) / eps).cast("long").alias(f"g{i}") for i, c in enumerate(gdims)])
-    pts = cut_lineage(pts)
-    gk = [f"g{i}" for i in range(len(gdims))]
-    offsets = list(itertools.product([-1, 0, 1], repeat=len(gk)))
-    shifted = pts.select(F.col(id_col).alias("b_id"), F.col("v").alias("bv"),
-                         F.explode(F.array(*[F.array(*[F.lit(o) for o in off]) for off in offsets])).alias("_o"), *gk)
-    shifted = shifted.select("b_id", "bv", *[(F.col(g) + F.col("_o")[i]).alias(g) for i, g in enumerate(gk)])
-    pairs = pts.join(shifted, gk)
-    d2 = F.aggregate(F.zip_with("v", "bv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
-    nb = pairs.filter(d2 <= eps * eps).select(F.col(id_col).alias("a_id"), "b_id")  # includes self pairs
-    nb = cut_lineage(nb)
-    counts = nb.groupBy("a_id").agg(F.count(F.lit(1)).alias("n"))
-    core = counts.filter(F.col("n") >= min_samples).select(F.col("a_id").alias("cid"))
-    core = cut_lineage(core)
-    ce = nb.join(core, nb.a_id == core.cid, "left_semi").join(core.withColumnRenamed("cid", "b_id"), "b_id", "left_semi")
-    ce = cut_lineage(ce)
-    label = core.select(F.col("cid").alias("node"), F.col("cid").alias("lab"))
-    while True:
-        prop = ce.join(label.withColumnRenamed("node", "b_id"), "b_id").groupBy(F.col("a_id").alias("node")).agg(
-            F.min("lab").alias("nl"))
-        new = label.join(prop, "node", "left").select("node", F.least("lab", F.coalesce("nl", "lab")).alias("lab"))
-        new = cut_lineage(new)
-        changed = new.join(label.withColumnRenamed("lab", "old"), "node").filter(F.col("lab") != F.col("old"))
-        if changed.isEmpty():
-            label = new
-            break
-        label = new
-    border = nb.join(label.withColumnRenamed("node", "b_id"), "b_id").groupBy(F.col("a_id").alias("node")).agg(
-        F.min("lab").alias("blab"))
-    lab_all = pts.select(F.col(id_col).alias("node")).join(label, "node", "left").join(border, "node", "left").select(
-        F.col("node").alias(id_col), F.coalesce("lab", "blab").alias("lab"))
-    dense = lab_all.filter(F.col("lab").isNotNull()).select("lab").distinct()
-    from pyspark.sql import Window
-
-    ranks = dense.withColumn("dbscan_cluster", (F.row_number().over(Window.orderBy("lab")) - 1).cast("int"))
-    return lab_all.join(ranks, "lab", "left").select(id_col, F.coalesce("dbscan_cluster", F.lit(-1)).alias("dbscan_cluster"))
+    grid = sorted(range(dims), key=lambda i: -(var[zc[i]] or 0.0))[:grid_dims]
+    v = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in zc])
+    pts = z.select(F.col(id_col).alias("pid"), v.alias("v")).withColumn("u", F.transform("v", lambda x: x / side))
+    pts = stored(pts.withColumn("cell", F.transform("u", lambda x: F.floor(x).cast("long"))), "points")
+    cells = stored(pts.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()), "cells")
+    pts = stored(pts.join(cells, "cell").select("pid", "v", "u", "id", "n"), "points")
+    pairs = stored(_cell_neighbours(cells, side, eps, grid), "cell-pairs")
+
+    within = _distance2(F.col("m.v"), F.col("v")) <= eps * eps
+
+    def compared(members: DataFrame, others: DataFrame, *keep: str) -> DataFrame:
+        """``m`` (a point of a thin cell) with each point of ``others`` in a neighbouring cell within eps."""
+        few = members.groupBy(F.col("id").alias("a")).agg(F.collect_list(F.struct("pid", "v")).alias("few"))  # fewer than min_samples
+        return pairs.join(few, "a").join(others.select(F.col("id").alias("b"), "v", *keep), "b").select(F.explode("few").alias("m"), "v", *keep).filter(within)
+
+    thin = pts.filter(F.col("n") < min_samples)
+    around = compared(thin, pts).groupBy(F.col("m.pid").alias("pid")).agg(F.count(F.lit(1)).alias("k"))
+    full = thin.join(around, "pid", "left").withColumn("core", F.col("n") + F.coalesce("k", F.lit(0)) >= min_samples)
+    state = stored(pts.filter(F.col("n") >= min_samples).withColumn("core", F.lit(True)).unionByName(full.drop("k")), "cores")
+    core = state.filter("core")
+    named = core.groupBy("id").agg(F.min("pid").alias("least"))
+    core_cells = named.select(F.col("id").alias("node"))
+    core_pairs = pairs.join(core_cells.withColumnRenamed("node", "a"), "a", "left_semi").join(core_cells.withColumnRenamed("node", "b"), "b", "left_semi")
+    label = smallest_labels(core_cells, _linked_cells(core, core_pairs, eps, dims))
+    least = named.join(label, F.col("id") == F.col("node"))
+    cluster = stored(least.join(least.groupBy("lab").agg(F.min("least").alias("name")), "lab").select("id", "name"), "clusters")  # cell -> its cluster's smallest core id
+
+    inside = state.join(cluster, "id", "left").select("pid", "id", "v", "core", "name")  # in a cell with a core point all points are within eps of it
+    around = compared(state.filter("not core"), core.join(cluster, "id"), "name").groupBy(F.col("m.pid").alias("pid")).agg(F.min("name").alias("near"))
+    out = inside.join(around, "pid", "left").select("pid", F.when(F.col("core"), F.col("name")).otherwise(F.least("name", "near")).alias("name"))
+    numbers = ranked(cluster.select("name").distinct(), "_number")
+    return out.join(numbers, "name", "left").select(F.col("pid").alias(id_col), F.coalesce(F.col("_number").cast("int"), F.lit(-1)).alias("dbscan_cluster"))
 
 
 # ---------------------------------------------------------------- M3 - M8 on a flagged table

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import random
 
+import pytest
+
 from tarmac.operators import anomaly as M
 
 
@@ -64,3 +66,29 @@ def test_dbscan_matches_brute_force(spark):
             groups_got.setdefault(got[k], set()).add(k)
             groups_exp.setdefault(exp[k], set()).add(k)
     assert sorted(map(sorted, groups_got.values())) == sorted(map(sorted, groups_exp.values()))
+
+
+@pytest.mark.parametrize("dims,eps,least,seed", [(1, 0.4, 3, 1), (2, 0.5, 4, 2), (3, 0.7, 5, 3), (4, 0.9, 1, 4)])
+def test_dbscan_on_cells(spark, dims, eps, least, seed):
+    """Hot cells of equal points, cells just within and beyond eps, border points between clusters, nulls."""
+    rnd = random.Random(seed)
+    pts = {f"d{i:03d}": (0.25,) * dims for i in range(120)}  # a third of all points are equal
+    pts |= {f"a{i:03d}": tuple(rnd.gauss(1.2 * (i % 4), 0.25) for _ in range(dims)) for i in range(150)}
+    pts |= {f"e{i:02d}": (10 + eps * i,) + (0.0,) * (dims - 1) for i in range(6)}  # exactly eps apart
+    pts |= {f"f{i:02d}": (-10 - eps * 1.001 * i,) + (0.0,) * (dims - 1) for i in range(6)}
+    cols = ", ".join(f"x{i} double" for i in range(dims))
+    rows = [(k, *v) for k, v in pts.items()] + [("null", *([None] * dims))]
+    pts["null"] = (0.0,) * dims
+    df = spark.createDataFrame(rows, f"flight_id string, {cols}").repartition(4)
+    got = {r[0]: r[1] for r in M.dbscan(df, [f"x{i}" for i in range(dims)], eps=eps, min_samples=least, scaled=False).collect()}
+    exp = _dbscan_brute(pts, eps, least)
+    names = sorted({c for c in exp.values() if c is not None})
+    assert got == {k: -1 if c is None else names.index(c) for k, c in exp.items()}
+
+
+def test_dbscan_stores_no_pairs_of_points(spark):
+    """Comparisons stay linear: 3,000 equal points make no row per pair."""
+    df = spark.range(3000).selectExpr("cast(id as string) as flight_id", "1.0D as x", "2.0D as y")
+    out = M.dbscan(df, ["x", "y"], scaled=False)
+    assert out.filter("dbscan_cluster = 0").count() == 3000
+    assert M.dbscan(df.limit(0), ["x", "y"], scaled=False).count() == 0
