@@ -39,15 +39,14 @@ SELECT aircraft_id, min(scheduled_time) AS session_start, max(scheduled_time) +
 FROM s GROUP BY aircraft_id, sid
 """))
 def _z3(spark, d):
-    return Z.run_to_table(Z.stream_aircraft_sessions(_stream(spark, d)), "aircraft_sessions", ["aircraft_id", "session_start"],
-                          mode="complete")
+    return Z.run_to_table(Z.stream_aircraft_sessions(_stream(spark, d)), "aircraft_sessions", ["aircraft_id", "session_start"]).filter("flights > 0")
 
 
 @register("stream_turnaround", with_flights(TURNAROUND + """
 SELECT flight_id, aircraft_id, scheduled_time, delay AS delay_minutes, act AS actual_time FROM rec
 """, recursive=True))
 def _z4(spark, d):
-    return Z.run_to_table(Z.stream_turnaround(_stream(spark, d)), "turnaround", [], mode="append")
+    return Z.run_to_table(Z.stream_turnaround(_stream(spark, d)), "turnaround", ["flight_id"])
 
 
 @register("stream_weather_join", with_flights("""
