@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import ascii_lower, broadcast_if_small, documents, staged, text_or_empty
+from tarmac.llm.common import ascii_lower, broadcast_if_small, documents, spare, staged, text_or_empty
 
 #: What separates words, after A-Z have become a-z (fixed value).
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -103,8 +103,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
-    bad = contamination(docs, items, window, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(text_or_empty(docs, text_col)) == F.col("_bad_key"))
+    bad_id, bad_key = spare(docs, "_bad_id", "_bad_key")
+    bad = contamination(docs, items, window, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias(bad_id), F.col("text_key").alias(bad_key)).distinct()
+    same = docs[id_col].eqNullSafe(F.col(bad_id)) & (F.xxhash64(text_or_empty(docs, text_col)) == F.col(bad_key))
     return docs.join(bad, same, "left_anti")
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import SPACE_RUN, documents, text_or_empty
+from tarmac.llm.common import SPACE_RUN, documents, spare, text_or_empty
 
 SALTS = 32
 
@@ -23,9 +23,9 @@ def _normalised(text: Column) -> Column:
     return F.regexp_replace(text, SPACE_RUN, "")
 
 
-def _id_keys(col: Column) -> list[Column]:
+def _id_keys(col: Column, names: list[str]) -> list[Column]:
     """An id as plain equality keys, null included."""
-    return [F.coalesce(col.cast("string"), F.lit("")).alias("__i"), col.isNull().alias("__n")]
+    return [F.coalesce(col.cast("string"), F.lit("")).alias(names[0]), col.isNull().alias(names[1])]
 
 
 def _with_digest(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -64,11 +64,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The documents that stay, with all their columns as given."""
+    keys = spare(docs, "_digest", "_check", "_points", "_id", "_null")
     best = winners(docs, id_col, text_col, salts).select(
-        F.col("_digest").alias("__d"), F.col("_check").alias("__c"), F.col("_keep_points").alias("__p"), *_id_keys(F.col("keep_id")))
+        F.col("_digest").alias(keys[0]), F.col("_check").alias(keys[1]), F.col("_keep_points").alias(keys[2]), *_id_keys(F.col("keep_id"), keys[3:]))
     text = text_or_empty(docs, text_col)
-    keys = ["__d", "__c", "__p", "__i", "__n"]
-    keyed = docs.select("*", F.sha2(_normalised(text), 256).alias("__d"), F.xxhash64(_normalised(text)).alias("__c"), F.length(text).alias("__p"), *_id_keys(docs[id_col]))
+    keyed = docs.select("*", F.sha2(_normalised(text), 256).alias(keys[0]), F.xxhash64(_normalised(text)).alias(keys[1]), F.length(text).alias(keys[2]), *_id_keys(docs[id_col], keys[3:]))
     # repeated (id, text) rows share every key and so a task: one of them stays, without another shuffle
     return keyed.join(best, keys, "left_semi").dropDuplicates(keys).drop(*keys)
 

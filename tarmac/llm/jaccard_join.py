@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import documents, lean, small_batches, staged, text_or_empty
+from tarmac.llm.common import documents, lean, small_batches, spare, staged, text_or_empty
 from tarmac.llm.components import components
 
 SHINGLE = 5
@@ -170,12 +170,17 @@ def _sets(rows: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     rank = np.minimum(255, np.floor(2 * np.log2(np.maximum(1, sketch)))).astype(np.uint8)  # half octaves
     shared = sc.broadcast((rank, noise))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    names = ["row", "doc_id", "sig", "size", "prefix", "finger", "bits", "scan"]
+    names = ["row", "doc_id", "text_key", "sig", "size", "prefix", "finger", "bits", "scan"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, noise = shared.value
         serial = TaskContext.get().partitionId() << 24
+        last = serial + (1 << 24)
+        if last > 1 << 44:
+            raise ValueError("row ids hold 2^20 tasks: read the documents in fewer partitions")
         for batch in batches:
+            if serial + batch.num_rows > last:
+                raise ValueError("row ids hold 2^24 rows a task: read the documents in more partitions")
             cols: list[list] = [[], [], [], [], [], [], []]
             for t in batch.column(1).to_pylist():
                 s = shingle_set(t)
@@ -196,15 +201,15 @@ def _sets(rows: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
                 cols[5].append(np.packbits(pattern).tobytes())
                 cols[6].append(lists)
                 serial += 1
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), batch.column(0), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()),
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), batch.column(0), batch.column(2), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()),
                                               pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary()), pa.array(cols[6], pa.float64())], names=names)
 
-    return rows.select("doc_id", "text").mapInArrow(lean(run), f"row long, doc_id {id_type}, sig binary, size long, prefix binary, finger binary, bits binary, scan double")
+    return rows.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(lean(run), f"row long, doc_id {id_type}, text_key long, sig binary, size long, prefix binary, finger binary, bits binary, scan double")
 
 
-def cost_boundary(nodes: DataFrame) -> int:
+def cost_boundary(nodes: DataFrame, percent: int = SIMILARITY) -> int:
     """The size up to which enumerating 2-subsets is cheaper in all than entering and scanning lists."""
-    p = F.col("size") - F.ceil(F.col("size") * 0.8) + 2
+    p = F.col("size") - F.ceil(F.col("size") * percent / 100) + 2
     rows = nodes.filter(F.col("size") <= MAX_BOUNDARY).groupBy("size").agg(F.sum(p * (p - 1) / 2).alias("light"), F.sum(p + F.col("scan")).alias("heavy")).collect()
     best, boundary, gain = 0.0, 0, 0.0
     for r in sorted(rows, key=lambda r: r["size"]):  # at most MAX_BOUNDARY rows
@@ -360,7 +365,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table gives no rows; other columns are ignored.
     """
     with small_batches(docs.sparkSession):  # every Python stage runs, and is written, inside
-        return _similar_groups(docs, id_col, text_col, percent)
+        return _similar_groups(docs, id_col, text_col, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def _similar_groups(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -369,7 +374,7 @@ def _similar_groups(docs: DataFrame, id_col: str, text_col: str, percent: int) -
     held = sets.filter(F.col("size") > 0)
     reps = held.groupBy("sig").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"))
     nodes = staged(sets.join(reps.select("node"), sets["row"] == F.col("node"), "left_semi").withColumnRenamed("row", "node"), "nodes")
-    boundary = cost_boundary(nodes)
+    boundary = cost_boundary(nodes, percent)
 
     postings = staged(_postings(nodes, boundary, percent), "postings")
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).filter(F.col("n") > 1)
@@ -393,22 +398,26 @@ def _similar_groups(docs: DataFrame, id_col: str, text_col: str, percent: int) -
     best = reps.join(comp.select(F.col("node").alias("n_"), "component"), F.col("node") == F.col("n_"), "left") \
         .select("sig", "least_id", F.coalesce("component", "node").alias("component"))
     least = best.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = best.join(least, "component").select(F.col("sig").alias("s_sig"), "component_id")
-    out = held.join(named, held["sig"] == F.col("s_sig")).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
-    empty = sets.filter(F.col("size") == 0).select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = best.join(least, "component").select(F.col("sig").alias("s_sig"), "component", "component_id")
+    out = held.join(named, held["sig"] == F.col("s_sig")).select("doc_id", F.col("size").alias("n_shingles"), "component_id", "text_key", "component")
+    empty = sets.filter(F.col("size") == 0).select("doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key", F.lit(None).cast("long").alias("component"))
     return out.unionByName(empty)
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY) -> DataFrame:
-    """The documents whose id names their group (others of the group go), with all their columns.
+    """One document of each group with the group's smallest id (others of the group go), with all its columns.
 
-    Rows with a null id stay where their group has no other id; repeated rows of the staying id are one.
+    A row is an id with its text: of rows that repeat an id, each is judged by its own text, and those that
+    repeat both are one. A null id stays only where its group has no other. Documents without words stay.
     """
-    groups = similar_groups(docs, id_col, text_col, percent)
-    key = lambda c: [F.coalesce(c.cast("string"), F.lit("")).alias("__i"), c.isNull().alias("__n")]
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key(F.col("doc_id"))).distinct()
-    kept = docs.select("*", *key(docs[id_col])).join(stay, ["__i", "__n"], "left_semi")
-    return kept.dropDuplicates(["__i", "__n", text_col]).drop("__i", "__n")
+    with small_batches(docs.sparkSession):
+        groups = staged(_similar_groups(docs, id_col, text_col, percent), "groups")
+    names = spare(docs, "_id", "_null", "_text")
+    key = lambda c, t: [F.coalesce(c.cast("string"), F.lit("")).alias(names[0]), c.isNull().alias(names[1]), t.alias(names[2])]
+    first = groups.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("text_key").alias("t"))).alias("b"))
+    stay = first.select(*key(F.col("b.id"), F.col("b.t"))).unionByName(groups.filter("component is null").select(*key(F.col("doc_id"), F.col("text_key")))).distinct()
+    kept = docs.select("*", *key(docs[id_col], F.xxhash64(text_or_empty(docs, text_col)))).join(stay, names, "left_semi")
+    return kept.dropDuplicates(names).drop(*names)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

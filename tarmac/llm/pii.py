@@ -9,12 +9,14 @@
 3. Spark scores the pattern-instance graph to convergence: a pattern's confidence is the smoothed share of
    its context's distinct seeds that are of its kind; unseen instances say nothing against it, and those that a better
    pattern vouches for raise it. An instance's score is that of its best pattern.
+   Words of more than ``LONGEST_WORD`` code points are no contexts, so the work is linear in a text's length.
 4. Candidates with confident, well supported patterns become spans of the pattern's kind.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,13 +36,14 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_OTHER = re.compile(r"[A-Za-z0-9@._%+-]*[0-9@][A-Za-z0-9@._%+-]*")
+_OTHER = re.compile(r"[A-Za-z0-9@._%+-]+")
 _GROUPS = re.compile(r"(?<![0-9])\(?\+?[0-9]++\)?(?:[ ./-]{1,2}\(?[0-9]++\)?)+")
+_DIGITS = re.compile(r"[0-9]")
 _WORDS = re.compile(r"[^ \t-\r]+")
-_RIGHT = re.compile(r"[ \t]*+([^ \t-\r]+)")
 _QUADS = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _ABROAD = re.compile(r"\+[0-9]{1,3}[ -]?")
 LABEL_WORDS = 3
+LONGEST_WORD = 200  # code points; a longer word is no context
 MOST_DIGITS = 19  # of a card or phone
 
 
@@ -90,25 +93,28 @@ def _refuted(thing: str) -> str | None:
     return "card" if _CARD.fullmatch(thing) and 14 <= len(digits) <= MOST_DIGITS else None
 
 
-def _contexts(t: str, line: int, start: int, end: int) -> list[str]:
-    """The contexts of a place on the line that begins at ``line``, lower case; words of any length are whole."""
-    size = 80
-    while True:
-        low = max(line, start - size)
-        words = _WORDS.findall(t, low, start)
-        if low == line or len(words) > LABEL_WORDS:
-            break
-        size *= 2
-    out = ["2:" + " ".join(words[-2:])] if len(words) > 1 else []
-    out += ["1:" + words[-1]] if words else []
-    out += ["^:" + " ".join(words)] if low == line and 0 < len(words) <= LABEL_WORDS else []
-    right = _RIGHT.match(t, end)
-    return [c.lower() for c in out + (["r:" + right[1]] if right else [])]
+def _contexts(t: str, words: list[tuple[int, int]], line: int, start: int, end: int) -> list[str]:
+    """The contexts of a place on the line that begins at ``line``, lower case. ``words`` are the spans of all
+    words of the text; parts of a word beside the place count as words."""
+    i = bisect_left(words, (start, start)) - 1
+    before: list[tuple[int, int]] = []
+    while i >= 0 and words[i][0] >= line and len(before) <= LABEL_WORDS:
+        before.append((words[i][0], min(words[i][1], start)))
+        i -= 1
+    left = [t[a:b] if b - a <= LONGEST_WORD else None for a, b in reversed(before)]
+    out = ["2:" + " ".join(left[-2:])] if len(left) > 1 and None not in left[-2:] else []
+    out += ["1:" + left[-1]] if left and left[-1] is not None else []
+    out += ["^:" + " ".join(left)] if 0 < len(left) <= LABEL_WORDS and None not in left else []
+    i = bisect_right(words, (end, end)) - 1
+    a, b = (end, words[i][1]) if i >= 0 and words[i][1] > end else words[i + 1] if i + 1 < len(words) else (0, 0)
+    if 0 < b - a <= LONGEST_WORD and not t[end:a].strip(" \t"):
+        out.append("r:" + t[a:b])
+    return [c.lower() for c in out]
 
 
 def _candidates(t: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, bool]]:
     """(start, end, grouped) of identifier-like strings that meet no base span."""
-    plain = [(m.start(), m.start() + len(m[0].rstrip("._%+-"))) for m in _OTHER.finditer(t) if "@" in m[0] or sum(c.isdigit() for c in m[0]) >= 4]
+    plain = [(m.start(), m.start() + len(m[0].rstrip("._%+-"))) for m in _OTHER.finditer(t) if "@" in m[0] or len(_DIGITS.findall(m[0])) >= 4]
     groups = [m.span() for m in _GROUPS.finditer(t) if 4 <= sum(c.isdigit() for c in m[0]) <= MOST_DIGITS]
     known, taken, i, out = set(plain), sorted((s, e) for s, _, e in spans), 0, []
     for s, e, grouped in sorted([(*x, False) for x in plain] + [(*x, True) for x in groups if x not in known]):
@@ -127,10 +133,11 @@ _NAMES = ("row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "fact
 
 def _facts(t: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     seen = sorted([(s, e, KINDS[k], False) for s, k, e in spans] + [(s, e, None, grouped) for s, e, grouped in _candidates(t, spans)], key=lambda x: x[:2])
+    words = [m.span() for m in _WORDS.finditer(t)] if seen else []
     out, line, at = [], 0, 0
     for s, e, kind, grouped in seen:
         line, at = max(line, t.rfind("\n", at, s) + 1), s
-        contexts = _contexts(t, line, s, e)
+        contexts = _contexts(t, words, line, s, e)
         if contexts:
             out.append({"kind": kind, "refuted": None if kind else _refuted(t[s:e]), "grouped": grouped, "shape": _shape(t[s:e]), "contexts": contexts, "thing": t[s:e], "start": s, "end": e})
     return out

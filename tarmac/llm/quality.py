@@ -140,8 +140,10 @@ def score(docs: DataFrame, model: tuple[float, list], id_col: str = "doc_id", te
 
 def keep_good(docs: DataFrame, model: tuple[float, list], threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows that the classifier accepts, with all their columns."""
-    scored = statistics(docs, text_col=text_col, keep=docs.columns)
-    return scored.filter(compile_rules(*model) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # no given name meets a statistic's
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == text_col.lower())
+    scored = statistics(docs.toDF(*plain), text_col=plain[at], keep=plain)
+    return scored.filter(compile_rules(*model) >= threshold).select(*[F.col(p).alias(c) for p, c in zip(plain, docs.columns)])
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tarmac.llm.common import documents, staged, text_or_empty
+from tarmac.llm.common import documents, spare, staged, text_or_empty
 
 SHARDS = 40
 RANGES = 1024
@@ -75,12 +75,13 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, ranges: int = RANGES, id_col
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """The documents as Parquet, one folder per shard; files of a shard are written by several tasks."""
-    place = shards(docs, n_shards, RANGES, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "shard", "slot") \
-        .groupBy("_id", "_crc").agg(F.min(F.struct("shard", "slot")).alias("_p"))
+    key, crc, at, shard, slot = spare(docs, "_id", "_crc", "_p", "_shard", "_slot")
+    place = shards(docs, n_shards, RANGES, id_col, text_col).select(F.col("doc_id").alias(key), F.col("text_crc32").alias(crc), "shard", "slot") \
+        .groupBy(key, crc).agg(F.min(F.struct("shard", "slot")).alias(at))
     text = text_or_empty(docs, text_col)
-    docs.join(place, docs[id_col].eqNullSafe(F.col("_id")) & (F.crc32(text) == F.col("_crc"))).withColumn("_shard", F.col("_p.shard")) \
-        .withColumn("_slot", F.col("_p.slot")).drop("_id", "_crc", "_p").repartition("_shard", F.floor(F.col("_slot") / 50_000)) \
-        .write.partitionBy("_shard").parquet(path)
+    docs.join(place, docs[id_col].eqNullSafe(F.col(key)) & (F.crc32(text) == F.col(crc))).withColumn(shard, F.col(f"{at}.shard")) \
+        .withColumn(slot, F.col(f"{at}.slot")).drop(key, crc, at).repartition(shard, F.floor(F.col(slot) / 50_000)) \
+        .write.partitionBy(shard).parquet(path)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
