@@ -4,11 +4,12 @@
   per-(row, tree) hash test, so a row emits only the trees that picked it (about 100 x 256
   rows in total, independent of the table size). Trees are grown per tree with
   ``applyInPandas`` (one group = one bounded subsample), the forest (at most 100 x 511 nodes)
-  is broadcast and every row is scored by an Arrow-batched ``mapInPandas``.
+  is broadcast and every row is scored by an Arrow-batched column, without a join. The fitted object
+  holds scaler, trees and offset: it is saved, loaded and scores rows that it has not seen.
 * M2 DBSCAN: a graph of cells of side eps / sqrt(d). Full cells hold core points only, points of thin
   cells are compared with their neighbouring cells, and two cells are linked by boxes that are halved
   until decided. Clusters are components of cells; neighbour pairs are never stored.
-* M3-M8 work on a flagged table and are plain aggregates.
+* M3 flags a flight that either detector flags; M4-M8 work on a flagged table and are plain aggregates.
 """
 
 from __future__ import annotations
@@ -16,16 +17,17 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions.components import ranked, smallest_labels
 from tarmac.functions.quantiles import exact_percentile
 from tarmac.functions.scalars import with_scalars
-from tarmac.session import cut_lineage, stored
+from tarmac.session import stored
 
 # FIXED VALUES: anomaly type -> recommended action
 ACTIONS = {
@@ -96,68 +98,107 @@ def _grow(pdf: pd.DataFrame, n_features: int, seed: int) -> pd.DataFrame:
     return pd.DataFrame({"tree": [tree], "feat": [feat], "thr": [thr], "left": [left], "right": [right], "size": [size]})
 
 
-def isolation_forest(df: DataFrame, features: list[str], n_trees: int = 100, max_samples: int = 256,
-                     contamination: float = 0.1, seed: int = 42, id_col: str = "flight_id") -> DataFrame:
-    """Adds isolation_score (sklearn ``decision_function``), isolation_anomaly (score < 0) and
-    anomaly_confidence (|score|). The offset is the exact ``contamination`` quantile of the raw score."""
-    z = standardize(df, features)
-    zcols = [f"z_{c}" for c in features]
-    vec = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in zcols])
-    z = z.withColumn("_x", vec)
-    n = z.count()
+@dataclass(frozen=True)
+class IsolationForest:
+    """A fitted forest: the scaler and the trees of at most ``sample_size`` rows each, so its size does not depend on the table."""
+
+    features: list[str]
+    mean: list[float]
+    scale: list[float]
+    trees: list[dict]
+    sample_size: int
+    offset: float
+
+    def raw_scores(self, df: DataFrame) -> Column:
+        """The raw score in (-1, 0) of each row of ``df``: one Arrow-batched column, no join. Nulls count as 0."""
+        forest = df.sparkSession.sparkContext.broadcast(self.trees)
+        mean, scale, c_psi = np.array(self.mean), np.array(self.scale), max(_c(self.sample_size), 1e-12)
+
+        @F.pandas_udf("double")
+        def raw(xs: pd.Series) -> pd.Series:
+            z = (np.vstack(xs.to_numpy()) - mean) / scale if len(xs) else np.zeros((0, len(mean)))
+            depth = np.zeros(len(z))
+            for tree in forest.value:
+                depth += _depths(tree, z)
+            return pd.Series(-np.power(2.0, -(depth / len(forest.value)) / c_psi))
+
+        return raw(_inputs(self.features))
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """``df`` with isolation_score (below 0: anomaly), isolation_anomaly and anomaly_confidence. ``df`` may be other
+        rows than those of the fit: scaler, trees and offset are the fitted ones."""
+        return df.withColumn("isolation_score", self.raw_scores(df) - F.lit(self.offset)).withColumns({
+            "isolation_anomaly": (F.col("isolation_score") < 0).cast("int"),
+            "anomaly_confidence": F.abs("isolation_score"),
+        })
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        head = [(self.features, self.mean, self.scale, self.sample_size, self.offset)]
+        spark.createDataFrame(head, HEAD_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
+        spark.createDataFrame([tuple(t.values()) for t in self.trees], TREE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> IsolationForest:
+        head = spark.read.parquet(f"{path}/head").first()
+        trees = [r.asDict() for r in spark.read.parquet(f"{path}/trees").orderBy("tree").collect()]
+        return IsolationForest(head["features"], head["mean"], head["scale"], trees, head["sample_size"], head["offset"])
+
+
+HEAD_SCHEMA = "features array<string>, mean array<double>, scale array<double>, sample_size int, offset double"
+
+
+def _inputs(features: list[str]) -> Column:
+    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
+
+
+def _depths(tree: dict, z: np.ndarray) -> np.ndarray:
+    """Path length of each row in one tree, with the expected rest of the path below its leaf."""
+    feat, thr, left, right = (np.asarray(tree[k]) for k in ("feat", "thr", "left", "right"))
+    node, depth = np.zeros(len(z), dtype=int), np.zeros(len(z))
+    active = np.flatnonzero(feat[node] >= 0)
+    while len(active):
+        at = node[active]
+        node[active] = np.where(z[active, feat[at]] < thr[at], left[at], right[at])
+        depth[active] += 1
+        active = active[feat[node[active]] >= 0]
+    return depth + np.array([_c(n) for n in tree["size"]])[node]
+
+
+def fit_isolation_forest(df: DataFrame, features: list[str], n_trees: int = 100, max_samples: int = 256, contamination: float = 0.1,
+                         seed: int = 42, id_col: str = "flight_id") -> IsolationForest:
+    """Scaler, trees and offset from ``df``, whose inputs are computed once. The offset is the exact
+    ``contamination`` quantile of the raw scores of all rows of ``df``. An empty table raises ValueError."""
+    x = stored(df.select(F.col(id_col).alias("id"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)]), "detector-inputs")
+    cols = [f"x{i}" for i in range(len(features))]
+    n, *stats = x.agg(F.count(F.lit(1)), *[F.avg(c) for c in cols], *[F.stddev_pop(c) for c in cols]).first()
+    if n == 0:
+        raise ValueError("need at least one row to fit an isolation forest")
+    mean, scale = stats[:len(cols)], [s if s > 0 else 1.0 for s in stats[len(cols):]]
     psi = min(max_samples, n)
-    # draw each tree's subsample: a row lists only the trees whose hash test it passes (about
-    # 2 x psi rows per tree in expectation), then each tree keeps its psi smallest hashes
-    rate = min(1.0, 2.0 * psi / max(n, 1))
+    # a row lists only the trees whose hash test it passes (about 2 x psi rows per tree in expectation), then each tree
+    # keeps its psi smallest hashes: the rows that leave their task do not grow with the table
     mod = 2 ** 31 - 1
-    bound = int(rate * mod)
+    bound = int(min(1.0, 2.0 * psi / n) * mod)
 
     def h(t: Column) -> Column:
-        return F.abs(F.xxhash64(F.col(id_col), F.lit(seed), t)) % mod
+        return F.abs(F.xxhash64(F.col("id"), F.lit(seed), t)) % mod
 
+    z = F.array(*[(F.col(c) - F.lit(m)) / F.lit(s) for c, m, s in zip(cols, mean, scale)])
     trees_of_row = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: h(t) <= bound)
-    picks = z.select(id_col, "_x", F.explode(trees_of_row).alias("_t")).withColumn("_h", h(F.col("_t")))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("_t").orderBy("_h", id_col)
-    sample = picks.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi).select(F.col("_t").alias("tree"), F.col("_x").alias("x"))
-    nf = len(features)
-    trees = sample.groupBy("tree").applyInPandas(lambda p: _grow(p, nf, seed), TREE_SCHEMA)
-    forest = [r.asDict() for r in trees.collect()]  # bounded: n_trees x (2 * max_samples - 1) nodes
-    bc = df.sparkSession.sparkContext.broadcast(forest)
-    c_psi = _c(psi)
-
-    def score(batches):
-        fr = bc.value
-        for pdf in batches:
-            X = np.vstack(pdf["_x"].to_numpy()) if len(pdf) else np.zeros((0, nf))
-            depth = np.zeros(len(X))
-            for t in fr:
-                feat, thr, left, right, size = (np.asarray(t[k]) for k in ("feat", "thr", "left", "right", "size"))
-                node = np.zeros(len(X), dtype=int)
-                d = np.zeros(len(X))
-                active = feat[node] >= 0
-                while active.any():
-                    f = feat[node[active]]
-                    go_left = X[active, f] < thr[node[active]]
-                    node[active] = np.where(go_left, left[node[active]], right[node[active]])
-                    d[active] += 1
-                    active = feat[node] >= 0
-                d += np.array([_c(s) for s in size[node]])
-                depth += d
-            raw = -np.power(2.0, -(depth / len(fr)) / c_psi)
-            yield pd.DataFrame({id_col: pdf[id_col].values, "raw_score": raw})
-
-    scored = z.select(id_col, "_x").mapInPandas(score, f"{id_col} string, raw_score double")
-    scored = cut_lineage(scored)
-    # the offset is an exact quantile of a continuous score: order statistics, not a value map
-    off = exact_percentile(scored, "raw_score", contamination)
-    s = scored.select(id_col, (F.col("raw_score") - F.lit(off)).alias("isolation_score"))
-    out = df.join(s, id_col)
-    return out.withColumns({
-        "isolation_anomaly": (F.col("isolation_score") < 0).cast("int"),
-        "anomaly_confidence": F.abs("isolation_score"),
-    })
+    picks = x.select("id", z.alias("x"), F.explode(trees_of_row).alias("tree")).withColumn("_h", h(F.col("tree")))
+    sample = picks.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy("_h", "id"))).filter(F.col("_r") <= psi)
+    width = len(features)
+    grown = sample.select("tree", "x").groupBy("tree").applyInPandas(lambda p: _grow(p, width, seed), TREE_SCHEMA)
+    trees = [r.asDict() for r in grown.orderBy("tree").collect()]  # bounded: n_trees x (2 * max_samples - 1) nodes
+    plain = IsolationForest(cols, mean, scale, trees, psi, 0.0)
+    offset = exact_percentile(stored(x.select(plain.raw_scores(x).alias("raw")), "raw-scores"), "raw", contamination)
+    return IsolationForest(list(features), mean, scale, trees, psi, offset)
+
+
+def isolation_forest(df: DataFrame, features: list[str], n_trees: int = 100, max_samples: int = 256,
+                     contamination: float = 0.1, seed: int = 42, id_col: str = "flight_id") -> DataFrame:
+    """Fit on ``df`` and score the same rows (``IsolationForest.score``)."""
+    return fit_isolation_forest(df, features, n_trees, max_samples, contamination, seed, id_col).score(df)
 
 
 # ---------------------------------------------------------------- M2 DBSCAN
@@ -266,6 +307,21 @@ def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: in
 
 
 # ---------------------------------------------------------------- M3 - M8 on a flagged table
+def combine_anomalies(scored: DataFrame, clusters: DataFrame, id_col: str = "flight_id") -> DataFrame:
+    """A flight is an anomaly when the forest flags it or DBSCAN leaves it as noise (-1)."""
+    noise = (F.col("dbscan_cluster") == -1).cast("int")
+    return scored.join(clusters.select(id_col, "dbscan_cluster"), id_col).withColumns({
+        "dbscan_anomaly": noise, "combined_anomaly": F.greatest("isolation_anomaly", noise)})
+
+
+def detect_anomalies(model: IsolationForest, feats: DataFrame, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
+    """Typed anomalies of ``feats`` (its inputs are the model's): the fitted forest scores them, DBSCAN, which has no
+    fitted form, clusters them anew on the same inputs."""
+    feats = stored(feats, "detector-features")
+    clusters = dbscan(feats, model.features, eps, min_samples)
+    return classify_anomaly_types(combine_anomalies(model.score(feats), clusters))
+
+
 def classify_anomaly_types(flagged: DataFrame) -> DataFrame:
     """Ordered type rules; the 95th percentiles are one-row aggregates attached to every row."""
     q = flagged.agg(F.percentile("runway_utilization", 0.95).alias("_qr"), F.percentile("capacity", 0.95).alias("_qc"))
@@ -290,6 +346,8 @@ def anomaly_summary(typed: DataFrame) -> DataFrame:
         F.sum("dbscan_anomaly").alias("dbscan_anomalies"),
         F.sum("combined_anomaly").alias("combined_anomalies"),
         (F.avg("combined_anomaly") * 100).alias("anomaly_rate"),
+        *([F.count_distinct(F.when(F.col("dbscan_cluster") >= 0, F.col("dbscan_cluster"))).alias("unique_clusters")]
+          if "dbscan_cluster" in typed.columns else []),
     )
     return one
 

@@ -145,9 +145,15 @@ COMMON_FAMILIES = ["A320", "A330", "A350", "B737", "B747", "B777", "B787"]
 WIDE_BODY = ["A330", "A350", "A380", "B747", "B767", "B777", "B787"]
 
 
+DETECTOR_PEAK_HOURS = [7, 8, 9, 18, 19, 20]  # FIXED VALUES: the detector's own peak hours
+
+
 def anomaly_features(fl: DataFrame) -> DataFrame:
     """Numeric anomaly features: time parts, delay flags, capacity share of the global max,
-    aircraft family flags, rolling delay, hourly and runway-hour densities."""
+    aircraft family flags, rolling delay, hourly and runway-hour densities. A null delay counts
+    as 0, a null capacity as 150 and a null congestion factor as 1."""
+    fl = fl.withColumns({"delay_minutes": F.coalesce("delay_minutes", F.lit(0.0)), "capacity": F.coalesce("capacity", F.lit(150)),
+                         "congestion_factor": F.coalesce("congestion_factor", F.lit(1.0))})
     df = rolling_delay(fl)
     df = traffic_density(df)
     cap_max = fl.agg(F.max("capacity").alias("_cap_max"))
@@ -160,7 +166,7 @@ def anomaly_features(fl: DataFrame) -> DataFrame:
         "is_delayed": (F.col("delay_minutes") > 0).cast("int"),
         "delay_category": dims.delay_category(F.col("delay_minutes")),
         "capacity_utilization": F.col("capacity") / F.col("_cap_max"),
-        "is_peak_hour_int": F.col("is_peak_hour").cast("int"),
+        "is_peak_hour_int": F.col("hour").isin(DETECTOR_PEAK_HOURS).cast("int"),
         "is_weekend": F.col("day_of_week").isin(5, 6).cast("int"),
         "high_congestion": (F.col("congestion_factor") > 1.5).cast("int"),
         "aircraft_family": fam,
@@ -169,3 +175,24 @@ def anomaly_features(fl: DataFrame) -> DataFrame:
     for f in COMMON_FAMILIES:
         cols[f"is_{f.lower()}_family"] = F.upper(fam).contains(f).cast("int")
     return df.withColumns(cols).drop("_cap_max")
+
+
+# F4 (encoded part)
+def _clean(c: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(c), F.lit("nan")), r"\W+", "_")
+
+
+def detector_categories(fl: DataFrame, top: int = 10) -> dict[str, list[str]]:
+    """The ``top`` airlines by flights (ties: smallest name) and all runways, as a fit keeps them."""
+    airlines = fl.groupBy(_clean("airline").alias("v")).count().orderBy(F.desc("count"), "v").limit(top).collect()
+    runways = fl.select(_clean("runway").alias("v")).distinct().orderBy("v").collect()  # bounded: runway names
+    return {"airline": [r.v for r in airlines], "runway": [r.v for r in runways]}
+
+
+def detector_flags(feats: DataFrame, categories: dict[str, list[str]]) -> tuple[DataFrame, list[str]]:
+    """``feats`` with a flag column per airline and runway of the fit, and the names of all flag inputs. A category
+    that the fit has not seen has no flag set."""
+    prefix = {"airline": "airline_", "runway": "runway_id_"}
+    flags = {f"{prefix[c]}{v}": (_clean(c) == v).cast("int") for c, values in categories.items() for v in values}
+    families = [f"is_{f.lower()}_family" for f in COMMON_FAMILIES] + ["is_wide_body"]
+    return feats.withColumns(flags), families + list(flags)

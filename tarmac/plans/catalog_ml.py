@@ -11,6 +11,7 @@ from tarmac.operators import peaks as P
 from tarmac.operators import predict as PR
 from tarmac.plans.oracle import with_flights
 from tarmac.plans.registry import register
+from tarmac.session import stored
 from tarmac.sources import fixture
 
 
@@ -35,7 +36,7 @@ def _typed(spark, d):
 
 FLAGGED = """
 , af AS (
-  SELECT *, CAST(month(scheduled_time) AS INTEGER) AS month, CAST(is_peak_hour AS INTEGER) AS is_peak_hour_int, CAST(congestion_factor > 1.5 AS INTEGER) AS high_congestion,
+  SELECT *, CAST(month(scheduled_time) AS INTEGER) AS month, CAST(hour IN (7, 8, 9, 18, 19, 20) AS INTEGER) AS is_peak_hour_int, CAST(congestion_factor > 1.5 AS INTEGER) AS high_congestion,
     count(*) OVER (PARTITION BY runway, hour) AS runway_utilization,
     CAST(delay_minutes > 100 AS INTEGER) AS isolation_anomaly, CAST(delay_minutes > 150 AS INTEGER) AS dbscan_anomaly,
     CAST(delay_minutes > 100 AS INTEGER) AS combined_anomaly, delay_minutes / 100 AS anomaly_confidence
@@ -135,6 +136,68 @@ def _klj(spark, d):
     return J.known_label_join(typed.select("flight_id", "combined_anomaly"), truth)
 
 
+GIVEN_DETECTORS = """
+, af AS (SELECT flight_id, CAST(delay_minutes > 100 AS INTEGER) AS isolation_anomaly,
+    CASE WHEN hour = 3 THEN -1 ELSE hour % 5 END AS dbscan_cluster FROM flights),
+both_flags AS (SELECT *, CAST(dbscan_cluster = -1 AS INTEGER) AS dbscan_anomaly,
+    CAST(isolation_anomaly = 1 OR dbscan_cluster = -1 AS INTEGER) AS combined_anomaly FROM af)
+"""
+
+
+def _combined(spark, d):
+    """Given detector output: the forest flags delays over 100, DBSCAN leaves the flights of 3 o'clock as noise."""
+    fl = _fl(spark, d)
+    scored = fl.select("flight_id", (F.col("delay_minutes") > 100).cast("int").alias("isolation_anomaly"))
+    clusters = fl.select("flight_id", F.when(F.col("hour") == 3, -1).otherwise(F.col("hour") % 5).alias("dbscan_cluster"))
+    return M.combine_anomalies(scored, clusters)
+
+
+@register("combine_anomalies", with_flights(GIVEN_DETECTORS + """
+SELECT flight_id, isolation_anomaly, dbscan_cluster, dbscan_anomaly, combined_anomaly FROM both_flags
+"""))
+def _ca(spark, d):
+    return _combined(spark, d)
+
+
+@register("combined_anomaly_summary", with_flights(GIVEN_DETECTORS + """
+SELECT count(*) AS total_samples, CAST(sum(isolation_anomaly) AS BIGINT) AS isolation_anomalies,
+  CAST(sum(dbscan_anomaly) AS BIGINT) AS dbscan_anomalies, CAST(sum(combined_anomaly) AS BIGINT) AS combined_anomalies,
+  avg(combined_anomaly) * 100 AS anomaly_rate,
+  count(DISTINCT CASE WHEN dbscan_cluster >= 0 THEN dbscan_cluster END) AS unique_clusters FROM both_flags
+"""))
+def _cas(spark, d):
+    return M.anomaly_summary(_combined(spark, d))
+
+
+@register("detector_flags", with_flights("""
+, top AS (SELECT airline FROM flights GROUP BY airline ORDER BY count(*) DESC, airline LIMIT 10)
+SELECT flight_id, CAST(airline = '6E' AND '6E' IN (SELECT airline FROM top) AS INTEGER) AS airline_6E,
+  CAST(airline = '9W' AND '9W' IN (SELECT airline FROM top) AS INTEGER) AS airline_9W,
+  CAST(runway = '09R/27L' AS INTEGER) AS runway_id_09R_27L, CAST(runway = '14/32' AS INTEGER) AS runway_id_14_32 FROM flights
+"""))
+def _df(spark, d):
+    fl = _fl(spark, d)
+    out, _ = FE.detector_flags(fl, FE.detector_categories(fl))
+    return out.select("flight_id", "airline_6E", "airline_9W", "runway_id_09R_27L", "runway_id_14_32")
+
+
+def _fitted_on_early_days(spark, d):
+    """Forest of the flights before the middle of the calendar, and the features of all flights."""
+    fl = _fl(spark, d)
+    feats, flags = FE.detector_flags(FE.anomaly_features(fl), FE.detector_categories(fl))
+    feats = stored(feats.select("flight_id", "date", *M.ANOMALY_FEATURES, *flags), "features")
+    middle = F.expr("date_add(min(date), cast(datediff(max(date), min(date)) / 2 as int))")
+    cut = feats.agg(middle.alias("d")).first()["d"]
+    return M.fit_isolation_forest(feats.filter(F.col("date") < cut), M.ANOMALY_FEATURES + flags), feats.filter(F.col("date") >= cut)
+
+
+@register("isolation_forest_new_flights")
+def _ifn(spark, d):
+    """Fitted with all inputs on the first half of the calendar, it scores the flights of the second half."""
+    model, later = _fitted_on_early_days(spark, d)
+    return model.score(later).select("flight_id", "isolation_score", "isolation_anomaly", "anomaly_confidence")
+
+
 @register("isolation_forest")
 def _if(spark, d):
     feats = FE.anomaly_features(_fl(spark, d))

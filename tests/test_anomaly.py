@@ -92,3 +92,50 @@ def test_dbscan_stores_no_pairs_of_points(spark):
     out = M.dbscan(df, ["x", "y"], scaled=False)
     assert out.filter("dbscan_cluster = 0").count() == 3000
     assert M.dbscan(df.limit(0), ["x", "y"], scaled=False).count() == 0
+
+
+def test_fitted_forest_scores_other_rows_and_survives_saving(spark, tmp_path):
+    rnd = random.Random(2)
+    rows = [(f"n{i}", rnd.gauss(0, 1), rnd.gauss(5, 2)) for i in range(600)] + [("null", None, 5.0)]
+    df = spark.createDataFrame(rows, "flight_id string, a double, b double")
+    model = M.fit_isolation_forest(df, ["a", "b"], n_trees=40, max_samples=128, contamination=0.1, seed=3)
+    new = spark.createDataFrame([("in", 0.0, 5.0), ("far", 9.0, -9.0), ("far", 9.0, -9.0), ("null", None, 5.0)], "flight_id string, a double, b double")
+    got = [(r.flight_id, r.isolation_anomaly, r.isolation_score) for r in model.score(new).collect()]
+    assert sorted((i, f) for i, f, _ in got) == [("far", 1), ("far", 1), ("in", 0), ("null", 0)]
+    model.save(spark, str(tmp_path / "forest"))
+    again = M.IsolationForest.load(spark, str(tmp_path / "forest"))
+    assert again == model
+    assert [(r.flight_id, r.isolation_anomaly, r.isolation_score) for r in again.score(new).collect()] == got
+    flagged = model.score(df).filter("isolation_anomaly = 1").count()
+    assert abs(flagged - 0.1 * 601) <= 2
+    assert model.score(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        M.fit_isolation_forest(df.limit(0), ["a", "b"])
+
+
+def test_forest_depths_match_a_walk_row_by_row(spark):
+    rnd = random.Random(5)
+    rows = [(f"n{i}", rnd.random(), float(i % 3)) for i in range(90)]
+    df = spark.createDataFrame(rows, "flight_id string, a double, b double")
+    model = M.fit_isolation_forest(df, ["a", "b"], n_trees=7, max_samples=32, seed=1)
+    got = {r.flight_id: r.isolation_score for r in model.score(df).collect()}
+    for fid, *x in rows:
+        z, total = [(v - m) / s for v, m, s in zip(x, model.mean, model.scale)], 0.0
+        for t in model.trees:
+            node, depth = 0, 0
+            while t["feat"][node] >= 0:
+                node = (t["left"] if z[t["feat"][node]] < t["thr"][node] else t["right"])[node]
+                depth += 1
+            total += depth + M._c(t["size"][node])
+        assert got[fid] == pytest.approx(-2 ** (-total / 7 / M._c(32)) - model.offset, abs=1e-12)
+
+
+def test_detect_combines_both_detectors(spark):
+    rnd = random.Random(6)
+    rows = [(f"n{i:03d}", rnd.gauss(0, 0.1), rnd.gauss(0, 0.1)) for i in range(150)] + [("far", 30.0, 30.0)]
+    df = spark.createDataFrame(rows, "flight_id string, a double, b double").selectExpr(
+        "*", "0D delay_minutes", "0 high_congestion", "0 is_peak_hour_int", "1 runway_utilization", "150 capacity")
+    model = M.fit_isolation_forest(df, ["a", "b"], n_trees=30, max_samples=64, contamination=0.05)
+    out = {r.flight_id: r for r in M.detect_anomalies(model, df).collect()}
+    assert len(out) == 151 and out["far"].dbscan_anomaly == 1 and out["far"].anomaly_type == "General Anomaly"
+    assert all(r.combined_anomaly == max(r.isolation_anomaly, r.dbscan_anomaly) for r in out.values())
