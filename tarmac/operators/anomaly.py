@@ -314,11 +314,12 @@ def combine_anomalies(scored: DataFrame, clusters: DataFrame, id_col: str = "fli
         "dbscan_anomaly": noise, "combined_anomaly": F.greatest("isolation_anomaly", noise)})
 
 
-def detect_anomalies(model: IsolationForest, feats: DataFrame, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
-    """Typed anomalies of ``feats`` (its inputs are the model's): the fitted forest scores them, DBSCAN, which has no
-    fitted form, clusters them anew on the same inputs."""
+def detect_anomalies(model: IsolationForest, feats: DataFrame, eps: float = 0.5, min_samples: int = 5,
+                     cluster_features: list[str] | None = None) -> DataFrame:
+    """Typed anomalies of ``feats``: the fitted forest scores them, DBSCAN, which has no fitted form, clusters them
+    anew on ``cluster_features`` (all inputs of the model where not given)."""
     feats = stored(feats, "detector-features")
-    clusters = dbscan(feats, model.features, eps, min_samples)
+    clusters = dbscan(feats, cluster_features or model.features, eps, min_samples)
     return classify_anomaly_types(combine_anomalies(model.score(feats), clusters))
 
 

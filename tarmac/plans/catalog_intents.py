@@ -134,3 +134,40 @@ FROM flights GROUP BY airline
 def _ria(spark, d):
     row = Q.parse_queries(_log(spark, d), profile="full").filter(F.col("query_id") == AIRLINE_QUERY_ID).first()
     return Q.run_intent(fixture.flights(spark, d), row.asDict())
+
+
+# the whole log at once, written over flights one by one
+PLANS = """
+, plans AS (SELECT *, min(query_id) OVER (PARTITION BY entity, time_filter, airlines, airports, delay_threshold, quantity) AS plan_id FROM parsed),
+met AS (
+  SELECT p.plan_id, p.entity, p.quantity, f.* FROM (SELECT * FROM plans WHERE query_id = plan_id) p JOIN flights f ON
+    (CASE p.time_filter WHEN 'morning' THEN f.hour BETWEEN 6 AND 11 WHEN 'afternoon' THEN f.hour BETWEEN 12 AND 17
+       WHEN 'evening' THEN f.hour BETWEEN 18 AND 23 WHEN 'night' THEN f.hour BETWEEN 0 AND 5
+       WHEN 'peak_hours' THEN f.hour IN (7, 8, 9, 18, 19, 20) ELSE true END)
+    AND (p.airlines IS NULL OR list_contains(p.airlines, lower(f.airline)))
+    AND (p.airports IS NULL OR list_contains(p.airports, substr(f.origin, 1, 3)) OR list_contains(p.airports, substr(f.destination, 1, 3)))
+    AND (p.delay_threshold IS NULL OR f.delay_minutes > p.delay_threshold)
+    AND (p.entity <> 'delays' OR f.delay_minutes > 0))
+"""
+
+
+@register("run_query_log", with_flights(PARSED_FULL + PLANS + """
+, grouped AS (
+  SELECT plan_id, quantity, CASE entity WHEN 'runways' THEN runway WHEN 'airlines' THEN airline END AS group_key,
+    count(flight_id) AS flight_count, avg(delay_minutes) AS avg_delay, CAST(sum(capacity) AS BIGINT) AS total_passengers FROM met GROUP BY 1, 2, 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY CASE quantity WHEN 'most' THEN -avg_delay ELSE avg_delay END, group_key) AS r FROM grouped)
+SELECT plans.query_id, plans.plan_id, plans.entity, group_key, flight_count, avg_delay, total_passengers
+FROM plans JOIN ranked USING (plan_id) WHERE r <= 10 OR plans.quantity IS NULL OR plans.quantity NOT IN ('most', 'least')
+"""))
+def _rql(spark, d):
+    return Q.run_query_log(fixture.flights(spark, d), Q.parse_queries(_log(spark, d), profile="full"))
+
+
+@register("run_query_log_top_flights", with_flights(PARSED + PLANS + """
+SELECT * FROM (SELECT plan_id, flight_id, airline, runway, scheduled_time, delay_minutes,
+  row_number() OVER (PARTITION BY plan_id ORDER BY CASE quantity WHEN 'most' THEN -delay_minutes ELSE delay_minutes END, flight_id) AS rank
+  FROM met WHERE entity = 'delays' AND quantity IN ('most', 'least')) WHERE rank <= 10
+"""))
+def _rqlt(spark, d):
+    top = Q.top_flights_of_log(fixture.flights(spark, d), Q.parse_queries(_log(spark, d)))
+    return top.withColumn("rank", F.col("rank").cast("long"))

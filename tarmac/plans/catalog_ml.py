@@ -185,7 +185,7 @@ def _fitted_on_early_days(spark, d):
     """Forest of the flights before the middle of the calendar, and the features of all flights."""
     fl = _fl(spark, d)
     feats, flags = FE.detector_flags(FE.anomaly_features(fl), FE.detector_categories(fl))
-    feats = stored(feats.select("flight_id", "date", *M.ANOMALY_FEATURES, *flags), "features")
+    feats = stored(feats.select("flight_id", "date", "capacity", *M.ANOMALY_FEATURES, *flags), "features")
     middle = F.expr("date_add(min(date), cast(datediff(max(date), min(date)) / 2 as int))")
     cut = feats.agg(middle.alias("d")).first()["d"]
     return M.fit_isolation_forest(feats.filter(F.col("date") < cut), M.ANOMALY_FEATURES + flags), feats.filter(F.col("date") >= cut)
@@ -198,6 +198,15 @@ def _ifn(spark, d):
     return model.score(later).select("flight_id", "isolation_score", "isolation_anomaly", "anomaly_confidence")
 
 
+@register("detect_new_flights")
+def _dnf(spark, d):
+    """The whole chain on flights that the forest has not seen. DBSCAN takes three inputs: on all of them at eps 0.5
+    every flight of the given tables is noise."""
+    model, later = _fitted_on_early_days(spark, d)
+    found = M.detect_anomalies(model, later, cluster_features=["hour", "delay_minutes", "capacity_utilization"])
+    return found.select("flight_id", "isolation_anomaly", "dbscan_anomaly", "combined_anomaly", "anomaly_confidence", "anomaly_type")
+
+
 @register("isolation_forest")
 def _if(spark, d):
     feats = FE.anomaly_features(_fl(spark, d))
@@ -211,6 +220,15 @@ def _db(spark, d):
     return M.dbscan(feats, ["hour", "delay_minutes", "capacity_utilization"], eps=0.5, min_samples=5)
 
 
+IMPORTANCE = ["hour", "delay_minutes", "is_peak_hour_int", "high_congestion", "runway_utilization"]
+
+
+@register("feature_importance_given", with_flights(FLAGGED + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS feature, abs(corr(CAST({c} AS DOUBLE), abs(anomaly_confidence))) AS importance FROM typed" for c in IMPORTANCE)))
+def _fig(spark, d):
+    return M.feature_importance_corr(flagged(_fl(spark, d)), IMPORTANCE, score="anomaly_confidence")
+
+
 @register("feature_importance_corr")
 def _fic(spark, d):
     feats = FE.anomaly_features(_fl(spark, d))
@@ -272,8 +290,10 @@ def _rh(spark, d):
 
 
 @register("train_test_split", with_flights("""
-SELECT flight_id, CAST(delay_minutes > 0 AS INTEGER) AS stratum,
-  (((CAST(regexp_extract(flight_id, '(\\d+)$', 1) AS BIGINT) % 1000003) * 2654435761) % 1000003) % 100 < 20 AS is_test FROM flights
+, hashed AS (SELECT flight_id, CAST(delay_minutes > 0 AS INTEGER) AS stratum,
+    ((CAST(regexp_extract(flight_id, '(\\d+)$', 1) AS BIGINT) % 1000003) * 2654435761) % 1000003 AS h FROM flights)
+SELECT flight_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY h, flight_id)
+  <= (count(*) OVER (PARTITION BY stratum) * 20 + 50) // 100 AS is_test FROM hashed
 """))
 def _tts(spark, d):
     return PR.train_test_split(_fl(spark, d)).select("flight_id", "stratum", "is_test")
