@@ -305,6 +305,33 @@ def test_license_notices_wrapped_embedded_short(spark):
     assert all(got[f"f{i}"] == (None, 0) for i in range(200))
 
 
+def test_license_versions_and_kinds_are_not_confused(spark):
+    from tarmac.llm import license_scan as L
+
+    want = {
+        "GNU General Public License version 2": "GPL-2.0",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0", "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0",
+        "SPDX-License-Identifier: AGPL-3.0": "AGPL-3.0", "SPDX-License-Identifier: LGPL-2.1": "LGPL-2.1",
+        "Licensed under the GNU Affero General Public License version 3": "AGPL-3.0",
+        "Licensed under the GNU Lesser General Public License, version 2.1": "LGPL-2.1",
+        "Licensed under the GNU Lesser General Public License, version 3.0": "LGPL-3.0",
+        "Licensed under the BSD 2-Clause License": "BSD-2-Clause", "Licensed under the BSD 3-Clause License": "BSD-3-Clause",
+        "This work is licensed under a Creative Commons Attribution 3.0 International License": "CC-BY-3.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "CC-BY-4.0",
+        "Licensed under CC BY-SA 3.0": "CC-BY-SA-3.0", "This is not licensed under the MIT License": None,
+        "Licensed under the Apache License, Version 2.0": "Apache-2.0", "The Apache Software License, Version 1.1": "Apache-1.1",
+        "Licensed under the ISC License": "ISC", "SPDX-License-Identifier: EPL-2.0": "EPL-2.0",
+        L.BSD_CONDITIONS: "BSD-2-Clause",
+        L.BSD_CONDITIONS + ": 1. one 2. two 3. Neither the name of Acme nor the names of its contributors may be used to endorse or promote products derived from this software": "BSD-3-Clause",
+    }
+    rows = [(f"d{i}/f", t) for i, t in enumerate(want)]
+    got = {r.path: r.own_license for r in L.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    wrong = {t: (got[p], want[t]) for p, t in rows if got[p] != want[t]}
+    assert not wrong
+
+
 def test_license_query_against_brute_force(spark):
     from tarmac.llm import license_scan as L
 
