@@ -123,9 +123,16 @@ def actual_time(sched: Column, delay: Column) -> Column:
 
 
 # C9
-def completeness_profile(df: DataFrame, mapped_columns: int = 0) -> DataFrame:
-    """Per-column null count/% plus table totals, from ONE aggregate pass, then unpivoted."""
+def mapped_headers(headers: list[str], aliases: dict[str, str] = COLUMN_ALIASES) -> int:
+    """How many of a sheet's headers ``normalize_columns`` gives a name of the alias table."""
+    return sum(normalize_header(h) in aliases for h in headers)
+
+
+def completeness_profile(df: DataFrame, headers: list[str] | None = None) -> DataFrame:
+    """Per-column null count/% plus table totals, from ONE aggregate pass, then unpivoted. ``headers`` are those of
+    the sheet before normalising (default: the table's own); ``mapped_columns`` counts the ones with an alias."""
     cols = df.columns
+    mapped_columns = mapped_headers(cols if headers is None else headers)
     one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"_m{i}") for i, c in enumerate(cols)])
     total_nulls = sum((F.col(f"_m{i}") for i in range(len(cols))), F.lit(0))
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_m{i}").alias("null_count")) for i, c in enumerate(cols)])
@@ -312,7 +319,7 @@ def schedule_labels(df: DataFrame, std_min: Column, atd_min: Column) -> DataFram
         .when((h >= 9) & (h < 11), "Moderate").otherwise("Low"),
         "std_hour_slot": hour_slot(std_min),
         "atd_hour_slot": hour_slot(atd_min),
-    })
+    }).withColumn("sheet_source", F.col("time_slot_label"))  # a generated schedule names its sheets by the slot
 
 
 # C20

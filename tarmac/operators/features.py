@@ -8,8 +8,13 @@ the whole table by hour of day, a grouped count joined back through a broadcast
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tarmac.functions import dims
 from tarmac.functions.scalars import with_scalars
@@ -123,6 +128,8 @@ def delay_model_features(fl: DataFrame) -> DataFrame:
     return df
 
 
+#: columns that only share a prefix with the one-hots
+RAW_INPUTS = {"runway_efficiency", "runway_capacity"}
 MODEL_FEATURES = [
     "hour", "day_of_week", "month", "is_weekend", "is_morning_peak", "is_evening_peak", "is_night",
     "capacity", "is_large_aircraft", "is_high_impact_int", "congestion_factor_f", "peak_category_numeric",
@@ -133,10 +140,49 @@ MODEL_FEATURES = [
 ] + [f"dest_{d.lower()}" for d in dims.MAJOR_DESTINATIONS]
 
 
+#: categorical input -> prefix of its one-hot columns
+ONE_HOT = {"airline": "airline_", "aircraft_type": "aircraft_", "runway": "runway_", "capacity_category": "cap_"}
+
+
+# F7 (categorical part)
+def one_hot_stages(categories: dict[str, str] = ONE_HOT) -> list:
+    """Estimators that turn each category into a sparse vector ``<prefix>vec``, one slot per value in alphabetical
+    order. A null or a value not seen in the fit has no slot set. What the fit keeps is the list of the values."""
+    index = StringIndexer(inputCols=list(categories), outputCols=[f"{p}index" for p in categories.values()], handleInvalid="keep",
+                          stringOrderType="alphabetAsc")
+    # the indexer's last index stands for "other"; dropping it leaves all slots empty there
+    encode = OneHotEncoder(inputCols=[f"{p}index" for p in categories.values()], outputCols=[f"{p}vec" for p in categories.values()],
+                           dropLast=True)
+    return [index, encode]
+
+
+def fit_one_hots(df: DataFrame, categories: dict[str, str] = ONE_HOT) -> PipelineModel:
+    return Pipeline(stages=one_hot_stages(categories)).fit(df)
+
+
+def one_hot_names(indexer: StringIndexerModel) -> dict[str, list[str]]:
+    """Vector column -> names of its slots (prefix and value), from a fitted indexer."""
+    prefixes = [c.removesuffix("index") for c in indexer.getOutputCols()]
+    return {f"{p}vec": [p + v for v in values] for p, values in zip(prefixes, indexer.labelsArray)}
+
+
+def one_hot_columns(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """The slots as 0/1 columns of their own, for reading; models take the vectors."""
+    out = model.transform(df)
+    names = one_hot_names(model.stages[0])
+    arrays = {v: vector_to_array(F.col(v)) for v in names}
+    flags = [arrays[v][i].cast("int").alias(n) for v, slots in names.items() for i, n in enumerate(slots)]
+    return out.select(*df.columns, *flags)
+
+
 # F11
-def select_features(df: DataFrame, extra_prefixes: tuple[str, ...] = ()) -> list[str]:
+def select_features(df: DataFrame, prefixes: tuple[str, ...] = tuple(ONE_HOT.values())) -> list[str]:
+    """The scalar inputs that the table has, then the one-hot vectors ``<prefix>vec`` and 0/1 columns of ``prefixes``
+    in the table's order. Indices, flags that are no numbers and columns already taken are left out."""
     cols = [c for c in MODEL_FEATURES if c in df.columns]
-    cols += [c for c in df.columns if any(c.startswith(p) for p in extra_prefixes) and c not in cols]
+    numbers = {f.name for f in df.schema.fields if isinstance(f.dataType, (NumericType, VectorUDT))}
+    cols += [c for c in df.columns if c in numbers and c.startswith(prefixes) and not c.endswith("index") and c not in cols
+             and c not in RAW_INPUTS]
     return cols
 
 

@@ -324,6 +324,13 @@ def priority_compliance(asg: DataFrame) -> DataFrame:
         "priority", F.coalesce(F.greatest(F.lit(0.0), 100 - F.abs("_a")), F.lit(100.0)).alias("compliance"))
 
 
+def category_efficiency(asg: DataFrame) -> DataFrame:
+    """Per aircraft category: mean suitability and mean schedule change of the flights that got a slot."""
+    return asg.filter(F.col("optimized_time").isNotNull()).groupBy("aircraft_category").agg(
+        F.count(F.lit(1)).alias("flights"), F.avg("suitability_score").alias("avg_suitability"),
+        F.avg("schedule_change_minutes").alias("avg_schedule_change"))
+
+
 def allocation_summary(asg: DataFrame) -> DataFrame:
     util = runway_efficiency_metrics(asg).agg(F.avg("utilization_rate").alias("average_utilization"))
     one = asg.agg(F.avg("schedule_change_minutes").alias("average_schedule_change"),
@@ -377,7 +384,7 @@ def reschedule_candidates(fl: DataFrame, weather: DataFrame) -> DataFrame:
     # bounded by what one runway handles in an hour
     one_hour = Window.partitionBy("base_airport", "runway", F.to_date("scheduled_time"), "current_hour")
     df = df.withColumn("current_usage", F.count(F.lit(1)).over(one_hour))
-    df = df.withColumn("runway_utilization_pct", F.col("current_usage") / F.col("runway_capacity_r") * 100)
+    df = df.withColumn("runway_utilization_pct", F.round(F.col("current_usage") / F.col("runway_capacity_r") * 100, 1))
     crit = (F.col("weather_adjusted_delay") > 30) | (F.col("runway_utilization_pct") > 85) | (F.col("delay_minutes") > 45)
     return df.withColumn("needs_reschedule", F.coalesce(crit, F.lit(False)))
 
@@ -405,8 +412,8 @@ def reschedule_recommendations(fl: DataFrame, weather: DataFrame) -> DataFrame:
     exp = F.col("delay_minutes") * 0.3 + tc * 2 * wi + ci * 20
     reason = F.concat_ws("; ", F.array_compact(F.array(
         F.when(F.col("weather_impact_factor") > 1.5, F.concat(F.lit("Weather impact ("), F.col("weather_condition"), F.lit(")"))),
-        F.when(F.col("runway_utilization_pct") > 85, F.lit("Runway overcapacity")),
-        F.when(F.col("delay_minutes") > 45, F.lit("High delay")),
+        F.when(F.col("runway_utilization_pct") > 85, F.format_string("Runway overcapacity (%.1f%%)", F.col("runway_utilization_pct"))),
+        F.when(F.col("delay_minutes") > 45, F.format_string("High delay (%d min)", F.bround("delay_minutes").cast("long"))),
         F.when(tc > 2, F.lit("Peak hour avoidance")),
     )))
     return df.select(

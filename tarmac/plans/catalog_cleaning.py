@@ -99,7 +99,10 @@ SELECT line, ata_min, std_min,
   "from" || ' → ' || "to" AS route,
   CASE WHEN std_min // 60 < 9 THEN '6AM - 9AM' ELSE '9AM - 12PM' END AS time_slot_label,
   CASE WHEN std_min // 60 = 7 THEN 'Super Peak' WHEN std_min // 60 >= 6 AND std_min // 60 < 9 THEN 'Peak'
-    WHEN std_min // 60 >= 9 AND std_min // 60 < 11 THEN 'Moderate' ELSE 'Low' END AS peak_classification
+    WHEN std_min // 60 >= 9 AND std_min // 60 < 11 THEN 'Moderate' ELSE 'Low' END AS peak_classification,
+  (std_min // 60) || CASE WHEN std_min < 720 THEN 'AM-' ELSE 'PM-' END || (std_min // 60 + 1) || CASE WHEN std_min < 720 THEN 'AM' ELSE 'PM' END AS std_hour_slot,
+  (atd_min // 60) || CASE WHEN atd_min < 720 THEN 'AM-' ELSE 'PM-' END || (atd_min // 60 + 1) || CASE WHEN atd_min < 720 THEN 'AM' ELSE 'PM' END AS atd_hour_slot,
+  CASE WHEN std_min < 540 THEN '6AM - 9AM' ELSE '9AM - 12PM' END AS sheet_source
 FROM nb2
 """, RAW))
 def _nb(spark, d):
@@ -112,7 +115,7 @@ def _nb(spark, d):
         "line", "ata_min", "std_min",
         C.clock_delay_minutes(F.col("atd_min"), F.col("std_min")).alias("departure_delay"),
         C.clock_delay_minutes(F.col("ata_min"), F.col("sta_min")).alias("arrival_delay"),
-        "route", "time_slot_label", "peak_classification",
+        "route", "time_slot_label", "peak_classification", "std_hour_slot", "atd_hour_slot", "sheet_source",
     )
 
 
@@ -140,6 +143,7 @@ def _dfi(spark, d):
 _RAW_COLS = ["file", "line", "s_no", "flight_number", "date", "from", "to", "aircraft", "flight_time", "std", "atd", "sta",
              "ata_status", "ata", "time_slot"]
 _NULLS = ", ".join(f'count(*) FILTER (WHERE "{c}" IS NULL) AS m_{i}' for i, c in enumerate(_RAW_COLS))
+_HEADERS = ", ".join(f"('{c}')" for c in _RAW_COLS)
 _TOTAL = " + ".join(f"m_{i}" for i in range(len(_RAW_COLS)))
 
 
@@ -147,7 +151,8 @@ _TOTAL = " + ".join(f"m_{i}" for i in range(len(_RAW_COLS)))
 , t AS (SELECT count(*) AS n, {_NULLS} FROM raw_sheet)
 """ + " UNION ALL ".join(
     f"""SELECT n AS total_rows, ({_TOTAL}) * 100.0 / (n * {len(_RAW_COLS)}) AS missing_pct_total, {len(_RAW_COLS)} AS total_columns,
-    0 AS mapped_columns, '{c}' AS "column", m_{i} AS null_count, m_{i} * 100.0 / n AS null_pct FROM t"""
+    (SELECT CAST(count(*) AS INTEGER) FROM (VALUES {_HEADERS}) h(c) WHERE c IN ('flight_number', 'to', 'std', 'aircraft', 'id', 'airline',
+      'destination', 'scheduled_time', 'aircraft_type', 'runway', 'delay_minutes', 'flight_id')) AS mapped_columns, '{c}' AS "column", m_{i} AS null_count, m_{i} * 100.0 / n AS null_pct FROM t"""
     for i, c in enumerate(_RAW_COLS)), RAW))
 def _cp(spark, d):
     return C.completeness_profile(raw.raw_sheet(spark, d))

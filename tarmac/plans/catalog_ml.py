@@ -262,23 +262,31 @@ def _pe(spark, d):
     return PR.prediction_error(_given(spark, d)).select("flight_id", "prediction_error", "risk_score")
 
 
-@register("prediction_risk_grid", with_flights(PRED + """
+RISK_GRID = PRED + """
 , g AS (SELECT CAST(scheduled_time AS DATE) AS date, CAST(hour(scheduled_time) AS INTEGER) AS hour,
     avg(predicted_delay) AS predicted_avg_delay, stddev_samp(predicted_delay) AS predicted_delay_std,
     max(predicted_delay) AS max_predicted_delay, avg(delay_minutes) AS actual_avg_delay, count(delay_minutes) AS flight_count,
     avg(risk_score) AS avg_risk_score, avg(prediction_error) AS avg_prediction_error FROM pe GROUP BY 1, 2),
 g2 AS (SELECT *, predicted_avg_delay * 0.4 + predicted_delay_std * 0.2 + avg_risk_score * 0.3
     + flight_count / max(flight_count) OVER () * 10 AS delay_risk FROM g),
-q AS (SELECT quantile_cont(delay_risk, 0.33) AS q1, quantile_cont(delay_risk, 0.66) AS q2, quantile_cont(delay_risk, 0.85) AS q3 FROM g2)
-SELECT g2.*, CASE WHEN delay_risk > 0 AND delay_risk <= q1 THEN 'Low' WHEN delay_risk > q1 AND delay_risk <= q2 THEN 'Medium'
+q AS (SELECT quantile_cont(delay_risk, 0.33) AS q1, quantile_cont(delay_risk, 0.66) AS q2, quantile_cont(delay_risk, 0.85) AS q3 FROM g2),
+grid AS (SELECT g2.*, CASE WHEN delay_risk > 0 AND delay_risk <= q1 THEN 'Low' WHEN delay_risk > q1 AND delay_risk <= q2 THEN 'Medium'
     WHEN delay_risk > q2 AND delay_risk <= q3 THEN 'High' WHEN delay_risk > q3 THEN 'Critical' END AS risk_level,
   least(100.0, greatest(0.0, 100 - avg_prediction_error / greatest(predicted_avg_delay, 1.0) * 100)) AS model_confidence
-FROM g2, q
-"""))
+FROM g2, q)
+"""
+
+
+@register("prediction_risk_grid", with_flights(RISK_GRID + "SELECT * FROM grid"))
 def _prg(spark, d):
     return PR.prediction_risk_grid(_given(spark, d))
 
 
+@register("risk_grid_high", with_flights(RISK_GRID + "SELECT * FROM grid WHERE risk_level = 'High' AND model_confidence >= 40"))
+def _rgh(spark, d):
+    return PR.filter_risk_grid(PR.prediction_risk_grid(_given(spark, d)), "High", 40.0)
+
+
 @register("risk_heatmap", with_flights(PRED + """
 SELECT *, CASE WHEN delay_risk > 0 AND delay_risk <= 0.2 THEN 'Low' WHEN delay_risk > 0.2 AND delay_risk <= 0.4 THEN 'Medium'
   WHEN delay_risk > 0.4 AND delay_risk <= 0.6 THEN 'High' WHEN delay_risk > 0.6 AND delay_risk <= 1.0 THEN 'Critical' END AS risk_level
@@ -301,13 +309,97 @@ def _tts(spark, d):
 
 @register("delay_model_predictions")
 def _dmp(spark, d):
-    feats = PR.train_test_split(PR.features_frame(_fl(spark, d)))
+    feats = PR.train_test_split(PR.model_frame(_fl(spark, d)))
     model = PR.train(feats.filter(~F.col("is_test")).drop("stratum", "is_test"), "gbt")
     pred = PR.predict(model, feats.filter(F.col("is_test")).drop("stratum", "is_test"))
     return PR.prediction_error(pred).select("flight_id", "delay_minutes", "predicted_delay", "exceeds_threshold",
                                             "prediction_error", "risk_score")
 
 
+#: share of the reference's numbers of trees that the queries below train; depths and rates stay
+SHORT = 0.1
+
+
+def _split(spark, d):
+    feats = stored(PR.train_test_split(PR.model_frame(_fl(spark, d))), "model-features")
+    return [feats.filter(c).drop("stratum", "is_test") for c in (~F.col("is_test"), F.col("is_test"))]
+
+
+def _held_out(spark, d, kind):
+    train, test = _split(spark, d)
+    pred = PR.predict(PR.train(train, estimators=PR.delay_regressor(kind, share=SHORT)), test)
+    return PR.prediction_error(pred).select("flight_id", "delay_minutes", "predicted_delay", "exceeds_threshold",
+                                            "prediction_error", "risk_score")
+
+
+@register("delay_model_forest")
+def _dmf(spark, d):
+    return _held_out(spark, d, "rf")
+
+
+@register("delay_model_ensemble")
+def _dme(spark, d):
+    return _held_out(spark, d, "ensemble")
+
+
+@register("delay_feature_importance")
+def _dfim(spark, d):
+    return PR.tree_importance(PR.train(_split(spark, d)[0], estimators=PR.delay_regressor("ensemble", share=SHORT)), 10)
+
+
+@register("cross_validated_model")
+def _cvm(spark, d):
+    return PR.cross_validate(PR.model_frame(_fl(spark, d)), 5, estimators=PR.delay_regressor("gbt", share=SHORT))
+
+
+@register("tuned_delay_model")
+def _tdm(spark, d):
+    feats = stored(PR.model_frame(_fl(spark, d)), "model-features")
+    return PR.tune(feats, trials=6, grid={"maxDepth": [3, 5, 6], "maxIter": [9, 18], "stepSize": [0.1, 0.2], "subsamplingRate": [0.7, 1.0]})[1]
+
+
+@register("cross_validation_given", with_flights(PRED + """
+, f AS (SELECT CAST((((CAST(regexp_extract(flight_id, '(\\d+)$', 1) AS BIGINT) % 1000003) * 2654435761) % 1000003) % 100 % 5 AS INTEGER) AS fold,
+    delay_minutes AS y, predicted_delay AS p FROM pr),
+m AS (SELECT fold, avg(y) AS my FROM f GROUP BY fold)
+SELECT fold, count(*) AS n, avg(abs(y - p)) AS mae, 1 - sum((y - p) ** 2) / sum((y - my) ** 2) AS r2 FROM f JOIN m USING (fold) GROUP BY fold
+"""))
+def _cvg(spark, d):
+    return PR.fold_metrics(_given(spark, d).withColumn("fold", PR.fold_of(F.col("flight_id"))))
+
+
+CATEGORIES = """
+, c AS (SELECT flight_id, 'airline_' || airline AS a, 'aircraft_' || aircraft_type AS t, 'runway_' || runway AS r,
+  'cap_' || CASE WHEN capacity > 0 AND capacity <= 150 THEN 'Small' WHEN capacity > 150 AND capacity <= 200 THEN 'Medium'
+    WHEN capacity > 200 AND capacity <= 250 THEN 'Large' WHEN capacity > 250 AND capacity <= 350 THEN 'XLarge' END AS k FROM flights)
+"""
+
+
+def _one_hots(spark, d):
+    df = FE.delay_model_features(_fl(spark, d)).select("flight_id", *FE.ONE_HOT)
+    model = FE.fit_one_hots(df)
+    names = [n for slots in FE.one_hot_names(model.stages[0]).values() for n in slots]
+    return FE.one_hot_columns(df, model), names
+
+
+@register("model_one_hots", with_flights(CATEGORIES + """
+SELECT flight_id, concat_ws(',', a, t, r, k) AS active,
+  CAST((SELECT count(DISTINCT a) + count(DISTINCT t) + count(DISTINCT r) + count(DISTINCT k) FROM c) AS INTEGER) AS n_columns FROM c
+"""))
+def _moh(spark, d):
+    df, names = _one_hots(spark, d)
+    return df.select("flight_id", F.concat_ws(",", *[F.when(F.col(f"`{n}`") == 1, n) for n in names]).alias("active"),
+                     F.lit(len(names)).alias("n_columns"))
+
+
+@register("one_hot_totals", with_flights(CATEGORIES + " UNION ALL ".join(
+    f"SELECT {x} AS feature, count(*) AS flights FROM c WHERE {x} IS NOT NULL GROUP BY {x}" for x in "atrk")))
+def _oht(spark, d):
+    df, names = _one_hots(spark, d)
+    one = df.agg(*[F.sum(f"`{n}`").alias(n) for n in names])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").alias("flights")) for n in names])))
+
+
 @register("ops_clusters")
 def _oc(spark, d):
     return PR.ops_clusters(_fl(spark, d))

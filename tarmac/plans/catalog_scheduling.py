@@ -161,6 +161,14 @@ def _pcm(spark, d):
     return K.priority_compliance(_asg(spark, d))
 
 
+@register("category_efficiency", with_flights(GIVEN_ASG + """
+SELECT aircraft_category, count(*) AS flights, avg(suitability_score) AS avg_suitability, avg(schedule_change_minutes) AS avg_schedule_change
+FROM asg2 WHERE optimized_time IS NOT NULL GROUP BY aircraft_category
+"""))
+def _ce(spark, d):
+    return K.category_efficiency(_asg(spark, d))
+
+
 @register("allocation_rollups", with_flights(GIVEN_ASG + """
 SELECT aircraft_category, optimized_runway, count(*) AS flights, avg(suitability_score) AS avg_suitability,
   avg(schedule_change_minutes) AS avg_schedule_change, CAST(sum(capacity) AS BIGINT) AS passengers FROM asg2 GROUP BY 1, 2
@@ -193,7 +201,7 @@ c0 AS (SELECT wj.*, hour AS current_hour,
       WHEN '09L/27R' THEN 30 WHEN '14/32' THEN 25 END, 30) AS runway_capacity_r,
     count(*) OVER (PARTITION BY base_airport, runway, CAST(scheduled_time AS DATE), hour) AS current_usage FROM wj),
 c1 AS (SELECT *, delay_minutes * weather_impact_factor AS weather_adjusted_delay,
-    current_usage / runway_capacity_r * 100 AS runway_utilization_pct FROM c0),
+    round(current_usage / runway_capacity_r * 100, 1) AS runway_utilization_pct FROM c0),
 cand AS (SELECT * FROM c1 WHERE coalesce(weather_adjusted_delay > 30 OR runway_utilization_pct > 85 OR delay_minutes > 45, false)),
 keys AS (SELECT DISTINCT base_airport, runway FROM flights),
 days AS (SELECT base_airport, count(DISTINCT CAST(scheduled_time AS DATE)) AS days FROM flights GROUP BY 1),
@@ -213,8 +221,8 @@ recs AS (
     CASE WHEN c.delay_minutes > 60 THEN 'High' WHEN c.delay_minutes > 30 THEN 'Medium' ELSE 'Low' END AS priority,
     coalesce(nullif(concat_ws('; ',
       CASE WHEN c.weather_impact_factor > 1.5 THEN 'Weather impact (' || c.weather_condition || ')' END,
-      CASE WHEN c.runway_utilization_pct > 85 THEN 'Runway overcapacity' END,
-      CASE WHEN c.delay_minutes > 45 THEN 'High delay' END,
+      CASE WHEN c.runway_utilization_pct > 85 THEN 'Runway overcapacity (' || format('{:.1f}', c.runway_utilization_pct) || '%)' END,
+      CASE WHEN c.delay_minutes > 45 THEN 'High delay (' || format('{:.0f}', c.delay_minutes) || ' min)' END,
       CASE WHEN abs(b.best_hour - c.current_hour) > 2 THEN 'Peak hour avoidance' END), ''), 'General optimization') AS reason
   FROM cand c LEFT JOIN best b USING (base_airport, runway))
 """
