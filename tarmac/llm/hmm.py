@@ -7,13 +7,15 @@ a join for words outside the broadcast head, grow with the corpus.
 
 Baum-Welch: each round every task runs a scaled forward-backward pass over its training documents
 (cut into segments of ``SEGMENT`` words, vectorised over segments) and sends expected counts, which
-Spark adds up; all training documents take part in every round. A segment is run with ``BURN_IN`` more words of
+Spark adds up; all training documents take part in every round (in the first one part after another, its first half from
+three random starts), and rounds go on until the likelihood settles. A segment is run with ``BURN_IN`` more words of
 its document on either side, which are not counted, so every move between words counts once, in its context. Scoring: the scaled forward recursion
 over the whole word sequence gives the exact likelihood.
 """
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from tarmac.llm.common import documents, staged, text_or_empty
 
 STATES = 6
-ROUNDS = 3
+STARTS = 3
+PARTS = 8  # steps of the first round
+SETTLED = 0.02  # gain in log10 per word below which training ends
 FREQUENT = 4096
 HEAD = 100_000  # words whose counts every task holds
 CLASSES = 256
@@ -113,14 +117,29 @@ class Model:
         self.share_of = np.concatenate([np.where(own, 0.0, np.log10(counts + 1) - self.inside[cls]), np.zeros(CLASSES)])
         unigram = np.concatenate([counts[: self.own], self.class_total]) + 1.0
         self.unigram = unigram / unigram.sum()
-        rng = np.random.RandomState(seed)
+        self.seed = seed
         self.start = np.full(states, 1.0 / states)
         self.occupied = self.start.copy()
         self.move = np.full((states, states), 0.1 / max(1, states - 1))
         np.fill_diagonal(self.move, 0.9 if states > 1 else 1.0)
-        emit = self.unigram * np.exp(rng.normal(0, 1.0, (states, self.symbols)))
+        self.scatter(seed)
+
+    def scatter(self, seed: int) -> None:
+        """Random words of their own for every state."""
+        emit = self.unigram * np.exp(np.random.RandomState(seed).normal(0, 1.0, (len(self.start), self.symbols)))
         self.emit = emit / emit.sum(axis=1, keepdims=True)
 
+    def another(self, i: int) -> Model:
+        """The same words and counts from the ``i``-th random start (0: this one's); ``update`` replaces arrays, so nothing is shared that changes."""
+        other = copy.copy(self)
+        if i:
+            other.scatter(self.seed + i)
+        return other
+
+    def take(self, other: Model) -> None:
+        """The parameters of a model of the same words."""
+        self.start, self.occupied, self.move, self.emit = other.start, other.occupied, other.move, other.emit
+
     def update(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
         """New parameters from expected counts; a little of the unigram keeps every symbol possible."""
         self.occupied = (emit.sum(axis=1) + 1.0) / (emit.sum() + len(emit))
@@ -132,6 +151,10 @@ class Model:
     def expect(self, seq: np.ndarray, length: np.ndarray, first: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of padded segments (rows of ``seq``, longest first), of the words from ``core[:, 0]`` to
         ``core[:, 1]`` of each and of the moves into them."""
+        return self.sweep(seq, length, first, core)[:3]
+
+    def sweep(self, seq: np.ndarray, length: np.ndarray, first: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """``expect`` and the log10 likelihood of the counted words, each given the words before it in its segment."""
         b, k, steps = len(seq), len(self.start), int(length.max())
         table = self.emit.T
         active = [int((length > t).sum()) for t in range(steps)]
@@ -160,7 +183,7 @@ class Model:
         flat, syms = gamma[mask], seq[:, :steps].T[mask]
         for s in range(k):
             emit[s] = np.bincount(syms, weights=flat[:, s], minlength=self.symbols)
-        return gamma[0][first].sum(axis=0), move, emit
+        return gamma[0][first].sum(axis=0), move, emit, float(np.log10(scale[mask]).sum())
 
     def log10_forward(self, seqs: list[np.ndarray]) -> np.ndarray:
         """Exact log10 likelihood of whole symbol sequences, vectorised over documents, longest first."""
@@ -209,14 +232,15 @@ def indexed(rows: DataFrame, model: Model) -> DataFrame:
     return staged(rows.select("doc_id", "held_out", "text").mapInArrow(run, schema), "hmm-indexed")
 
 
-def _one_round(train: DataFrame, model: Model) -> None:
-    """Expected counts of all training rows (``symbols``), added up by Spark, then new parameters."""
+def _expected(train: DataFrame, model: Model) -> np.ndarray | None:
+    """Expected counts of the given training rows (``symbols``), added up by Spark. One row per state: starts, moves,
+    symbols, and last the log10 likelihood (in the first row)."""
     shared = train.sparkSession.sparkContext.broadcast(model)
     k, s = len(model.start), model.symbols
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, s))
+        start, move, emit, fit = np.zeros(k), np.zeros((k, k)), np.zeros((k, s)), np.zeros(k)
         for batch in batches:
             pieces, firsts, cores = [], [], []
 
@@ -227,8 +251,9 @@ def _one_round(train: DataFrame, model: Model) -> None:
                 seq = np.zeros((len(order), int(length[0])), np.int64)
                 for r, i in enumerate(order):
                     seq[r, : len(pieces[i])] = pieces[i]
-                e = m.expect(seq, length, np.array([firsts[i] for i in order]), np.array([cores[i] for i in order]))
+                e = m.sweep(seq, length, np.array([firsts[i] for i in order]), np.array([cores[i] for i in order]))
                 start, move, emit = start + e[0], move + e[1], emit + e[2]
+                fit[0] += e[3]
                 pieces.clear()
                 firsts.clear()
                 cores.clear()
@@ -245,11 +270,11 @@ def _one_round(train: DataFrame, model: Model) -> None:
             if pieces:
                 flush()
         salt = TaskContext.get().partitionId() % 64
-        vectors = [np.concatenate([start[i:i + 1], move[i], emit[i]]).tobytes() for i in range(k)]
+        vectors = [np.concatenate([start[i:i + 1], move[i], emit[i], fit[i:i + 1]]).tobytes() for i in range(k)]
         yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([salt] * k, pa.int32()), pa.array(vectors, pa.binary())], names=["state", "salt", "counts"])
 
     def add(key, batches):
-        total = np.zeros(1 + k + s)
+        total = np.zeros(2 + k + s)
         for batch in batches:
             for x in batch.column("counts").to_pylist():
                 total += np.frombuffer(x)
@@ -260,12 +285,61 @@ def _one_round(train: DataFrame, model: Model) -> None:
     schema = "state int, salt int, counts binary"
     sums = train.select("symbols").mapInArrow(run, schema).groupBy("state", "salt").applyInArrow(add, schema).groupBy("state").applyInArrow(add, schema)
     found = {r.state: np.frombuffer(r.counts) for r in sums.collect()}  # one vector per state
-    if found:
-        rows = np.stack([found[i] for i in range(k)])
-        model.update(rows[:, 0], rows[:, 1:1 + k], rows[:, 1 + k:])
+    return np.stack([found[i] for i in range(k)]) if found else None
+
+
+def _renew(model: Model, sums: np.ndarray) -> None:
+    k = len(model.start)
+    model.update(sums[:, 0], sums[:, 1:1 + k], sums[:, 1 + k:-1])
+
+
+def _one_round(train: DataFrame, model: Model) -> None:
+    """New parameters from the expected counts of all the rows at once."""
+    sums = _expected(train, model)
+    if sums is not None:
+        _renew(model, sums)
+
+
+def fit(train: DataFrame, model: Model, rounds: int | None = None, starts: int = STARTS, parts: int = PARTS, settled: float = SETTLED) -> list[float]:
+    """Baum-Welch over all training rows. The first round takes the rows in ``parts`` by a hash and renews the parameters
+    after each part from that part's counts alone, which tells the states apart sooner. Half-way the best of ``starts``
+    random starts, by the likelihood of the last part, goes on alone. Every later round adds up the counts of all rows.
+    Rounds end when one raises the log10 likelihood per word by less than ``settled`` (or after ``rounds``). Returns
+    that likelihood for each round after the first; rows without words teach nothing."""
+
+    def step(m: Model, rows: DataFrame) -> float | None:
+        """New parameters of ``m``; the likelihood per word under the old ones."""
+        sums = _expected(rows, m)
+        words = 0.0 if sums is None else float(sums[:, 1 + len(m.start):-1].sum())
+        if not words:
+            return None
+        _renew(m, sums)
+        return float(sums[0, -1]) / words
+
+    if rounds == 0:
+        return []
+    dealt = [train.filter(F.pmod(F.xxhash64("row"), F.lit(parts)) == p) for p in range(parts)]
+    tries = [model.another(i) for i in range(starts)]
+    reached = []
+    for m in tries:
+        seen = [x for x in (step(m, rows) for rows in dealt[:parts // 2]) if x is not None]
+        reached.append(seen[-1] if seen else float("-inf"))
+    best = tries[reached.index(max(reached))]
+    for rows in dealt[parts // 2:]:
+        step(best, rows)
+    history: list[float] = []
+    while rounds is None or len(history) + 1 < rounds:
+        now = step(best, train)
+        if now is None:
+            break
+        history.append(now)
+        if len(history) > 1 and history[-1] - history[-2] < settled:
+            break
+    model.take(best)
+    return history
 
 
-def train_model(rows: DataFrame, states: int = STATES, rounds: int = ROUNDS, head_words: int = HEAD, frequent: int = FREQUENT) -> tuple[Model, DataFrame, DataFrame]:
+def train_model(rows: DataFrame, states: int = STATES, rounds: int | None = None, head_words: int = HEAD, frequent: int = FREQUENT) -> tuple[Model, DataFrame, DataFrame]:
     """``rows``: doc_id, held_out, text. The model, the exact counts (word, cls, c) of all rows that are
     not held out, and the indexed rows."""
     counts = staged(word_counts(rows.filter("not held_out")), "hmm-counts")
@@ -285,8 +359,7 @@ def train_model(rows: DataFrame, states: int = STATES, rounds: int = ROUNDS, hea
     model = Model(head, {k: (a, b) for k, (a, b) in classes.items()}, int(n), int(v), states, frequent=frequent)
     model.cut = cut
     table = indexed(rows, model)
-    for _ in range(rounds):
-        _one_round(table.filter("not held_out"), model)
+    fit(table.filter("not held_out"), model, rounds)
     return model, counts, table
 
 

@@ -420,6 +420,25 @@ def test_hmm_counts_moves_across_segments(spark, monkeypatch):
     assert np.allclose(sums[0], start, atol=1e-6) and np.allclose(sums[1], move, rtol=1e-3, atol=1e-2) and np.allclose(sums[2], emit, rtol=1e-3, atol=1e-2)
 
 
+def test_hmm_trains_until_it_settles(spark):
+    from pyspark.sql import functions as F
+
+    from tarmac.llm import hmm as H
+
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = table.select("doc_id", H._held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    model, counts, indexed = H.train_model(rows, rounds=0)
+    gains = H.fit(indexed.filter("not held_out"), model)
+    steps = [b - a for a, b in zip(gains, gains[1:])]
+    assert len(gains) >= 2 and steps[-1] < H.SETTLED and all(x >= H.SETTLED for x in steps[:-1]) and all(x > 0 for x in steps)
+    held = H.score(indexed, model, counts).filter("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+    assert held[0] > -3.69 > held[1]
+    # parts without rows leave the model as it is; one document trains alone
+    few = spark.createDataFrame([(1, False, "a b a b a b c")], "doc_id long, held_out boolean, text string")
+    one, _, _ = H.train_model(few)
+    assert np.isclose(one.emit.sum(axis=1), 1).all() and np.isclose(one.move.sum(axis=1), 1).all()
+
+
 def test_quality(spark, docs, none):
     from tarmac.llm import quality as Q
 
