@@ -216,6 +216,17 @@ def test_sharding(spark, docs, none):
     sizes = Counter(r.shard for r in S.shards(hot, 10).collect())
     assert max(sizes.values()) - min(sizes.values()) < 120
     assert S.shards(none).count() == 0
+    # few splitters and small pieces: ranges are subdivided by key and a hot text by id, the line of bytes stays whole
+    got = S.shards(hot, 10, ranges=3, piece_rows=40).collect()
+    at = defaultdict(list)
+    for r in got:
+        at[r.shard].append(r.slot)
+    sizes = Counter(r.shard for r in got)
+    assert len(got) == 3000 and all(sorted(x) == list(range(len(x))) for x in at.values()) and max(sizes.values()) - min(sizes.values()) < 120
+    bytes_of = Counter()
+    for r in got:
+        bytes_of[r.shard] += r.size
+    assert max(bytes_of.values()) - min(bytes_of.values()) <= 2 * max(r.size for r in got)
 
 
 def test_personal_data(spark, docs, none):
