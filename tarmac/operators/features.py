@@ -156,8 +156,15 @@ def one_hot_stages(categories: dict[str, str] = ONE_HOT) -> list:
     return [index, encode]
 
 
+def used_categories(df: DataFrame, categories: dict[str, str] = ONE_HOT) -> dict[str, str]:
+    """The categories that the table has and that hold a value in some row; others cannot be encoded."""
+    there = [c for c in categories if c in df.columns]
+    counts = df.agg(F.count(F.lit(1)), *[F.count(c).alias(c) for c in there]).first()
+    return {c: categories[c] for c in there if counts[c]}
+
+
 def fit_one_hots(df: DataFrame, categories: dict[str, str] = ONE_HOT) -> PipelineModel:
-    return Pipeline(stages=one_hot_stages(categories)).fit(df)
+    return Pipeline(stages=one_hot_stages(used_categories(df, categories))).fit(df)
 
 
 def one_hot_names(indexer: StringIndexerModel) -> dict[str, list[str]]:

@@ -22,6 +22,8 @@ def test_one_hots_leave_nulls_and_unseen_values_empty(spark):
     new = spark.createDataFrame([(4, "AI", "E190", "14/32", None), (5, None, None, None, "Medium")], schema)
     out = {r["id"]: {k for k, v in r.asDict().items() if v == 1 and "_" in k and k != "id"} for r in FE.one_hot_columns(new, fit).collect()}
     assert out == {4: {"airline_AI", "runway_14/32"}, 5: set()}
+    no_runways = FE.fit_one_hots(spark.createDataFrame([(1, "AI", "A320", None, "Small")], schema))
+    assert list(FE.one_hot_names(no_runways.stages[0])) == ["airline_vec", "aircraft_vec", "cap_vec"]
 
 
 def test_select_features_takes_scalars_then_one_hots(flights):
