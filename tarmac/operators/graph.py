@@ -12,21 +12,39 @@ than one bounded neighbourhood:
   (hub, 4-hour bin) by copying each arrival into its own and the next bin, then the exact
   predicate. AQE's skew-join split handles a hot hub bin.
 
+There are many times more edges than flights, so the number of tasks follows the edges
+(``edge_tasks``), not the session's shuffle partitions: a task keeps about the same number of edges
+at every size.
+
 Iterative operators (cascade, PageRank) cut lineage every round with a reliable checkpoint.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions.scalars import with_scalars
 from tarmac.functions.windows import with_neighbors
-from tarmac.session import cut_lineage
+from tarmac.session import cut_lineage, stored
 
 EPOCH = "1970-01-01 00:00:00"
 BIN_MINUTES = 240
 TYPE_RANK = {"aircraft": 1, "crew": 2, "runway": 3, "passenger": 4}  # later type wins a (src, dst) pair
+EDGES_A_TASK = 1_000_000
+
+
+def edge_tasks(df: DataFrame, rows: int) -> int:
+    """Number of tasks for ``rows`` edges: at most about EDGES_A_TASK each, and work for every core."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / EDGES_A_TASK))
+
+
+def dealt(edges: DataFrame) -> DataFrame:
+    """The edges, stored, then dealt by their source to ``edge_tasks`` tasks."""
+    kept = stored(edges, "edges")
+    return kept.repartition(edge_tasks(kept, kept.count()), "src")
 
 
 def minutes_between(a: Column, b: Column) -> Column:
@@ -108,17 +126,29 @@ def hub_airports(fl: DataFrame, min_flights: int = 10) -> DataFrame:
 
 
 # J5 + G3
-def passenger_edges(fl: DataFrame, min_flights: int = 10, lo: int = 45, hi: int = 240) -> DataFrame:
-    hubs = hub_airports(fl, min_flights)
-    base = fl.select("flight_id", "scheduled_time", "origin", "destination", epoch_minutes(F.col("scheduled_time")).alias("_m"))
-    arr = base.join(hubs, base.destination == hubs.airport, "left_semi").select(
-        F.col("flight_id").alias("a_id"), F.col("scheduled_time").alias("a_t"), F.col("destination").alias("hub"),
-        F.explode(F.array(F.floor(F.col("_m") / BIN_MINUTES), F.floor(F.col("_m") / BIN_MINUTES) + 1)).alias("bin"),
-    )
-    dep = base.join(hubs, base.origin == hubs.airport, "left_semi").select(
-        F.col("flight_id").alias("d_id"), F.col("scheduled_time").alias("d_t"), F.col("origin").alias("hub"),
-        F.floor(F.col("_m") / BIN_MINUTES).alias("bin"),
-    )
+def _arrivals(fl: DataFrame) -> DataFrame:
+    b = F.floor(epoch_minutes(F.col("scheduled_time")) / BIN_MINUTES)
+    return fl.select(F.col("flight_id").alias("a_id"), F.col("scheduled_time").alias("a_t"), F.col("destination").alias("hub"),
+                     F.explode(F.array(b, b + 1)).alias("bin"))
+
+
+def _departures(fl: DataFrame) -> DataFrame:
+    b = F.floor(epoch_minutes(F.col("scheduled_time")) / BIN_MINUTES)
+    return fl.select(F.col("flight_id").alias("d_id"), F.col("scheduled_time").alias("d_t"), F.col("origin").alias("hub"), b.alias("bin"))
+
+
+def _pair_tasks(fl: DataFrame) -> int:
+    """Tasks for the pairs that the passenger join looks at, from the numbers of flights by hub and bin."""
+    a = _arrivals(fl).groupBy("hub", "bin").agg(F.count(F.lit(1)).alias("na"))
+    d = _departures(fl).groupBy("hub", "bin").agg(F.count(F.lit(1)).alias("nd"))
+    return edge_tasks(fl, a.join(d, ["hub", "bin"]).agg(F.sum(F.col("na") * F.col("nd"))).first()[0] or 0)
+
+
+def passenger_edges(fl: DataFrame, min_flights: int = 10, lo: int = 45, hi: int = 240, tasks: int | None = None) -> DataFrame:
+    hubs = hub_airports(fl, min_flights).withColumnRenamed("airport", "hub")
+    n = tasks or _pair_tasks(fl)
+    arr = _arrivals(fl).join(hubs, "hub", "left_semi").repartition(n, "hub", "bin")
+    dep = _departures(fl).join(hubs, "hub", "left_semi").repartition(n, "hub", "bin")
     j = arr.join(dep, ["hub", "bin"], "inner")
     buf = minutes_between(F.col("a_t"), F.col("d_t"))
     return j.filter((buf >= lo) & (buf <= hi)).select(
@@ -129,18 +159,21 @@ def passenger_edges(fl: DataFrame, min_flights: int = 10, lo: int = 45, hi: int
 
 # G1
 def build_edges(fl: DataFrame, keep_all: bool = False) -> DataFrame:
-    """Union of the four edge families; per (src, dst) the later family wins (one edge per pair)."""
-    parts = [aircraft_edges(fl), crew_edges(fl), runway_edges(fl), passenger_edges(fl)]
+    """Union of the four edge families; per (src, dst) the later family wins (one edge per pair). The edges are
+    dealt by source before they are merged: no task merges what its joins made, and what follows finds them by source."""
+    n = _pair_tasks(fl)
+    parts = [aircraft_edges(fl), crew_edges(fl), runway_edges(fl), passenger_edges(fl, tasks=n)]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
     if keep_all:
         return u
     rank = F.create_map(*[F.lit(x) for kv in TYPE_RANK.items() for x in kv])[F.col("connection_type")]
-    best = u.groupBy("src", "dst").agg(
-        F.max_by(F.struct("connection_type", "propagation_factor", "time_buffer"), rank).alias("e")
-    )
-    return best.select("src", "dst", "e.connection_type", "e.propagation_factor", "e.time_buffer")
+    ranked = u.select("src", "dst", rank.alias("r"), "propagation_factor", "time_buffer").repartition(n, "src")
+    best = ranked.groupBy("src", "dst").agg(  # numbers only: merged in a hash table, without a sort
+        F.max("r").alias("r"), F.max_by("propagation_factor", "r").alias("propagation_factor"), F.max_by("time_buffer", "r").alias("time_buffer"))
+    name = F.element_at(F.array(*[F.lit(t) for t in TYPE_RANK]), F.col("r"))
+    return best.select("src", "dst", name.alias("connection_type"), "propagation_factor", "time_buffer")
 
 
 # G5
@@ -153,8 +186,8 @@ def simulate_cascade(nodes: DataFrame, edges: DataFrame, initial: DataFrame, max
     """
     e = edges.select("src", "dst", "propagation_factor", "time_buffer")
     if checkpoint:
-        # the edge table is reused every round: materialise it once, hash-partitioned by src
-        e = cut_lineage(e.repartition("src"))
+        # the edge table is reused every round: materialise it once, dealt and sorted by src
+        e = cut_lineage(dealt(e).sortWithinPartitions("src"))
     # sparse state: only delayed flights (delays never decrease, so a flight never leaves it)
     state = initial.select("flight_id", F.col("delay").cast("double").alias("delay")).filter(F.col("delay") > 0)
     state = state.join(nodes.select("flight_id"), "flight_id", "left_semi")
@@ -260,10 +293,10 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float
     Stops when the L1 change < n * tol. Per iteration one job computes the new ranks (checkpointed)
     and one aggregate returns the two scalars the driver needs (change, next dangling mass)."""
     ids = nodes.select("flight_id").distinct()
-    e = edges.select("src", "dst").distinct()
-    outdeg = e.groupBy("src").agg(F.count(F.lit(1)).alias("od"))
-    e = cut_lineage(e.join(outdeg, "src").select("src", "dst", (1.0 / F.col("od")).alias("w")).repartition("src"))
-    flags = ids.join(outdeg.select(F.col("src").alias("flight_id"), F.lit(False).alias("_has_out")), "flight_id", "left")
+    e = dealt(edges.select("src", "dst")).filter(F.col("src").isNotNull()).distinct()
+    e = cut_lineage(e.select("src", "dst", (1.0 / F.count(F.lit(1)).over(Window.partitionBy("src"))).alias("w")))
+    outs = e.select(F.col("src").alias("flight_id")).distinct()
+    flags = ids.join(outs.withColumn("_has_out", F.lit(False)), "flight_id", "left")
     n = ids.count()
     pr = cut_lineage(flags.select("flight_id", F.col("_has_out").isNull().alias("dangling"), F.lit(1.0 / n).alias("pr")))
     dmass = pr.agg(F.sum(F.when(F.col("dangling"), F.col("pr")))).first()[0] or 0.0
