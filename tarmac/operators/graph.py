@@ -26,6 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.functions.components import ranked
 from tarmac.functions.scalars import with_scalars
 from tarmac.functions.windows import with_neighbors
 from tarmac.session import cut_lineage, stored
@@ -34,6 +35,7 @@ EPOCH = "1970-01-01 00:00:00"
 BIN_MINUTES = 240
 TYPE_RANK = {"aircraft": 1, "crew": 2, "runway": 3, "passenger": 4}  # later type wins a (src, dst) pair
 EDGES_A_TASK = 1_000_000
+HEAVY = 1 << 62  # added to the numbers of ends of high degree, which so come after all others
 
 
 def edge_tasks(df: DataFrame, rows: int) -> int:
@@ -241,45 +243,66 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 # G12
+def numbered(fl: DataFrame) -> DataFrame:
+    """The flights, stored, with the position of their id among all ids in place of the id: as edges hold two ids,
+    they are shorter and quicker to compare, and the order of the ids stays."""
+    ids = ranked(fl.select("flight_id").filter(F.col("flight_id").isNotNull()).distinct(), "_vid")
+    return stored(fl.join(ids, "flight_id", "left").withColumn("flight_id", F.col("_vid")).drop("_vid"), "numbered")
+
+
+def _undirected(edges: DataFrame, tasks: int) -> DataFrame:
+    """``u, v, ways``: each pair of ends once, the smaller first; how many of its two directions are edges."""
+    way = F.when(F.col("src") <= F.col("dst"), 1).otherwise(2)
+    pairs = edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), way.alias("way"))
+    return pairs.repartition(tasks, "u").groupBy("u", "v").agg(F.bit_count(F.bit_or("way")).alias("ways"))
+
+
 def network_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes, edges, density m/(n(n-1)) and average clustering of the undirected graph.
+    """Nodes, edges, density m/(n(n-1)) and average clustering of the undirected graph. Edges given more than once
+    count once; the ends may be strings or whole numbers.
 
-    Triangles: undirected edges oriented from lower to higher (degree, id); every triangle is
-    found once as a -> b, a -> c, b -> c, i.e. as c in N+(a) & N+(b) for the edge (a, b).
-    Orienting by degree bounds each out-list by sqrt(2m) (no hub blow-up, O(m^1.5) work).
+    Triangles: an undirected edge leads from the end that comes first to the other; every triangle is found once
+    as a -> b, a -> c, b -> c, i.e. as c in N+(a) & N+(b) for the edge (a, b). Ends come by number, those of degree
+    over sqrt(2m), of which there are fewer than that, after all others: so each out-list is bounded by sqrt(2m)
+    (no hub blow-up, O(m^1.5) work). Only what follows b in N+(a) is sent to b.
     """
-    edges = cut_lineage(edges.select("src", "dst"))  # read three times below: materialise once
-    # integer vertex ids: the triangle search shuffles adjacency lists, and longs are a fraction of
-    # the size of string ids. Ids only need to be unique (not dense); they are fixed by the checkpoint.
-    ends = edges.select(F.col("src").alias("x")).union(edges.select(F.col("dst").alias("x"))).distinct()
-    vid = cut_lineage(ends.withColumn("vid", F.monotonically_increasing_id()))
-    e_int = (edges.select("src", "dst").join(vid.select(F.col("x").alias("src"), F.col("vid").alias("s")), "src")
-             .join(vid.select(F.col("x").alias("dst"), F.col("vid").alias("t")), "dst"))
-    und = cut_lineage(e_int.select(F.least("s", "t").alias("u"), F.greatest("s", "t").alias("v")).distinct())
-    deg = und.select(F.col("u").alias("x")).union(und.select(F.col("v").alias("x"))).groupBy("x").agg(F.count(F.lit(1)).alias("k"))
-    du = deg.select(F.col("x").alias("u"), F.col("k").alias("ku"))
-    dv = deg.select(F.col("x").alias("v"), F.col("k").alias("kv"))
-    o = und.join(du, "u").join(dv, "v")
-    lower_first = (F.col("ku") < F.col("kv")) | ((F.col("ku") == F.col("kv")) & (F.col("u") < F.col("v")))
-    ori = o.select(
-        F.when(lower_first, F.col("u")).otherwise(F.col("v")).alias("a"),
-        F.when(lower_first, F.col("v")).otherwise(F.col("u")).alias("b"),
-    )
-    ori = cut_lineage(ori)
-    # compact-forward: per oriented edge (a, b) the triangles are N+(a) & N+(b); out-lists are
-    # bounded by sqrt(2m) thanks to the degree ordering, and the output is one row per triangle
-    outn = ori.groupBy("a").agg(F.collect_list("b").alias("nb"))
-    na = outn.select(F.col("a"), F.col("nb").alias("na"))
-    nbb = outn.select(F.col("a").alias("b"), F.col("nb").alias("nbb"))
-    tri = ori.join(na, "a").join(nbb, "b").select("a", "b", F.explode(F.array_intersect("na", "nbb")).alias("c"))
-    per_node = tri.select(F.explode(F.array("a", "b", "c")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("t"))
+    edges = stored(edges.select("src", "dst"), "edges")
+    ends = F.col("src").isNotNull() & F.col("dst").isNotNull()
+    whole = edges.filter(ends)
+    tasks = edge_tasks(edges, edges.count())
+    if dict(edges.dtypes)["src"] != "bigint":  # the triangle search shuffles adjacency lists: numbers are a fraction of string ids
+        both = whole.select(F.col("src").alias("x")).union(whole.select(F.col("dst").alias("x")))
+        vid = stored(both.distinct().withColumn("vid", F.monotonically_increasing_id()), "ends")
+        whole = (whole.repartition(tasks, "src").join(vid.select(F.col("x").alias("src"), F.col("vid").alias("s")), "src").repartition(tasks, "dst")
+                 .join(vid.select(F.col("x").alias("dst"), F.col("vid").alias("t")), "dst").select(F.col("s").alias("src"), F.col("t").alias("dst")))
+    und = stored(_undirected(whole, tasks), "undirected")
+    pairs, found = und.agg(F.count(F.lit(1)), F.sum("ways")).first()
+    total = (found or 0) + edges.filter(~ends).distinct().count()
+    deg = stored(und.select(F.explode(F.array("u", "v")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("k")), "degrees")
+    heavy = deg.filter(F.col("k") > math.isqrt(2 * pairs)).select("x").cache()
+    a, b = F.col("u"), F.col("v")
+    if not heavy.isEmpty():  # numbers of heavy ends are raised above all others
+        for end, raised in (("u", "_hu"), ("v", "_hv")):
+            und = und.join(F.broadcast(heavy.select(F.col("x").alias(end), F.lit(HEAVY).alias(raised))), end, "left")
+        a, b = a + F.coalesce("_hu", F.lit(0)), b + F.coalesce("_hv", F.lit(0))
+    ori = und.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).repartition(tasks, "a")
+    outn = stored(ori.groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("nb")), "out-lists")
+    heavy.unpersist()
+    sent = outn.agg(F.sum(F.size("nb") * F.size("nb")) / 2).first()[0] or 0
+    tasks = edge_tasks(edges, max(pairs, int(sent / 8)))
+    tails = outn.select("a", F.posexplode("nb").alias("_at", "b"), "nb").select("a", "b", F.expr("slice(nb, _at + 1, size(nb) - _at)").alias("tail"))
+    close = tails.repartition(tasks, "b").join(outn.select(F.col("a").alias("b"), F.col("nb").alias("nbb")), "b").select(
+        "a", "b", F.array_intersect("tail", "nbb").alias("c")).filter(F.size("c") > 0)
+    # a and b are in as many triangles as there are third corners, each of those in one
+    n3 = F.size("c").cast("long")
+    corners = F.concat(F.array(F.struct(F.col("a").alias("x"), n3.alias("t")), F.struct(F.col("b").alias("x"), n3.alias("t"))),
+                       F.transform("c", lambda c: F.struct(c.alias("x"), F.lit(1).cast("long").alias("t"))))
+    per_node = close.select(F.inline(corners)).groupBy(F.when(F.col("x") >= HEAVY, F.col("x") - HEAVY).otherwise(F.col("x")).alias("x")).agg(F.sum("t").alias("t"))
     cc = deg.join(per_node, "x", "left").select(
         F.when(F.col("k") >= 2, 2.0 * F.coalesce(F.col("t"), F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("c")
     )
-    n = nodes.agg(F.count(F.lit(1)).alias("total_nodes"))
-    m = edges.agg(F.count(F.lit(1)).alias("total_edges"))  # directed edge count (pairs are unique)
-    csum = cc.agg(F.sum("c").alias("_cs"))
-    out = with_scalars(with_scalars(n, m), csum)
+    n = nodes.agg(F.count(F.lit(1)).alias("total_nodes")).withColumn("total_edges", F.lit(total).cast("long"))
+    out = with_scalars(n, cc.agg(F.sum("c").alias("_cs")))
     return out.select(
         "total_nodes", "total_edges",
         (F.col("total_edges") / (F.col("total_nodes") * (F.col("total_nodes") - 1))).alias("density"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarmac.operators import graph as G
 from tarmac.plans.oracle import with_flights
 from tarmac.plans.registry import register
-from tarmac.session import cut_lineage
+from tarmac.session import cut_lineage, stored
 from tarmac.sources import fixture
 
 EDGE_CTES = """
@@ -165,7 +165,7 @@ FROM n, m
 """))
 def _nm(spark, d):
     fl = _fl(spark, d)
-    return G.network_metrics(fl, G.build_edges(fl))
+    return G.network_metrics(fl, G.build_edges(G.numbered(fl), keep_all=True))  # pairs of several families are merged there
 
 
 @register("impact_score_basic", with_flights("""
@@ -272,6 +272,6 @@ def _crit_estimated(spark, d):
     from tarmac.operators.centrality import betweenness
 
     fl = _fl(spark, d)
-    e = cut_lineage(G.build_edges(fl))
+    e = stored(G.build_edges(fl), "edges")
     nodes = fl.select("flight_id", "airline", "aircraft_id", "scheduled_time", "origin", "destination")
     return G.top_critical(G.criticality(nodes, G.degrees(fl, e), betweenness(fl.select("flight_id"), e, sources=64), G.pagerank(fl.select("flight_id"), e)), 20)
