@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from tarmac.functions import quantiles as QU
@@ -56,6 +56,21 @@ def test_model_learns_from_a_category_and_votes_on_importance(spark, tmp_path):
     assert PR.regression_metrics(out).first().r2 > 0.9
 
 
+def test_training_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """More rows than the cores may hold: more tasks, and the same trees."""
+    df = _airline_decides(spark)
+    trees = lambda: [GBTRegressor(labelCol=PR.LABEL, maxIter=2, maxDepth=3, seed=1, predictionCol="pred_gbt")]
+    whole = PR.predict(PR.train(df, estimators=trees()), df)
+    tasks, keep = [], PR.cut_lineage
+    monkeypatch.setattr(PR, "ROWS_A_TASK", 50)
+    monkeypatch.setattr(PR, "cut_lineage", lambda x: tasks.append(keep(x)) or tasks[-1])
+    dealt = PR.predict(PR.train(df, estimators=trees()), df)
+    assert [t.rdd.getNumPartitions() for t in tasks] == [12] and tasks[0].count() == 600
+    assert dealt.columns == whole.columns
+    a, b = ({r.flight_id: r.predicted_delay for r in x.collect()} for x in (whole, dealt))
+    assert a == {k: pytest.approx(v) for k, v in b.items()}
+
+
 def test_tune_halves_points_and_keeps_the_best(spark):
     df = _airline_decides(spark)
     grid = {"maxDepth": [1, 4], "maxIter": [3, 9], "stepSize": [0.05, 0.5], "subsamplingRate": [1.0]}
