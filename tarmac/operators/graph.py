@@ -58,7 +58,7 @@ def epoch_minutes(t: Column) -> Column:
     return F.timestamp_diff("MINUTE", F.lit(EPOCH).cast("timestamp_ntz"), t)
 
 
-def _next_in_sequence(fl: DataFrame, keys: list[str]) -> DataFrame:
+def _next_in_sequence(fl: DataFrame, keys: list[str], tasks: int | None) -> DataFrame:
     cols = ["flight_id", "scheduled_time", "origin", "destination", *keys]
     base = fl.select(*dict.fromkeys(cols))
 
@@ -69,14 +69,14 @@ def _next_in_sequence(fl: DataFrame, keys: list[str]) -> DataFrame:
             "next_origin": F.lead("origin").over(w),
         })
 
-    return with_neighbors(base, keys, ["scheduled_time", "flight_id"], F.to_date("scheduled_time"), 0, 1, compute).filter(
+    return with_neighbors(base, keys, ["scheduled_time", "flight_id"], F.to_date("scheduled_time"), 0, 1, compute, tasks).filter(
         F.col("next_id").isNotNull()
     )
 
 
 # W1 + G2
-def aircraft_edges(fl: DataFrame) -> DataFrame:
-    nxt = _next_in_sequence(fl, ["aircraft_id"]).filter(F.col("destination") == F.col("next_origin"))
+def aircraft_edges(fl: DataFrame, tasks: int | None = None) -> DataFrame:
+    nxt = _next_in_sequence(fl, ["aircraft_id"], tasks).filter(F.col("destination") == F.col("next_origin"))
     buf = minutes_between(F.col("scheduled_time"), F.col("next_time"))
     factor = F.when(buf < 60, 0.9).when(buf < 120, 0.7).when(buf < 180, 0.4).otherwise(0.1)
     return nxt.select(
@@ -86,8 +86,8 @@ def aircraft_edges(fl: DataFrame) -> DataFrame:
 
 
 # W2 + G3
-def crew_edges(fl: DataFrame) -> DataFrame:
-    nxt = _next_in_sequence(fl, ["base_airport", "airline"])
+def crew_edges(fl: DataFrame, tasks: int | None = None) -> DataFrame:
+    nxt = _next_in_sequence(fl, ["base_airport", "airline"], tasks)
     buf = minutes_between(F.col("scheduled_time"), F.col("next_time"))
     return nxt.filter((buf >= 90) & (buf <= 480)).select(
         F.col("flight_id").alias("src"), F.col("next_id").alias("dst"), F.lit("crew").alias("connection_type"),
@@ -101,8 +101,10 @@ def half_hour_slot(t: Column) -> Column:
 
 
 # J6 + G3
-def runway_edges(fl: DataFrame) -> DataFrame:
+def runway_edges(fl: DataFrame, tasks: int | None = None) -> DataFrame:
     s = fl.select("flight_id", "scheduled_time", "runway", "base_airport", half_hour_slot(F.col("scheduled_time")).alias("slot"))
+    if tasks:
+        s = s.repartition(tasks, "base_airport", "runway", "slot")
     a = s.alias("a")
     b = s.alias("b")
     cond = [
@@ -164,7 +166,7 @@ def build_edges(fl: DataFrame, keep_all: bool = False) -> DataFrame:
     """Union of the four edge families; per (src, dst) the later family wins (one edge per pair). The edges are
     dealt by source before they are merged: no task merges what its joins made, and what follows finds them by source."""
     n = _pair_tasks(fl)
-    parts = [aircraft_edges(fl), crew_edges(fl), runway_edges(fl), passenger_edges(fl, tasks=n)]
+    parts = [family(fl, tasks=n) for family in (aircraft_edges, crew_edges, runway_edges, passenger_edges)]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
