@@ -71,6 +71,45 @@ def test_training_rows_are_dealt_by_their_number(spark, monkeypatch):
     assert a == {k: pytest.approx(v) for k, v in b.items()}
 
 
+def test_estimators_read_rows_encoded_once(spark, monkeypatch):
+    """Few rows too: all estimators train on one checkpoint of the encoded rows."""
+    kept, keep = [], PR.cut_lineage
+    monkeypatch.setattr(PR, "cut_lineage", lambda x: kept.append(keep(x)) or kept[-1])
+    trees = [RandomForestRegressor(labelCol=PR.LABEL, numTrees=2, maxDepth=2, seed=1, predictionCol="pred_rf"),
+             GBTRegressor(labelCol=PR.LABEL, maxIter=2, maxDepth=2, seed=1, predictionCol="pred_gbt")]
+    model = PR.train(_airline_decides(spark), estimators=trees)
+    assert len(kept) == 1 and kept[0].count() == 600
+    assert [type(s).__name__ for s in model.stages[-2:]] == ["RandomForestRegressionModel", "GBTRegressionModel"]
+
+
+def test_folds_share_one_encoding(spark, monkeypatch):
+    """One fit of the inputs for all folds; results as if each fold had fitted its own, also where a value or a whole
+    category occurs in the held-out fold only."""
+    df = _airline_decides(spark).withColumn("_fold", PR.fold_of(F.col("flight_id"), 3))
+    df = df.withColumn("airline", F.when((F.col("_fold") == 1) & (F.col("hour") < 4), "ZZ").otherwise(F.col("airline")))
+    df = df.withColumn("runway", F.when(F.col("_fold") == 2, F.concat(F.lit("R"), F.col("hour") % 2))).cache()
+    trees = [RandomForestRegressor(labelCol=PR.LABEL, numTrees=4, maxDepth=4, seed=3, featureSubsetStrategy="all", bootstrap=False, predictionCol="pred_rf"),
+             GBTRegressor(labelCol=PR.LABEL, maxIter=3, maxDepth=3, seed=3, predictionCol="pred_gbt")]
+    alone = []
+    for f in range(3):
+        model = PR.train(df.filter(F.col("_fold") != f), estimators=trees)
+        slots = sum(map(len, FE.one_hot_names(model.stages[0]).values()))
+        assert slots == {0: 6, 1: 5, 2: 4}[f]
+        alone.append(PR.predict(model, df.filter(F.col("_fold") == f)).select(F.col("_fold").alias("fold"), PR.LABEL, "predicted_delay"))
+    each = PR.fold_metrics(alone[0].union(alone[1]).union(alone[2])).agg(*[g(c) for c in ("mae", "r2") for g in (F.avg, F.stddev_samp)]).first()
+    fits, inputs = [], PR.input_stages
+    monkeypatch.setattr(PR, "input_stages", lambda x: fits.append(1) or inputs(x))
+    both = {r.metric: r for r in PR.cross_validate(df.drop("_fold"), 3, estimators=trees).collect()}
+    assert len(fits) == 1
+    assert [both["mae"]["mean"], both["mae"]["std"], both["r2"]["mean"], both["r2"]["std"]] == [pytest.approx(v) for v in each]
+
+
+def test_inputs_of_a_fold():
+    values = [{"_fold": 0, "airline": ["AI"]}, {"_fold": 1, "airline": ["AI", "ZZ"]}, {"_fold": None, "airline": ["6E"]}]
+    names, slots = ["hour", "airline_vec"], {"airline_vec": ["airline_6E", "airline_AI", "airline_ZZ"]}
+    assert [PR._fold_slots(names, slots, values, f) for f in (0, 1)] == [[0, 2, 3], [0, 2]]
+
+
 def test_tune_halves_points_and_keeps_the_best(spark):
     df = _airline_decides(spark)
     grid = {"maxDepth": [1, 4], "maxIter": [3, 9], "stepSize": [0.05, 0.5], "subsamplingRate": [1.0]}
