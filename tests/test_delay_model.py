@@ -104,6 +104,15 @@ def test_folds_share_one_encoding(spark, monkeypatch):
     assert [both["mae"]["mean"], both["mae"]["std"], both["r2"]["mean"], both["r2"]["std"]] == [pytest.approx(v) for v in each]
 
 
+def test_dealt_tasks_fill_the_cores(spark, monkeypatch):
+    monkeypatch.setattr(PR, "ROWS_A_TASK", 50)
+    cores = spark.sparkContext.defaultParallelism
+    ready = spark.range(0, 50 * cores + 1, 1, 3).withColumn(PR.LABEL, F.lit(1.0))
+    assert PR._for_training(ready, 50 * cores + 1).rdd.getNumPartitions() == 2 * cores
+    assert PR._for_training(ready, 50 * cores).rdd.getNumPartitions() == 3
+    assert [PR._folds_at_once(n, 3, 12) for n in (0, 600_000, 6_000_000, 9_000_000, 36_000_000)] == [3, 3, 3, 2, 1]
+
+
 def test_inputs_of_a_fold():
     values = [{"_fold": 0, "airline": ["AI"]}, {"_fold": 1, "airline": ["AI", "ZZ"]}, {"_fold": None, "airline": ["6E"]}]
     names, slots = ["hour", "airline_vec"], {"airline_vec": ["airline_6E", "airline_AI", "airline_ZZ"]}
