@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from tarmac.functions import quantiles as QU
 from tarmac.operators import features as FE
 from tarmac.operators import predict as PR
+from tarmac.plans import catalog_ml as ML
+from tarmac.sources import fixture
 
 
 def test_one_hots_leave_nulls_and_unseen_values_empty(spark):
@@ -119,6 +122,31 @@ def test_inputs_of_a_fold():
     assert [PR._fold_slots(names, slots, values, f) for f in (0, 1)] == [[0, 2, 3], [0, 2]]
 
 
+@pytest.fixture
+def fitted(spark, monkeypatch):
+    """Sizes of the trees that the queries of the delay model ask for, on flights of its own; one tree each is trained."""
+    rnd = random.Random(7)
+    events = [(i, datetime(2024, 1, 1) + timedelta(minutes=7 * i), rnd.randrange(300), rnd.choice(["error", "view"]), rnd.random() * 90, f'{{"k": {rnd.randrange(99)}}}')
+              for i in range(400)]
+    fl = fixture.flights_from_events(spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string"))
+    monkeypatch.setattr(ML, "_fl", lambda spark, d: fl)
+    sizes = []
+    for kind, trees in ((GBTRegressor, "maxIter"), (RandomForestRegressor, "numTrees")):
+        def fit(self, rows, kind=kind, trees=trees, whole=kind._fit):
+            sizes.append((kind.__name__, self.getOrDefault(trees), self.getMaxDepth()))
+            return whole(self.copy({self.getParam(trees): 1, self.maxDepth: 2}), rows)
+        monkeypatch.setattr(kind, "_fit", fit)
+    return sizes
+
+
+GBT, FOREST, SECOND = ("GBTRegressor", 120, 6), ("RandomForestRegressor", 120, 12), ("GBTRegressor", 100, 6)
+
+
+def test_cross_validated_query_trains_whole_models(spark, fitted):
+    assert {r.metric for r in ML._cvm(spark, "").collect()} == {"mae", "r2"}
+    assert fitted == [GBT] * 5
+
+
 def test_tune_halves_points_and_keeps_the_best(spark):
     df = _airline_decides(spark)
     grid = {"maxDepth": [1, 4], "maxIter": [3, 9], "stepSize": [0.05, 0.5], "subsamplingRate": [1.0]}
