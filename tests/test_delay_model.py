@@ -147,6 +147,11 @@ def test_cross_validated_query_trains_whole_models(spark, fitted):
     assert fitted == [GBT] * 5
 
 
+def test_importance_query_trains_whole_models(spark, fitted):
+    assert len(ML._dfim(spark, "").collect()) == 10
+    assert fitted == [GBT, FOREST, SECOND]
+
+
 def test_tune_halves_points_and_keeps_the_best(spark):
     df = _airline_decides(spark)
     grid = {"maxDepth": [1, 4], "maxIter": [3, 9], "stepSize": [0.05, 0.5], "subsamplingRate": [1.0]}
