@@ -152,6 +152,13 @@ def test_importance_query_trains_whole_models(spark, fitted):
     assert fitted == [GBT, FOREST, SECOND]
 
 
+def test_held_out_queries_train_whole_models(spark, fitted):
+    assert ML._dme(spark, "").count() > 50
+    assert fitted == [GBT, FOREST, SECOND]
+    assert ML._dmf(spark, "").count() > 50
+    assert fitted[3:] == [("RandomForestRegressor", 150, 12)]
+
+
 def test_tune_halves_points_and_keeps_the_best(spark):
     df = _airline_decides(spark)
     grid = {"maxDepth": [1, 4], "maxIter": [3, 9], "stepSize": [0.05, 0.5], "subsamplingRate": [1.0]}
