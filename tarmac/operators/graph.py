@@ -22,6 +22,7 @@ Iterative operators (cascade, PageRank) cut lineage every round with a reliable
 from __future__ import annotations
 
 import math
+from contextlib import nullcontext
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from tarmac.functions.components import ranked
 from tarmac.functions.scalars import with_scalars
 from tarmac.functions.windows import with_neighbors
-from tarmac.session import cut_lineage, stored
+from tarmac.session import cut_lineage, shuffles_dropped, stored
 
 EPOCH = "1970-01-01 00:00:00"
 BIN_MINUTES = 240
@@ -44,9 +45,11 @@ def edge_tasks(df: DataFrame, rows: int) -> int:
 
 
 def dealt(edges: DataFrame) -> DataFrame:
-    """The edges, stored, then dealt by their source to ``edge_tasks`` tasks."""
+    """The edges, stored, then dealt by their source to ``edge_tasks`` tasks, and to no fewer than the session's shuffles
+    have: joins with fewer tasks than that would deal the edges anew each time."""
     kept = stored(edges, "edges")
-    return kept.repartition(edge_tasks(kept, kept.count()), "src")
+    least = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return kept.repartition(max(edge_tasks(kept, kept.count()), least), "src")
 
 
 def minutes_between(a: Column, b: Column) -> Column:
@@ -188,16 +191,21 @@ def simulate_cascade(nodes: DataFrame, edges: DataFrame, initial: DataFrame, max
 
     ``nodes``: flight_id; ``initial``: flight_id, delay. Returns flight_id, delay for every node.
     """
-    e = edges.select("src", "dst", "propagation_factor", "time_buffer")
-    if checkpoint:
-        # the edge table is reused every round: materialise it once, dealt and sorted by src
-        e = cut_lineage(dealt(e).sortWithinPartitions("src"))
-    # sparse state: only delayed flights (delays never decrease, so a flight never leaves it)
     state = initial.select("flight_id", F.col("delay").cast("double").alias("delay")).filter(F.col("delay") > 0)
     state = state.join(nodes.select("flight_id"), "flight_id", "left_semi")
+    with shuffles_dropped(nodes.sparkSession) if checkpoint else nullcontext():
+        state = _cascade_rounds(state, edges.select("src", "dst", "propagation_factor", "time_buffer"), max_iterations, checkpoint)
+    return nodes.select("flight_id").join(state.select("flight_id", "delay"), "flight_id", "left").select(
+        "flight_id", F.coalesce(F.col("delay"), F.lit(0.0)).alias("delay"))
+
+
+def _cascade_rounds(state: DataFrame, e: DataFrame, rounds: int, checkpoint: bool) -> DataFrame:
+    """``state`` (sparse: only delayed flights; delays never decrease, so a flight never leaves it) after the rounds."""
     if checkpoint:
-        state = cut_lineage(state)
-    for _ in range(max_iterations):
+        # the edge table is reused every round: materialise it once, dealt and sorted by src
+        e = cut_lineage(dealt(e).sortWithinPartitions("src"), keep_layout=True)
+        state = cut_lineage(state.select("*"))
+    for _ in range(rounds):
         act = state.withColumnRenamed("flight_id", "src").withColumnRenamed("delay", "d_src")
         p = F.col("d_src") * F.col("propagation_factor")
         p = F.when(F.col("time_buffer") > p, F.greatest(F.lit(0.0), p - F.col("time_buffer") * 0.1)).otherwise(p)
@@ -211,8 +219,7 @@ def simulate_cascade(nodes: DataFrame, edges: DataFrame, initial: DataFrame, max
             if step.filter("_moved").isEmpty():  # no propagation: later rounds change nothing
                 break
         state = step.drop("_moved")
-    return nodes.select("flight_id").join(state, "flight_id", "left").select(
-        "flight_id", F.coalesce(F.col("delay"), F.lit(0.0)).alias("delay"))
+    return state
 
 
 # G6
@@ -248,8 +255,9 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def numbered(fl: DataFrame) -> DataFrame:
     """The flights, stored, with the position of their id among all ids in place of the id: as edges hold two ids,
     they are shorter and quicker to compare, and the order of the ids stays."""
-    ids = ranked(fl.select("flight_id").filter(F.col("flight_id").isNotNull()).distinct(), "_vid")
-    return stored(fl.join(ids, "flight_id", "left").withColumn("flight_id", F.col("_vid")).drop("_vid"), "numbered")
+    with shuffles_dropped(fl.sparkSession):
+        ids = ranked(fl.select("flight_id").filter(F.col("flight_id").isNotNull()).distinct(), "_vid")
+        return stored(fl.join(ids, "flight_id", "left").withColumn("flight_id", F.col("_vid")).drop("_vid"), "numbered")
 
 
 def _undirected(edges: DataFrame, tasks: int) -> DataFrame:

@@ -126,7 +126,8 @@ FROM (
   FROM r5 r LEFT JOIN flights f USING (flight_id)), (SELECT sum(delay) AS initial_delay_minutes FROM init)
 """))
 def _impact(spark, d):
-    fl = _fl(spark, d)
+    fl = G.numbered(_fl(spark, d).select("flight_id", "airline", "aircraft_id", "base_airport", "origin", "destination", "scheduled_time",
+                                         "delay_minutes", "runway", "capacity"))
     init = initial_delays(fl)
     final = G.simulate_cascade(fl.select("flight_id"), G.build_edges(fl), init)
     return G.cascade_impact(final, init, fl)
