@@ -177,6 +177,20 @@ def test_tune_halves_points_and_keeps_the_best(spark):
     assert PR.regression_metrics(PR.predict(model, df)).first().r2 > 0.8
 
 
+def test_tune_trains_side_by_side_what_fits(spark, monkeypatch):
+    """As many points at a time as their rows allow, with the same scores."""
+    df = _airline_decides(spark)
+    grid = {"maxDepth": [2, 3], "maxIter": [2, 4], "stepSize": [0.3], "subsamplingRate": [1.0]}
+    seen, run = [], PR._together
+    monkeypatch.setattr(PR, "_together", lambda jobs, n: seen.append(n) or run(jobs, n))
+    logs = []
+    for rows in (PR.ROWS_A_CORE, 100):
+        monkeypatch.setattr(PR, "ROWS_A_CORE", rows)
+        logs.append(sorted(map(tuple, PR.tune(df, trials=4, k=4, grid=grid, eta=2)[1].collect())))
+    assert seen == [3, 3, 1, 1]
+    assert logs[0] == [(*r[:-1], pytest.approx(r[-1])) for r in logs[1]]
+
+
 def test_fold_metrics_of_a_constant_fold(spark):
     df = spark.createDataFrame([(0, 5.0, 6.0), (0, 5.0, 4.0), (1, 1.0, 1.0), (1, 3.0, 2.0)], "fold int, delay_minutes double, predicted_delay double")
     assert sorted(map(tuple, PR.fold_metrics(df).collect())) == [(0, 2, 1.0, None), (1, 2, 0.5, 0.5)]
